@@ -2,7 +2,7 @@
 
 Every analysis is run per entity (customer segment), so the entity key joins
 every grouping and window. Operators return unsorted DataFrames; ordering
-is a presentation concern (``present``).
+is a presentation concern.
 """
 
 from __future__ import annotations
@@ -20,9 +20,52 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def scenario_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """High-Low spread of revenue, contribution margin and EBITDA per month."""
     return ts.scenario_spread(marts.fact(spark, sf_dir), keys=KEYS)
 
 
+def zero_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zero-line crossings of five P&L lines with interpolated crossing month."""
+    return ts.zero_crossings(marts.fact(spark, sf_dir), keys=KEYS)
+
+
+def operating_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed-cost share, DOL and leverage multiplier per scenario-month."""
+    return ts.operating_leverage(marts.fact(spark, sf_dir), keys=KEYS)
+
+
+def volume_price_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue change split into volume, price and mix effects."""
+    return ts.volume_price_mix(marts.fact(spark, sf_dir), keys=KEYS)
+
+
+def cumulative_payback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running EBITDA against the yearly fixed-cost target with payback month."""
+    return ts.cumulative_payback(marts.fact(spark, sf_dir), marts.totals(spark, sf_dir), keys=KEYS)
+
+
+def growth_overtake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue vs cost growth; flags months where costs grow faster."""
+    return ts.growth_overtake(marts.fact(spark, sf_dir), keys=KEYS)
+
+
+def unit_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-ride and per-vehicle economics with contribution-per-ride trend."""
+    return ts.unit_economics(marts.fact(spark, sf_dir), keys=KEYS)
+
+
+def margin_of_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breakeven revenue and margin of safety with its trend."""
+    return ts.margin_of_safety(marts.fact(spark, sf_dir), keys=KEYS)
+
+
 QUERIES: dict[str, Query] = {
     "scenario_spread": scenario_spread,
+    "zero_crossings": zero_crossings,
+    "operating_leverage": operating_leverage,
+    "volume_price_mix": volume_price_mix,
+    "cumulative_payback": cumulative_payback,
+    "growth_overtake": growth_overtake,
+    "unit_economics": unit_economics,
+    "margin_of_safety": margin_of_safety,
 }

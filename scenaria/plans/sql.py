@@ -6,4 +6,11 @@ from scenaria.plans import oracle as O
 
 ORACLE: dict[str, str] = {
     "scenario_spread": O.scenario_spread(),
+    "zero_crossings": O.zero_crossings(),
+    "operating_leverage": O.operating_leverage(),
+    "volume_price_mix": O.volume_price_mix(),
+    "cumulative_payback": O.cumulative_payback(),
+    "growth_overtake": O.growth_overtake(),
+    "unit_economics": O.unit_economics(),
+    "margin_of_safety": O.margin_of_safety(),
 }
