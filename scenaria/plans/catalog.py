@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scenaria.operators import grid as gr
 from scenaria.operators import timeseries as ts
 from scenaria.sources import marts
 
@@ -59,6 +60,33 @@ def margin_of_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.margin_of_safety(marts.fact(spark, sf_dir), keys=KEYS)
 
 
+def _grids(spark: SparkSession, sf_dir: str) -> list[gr.GridLevers]:
+    bx, by = marts.GRID_BASE
+    all_lines = marts.grid(spark, sf_dir, tags=("1A", "1B"))
+    closed = marts.grid(spark, sf_dir, linestatus=marts.GRID_LINESTATUS, tags=("2A", "2B"))
+    return [
+        gr.GridLevers(all_lines, "Discount", "Tax", bx, by),
+        gr.GridLevers(closed, "Discount_Closed", "Tax_Closed", bx, by),
+    ]
+
+
+def grid_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial derivatives of margin and revenue on the (discount, tax) grid per segment."""
+    g = marts.grid(spark, sf_dir, by_entity=True)
+    return gr.grid_sensitivity(g, step_x=0.01, step_y=0.01, x_label="Discount", y_label="Tax", keys=KEYS)
+
+
+def lever_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-at-a-time lever ranking over two grids (all lines, closed lines)."""
+    return gr.lever_ranking(_grids(spark, sf_dir))
+
+
+def interaction_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interaction of discount and tax on the closed-line grid per segment."""
+    g = marts.grid(spark, sf_dir, linestatus=marts.GRID_LINESTATUS, tags=("2A", "2B"), by_entity=True)
+    return gr.interaction_effects(g, keys=KEYS)
+
+
 QUERIES: dict[str, Query] = {
     "scenario_spread": scenario_spread,
     "zero_crossings": zero_crossings,
@@ -68,4 +96,7 @@ QUERIES: dict[str, Query] = {
     "growth_overtake": growth_overtake,
     "unit_economics": unit_economics,
     "margin_of_safety": margin_of_safety,
+    "grid_sensitivity": grid_sensitivity,
+    "lever_ranking": lever_ranking,
+    "interaction_effects": interaction_effects,
 }

@@ -13,4 +13,7 @@ ORACLE: dict[str, str] = {
     "growth_overtake": O.growth_overtake(),
     "unit_economics": O.unit_economics(),
     "margin_of_safety": O.margin_of_safety(),
+    "grid_sensitivity": O.grid_sensitivity(),
+    "lever_ranking": O.lever_ranking(),
+    "interaction_effects": O.interaction_effects(),
 }

@@ -40,6 +40,8 @@ FIRST_YEAR = 1995
 VARIABLE_RATE = "0.50"
 VEHICLE_COST = 23000
 PLATFORM_OVERHEAD = 5000
+# Grid margin also charges a handling cost per unit shipped.
+UNIT_HANDLING = 100
 MONEY = "decimal(15,2)"
 RATE = "decimal(4,2)"
 # Sensitivity grids: x = discount, y = tax; base cell and outputs.
@@ -186,6 +188,8 @@ def grid(
 ) -> DataFrame:
     """Two-axis sensitivity grid over (discount, tax) with revenue and margin outputs.
 
+    Margin = (revenue - variable cost - handling) / revenue per cell.
+
     ``linestatus`` restricts the slice (the second grid uses ``'F'``). The
     aggregate has at most 11 x 9 groups per entity, so partial aggregation
     reduces every task to a few hundred rows before the shuffle.
@@ -195,7 +199,8 @@ def grid(
         s = s.where(F.col("l_linestatus") == linestatus)
     keys = [ENTITY] if by_entity else []
     cells = s.groupBy(*keys, "discount", "tax").agg(
-        F.sum("net").alias("rev"), F.sum("varcost").alias("var")
+        F.sum("net").alias("rev"),
+        (F.sum("varcost") + F.sum("qty") * F.lit(UNIT_HANDLING)).alias("var"),
     )
     rev = F.col("rev").cast("double")
     margin = safe_div((F.col("rev") - F.col("var")).cast("double"), rev)
