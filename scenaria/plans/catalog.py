@@ -11,9 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from scenaria import schema as S
+from scenaria.operators import audit as au
 from scenaria.operators import grid as gr
+from scenaria.operators import portfolio as pf
 from scenaria.operators import timeseries as ts
-from scenaria.sources import marts
+from scenaria.sources import marts, reshape
 
 KEYS = (marts.ENTITY,)
 
@@ -87,6 +92,108 @@ def interaction_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.interaction_effects(g, keys=KEYS)
 
 
+# The six part-type drivers traced from assumption to result.
+DRIVERS = (
+    ("ECONOMY", "Economy Part Price", 1),
+    ("LARGE", "Large Part Price", 2),
+    ("MEDIUM", "Medium Part Price", 3),
+    ("PROMO", "Promo Part Price", 4),
+    ("SMALL", "Small Part Price", 5),
+    ("STANDARD", "Standard Part Price", 6),
+)
+# Tax levels of the grid (0.00 .. 0.08), the columns of the sensitivity matrix.
+TAX_LEVELS = tuple(f"0.0{i}" for i in range(9))
+
+
+def flow_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drivers -> month 1 / month 12 / FY results, Low / Base / High with High/Low ratio."""
+    return pf.flow_trace(
+        marts.assumptions(spark, sf_dir), marts.fact(spark, sf_dir), marts.totals(spark, sf_dir), DRIVERS, keys=KEYS
+    )
+
+
+def weighted_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability-weighted EBITDA (25/50/25) against Base per month."""
+    return pf.weighted_expectation(marts.fact(spark, sf_dir), marts.DEFAULT_WEIGHTS, keys=KEYS)
+
+
+def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five accounting identities per scenario-month with PASS / FAIL."""
+    return au.reconcile(marts.fact(spark, sf_dir), keys=KEYS)
+
+
+def grid_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completeness, duplicates and base-cell cross-check of the two grids."""
+    bx, by = marts.GRID_BASE
+    g1 = marts.grid(spark, sf_dir, tags=("1A", "1B"))
+    g2 = marts.grid(spark, sf_dir, linestatus=marts.GRID_LINESTATUS, tags=("2A", "2B"))
+    return au.grid_audit([au.AuditGrid("all_lines", g1, bx, by), au.AuditGrid("closed_lines", g2, bx, by)])
+
+
+def kpi_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly KPI table per segment and scenario."""
+    return pf.kpi_totals(marts.totals(spark, sf_dir), keys=KEYS)
+
+
+def sensitivity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margin grid as a discount x tax matrix."""
+    return pf.sensitivity_matrix(marts.grid(spark, sf_dir), S.OUT_MARGIN, TAX_LEVELS)
+
+
+def flatten_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrix blocks of both grid outputs flattened back into long grid rows."""
+    g = marts.grid(spark, sf_dir)
+    levels = {pf.level_name("y", lv): lv for lv in TAX_LEVELS}
+    parts = [
+        reshape.matrix_to_long(pf.sensitivity_matrix(g, out, TAX_LEVELS), "x", levels, out, tag)
+        for out, tag in ((S.OUT_MARGIN, "1B"), (S.OUT_REVENUE, "1A"))
+    ]
+    long = parts[0].unionByName(parts[1])
+    return long.select("table", "output", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "value")
+
+
+def cost_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly cost shares per segment and scenario."""
+    return pf.cost_structure(marts.totals(spark, sf_dir), keys=KEYS)
+
+
+def margin_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CM % and EBITDA % per segment, scenario and month."""
+    return pf.margin_trajectory(marts.fact(spark, sf_dir), keys=KEYS)
+
+
+def unpivot_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The P&L sheet (12 month columns per year) melted back into the long fact."""
+    sheet = marts.pl_sheet(spark, sf_dir)
+    months = [f"Month_{m}" for m in range(1, 13)]
+    long = reshape.melt_periods(sheet, [marts.ENTITY, "scenario", "year", "metric"], months, number_col="month_of_year")
+    return long.select(
+        marts.ENTITY,
+        "scenario",
+        "year",
+        "metric",
+        "month",
+        "month_of_year",
+        ((F.col("year") - F.lit(marts.FIRST_YEAR)) * 12 + F.col("month_of_year")).cast("int").alias("month_number"),
+        "value",
+    )
+
+
+def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts of every planning table derived from the warehouse."""
+    return au.load_audit(
+        {
+            "pl_monthly": marts.fact(spark, sf_dir),
+            "pl_fy_totals": marts.totals(spark, sf_dir),
+            "assumptions": marts.assumptions(spark, sf_dir),
+            "sensitivity_all_lines": marts.grid(spark, sf_dir, tags=("1A", "1B")),
+            "sensitivity_closed_lines": marts.grid(
+                spark, sf_dir, linestatus=marts.GRID_LINESTATUS, tags=("2A", "2B")
+            ),
+        }
+    )
+
+
 QUERIES: dict[str, Query] = {
     "scenario_spread": scenario_spread,
     "zero_crossings": zero_crossings,
@@ -99,4 +206,15 @@ QUERIES: dict[str, Query] = {
     "grid_sensitivity": grid_sensitivity,
     "lever_ranking": lever_ranking,
     "interaction_effects": interaction_effects,
+    "flow_trace": flow_trace,
+    "weighted_expectation": weighted_expectation,
+    "reconcile": reconcile,
+    "grid_audit": grid_audit,
+    "kpi_totals": kpi_totals,
+    "sensitivity_matrix": sensitivity_matrix,
+    "flatten_grid": flatten_grid,
+    "cost_structure": cost_structure,
+    "margin_trajectory": margin_trajectory,
+    "unpivot_fact": unpivot_fact,
+    "load_audit": load_audit,
 }

@@ -16,4 +16,15 @@ ORACLE: dict[str, str] = {
     "grid_sensitivity": O.grid_sensitivity(),
     "lever_ranking": O.lever_ranking(),
     "interaction_effects": O.interaction_effects(),
+    "flow_trace": O.flow_trace(),
+    "weighted_expectation": O.weighted_expectation(),
+    "reconcile": O.reconcile(),
+    "grid_audit": O.grid_audit(),
+    "kpi_totals": O.kpi_totals(),
+    "sensitivity_matrix": O.sensitivity_matrix(),
+    "flatten_grid": O.flatten_grid(),
+    "cost_structure": O.cost_structure(),
+    "margin_trajectory": O.margin_trajectory(),
+    "unpivot_fact": O.unpivot_fact(),
+    "load_audit": O.load_audit(),
 }
