@@ -8,21 +8,25 @@ that every analysis does work proportional to the warehouse:
 * scenario    = line return flag (R -> Low, A -> Base, N -> High)
 * period      = ship month, numbered from January of ``FIRST_YEAR``
 * rides       = sum of quantity; revenue = sum of price * (1 - discount)
-* variable    = sum of price * (VARIABLE_RATE + tax)
+* variable    = sum of price * (VARIABLE_RATE_PCT% + tax)
 * fleet       = distinct suppliers; vehicle fixed = fleet * VEHICLE_COST
 * the remaining metrics follow the accounting identities
 
-Money is summed as exact decimals and converted to double once, so the marts
-are the same whatever order a cluster aggregates in.
-
-Plan shape: lineitem (pruned to 8 columns, flag filter pushed to the scan)
-joins orders-with-segment on the order key. Both are large at scale, so the
-join is left to the planner (sort-merge, or broadcast when AQE measures a side
-as small); skewed keys are split by AQE's skew-join handling. The aggregate is
-partial/final, so a hot (segment, flag, month) group is combined map-side
-before the shuffle. Distinct suppliers are counted through Spark's
-two-level distinct aggregation, which shuffles on (group, supplier) rather
-than on the group alone.
+Exact money: prices have two decimals and rates are whole percent, so every
+line amount is an integer number of 1/10000 units. Lines are summed as
+64-bit integers (codegen'd, no per-row decimal objects) and converted to
+double once per group, so the marts are bit-for-bit the same whatever order a
+cluster aggregates in. Per-group sums stay far below 2^63 at 100 TB
+(about 2e17 per segment-flag-month); sums over longer spans (yearly totals,
+grid cells) go through decimal in a second, small aggregation level.
+
+Plan shape: lineitem (pruned to 9 columns, flag filter pushed to the scan)
+joins orders-with-segment on the order key, so lineitem is shuffled once.
+Orders and customer are large at scale; the session leaves broadcasting to
+AQE's runtime size check. The aggregate is partial/final, so a hot
+(segment, flag, month) group is combined map-side before the shuffle.
+Distinct suppliers are counted through Spark's two-level distinct
+aggregation, which shuffles on (group, supplier) rather than on the group.
 """
 
 from __future__ import annotations
@@ -37,29 +41,44 @@ from scenaria.sources.tables import read_table
 # --- fixed values of the mart definition ---------------------------------
 SCENARIO_OF_FLAG = {"R": "Low", "A": "Base", "N": "High"}
 FIRST_YEAR = 1995
-VARIABLE_RATE = "0.50"
+VARIABLE_RATE_PCT = 50  # variable cost = price * (50% + tax)
 VEHICLE_COST = 23000
 PLATFORM_OVERHEAD = 5000
 # Grid margin also charges a handling cost per unit shipped.
 UNIT_HANDLING = 100
-MONEY = "decimal(15,2)"
-RATE = "decimal(4,2)"
-# Sensitivity grids: x = discount, y = tax; base cell and outputs.
+# Sensitivity grids: x = discount, y = tax; base cell.
 GRID_BASE = (0.05, 0.04)
 GRID_LINESTATUS = "F"
 
 ENTITY = "entity"
+UNITS = 10000.0  # line amounts are integers in 1/10000 currency units
+WIDE_SUM = "decimal(38,0)"
 
 
 def _scenario(flag: Column) -> Column:
     out = None
     for k, v in SCENARIO_OF_FLAG.items():
-        out = (F.when(flag == k, v) if out is None else out.when(flag == k, v))
+        out = F.when(flag == k, v) if out is None else out.when(flag == k, v)
     return out
 
 
+def _hundredths(c: str) -> Column:
+    """A two-decimal double as an exact integer count of hundredths."""
+    return F.rint(F.col(c) * F.lit(100.0)).cast("long")
+
+
+def to_money(units) -> Column:
+    """Integer 1/10000 units (long or integral decimal) -> double currency."""
+    u = F.col(units) if isinstance(units, str) else units
+    return u.cast("double") / F.lit(UNITS)
+
+
 def sales(spark: SparkSession, sf_dir: str, by_entity: bool = True) -> DataFrame:
-    """Line-level sales with entity, scenario, period and decimal money columns."""
+    """Line-level sales: entity, scenario, period, supplier, discount/tax points and integer amounts.
+
+    ``qty_c`` is quantity in hundredths; ``net_u`` and ``var_u`` are revenue and
+    variable cost in 1/10000 units; ``disc_p`` / ``tax_p`` are whole percent.
+    """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_suppkey",
@@ -76,56 +95,58 @@ def sales(spark: SparkSession, sf_dir: str, by_entity: bool = True) -> DataFrame
         customer = read_table(spark, sf_dir, "customer").select(
             F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias(ENTITY)
         )
-        order_entity = orders.join(customer, "o_custkey").select(
-            F.col("o_orderkey").alias("l_orderkey"), ENTITY
-        )
+        order_entity = orders.join(customer, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), ENTITY)
         li = li.join(order_entity, "l_orderkey")
-    price = F.col("l_extendedprice").cast(MONEY)
-    discount = F.col("l_discount").cast(RATE)
-    tax = F.col("l_tax").cast(RATE)
+    cents = _hundredths("l_extendedprice")
+    disc = _hundredths("l_discount")
+    tax = _hundredths("l_tax")
     cols = [ENTITY] if by_entity else []
     return li.select(
         *cols,
         _scenario(F.col("l_returnflag")).alias("scenario"),
         ((F.year("l_shipdate") - F.lit(FIRST_YEAR)) * 12 + F.month("l_shipdate")).cast("int").alias("month_number"),
-        F.col("l_suppkey"),
-        F.col("l_linestatus"),
-        F.col("l_quantity").cast(MONEY).alias("qty"),
-        discount.alias("discount"),
-        tax.alias("tax"),
-        (price * (F.lit(1) - discount)).alias("net"),
-        (price * (F.lit(VARIABLE_RATE).cast("decimal(3,2)") + tax)).alias("varcost"),
+        "l_suppkey",
+        "l_linestatus",
+        _hundredths("l_quantity").alias("qty_c"),
+        disc.alias("disc_p"),
+        tax.alias("tax_p"),
+        (cents * (F.lit(100) - disc)).alias("net_u"),
+        (cents * (F.lit(VARIABLE_RATE_PCT) + tax)).alias("var_u"),
     )
 
 
-def _derived(rides, revenue, variable, fleet, vehicle, platform) -> list[Column]:
-    """The eleven metrics from the base measures, in metric-name order of ``S.METRICS``."""
-    total_fixed = vehicle + platform
-    cm = revenue - variable
-    ebitda = cm - total_fixed
-    rev_d = revenue.cast("double")
+def _derived(rides, net_u, var_u, fleet, vehicle_u, platform_u) -> list[Column]:
+    """The eleven metrics from integer base measures, in the order of ``S.METRICS``.
+
+    Arguments are integer columns (long or integral decimal) in 1/10000 units,
+    except ``rides`` (double) and ``fleet`` (count).
+    """
+    fixed_u = vehicle_u + platform_u
+    cm_u = net_u - var_u
+    ebitda_u = cm_u - fixed_u
+    revenue, cm, ebitda = to_money(net_u), to_money(cm_u), to_money(ebitda_u)
     return [
         fleet.cast("double").alias(S.FLEET),
-        rides.cast("double").alias(S.RIDES),
-        rev_d.alias(S.REVENUE),
-        variable.cast("double").alias(S.VARIABLE_COSTS),
-        cm.cast("double").alias(S.CONTRIBUTION_MARGIN),
-        safe_div(cm.cast("double"), rev_d).alias(S.CM_PCT),
-        vehicle.cast("double").alias(S.VEHICLE_FIXED),
-        platform.cast("double").alias(S.PLATFORM_OVERHEAD),
-        total_fixed.cast("double").alias(S.TOTAL_FIXED),
-        ebitda.cast("double").alias(S.EBITDA),
-        safe_div(ebitda.cast("double"), rev_d).alias(S.EBITDA_PCT),
+        rides.alias(S.RIDES),
+        revenue.alias(S.REVENUE),
+        to_money(var_u).alias(S.VARIABLE_COSTS),
+        cm.alias(S.CONTRIBUTION_MARGIN),
+        safe_div(cm, revenue).alias(S.CM_PCT),
+        to_money(vehicle_u).alias(S.VEHICLE_FIXED),
+        to_money(platform_u).alias(S.PLATFORM_OVERHEAD),
+        to_money(fixed_u).alias(S.TOTAL_FIXED),
+        ebitda.alias(S.EBITDA),
+        safe_div(ebitda, revenue).alias(S.EBITDA_PCT),
     ]
 
 
 def base_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (entity, scenario, month) with exact decimal base measures."""
+    """One row per (entity, scenario, month): integer sums and distinct suppliers."""
     s = sales(spark, sf_dir)
     return s.groupBy(ENTITY, "scenario", "month_number").agg(
-        F.sum("qty").alias("rides"),
-        F.sum("net").alias("revenue"),
-        F.sum("varcost").alias("variable"),
+        F.sum("qty_c").alias("qty_c"),
+        F.sum("net_u").alias("net_u"),
+        F.sum("var_u").alias("var_u"),
         F.count_distinct("l_suppkey").alias("fleet"),
     )
 
@@ -133,13 +154,20 @@ def base_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_pl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide P&L: one row per (entity, scenario, month_number), one double column per metric."""
     b = base_measures(spark, sf_dir)
-    vehicle = (F.col("fleet") * F.lit(VEHICLE_COST)).cast("decimal(20,2)")
-    platform = F.lit(PLATFORM_OVERHEAD).cast("decimal(20,2)")
+    vehicle_u = F.col("fleet").cast(WIDE_SUM) * F.lit(int(VEHICLE_COST * UNITS))
+    platform_u = F.lit(int(PLATFORM_OVERHEAD * UNITS)).cast(WIDE_SUM)
     return b.select(
         ENTITY,
         "scenario",
         "month_number",
-        *_derived(F.col("rides"), F.col("revenue"), F.col("variable"), F.col("fleet"), vehicle, platform),
+        *_derived(
+            F.col("qty_c").cast("double") / F.lit(100.0),
+            F.col("net_u").cast(WIDE_SUM),
+            F.col("var_u").cast(WIDE_SUM),
+            F.col("fleet"),
+            vehicle_u,
+            platform_u,
+        ),
     )
 
 
@@ -164,17 +192,24 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly totals per (entity, scenario, metric): sums, ratio of sums for %, last fleet."""
     b = base_measures(spark, sf_dir)
     t = b.groupBy(ENTITY, "scenario").agg(
-        F.sum("rides").alias("rides"),
-        F.sum("revenue").alias("revenue"),
-        F.sum("variable").alias("variable"),
+        F.sum(F.col("qty_c").cast(WIDE_SUM)).alias("qty_c"),
+        F.sum(F.col("net_u").cast(WIDE_SUM)).alias("net_u"),
+        F.sum(F.col("var_u").cast(WIDE_SUM)).alias("var_u"),
         F.max_by("fleet", "month_number").alias("fleet_end"),
-        F.sum(F.col("fleet") * F.lit(VEHICLE_COST)).cast("decimal(38,2)").alias("vehicle"),
-        (F.count(F.lit(1)) * F.lit(PLATFORM_OVERHEAD)).cast("decimal(38,2)").alias("platform"),
+        F.sum(F.col("fleet").cast(WIDE_SUM)).alias("fleet_months"),
+        F.count(F.lit(1)).cast(WIDE_SUM).alias("months"),
     )
     wide = t.select(
         ENTITY,
         "scenario",
-        *_derived(F.col("rides"), F.col("revenue"), F.col("variable"), F.col("fleet_end"), F.col("vehicle"), F.col("platform")),
+        *_derived(
+            F.col("qty_c").cast("double") / F.lit(100.0),
+            F.col("net_u"),
+            F.col("var_u"),
+            F.col("fleet_end"),
+            F.col("fleet_months") * F.lit(int(VEHICLE_COST * UNITS)),
+            F.col("months") * F.lit(int(PLATFORM_OVERHEAD * UNITS)),
+        ),
     )
     return _melt(wide, [ENTITY, "scenario"], "fy_total")
 
@@ -189,25 +224,33 @@ def grid(
     """Two-axis sensitivity grid over (discount, tax) with revenue and margin outputs.
 
     Margin = (revenue - variable cost - handling) / revenue per cell.
-
-    ``linestatus`` restricts the slice (the second grid uses ``'F'``). The
-    aggregate has at most 11 x 9 groups per entity, so partial aggregation
-    reduces every task to a few hundred rows before the shuffle.
+    ``linestatus`` restricts the slice (the second grid uses ``'F'``). Lines
+    are summed per (cell, scenario, month) as integers, then per cell as
+    decimals: both levels are partial/final aggregates over at most
+    11 x 9 cells per entity, so every task emits a few hundred rows.
     """
     s = sales(spark, sf_dir, by_entity=by_entity)
     if linestatus is not None:
         s = s.where(F.col("l_linestatus") == linestatus)
     keys = [ENTITY] if by_entity else []
-    cells = s.groupBy(*keys, "discount", "tax").agg(
-        F.sum("net").alias("rev"),
-        (F.sum("varcost") + F.sum("qty") * F.lit(UNIT_HANDLING)).alias("var"),
+    handling_u = F.col("qty_c") * F.lit(int(UNIT_HANDLING * UNITS / 100))
+    part = s.groupBy(*keys, "disc_p", "tax_p", "scenario", "month_number").agg(
+        F.sum("net_u").alias("rev_u"), F.sum(F.col("var_u") + handling_u).alias("cost_u")
     )
-    rev = F.col("rev").cast("double")
-    margin = safe_div((F.col("rev") - F.col("var")).cast("double"), rev)
+    cells = part.groupBy(*keys, "disc_p", "tax_p").agg(
+        F.sum(F.col("rev_u").cast(WIDE_SUM)).alias("rev_u"),
+        F.sum(F.col("cost_u").cast(WIDE_SUM)).alias("cost_u"),
+    )
+    rev = to_money("rev_u")
+    margin = safe_div(to_money(F.col("rev_u") - F.col("cost_u")), rev)
+
+    def axis(c):
+        return (F.col(c).cast("decimal(9,0)") / F.lit(100)).cast(S.AXIS)
+
     out = cells.select(
         *keys,
-        F.col("discount").cast(S.AXIS).alias("x"),
-        F.col("tax").cast(S.AXIS).alias("y"),
+        axis("disc_p").alias("x"),
+        axis("tax_p").alias("y"),
         F.array(
             F.struct(F.lit(tags[0]).alias("table"), F.lit(S.OUT_REVENUE).alias("output"), rev.alias("value")),
             F.struct(F.lit(tags[1]).alias("table"), F.lit(S.OUT_MARGIN).alias("output"), margin.alias("value")),
@@ -221,7 +264,7 @@ def assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part").select("p_type", "p_retailprice")
     a = p.groupBy("p_type").agg(
         F.min("p_retailprice").alias("lo"),
-        (F.sum(F.col("p_retailprice").cast(MONEY)).cast("double") / F.count(F.lit(1))).alias("mid"),
+        ((F.sum(_hundredths("p_retailprice")).cast("double") / F.lit(100.0)) / F.count(F.lit(1))).alias("mid"),
         F.max("p_retailprice").alias("hi"),
     )
     return a.select(
