@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scenaria import schema as S
 from scenaria.functions import safe_div
-from scenaria.operators.pivot import pivot_metrics
+from scenaria.operators.pivot import co_locate, pivot_metrics
 
 PERIOD = "month_number"
 
@@ -37,7 +37,7 @@ def reconcile(
     """
     keys = list(keys)
     p = pivot_metrics(
-        fact,
+        co_locate(fact, keys),
         {
             S.REVENUE: "revenue",
             S.VARIABLE_COSTS: "variable_costs",

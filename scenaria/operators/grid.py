@@ -215,7 +215,7 @@ def interaction_effects(
     ox, oy = _axis(origin[0]), _axis(origin[1])
     xs, ys, v = F.col(x), F.col(y), F.col("value")
     part = [*keys, "output"]
-    g = _by_keys(grid.select(*keys, "output", x, y, "value"), part)
+    g = _by_keys(grid.select(*keys, "output", x, y, "value"), keys)
     on_row, on_col, at_origin = ys == oy, xs == ox, (xs == ox) & (ys == oy)
     w_x, w_y, w_o = Window.partitionBy(*part, x), Window.partitionBy(*part, y), Window.partitionBy(*part)
     g = g.select(

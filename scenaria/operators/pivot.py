@@ -14,6 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def co_locate(df: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """Hash-partition by the entity keys once, so later groupings and windows on
+    ``(keys, ...)`` need no further exchange.
+
+    Spark drops this repartition when the input is already hash-partitioned by
+    the same keys (the marts are). Without keys the input is left as is.
+    """
+    keys = list(keys)
+    return df.repartition(*keys) if keys else df
+
+
 def pivot_metrics(
     fact: DataFrame,
     metrics: Mapping[str, str],

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scenaria import schema as S
 from scenaria.functions import adaptive_round, safe_div
-from scenaria.operators.pivot import pivot_metrics, pivot_scenarios
+from scenaria.operators.pivot import co_locate, pivot_metrics, pivot_scenarios
 
 PERIOD = "month_number"
 VALUE_DEC = "decimal(26,6)"
@@ -45,7 +45,7 @@ def weighted_expectation(
     """
     keys = list(keys)
     m = pivot_metrics(
-        fact,
+        co_locate(fact, keys),
         {S.EBITDA: "ebitda", S.REVENUE: "revenue", S.EBITDA_PCT: "ebitda_margin"},
         [*keys, "scenario", PERIOD],
         prefilter=True,
@@ -138,7 +138,7 @@ def flow_trace(
     scen = {"Low": "low", "Base": "base", "High": "high"}
     months = [m for _, _, m in month_stages]
     mp = pivot_scenarios(
-        fact.where(F.col(PERIOD).isin(months) & F.col("metric").isin(list(stage_metrics))),
+        co_locate(fact, keys).where(F.col(PERIOD).isin(months) & F.col("metric").isin(list(stage_metrics))),
         scen,
         [*keys, PERIOD, "metric"],
     )
@@ -156,7 +156,7 @@ def flow_trace(
         "high",
     )
     fp = pivot_scenarios(
-        totals.where(F.col("metric").isin(list(fy_metrics))),
+        co_locate(totals, keys).where(F.col("metric").isin(list(fy_metrics))),
         scen,
         [*keys, "metric"],
         value_col="fy_total",
@@ -194,7 +194,7 @@ def kpi_totals(totals: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """Yearly KPI table per scenario: revenue, EBITDA, margin and rides."""
     keys = list(keys)
     p = pivot_metrics(
-        totals,
+        co_locate(totals, keys),
         {S.REVENUE: "fy_revenue", S.EBITDA: "fy_ebitda", S.EBITDA_PCT: "fy_margin", S.RIDES: "fy_rides"},
         [*keys, "scenario"],
         value_col="fy_total",
@@ -237,7 +237,7 @@ def cost_structure(totals: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """Yearly cost breakdown per scenario: shares of variable, vehicle and platform cost (%)."""
     keys = list(keys)
     p = pivot_metrics(
-        totals,
+        co_locate(totals, keys),
         {S.VARIABLE_COSTS: "variable", S.VEHICLE_FIXED: "vehicle", S.PLATFORM_OVERHEAD: "platform"},
         [*keys, "scenario"],
         value_col="fy_total",
@@ -263,7 +263,7 @@ def margin_trajectory(fact: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """Contribution and EBITDA margin (%) per scenario and period."""
     keys = list(keys)
     p = pivot_metrics(
-        fact, {S.CM_PCT: "cm", S.EBITDA_PCT: "ebitda"}, [*keys, "scenario", PERIOD], prefilter=True
+        co_locate(fact, keys), {S.CM_PCT: "cm", S.EBITDA_PCT: "ebitda"}, [*keys, "scenario", PERIOD], prefilter=True
     )
     return p.select(
         *keys,

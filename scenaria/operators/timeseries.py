@@ -4,11 +4,12 @@ Every operator takes ``keys``: entity columns that join every grouping,
 window partition and join, so one call analyses any number of independent
 P&Ls. With ``keys=()`` the result is that of a single P&L.
 
-Plan shape: one conditional-aggregation pivot (partial + final hash
-aggregate) followed by windows partitioned by ``(keys, scenario)``. All
-windows of an operator share one partitioning, so there is one exchange for
-the pivot and one for the windows; lags of the same column are computed
-once and reused.
+Plan shape: the fact is co-located by ``keys`` (a no-op for the marts, which
+are already partitioned that way), then one conditional-aggregation pivot and
+windows partitioned by ``(keys, ...)`` run on that partitioning without
+further exchanges. Lags of the same column are computed once and reused.
+The fact has one row per (keys, scenario, period, metric), so rows per
+entity are bounded by the period count however skewed the raw data is.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from scenaria import schema as S
 from scenaria.functions import exact_running_sum, linear_crossing, pct_change, safe_div
-from scenaria.operators.pivot import pivot_metrics, pivot_scenarios
+from scenaria.operators.pivot import co_locate, pivot_metrics, pivot_scenarios
 
 PERIOD = "month_number"
 
@@ -39,6 +40,7 @@ def scenario_spread(
 ) -> DataFrame:
     """High-minus-Low spread per period and metric, as % of Base, its growth and running total."""
     keys = list(keys)
+    fact = co_locate(fact, keys)
     p = pivot_scenarios(
         fact.where(F.col("metric").isin(list(metrics))),
         {high: "high_value", base: "base_value", low: "low_value"},
@@ -74,6 +76,7 @@ def zero_crossings(
     the lag, so no join and no extra exchange are needed.
     """
     keys = list(keys)
+    fact = co_locate(fact, keys)
     part = [*keys, "scenario", "metric"]
     w = _period_window(keys, "scenario", "metric")
     whole = Window.partitionBy(*part)
@@ -105,6 +108,7 @@ def operating_leverage(fact: DataFrame, keys: Iterable[str] = (), prefilter: boo
     The multiplier divides the already rounded growth rates.
     """
     keys = list(keys)
+    fact = co_locate(fact, keys)
     p = pivot_metrics(
         fact,
         {
@@ -153,6 +157,7 @@ def volume_price_mix(
     the three sum to the change. The first period (no predecessor) is dropped.
     """
     keys = list(keys)
+    fact = co_locate(fact, keys)
     p = pivot_metrics(
         fact, {value_metric: "revenue", qty_metric: "rides"}, [*keys, "scenario", PERIOD], prefilter=True
     ).withColumn("rpr", safe_div("revenue", "rides"))
@@ -215,6 +220,7 @@ def cumulative_payback(
     when its measured size is small.
     """
     keys = list(keys)
+    fact = co_locate(fact, keys)
     part = [*keys, "scenario"]
     w = _period_window(keys, "scenario")
     flow = fact.where(F.col("metric") == flow_metric).select(*part, PERIOD, F.col("value").alias("flow"))
@@ -249,6 +255,7 @@ def growth_overtake(fact: DataFrame, keys: Iterable[str] = (), prefilter: bool =
     rates. The first period is removed after the windows are computed.
     """
     keys = list(keys)
+    fact = co_locate(fact, keys)
     p = pivot_metrics(
         fact,
         {S.REVENUE: "revenue", S.VARIABLE_COSTS: "variable_costs", S.TOTAL_FIXED: "fixed_costs"},
@@ -293,6 +300,7 @@ def growth_overtake(fact: DataFrame, keys: Iterable[str] = (), prefilter: bool =
 def unit_economics(fact: DataFrame, keys: Iterable[str] = (), prefilter: bool = False) -> DataFrame:
     """Per-ride and per-vehicle ratios with the period change of contribution per ride."""
     keys = list(keys)
+    fact = co_locate(fact, keys)
     p = pivot_metrics(
         fact,
         {
@@ -343,6 +351,7 @@ def unit_economics(fact: DataFrame, keys: Iterable[str] = (), prefilter: bool =
 def margin_of_safety(fact: DataFrame, keys: Iterable[str] = (), prefilter: bool = False) -> DataFrame:
     """Breakeven revenue, margin of safety (absolute and %), its trend and revenue / breakeven."""
     keys = list(keys)
+    fact = co_locate(fact, keys)
     p = pivot_metrics(
         fact,
         {

@@ -176,8 +176,13 @@ def _melt(wide: DataFrame, ids: list[str], value_name: str) -> DataFrame:
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long metric fact (entity, scenario, month_number, month, metric, value)."""
-    long = _melt(wide_pl(spark, sf_dir), [ENTITY, "scenario", "month_number"], "value")
+    """Long metric fact (entity, scenario, month_number, month, metric, value).
+
+    Hash-partitioned by entity: the fact has (scenarios x periods x metrics)
+    rows per entity whatever the raw volume, and every analysis groups and
+    windows within an entity, so they reuse this partitioning.
+    """
+    long = _melt(wide_pl(spark, sf_dir), [ENTITY, "scenario", "month_number"], "value").repartition(ENTITY)
     return long.select(
         ENTITY,
         "scenario",
@@ -211,7 +216,7 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("months") * F.lit(int(PLATFORM_OVERHEAD * UNITS)),
         ),
     )
-    return _melt(wide, [ENTITY, "scenario"], "fy_total")
+    return _melt(wide, [ENTITY, "scenario"], "fy_total").repartition(ENTITY)
 
 
 def grid(
