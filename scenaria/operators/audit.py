@@ -189,6 +189,45 @@ def grid_audit(
     return out
 
 
+def grid_vs_totals_check(
+    grid: DataFrame,
+    totals: DataFrame,
+    base_x: float,
+    base_y: float,
+    outputs: Mapping[str, str] | None = None,
+    scenario: str = "Base",
+    tol: float = 1e-6,
+    keys: Iterable[str] = (),
+) -> DataFrame:
+    """Compare a grid's base cell with the yearly totals of the base scenario.
+
+    ``outputs`` maps grid output -> totals metric (default: revenue and EBITDA
+    margin). The grid-only cross-check cannot see a grid that was computed
+    with different assumptions than the P&L; this one can. Report per output:
+    grid value, totals value, relative variance and PASS / FAIL.
+    """
+    keys = list(keys)
+    outputs = dict(outputs or {S.OUT_REVENUE: S.REVENUE, S.OUT_MARGIN: S.EBITDA_PCT})
+    cond = (F.col("x") == F.lit(str(base_x)).cast(S.AXIS)) & (F.col("y") == F.lit(str(base_y)).cast(S.AXIS))
+    g = grid.where(cond & F.col("output").isin(list(outputs))).select(
+        *keys, "output", F.col("value").alias("grid_value")
+    )
+    metric_of = F.create_map(*[F.lit(v) for kv in outputs.items() for v in kv])
+    t = totals.where((F.col("scenario") == scenario) & F.col("metric").isin(list(outputs.values())))
+    j = g.withColumn("metric", F.element_at(metric_of, F.col("output"))).join(
+        t.select(*keys, "metric", F.col("fy_total").alias("totals_value")), [*keys, "metric"]
+    )
+    rel = F.abs(F.col("grid_value") - F.col("totals_value")) / F.greatest(F.abs(F.col("totals_value")), F.lit(1e-12))
+    return j.select(
+        *keys,
+        "output",
+        "grid_value",
+        "totals_value",
+        F.round(rel, 6).alias("relative_variance"),
+        F.when(rel <= F.lit(tol), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("status"),
+    )
+
+
 def load_audit(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Row count of every loaded table: ``(table_name, n_rows)``; one distributed count each."""
     parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name, df in tables.items()]

@@ -67,24 +67,30 @@ def zero_crossings(
     fact: DataFrame,
     metrics: Iterable[str] = (S.EBITDA, S.CONTRIBUTION_MARGIN, S.REVENUE, S.EBITDA_PCT, S.CM_PCT),
     keys: Iterable[str] = (),
+    require_contiguous: bool = False,
 ) -> DataFrame:
     """Sign changes between consecutive periods with linear interpolation of the zero point.
 
     Zero counts as non-negative: ``>= 0 -> < 0`` and ``< 0 -> >= 0`` are
     crossings. ``total_months_positive`` counts periods with value >= 0 in the
     whole series; it is a whole-partition window on the same partitioning as
-    the lag, so no join and no extra exchange are needed.
+    the lag, so no join and no extra exchange are needed. The predecessor is
+    the previous *row*; with ``require_contiguous`` a predecessor that is not
+    the immediately preceding period is ignored (no crossing across a gap).
     """
     keys = list(keys)
     fact = co_locate(fact, keys)
     part = [*keys, "scenario", "metric"]
     w = _period_window(keys, "scenario", "metric")
     whole = Window.partitionBy(*part)
+    prev_value = F.lag("value").over(w)
+    if require_contiguous:
+        prev_value = F.when(F.lag(PERIOD).over(w) == F.col(PERIOD) - 1, prev_value)
     f = fact.where(F.col("metric").isin(list(metrics))).select(
         *part,
         PERIOD,
         F.col("value").alias("cur"),
-        F.lag("value").over(w).alias("prev"),
+        prev_value.alias("prev"),
         F.count(F.when(F.col("value") >= 0, F.lit(1))).over(whole).alias("total_months_positive"),
     )
     cur, prev = F.col("cur"), F.col("prev")

@@ -194,6 +194,39 @@ def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Presentation order of each analysis (operators return unsorted frames; sorting
+# is only done here, at the edge, for display or export).
+ORDER = {
+    "scenario_spread": ("entity", "metric", "month"),
+    "zero_crossings": ("entity", "scenario", "metric", "crossing_month"),
+    "operating_leverage": ("entity", "scenario", "month"),
+    "volume_price_mix": ("entity", "scenario", "month"),
+    "cumulative_payback": ("entity", "scenario", "month"),
+    "growth_overtake": ("entity", "scenario", "month"),
+    "unit_economics": ("entity", "scenario", "month"),
+    "margin_of_safety": ("entity", "scenario", "month"),
+    "grid_sensitivity": ("entity", "x", "y"),
+    "lever_ranking": ("output", "impact_rank"),
+    "interaction_effects": ("entity", "output", "x", "y"),
+    "flow_trace": ("entity", "step_order", "stage", "metric"),
+    "weighted_expectation": ("entity", "month"),
+    "reconcile": ("entity", "scenario", "month"),
+    "kpi_totals": ("entity", "scenario"),
+    "sensitivity_matrix": ("x",),
+    "flatten_grid": ("output", "x", "y"),
+    "cost_structure": ("entity", "scenario"),
+    "margin_trajectory": ("entity", "scenario", "month"),
+    "unpivot_fact": ("entity", "scenario", "metric", "month_number"),
+    "load_audit": ("table_name",),
+}
+
+
+def present(df: DataFrame, name: str) -> DataFrame:
+    """The analysis result in its report order (a global sort: use for display/export only)."""
+    order = ORDER.get(name)
+    return df.orderBy(*order) if order else df
+
+
 QUERIES: dict[str, Query] = {
     "scenario_spread": scenario_spread,
     "zero_crossings": zero_crossings,

@@ -131,3 +131,23 @@ def test_report_marts(spark, fact, totals, price_util):
     assert len(m) == 5 and m[2]["y_0p65"] == pytest.approx(0.6421, abs=1e-4)
     t = rows(pf.margin_trajectory(fact))
     assert len(t) == 36
+
+
+def test_grid_vs_totals_check(spark, price_util, totals):
+    import fixtures as fx
+
+    rs = rows(au.grid_vs_totals_check(price_util, totals, 0.29, 0.65), "output")
+    # The grid runs without cost inflation; the P&L has it: revenue agrees, margin does not.
+    st = {r["output"]: r["status"] for r in rs}
+    assert st == {S.OUT_MARGIN: "FAIL", S.OUT_REVENUE: "PASS"}
+    flat = {k: dict(v, gi=0.0, v0=1.97, vf=600.0, po=24800) for k, v in fx.PARAMS.items()}
+    t0 = spark.createDataFrame(fx.totals_pdf(params=flat))
+    assert {r["status"] for r in au.grid_vs_totals_check(price_util, t0, 0.29, 0.65).collect()} == {"PASS"}
+
+
+def test_present_orders_rows(spark):
+    from scenaria.plans.catalog import ORDER, QUERIES, present
+
+    assert set(ORDER) <= set(QUERIES)
+    df = spark.createDataFrame([("B", 2), ("A", 1)], "table_name string, n_rows long")
+    assert [r["table_name"] for r in present(df, "load_audit").collect()] == ["A", "B"]

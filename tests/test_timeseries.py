@@ -196,3 +196,11 @@ def test_gap_in_periods_uses_previous_row(spark):
     r = rows(ts.zero_crossings(f, metrics=["EBITDA"]))[0]
     # LAG is the previous row; interpolation uses period - 1 (documented behaviour).
     assert r["crossing_month"] == 4 and math.isclose(r["interpolated_zero_month"], 3.5)
+
+
+def test_require_contiguous_ignores_gaps(spark):
+    data = [("S", m, "EBITDA", v) for m, v in [(1, 4.0), (4, -4.0), (5, 3.0)]]
+    f = spark.createDataFrame(data, "scenario string, month_number int, metric string, value double")
+    assert ts.zero_crossings(f, metrics=["EBITDA"]).count() == 2
+    rs = rows(ts.zero_crossings(f, metrics=["EBITDA"], require_contiguous=True))
+    assert [r["crossing_month"] for r in rs] == [5]
