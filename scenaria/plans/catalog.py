@@ -45,9 +45,16 @@ def volume_price_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.volume_price_mix(marts.fact(spark, sf_dir), keys=KEYS)
 
 
+def _fact_and_totals(spark: SparkSession, sf_dir: str):
+    """Fact and totals from one warehouse pass (the shared base is checkpointed)."""
+    base = marts.shared(marts.base_measures(spark, sf_dir))
+    return marts.fact(spark, sf_dir, base), marts.totals(spark, sf_dir, base)
+
+
 def cumulative_payback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running EBITDA against the yearly fixed-cost target with payback month."""
-    return ts.cumulative_payback(marts.fact(spark, sf_dir), marts.totals(spark, sf_dir), keys=KEYS)
+    fact, totals = _fact_and_totals(spark, sf_dir)
+    return ts.cumulative_payback(fact, totals, keys=KEYS)
 
 
 def growth_overtake(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,10 +72,18 @@ def margin_of_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.margin_of_safety(marts.fact(spark, sf_dir), keys=KEYS)
 
 
+def _two_grids(spark: SparkSession, sf_dir: str):
+    """Both grids (all lines, closed lines) from one warehouse pass."""
+    cells = marts.shared(marts.grid_cells(spark, sf_dir))
+    return (
+        marts.grid_from_cells(cells, tags=("1A", "1B")),
+        marts.grid_from_cells(cells, marts.GRID_LINESTATUS, tags=("2A", "2B")),
+    )
+
+
 def _grids(spark: SparkSession, sf_dir: str) -> list[gr.GridLevers]:
     bx, by = marts.GRID_BASE
-    all_lines = marts.grid(spark, sf_dir, tags=("1A", "1B"))
-    closed = marts.grid(spark, sf_dir, linestatus=marts.GRID_LINESTATUS, tags=("2A", "2B"))
+    all_lines, closed = _two_grids(spark, sf_dir)
     return [
         gr.GridLevers(all_lines, "Discount", "Tax", bx, by),
         gr.GridLevers(closed, "Discount_Closed", "Tax_Closed", bx, by),
@@ -107,9 +122,8 @@ TAX_LEVELS = tuple(f"0.0{i}" for i in range(9))
 
 def flow_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drivers -> month 1 / month 12 / FY results, Low / Base / High with High/Low ratio."""
-    return pf.flow_trace(
-        marts.assumptions(spark, sf_dir), marts.fact(spark, sf_dir), marts.totals(spark, sf_dir), DRIVERS, keys=KEYS
-    )
+    fact, totals = _fact_and_totals(spark, sf_dir)
+    return pf.flow_trace(marts.assumptions(spark, sf_dir), fact, totals, DRIVERS, keys=KEYS)
 
 
 def weighted_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +139,7 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completeness, duplicates and base-cell cross-check of the two grids."""
     bx, by = marts.GRID_BASE
-    g1 = marts.grid(spark, sf_dir, tags=("1A", "1B"))
-    g2 = marts.grid(spark, sf_dir, linestatus=marts.GRID_LINESTATUS, tags=("2A", "2B"))
+    g1, g2 = _two_grids(spark, sf_dir)
     return au.grid_audit([au.AuditGrid("all_lines", g1, bx, by), au.AuditGrid("closed_lines", g2, bx, by)])
 
 
@@ -142,7 +155,7 @@ def sensitivity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flatten_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrix blocks of both grid outputs flattened back into long grid rows."""
-    g = marts.grid(spark, sf_dir)
+    g = marts.grid_from_cells(marts.shared(marts.grid_cells(spark, sf_dir)))
     levels = {pf.level_name("y", lv): lv for lv in TAX_LEVELS}
     parts = [
         reshape.matrix_to_long(pf.sensitivity_matrix(g, out, TAX_LEVELS), "x", levels, out, tag)
@@ -181,15 +194,15 @@ def unpivot_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row counts of every planning table derived from the warehouse."""
+    fact, totals = _fact_and_totals(spark, sf_dir)
+    g1, g2 = _two_grids(spark, sf_dir)
     return au.load_audit(
         {
-            "pl_monthly": marts.fact(spark, sf_dir),
-            "pl_fy_totals": marts.totals(spark, sf_dir),
+            "pl_monthly": fact,
+            "pl_fy_totals": totals,
             "assumptions": marts.assumptions(spark, sf_dir),
-            "sensitivity_all_lines": marts.grid(spark, sf_dir, tags=("1A", "1B")),
-            "sensitivity_closed_lines": marts.grid(
-                spark, sf_dir, linestatus=marts.GRID_LINESTATUS, tags=("2A", "2B")
-            ),
+            "sensitivity_all_lines": g1,
+            "sensitivity_closed_lines": g2,
         }
     )
 

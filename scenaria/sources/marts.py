@@ -151,9 +151,9 @@ def base_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def wide_pl(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wide_pl(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Wide P&L: one row per (entity, scenario, month_number), one double column per metric."""
-    b = base_measures(spark, sf_dir)
+    b = base if base is not None else base_measures(spark, sf_dir)
     vehicle_u = F.col("fleet").cast(WIDE_SUM) * F.lit(int(VEHICLE_COST * UNITS))
     platform_u = F.lit(int(PLATFORM_OVERHEAD * UNITS)).cast(WIDE_SUM)
     return b.select(
@@ -175,14 +175,15 @@ def _melt(wide: DataFrame, ids: list[str], value_name: str) -> DataFrame:
     return wide.unpivot(ids, [F.col(f"`{m}`") for m in S.METRICS], "metric", value_name)
 
 
-def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fact(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Long metric fact (entity, scenario, month_number, month, metric, value).
 
     Hash-partitioned by entity: the fact has (scenarios x periods x metrics)
     rows per entity whatever the raw volume, and every analysis groups and
-    windows within an entity, so they reuse this partitioning.
+    windows within an entity, so they reuse this partitioning. ``base`` is a
+    precomputed ``base_measures`` (shared with ``totals``).
     """
-    long = _melt(wide_pl(spark, sf_dir), [ENTITY, "scenario", "month_number"], "value").repartition(ENTITY)
+    long = _melt(wide_pl(spark, sf_dir, base), [ENTITY, "scenario", "month_number"], "value").repartition(ENTITY)
     return long.select(
         ENTITY,
         "scenario",
@@ -193,9 +194,9 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def totals(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Yearly totals per (entity, scenario, metric): sums, ratio of sums for %, last fleet."""
-    b = base_measures(spark, sf_dir)
+    b = base if base is not None else base_measures(spark, sf_dir)
     t = b.groupBy(ENTITY, "scenario").agg(
         F.sum(F.col("qty_c").cast(WIDE_SUM)).alias("qty_c"),
         F.sum(F.col("net_u").cast(WIDE_SUM)).alias("net_u"),
@@ -219,40 +220,45 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _melt(wide, [ENTITY, "scenario"], "fy_total").repartition(ENTITY)
 
 
-def grid(
-    spark: SparkSession,
-    sf_dir: str,
-    linestatus: str | None = None,
-    tags: tuple[str, str] = ("1A", "1B"),
-    by_entity: bool = False,
-) -> DataFrame:
-    """Two-axis sensitivity grid over (discount, tax) with revenue and margin outputs.
+def grid_cells(spark: SparkSession, sf_dir: str, by_entity: bool = False) -> DataFrame:
+    """Per (entity, discount, tax, line status) cell: integer revenue and cost sums.
 
-    Margin = (revenue - variable cost - handling) / revenue per cell.
-    ``linestatus`` restricts the slice (the second grid uses ``'F'``). Lines
-    are summed per (cell, scenario, month) as integers, then per cell as
-    decimals: both levels are partial/final aggregates over at most
-    11 x 9 cells per entity, so every task emits a few hundred rows.
+    Lines are summed per (cell, status, scenario, month) as 64-bit integers,
+    then per cell as decimals: both levels are partial/final aggregates over at
+    most 11 x 9 x 2 cells per entity, so every task emits a few hundred rows.
+    Both grids (all lines, one status) derive from this one aggregate.
     """
     s = sales(spark, sf_dir, by_entity=by_entity)
-    if linestatus is not None:
-        s = s.where(F.col("l_linestatus") == linestatus)
     keys = [ENTITY] if by_entity else []
     handling_u = F.col("qty_c") * F.lit(int(UNIT_HANDLING * UNITS / 100))
-    part = s.groupBy(*keys, "disc_p", "tax_p", "scenario", "month_number").agg(
+    part = s.groupBy(*keys, "disc_p", "tax_p", "l_linestatus", "scenario", "month_number").agg(
         F.sum("net_u").alias("rev_u"), F.sum(F.col("var_u") + handling_u).alias("cost_u")
     )
-    cells = part.groupBy(*keys, "disc_p", "tax_p").agg(
+    return part.groupBy(*keys, "disc_p", "tax_p", "l_linestatus").agg(
         F.sum(F.col("rev_u").cast(WIDE_SUM)).alias("rev_u"),
         F.sum(F.col("cost_u").cast(WIDE_SUM)).alias("cost_u"),
     )
+
+
+def grid_from_cells(
+    cells: DataFrame,
+    linestatus: str | None = None,
+    tags: tuple[str, str] = ("1A", "1B"),
+    by_entity: bool = False,
+) -> DataFrame:
+    """Long grid (keys, table, output, x, y, value) from ``grid_cells``: all statuses or one."""
+    keys = [ENTITY] if by_entity else []
+    if linestatus is not None:
+        c = cells.where(F.col("l_linestatus") == linestatus)
+    else:
+        c = cells.groupBy(*keys, "disc_p", "tax_p").agg(F.sum("rev_u").alias("rev_u"), F.sum("cost_u").alias("cost_u"))
     rev = to_money("rev_u")
     margin = safe_div(to_money(F.col("rev_u") - F.col("cost_u")), rev)
 
-    def axis(c):
-        return (F.col(c).cast("decimal(9,0)") / F.lit(100)).cast(S.AXIS)
+    def axis(col):
+        return (F.col(col).cast("decimal(9,0)") / F.lit(100)).cast(S.AXIS)
 
-    out = cells.select(
+    out = c.select(
         *keys,
         axis("disc_p").alias("x"),
         axis("tax_p").alias("y"),
@@ -264,6 +270,37 @@ def grid(
     return out.select(*keys, "table", "output", "x", "y", "value")
 
 
+def grid(
+    spark: SparkSession,
+    sf_dir: str,
+    linestatus: str | None = None,
+    tags: tuple[str, str] = ("1A", "1B"),
+    by_entity: bool = False,
+) -> DataFrame:
+    """Two-axis sensitivity grid over (discount, tax) with revenue and margin outputs.
+
+    Margin = (revenue - variable cost - handling) / revenue per cell.
+    ``linestatus`` restricts the slice (the second grid uses ``'F'``).
+    """
+    # A status filter is on a grouping key, so Catalyst pushes it to the scan.
+    return grid_from_cells(grid_cells(spark, sf_dir, by_entity=by_entity), linestatus, tags, by_entity)
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Materialise a small intermediate that several views of one analysis read.
+
+    Without this, each view re-derives it from the warehouse (each consumer's
+    filters are pushed below the aggregate, so the plans differ and Spark
+    cannot reuse the shuffle). ``checkpoint`` writes it to the cluster's
+    reliable checkpoint folder, which also cuts the lineage: a lost executor
+    re-reads the checkpoint instead of re-running the warehouse joins.
+    """
+    from scenaria.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Driver table: one driver per part type with Low/Base/High retail price, stored as text."""
     p = read_table(spark, sf_dir, "part").select("p_type", "p_retailprice")
