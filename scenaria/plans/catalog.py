@@ -155,7 +155,7 @@ def sensitivity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flatten_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrix blocks of both grid outputs flattened back into long grid rows."""
-    g = marts.grid_from_cells(marts.shared(marts.grid_cells(spark, sf_dir)))
+    g = marts.grid_from_cells(marts.shared(marts.grid_cells(spark, sf_dir, by_status=False)))
     levels = {pf.level_name("y", lv): lv for lv in TAX_LEVELS}
     parts = [
         reshape.matrix_to_long(pf.sensitivity_matrix(g, out, TAX_LEVELS), "x", levels, out, tag)

@@ -220,21 +220,23 @@ def totals(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> D
     return _melt(wide, [ENTITY, "scenario"], "fy_total").repartition(ENTITY)
 
 
-def grid_cells(spark: SparkSession, sf_dir: str, by_entity: bool = False) -> DataFrame:
-    """Per (entity, discount, tax, line status) cell: integer revenue and cost sums.
+def grid_cells(spark: SparkSession, sf_dir: str, by_entity: bool = False, by_status: bool = True) -> DataFrame:
+    """Per (entity, discount, tax[, line status]) cell: integer revenue and cost sums.
 
     Lines are summed per (cell, status, scenario, month) as 64-bit integers,
     then per cell as decimals: both levels are partial/final aggregates over at
     most 11 x 9 x 2 cells per entity, so every task emits a few hundred rows.
-    Both grids (all lines, one status) derive from this one aggregate.
+    With ``by_status`` both grids (all lines, one status) derive from this one
+    aggregate; without it the cells cover all lines directly.
     """
     s = sales(spark, sf_dir, by_entity=by_entity)
     keys = [ENTITY] if by_entity else []
+    status = ["l_linestatus"] if by_status else []
     handling_u = F.col("qty_c") * F.lit(int(UNIT_HANDLING * UNITS / 100))
-    part = s.groupBy(*keys, "disc_p", "tax_p", "l_linestatus", "scenario", "month_number").agg(
+    part = s.groupBy(*keys, "disc_p", "tax_p", *status, "scenario", "month_number").agg(
         F.sum("net_u").alias("rev_u"), F.sum(F.col("var_u") + handling_u).alias("cost_u")
     )
-    return part.groupBy(*keys, "disc_p", "tax_p", "l_linestatus").agg(
+    return part.groupBy(*keys, "disc_p", "tax_p", *status).agg(
         F.sum(F.col("rev_u").cast(WIDE_SUM)).alias("rev_u"),
         F.sum(F.col("cost_u").cast(WIDE_SUM)).alias("cost_u"),
     )
@@ -250,8 +252,10 @@ def grid_from_cells(
     keys = [ENTITY] if by_entity else []
     if linestatus is not None:
         c = cells.where(F.col("l_linestatus") == linestatus)
-    else:
+    elif "l_linestatus" in cells.columns:
         c = cells.groupBy(*keys, "disc_p", "tax_p").agg(F.sum("rev_u").alias("rev_u"), F.sum("cost_u").alias("cost_u"))
+    else:
+        c = cells
     rev = to_money("rev_u")
     margin = safe_div(to_money(F.col("rev_u") - F.col("cost_u")), rev)
 
@@ -283,7 +287,8 @@ def grid(
     ``linestatus`` restricts the slice (the second grid uses ``'F'``).
     """
     # A status filter is on a grouping key, so Catalyst pushes it to the scan.
-    return grid_from_cells(grid_cells(spark, sf_dir, by_entity=by_entity), linestatus, tags, by_entity)
+    cells = grid_cells(spark, sf_dir, by_entity=by_entity, by_status=linestatus is not None)
+    return grid_from_cells(cells, linestatus, tags, by_entity)
 
 
 def shared(df: DataFrame) -> DataFrame:
