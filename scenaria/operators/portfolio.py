@@ -133,7 +133,8 @@ def flow_trace(
         F.col("base_case").try_cast("double").alias("base"),
         F.col("high_case").try_cast("double").alias("high"),
     ).where(F.col("metric").isNotNull())
-    stage1 = stage1.select(*[F.lit(None).cast("string").alias(k) for k in keys], "*")
+    key_types = {f.name: f.dataType for f in fact.schema.fields}
+    stage1 = stage1.select(*[F.lit(None).cast(key_types[k]).alias(k) for k in keys], "*")
 
     scen = {"Low": "low", "Base": "base", "High": "high"}
     months = [m for _, _, m in month_stages]

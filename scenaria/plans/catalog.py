@@ -20,7 +20,8 @@ from scenaria.operators import portfolio as pf
 from scenaria.operators import timeseries as ts
 from scenaria.sources import marts, reshape
 
-KEYS = (marts.ENTITY,)
+KEYS = marts.PL_KEYS  # P&L analyses: one 12-month plan per (segment, fiscal year)
+GRID_KEYS = (marts.ENTITY,)  # grid analyses: one grid per segment
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,7 +94,7 @@ def _grids(spark: SparkSession, sf_dir: str) -> list[gr.GridLevers]:
 def grid_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial derivatives of margin and revenue on the (discount, tax) grid per segment."""
     g = marts.grid(spark, sf_dir, by_entity=True)
-    return gr.grid_sensitivity(g, step_x=0.01, step_y=0.01, x_label="Discount", y_label="Tax", keys=KEYS)
+    return gr.grid_sensitivity(g, step_x=0.01, step_y=0.01, x_label="Discount", y_label="Tax", keys=GRID_KEYS)
 
 
 def lever_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,7 @@ def lever_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interaction_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interaction of discount and tax on the closed-line grid per segment."""
     g = marts.grid(spark, sf_dir, linestatus=marts.GRID_LINESTATUS, tags=("2A", "2B"), by_entity=True)
-    return gr.interaction_effects(g, keys=KEYS)
+    return gr.interaction_effects(g, keys=GRID_KEYS)
 
 
 # The six part-type drivers traced from assumption to result.
@@ -176,20 +177,10 @@ def margin_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unpivot_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The P&L sheet (12 month columns per year) melted back into the long fact."""
+    """The P&L sheet (12 month columns per segment-year) melted back into the long fact."""
     sheet = marts.pl_sheet(spark, sf_dir)
     months = [f"Month_{m}" for m in range(1, 13)]
-    long = reshape.melt_periods(sheet, [marts.ENTITY, "scenario", "year", "metric"], months, number_col="month_of_year")
-    return long.select(
-        marts.ENTITY,
-        "scenario",
-        "year",
-        "metric",
-        "month",
-        "month_of_year",
-        ((F.col("year") - F.lit(marts.FIRST_YEAR)) * 12 + F.col("month_of_year")).cast("int").alias("month_number"),
-        "value",
-    )
+    return reshape.melt_periods(sheet, [*KEYS, "scenario", "metric"], months)
 
 
 def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,26 +201,26 @@ def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Presentation order of each analysis (operators return unsorted frames; sorting
 # is only done here, at the edge, for display or export).
 ORDER = {
-    "scenario_spread": ("entity", "metric", "month"),
-    "zero_crossings": ("entity", "scenario", "metric", "crossing_month"),
-    "operating_leverage": ("entity", "scenario", "month"),
-    "volume_price_mix": ("entity", "scenario", "month"),
-    "cumulative_payback": ("entity", "scenario", "month"),
-    "growth_overtake": ("entity", "scenario", "month"),
-    "unit_economics": ("entity", "scenario", "month"),
-    "margin_of_safety": ("entity", "scenario", "month"),
+    "scenario_spread": ("entity", "fiscal_year", "metric", "month"),
+    "zero_crossings": ("entity", "fiscal_year", "scenario", "metric", "crossing_month"),
+    "operating_leverage": ("entity", "fiscal_year", "scenario", "month"),
+    "volume_price_mix": ("entity", "fiscal_year", "scenario", "month"),
+    "cumulative_payback": ("entity", "fiscal_year", "scenario", "month"),
+    "growth_overtake": ("entity", "fiscal_year", "scenario", "month"),
+    "unit_economics": ("entity", "fiscal_year", "scenario", "month"),
+    "margin_of_safety": ("entity", "fiscal_year", "scenario", "month"),
     "grid_sensitivity": ("entity", "x", "y"),
     "lever_ranking": ("output", "impact_rank"),
     "interaction_effects": ("entity", "output", "x", "y"),
-    "flow_trace": ("entity", "step_order", "stage", "metric"),
-    "weighted_expectation": ("entity", "month"),
-    "reconcile": ("entity", "scenario", "month"),
-    "kpi_totals": ("entity", "scenario"),
+    "flow_trace": ("entity", "fiscal_year", "step_order", "stage", "metric"),
+    "weighted_expectation": ("entity", "fiscal_year", "month"),
+    "reconcile": ("entity", "fiscal_year", "scenario", "month"),
+    "kpi_totals": ("entity", "fiscal_year", "scenario"),
     "sensitivity_matrix": ("x",),
     "flatten_grid": ("output", "x", "y"),
-    "cost_structure": ("entity", "scenario"),
-    "margin_trajectory": ("entity", "scenario", "month"),
-    "unpivot_fact": ("entity", "scenario", "metric", "month_number"),
+    "cost_structure": ("entity", "fiscal_year", "scenario"),
+    "margin_trajectory": ("entity", "fiscal_year", "scenario", "month"),
+    "unpivot_fact": ("entity", "fiscal_year", "scenario", "metric", "month_number"),
     "load_audit": ("table_name",),
 }
 

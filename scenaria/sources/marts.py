@@ -4,12 +4,14 @@ The analyses run on a long metric fact, yearly totals, a driver table and
 two-axis sensitivity grids. Here those are derived from the order tables so
 that every analysis does work proportional to the warehouse:
 
-* entity      = customer market segment
-* scenario    = line return flag (R -> Low, A -> Base, N -> High)
-* period      = ship month, numbered from January of ``FIRST_YEAR``
+* P&L keys    = customer market segment and fiscal (ship) year: one
+                12-month plan per (segment, year), periods 1..12
+* scenario    = line return flag (R -> Low, A -> Base, N -> High), each
+                with its own variable-cost assumption
 * rides       = sum of quantity; revenue = sum of price * (1 - discount)
-* variable    = sum of price * (VARIABLE_RATE_PCT% + tax)
-* fleet       = distinct suppliers; vehicle fixed = fleet * VEHICLE_COST
+* variable    = sum of price * (scenario variable rate + tax)
+* fleet       = vehicles needed for the volume: ceil(rides / VEHICLE_CAPACITY);
+                vehicle fixed = fleet * VEHICLE_COST
 * the remaining metrics follow the accounting identities
 
 Exact money: prices have two decimals and rates are whole percent, so every
@@ -20,13 +22,15 @@ cluster aggregates in. Per-group sums stay far below 2^63 at 100 TB
 (about 2e17 per segment-flag-month); sums over longer spans (yearly totals,
 grid cells) go through decimal in a second, small aggregation level.
 
-Plan shape: lineitem (pruned to 9 columns, flag filter pushed to the scan)
+Plan shape: lineitem (pruned to 8 columns, flag filter pushed to the scan)
 joins orders-with-segment on the order key, so lineitem is shuffled once.
 Orders and customer are large at scale; the session leaves broadcasting to
-AQE's runtime size check. The aggregate is partial/final, so a hot
-(segment, flag, month) group is combined map-side before the shuffle.
-Distinct suppliers are counted through Spark's two-level distinct
-aggregation, which shuffles on (group, supplier) rather than on the group.
+AQE's runtime size check. Every measure is a sum, so the aggregate is
+partial/final: each map task emits one row per (segment, flag, month) it
+saw, a hot group included, and the aggregate's shuffle is tiny. (A distinct
+count per group, e.g. distinct suppliers, would need a second
+lineitem-sized shuffle on (group, supplier), since those pairs barely
+repeat within a task.)
 """
 
 from __future__ import annotations
@@ -40,9 +44,10 @@ from scenaria.sources.tables import read_table
 
 # --- fixed values of the mart definition ---------------------------------
 SCENARIO_OF_FLAG = {"R": "Low", "A": "Base", "N": "High"}
-FIRST_YEAR = 1995
-VARIABLE_RATE_PCT = 50  # variable cost = price * (50% + tax)
+# Variable cost rate (percent of list price, before tax) assumed by each scenario.
+VARIABLE_RATE_PCT = {"Low": 83, "Base": 45, "High": 30}
 VEHICLE_COST = 23000
+VEHICLE_CAPACITY = 200  # units shipped per vehicle per month
 PLATFORM_OVERHEAD = 5000
 # Grid margin also charges a handling cost per unit shipped.
 UNIT_HANDLING = 100
@@ -51,13 +56,16 @@ GRID_BASE = (0.05, 0.04)
 GRID_LINESTATUS = "F"
 
 ENTITY = "entity"
+YEAR = "fiscal_year"
+PL_KEYS = (ENTITY, YEAR)  # one 12-month P&L per segment and fiscal year
 UNITS = 10000.0  # line amounts are integers in 1/10000 currency units
 WIDE_SUM = "decimal(38,0)"
 
 
-def _scenario(flag: Column) -> Column:
+def _by_flag(flag: Column, value_of) -> Column:
     out = None
-    for k, v in SCENARIO_OF_FLAG.items():
+    for k, sc in SCENARIO_OF_FLAG.items():
+        v = F.lit(value_of(sc))
         out = F.when(flag == k, v) if out is None else out.when(flag == k, v)
     return out
 
@@ -74,14 +82,13 @@ def to_money(units) -> Column:
 
 
 def sales(spark: SparkSession, sf_dir: str, by_entity: bool = True) -> DataFrame:
-    """Line-level sales: entity, scenario, period, supplier, discount/tax points and integer amounts.
+    """Line-level sales: entity, scenario, period, status, discount/tax points and integer amounts.
 
     ``qty_c`` is quantity in hundredths; ``net_u`` and ``var_u`` are revenue and
     variable cost in 1/10000 units; ``disc_p`` / ``tax_p`` are whole percent.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
-        "l_suppkey",
         "l_quantity",
         "l_extendedprice",
         "l_discount",
@@ -101,17 +108,19 @@ def sales(spark: SparkSession, sf_dir: str, by_entity: bool = True) -> DataFrame
     disc = _hundredths("l_discount")
     tax = _hundredths("l_tax")
     cols = [ENTITY] if by_entity else []
+    flag = F.col("l_returnflag")
+    rate = _by_flag(flag, lambda sc: VARIABLE_RATE_PCT[sc]).cast("long")
     return li.select(
         *cols,
-        _scenario(F.col("l_returnflag")).alias("scenario"),
-        ((F.year("l_shipdate") - F.lit(FIRST_YEAR)) * 12 + F.month("l_shipdate")).cast("int").alias("month_number"),
-        "l_suppkey",
+        F.year("l_shipdate").cast("int").alias(YEAR),
+        F.month("l_shipdate").cast("int").alias("month_number"),
+        _by_flag(flag, lambda sc: sc).alias("scenario"),
         "l_linestatus",
         _hundredths("l_quantity").alias("qty_c"),
         disc.alias("disc_p"),
         tax.alias("tax_p"),
         (cents * (F.lit(100) - disc)).alias("net_u"),
-        (cents * (F.lit(VARIABLE_RATE_PCT) + tax)).alias("var_u"),
+        (cents * (rate + tax)).alias("var_u"),
     )
 
 
@@ -141,23 +150,24 @@ def _derived(rides, net_u, var_u, fleet, vehicle_u, platform_u) -> list[Column]:
 
 
 def base_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (entity, scenario, month): integer sums and distinct suppliers."""
+    """One row per (entity, fiscal year, scenario, month): integer sums and the fleet they need."""
     s = sales(spark, sf_dir)
-    return s.groupBy(ENTITY, "scenario", "month_number").agg(
+    b = s.groupBy(*PL_KEYS, "scenario", "month_number").agg(
         F.sum("qty_c").alias("qty_c"),
         F.sum("net_u").alias("net_u"),
         F.sum("var_u").alias("var_u"),
-        F.count_distinct("l_suppkey").alias("fleet"),
     )
+    fleet = F.ceil(F.col("qty_c") / F.lit(VEHICLE_CAPACITY * 100.0)).cast("long")
+    return b.withColumn("fleet", fleet)
 
 
 def wide_pl(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
-    """Wide P&L: one row per (entity, scenario, month_number), one double column per metric."""
+    """Wide P&L: one row per (entity, fiscal year, scenario, month_number), one column per metric."""
     b = base if base is not None else base_measures(spark, sf_dir)
     vehicle_u = F.col("fleet").cast(WIDE_SUM) * F.lit(int(VEHICLE_COST * UNITS))
     platform_u = F.lit(int(PLATFORM_OVERHEAD * UNITS)).cast(WIDE_SUM)
     return b.select(
-        ENTITY,
+        *PL_KEYS,
         "scenario",
         "month_number",
         *_derived(
@@ -176,16 +186,17 @@ def _melt(wide: DataFrame, ids: list[str], value_name: str) -> DataFrame:
 
 
 def fact(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
-    """Long metric fact (entity, scenario, month_number, month, metric, value).
+    """Long metric fact (entity, fiscal_year, scenario, month_number, month, metric, value).
 
-    Hash-partitioned by entity: the fact has (scenarios x periods x metrics)
-    rows per entity whatever the raw volume, and every analysis groups and
-    windows within an entity, so they reuse this partitioning. ``base`` is a
+    Hash-partitioned by the P&L keys: the fact has (scenarios x 12 periods x
+    metrics) rows per P&L whatever the raw volume, and every analysis groups
+    and windows within a P&L, so they reuse this partitioning. ``base`` is a
     precomputed ``base_measures`` (shared with ``totals``).
     """
-    long = _melt(wide_pl(spark, sf_dir, base), [ENTITY, "scenario", "month_number"], "value").repartition(ENTITY)
+    long = _melt(wide_pl(spark, sf_dir, base), [*PL_KEYS, "scenario", "month_number"], "value")
+    long = long.repartition(*PL_KEYS)
     return long.select(
-        ENTITY,
+        *PL_KEYS,
         "scenario",
         "month_number",
         F.concat(F.lit("Month_"), F.col("month_number").cast("string")).alias("month"),
@@ -195,9 +206,9 @@ def fact(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> Dat
 
 
 def totals(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
-    """Yearly totals per (entity, scenario, metric): sums, ratio of sums for %, last fleet."""
+    """Yearly totals per (entity, fiscal_year, scenario, metric): sums, ratio of sums for %, last fleet."""
     b = base if base is not None else base_measures(spark, sf_dir)
-    t = b.groupBy(ENTITY, "scenario").agg(
+    t = b.groupBy(*PL_KEYS, "scenario").agg(
         F.sum(F.col("qty_c").cast(WIDE_SUM)).alias("qty_c"),
         F.sum(F.col("net_u").cast(WIDE_SUM)).alias("net_u"),
         F.sum(F.col("var_u").cast(WIDE_SUM)).alias("var_u"),
@@ -206,7 +217,7 @@ def totals(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> D
         F.count(F.lit(1)).cast(WIDE_SUM).alias("months"),
     )
     wide = t.select(
-        ENTITY,
+        *PL_KEYS,
         "scenario",
         *_derived(
             F.col("qty_c").cast("double") / F.lit(100.0),
@@ -217,7 +228,7 @@ def totals(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> D
             F.col("months") * F.lit(int(PLATFORM_OVERHEAD * UNITS)),
         ),
     )
-    return _melt(wide, [ENTITY, "scenario"], "fy_total").repartition(ENTITY)
+    return _melt(wide, [*PL_KEYS, "scenario"], "fy_total").repartition(*PL_KEYS)
 
 
 def grid_cells(spark: SparkSession, sf_dir: str, by_entity: bool = False, by_status: bool = True) -> DataFrame:
@@ -330,19 +341,10 @@ DEFAULT_WEIGHTS = {"Low": 0.25, "Base": 0.50, "High": 0.25}
 
 
 def pl_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The P&L laid out as a sheet: per (entity, scenario, year, metric) twelve month columns + FY total.
+    """The P&L laid out as a sheet: per (entity, fiscal year, scenario, metric) twelve month columns.
 
     This is the wide layout the loader melts back into the long fact.
     """
-    w = wide_pl(spark, sf_dir)
-    long = _melt(w, [ENTITY, "scenario", "month_number"], "value")
-    long = long.select(
-        ENTITY,
-        "scenario",
-        "metric",
-        (F.lit(FIRST_YEAR) + F.floor((F.col("month_number") - 1) / 12)).cast("int").alias("year"),
-        (((F.col("month_number") - 1) % 12) + 1).cast("int").alias("moy"),
-        "value",
-    )
-    months = [F.max(F.when(F.col("moy") == m, F.col("value"))).alias(f"Month_{m}") for m in range(1, 13)]
-    return long.groupBy(ENTITY, "scenario", "year", "metric").agg(*months)
+    long = _melt(wide_pl(spark, sf_dir), [*PL_KEYS, "scenario", "month_number"], "value")
+    months = [F.max(F.when(F.col("month_number") == m, F.col("value"))).alias(f"Month_{m}") for m in range(1, 13)]
+    return long.groupBy(*PL_KEYS, "scenario", "metric").agg(*months)

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 def test_entry_and_registry(spark):
     df = entry.entry(spark)
     assert df.count() > 0
-    assert {"entity", "month", "metric", "spread_high_low"} <= set(df.columns)
+    assert {"entity", "fiscal_year", "month", "metric", "spread_high_low"} <= set(df.columns)
     q = entry.queries()
     o = entry.oracle_sql()
     assert set(q) == set(o) and len(q) >= 20

@@ -27,7 +27,7 @@ def test_operators_reuse_the_fact_partitioning(spark):
     fact = marts.fact(spark, SF_DIR)
     base = plan(fact).count("Exchange")
     for op in (ts.operating_leverage, ts.unit_economics, ts.margin_of_safety, ts.growth_overtake):
-        p = plan(op(fact, keys=["entity"]))
+        p = plan(op(fact, keys=marts.PL_KEYS))
         # pivot + windows on (entity, ...) add no exchange over the mart's own
         assert p.count("Exchange") == base, op.__name__
 

@@ -46,6 +46,6 @@ def test_load_job_writes_and_reads_back(spark):
     # analyses on the loaded tables equal those on the freshly derived marts
     from scenaria.sources import marts
 
-    fresh = rows(ts.margin_of_safety(marts.fact(spark, SF_DIR), keys=["entity"]), "entity", "scenario", "month")
-    loaded = rows(ts.margin_of_safety(t["pl_monthly"], keys=["entity"]), "entity", "scenario", "month")
+    fresh = rows(ts.margin_of_safety(marts.fact(spark, SF_DIR), keys=marts.PL_KEYS), "entity", "fiscal_year", "scenario", "month")
+    loaded = rows(ts.margin_of_safety(t["pl_monthly"], keys=marts.PL_KEYS), "entity", "fiscal_year", "scenario", "month")
     assert fresh == loaded
