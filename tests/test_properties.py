@@ -83,3 +83,44 @@ def test_entities_are_independent(spark, pdf):
                      "scenario", "month")
         mine = [{k: v for k, v in r.items() if k != "entity"} for r in together if r["entity"] == e]
         assert mine == alone
+
+
+@st.composite
+def linear_grid(draw):
+    a = draw(st.integers(-500, 500)) / 10.0
+    b = draw(st.integers(-500, 500)) / 10.0
+    c = draw(st.integers(0, 10**6)) / 10.0
+    nx, ny = draw(st.integers(2, 5)), draw(st.integers(2, 5))
+    xs = sorted(draw(st.lists(st.integers(0, 400), min_size=nx, max_size=nx, unique=True)))
+    ys = sorted(draw(st.lists(st.integers(0, 400), min_size=ny, max_size=ny, unique=True)))
+    recs = []
+    for out, scale in ((S.OUT_MARGIN, 1.0), (S.OUT_REVENUE, 1000.0)):
+        for x in xs:
+            for y in ys:
+                recs.append((out, f"{x / 100:.2f}", f"{y / 100:.2f}", scale * (a * x / 100 + b * y / 100 + c)))
+    return a, b, pd.DataFrame(recs, columns=["output", "x", "y", "value"])
+
+
+@SETTINGS
+@given(g=linear_grid())
+def test_linear_grid_slopes_and_no_interaction(spark, g):
+    from pyspark.sql import functions as F
+
+    from scenaria.operators import grid as gr
+
+    a, b, pdf = g
+    grid = spark.createDataFrame(pdf).select(
+        "output", F.col("x").cast(S.AXIS).alias("x"), F.col("y").cast(S.AXIS).alias("y"), "value"
+    )
+    for r in rows(gr.grid_sensitivity(grid)):
+        if r["dmargin_dx"] is not None:
+            assert r["dmargin_dx"] == pytest.approx(a, abs=1e-3)
+            assert r["drevenue_dx"] == pytest.approx(1000 * a, abs=1.0)
+        if r["dmargin_dy"] is not None:
+            assert r["dmargin_dy"] == pytest.approx(b, abs=1e-3)
+    # shift the origin to the grid's first levels so the interior is every other cell
+    x0, y0 = float(pdf["x"].min()), float(pdf["y"].min())
+    inter = rows(gr.interaction_effects(grid, origin=(x0, y0)))
+    nx, ny = pdf["x"].nunique(), pdf["y"].nunique()
+    assert len(inter) == 2 * (nx - 1) * (ny - 1)
+    assert all(abs(r["interaction_effect"]) <= 1e-3 * max(1.0, abs(r["actual"])) for r in inter)
