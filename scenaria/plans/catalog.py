@@ -124,7 +124,9 @@ TAX_LEVELS = tuple(f"0.0{i}" for i in range(9))
 def flow_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drivers -> month 1 / month 12 / FY results, Low / Base / High with High/Low ratio."""
     fact, totals = _fact_and_totals(spark, sf_dir)
-    return pf.flow_trace(marts.assumptions(spark, sf_dir), fact, totals, DRIVERS, keys=KEYS)
+    trace = pf.flow_trace(marts.assumptions(spark, sf_dir), fact, totals, DRIVERS, keys=KEYS)
+    # Key columns label the plan (NULL on the global driver rows): report them as text.
+    return trace.withColumn(marts.YEAR, F.col(marts.YEAR).cast("string"))
 
 
 def weighted_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
