@@ -10,13 +10,17 @@ windows partitioned by ``(keys, ...)`` run on that partitioning without
 further exchanges. Lags of the same column are computed once and reused.
 The fact has one row per (keys, scenario, period, metric), so rows per
 entity are bounded by the period count however skewed the raw data is.
+
+"Previous period" is the previous row, as in the reference analyses; every
+operator takes ``require_contiguous=True`` to treat a predecessor across a
+gap in the periods as missing instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenaria import schema as S
@@ -30,6 +34,18 @@ def _period_window(keys: Iterable[str], *part: str) -> Window:
     return Window.partitionBy(*list(keys), *part).orderBy(PERIOD)
 
 
+def _prev(col: str, w: Window, require_contiguous: bool = False) -> Column:
+    """Value of ``col`` in the previous row of ``w``.
+
+    The previous row is the previous period only when periods are contiguous;
+    with ``require_contiguous`` a predecessor across a gap counts as missing.
+    """
+    prev = F.lag(col).over(w)
+    if require_contiguous:
+        prev = F.when(F.lag(PERIOD).over(w) == F.col(PERIOD) - F.lit(1), prev)
+    return prev
+
+
 def scenario_spread(
     fact: DataFrame,
     metrics: Iterable[str] = (S.REVENUE, S.CONTRIBUTION_MARGIN, S.EBITDA),
@@ -37,6 +53,7 @@ def scenario_spread(
     low: str = "Low",
     base: str = "Base",
     keys: Iterable[str] = (),
+    require_contiguous: bool = False,
 ) -> DataFrame:
     """High-minus-Low spread per period and metric, as % of Base, its growth and running total."""
     keys = list(keys)
@@ -47,7 +64,7 @@ def scenario_spread(
         [*keys, PERIOD, "metric"],
     ).withColumn("spread", F.col("high_value") - F.col("low_value"))
     w = _period_window(keys, "metric")
-    p = p.select("*", F.lag("spread").over(w).alias("prev_spread"))
+    p = p.select("*", _prev("spread", w, require_contiguous).alias("prev_spread"))
     prev = F.col("prev_spread")
     return p.select(
         *keys,
@@ -83,9 +100,7 @@ def zero_crossings(
     part = [*keys, "scenario", "metric"]
     w = _period_window(keys, "scenario", "metric")
     whole = Window.partitionBy(*part)
-    prev_value = F.lag("value").over(w)
-    if require_contiguous:
-        prev_value = F.when(F.lag(PERIOD).over(w) == F.col(PERIOD) - 1, prev_value)
+    prev_value = _prev("value", w, require_contiguous)
     f = fact.where(F.col("metric").isin(list(metrics))).select(
         *part,
         PERIOD,
@@ -108,7 +123,9 @@ def zero_crossings(
     )
 
 
-def operating_leverage(fact: DataFrame, keys: Iterable[str] = (), prefilter: bool = False) -> DataFrame:
+def operating_leverage(
+    fact: DataFrame, keys: Iterable[str] = (), prefilter: bool = False, require_contiguous: bool = False
+) -> DataFrame:
     """Fixed-cost share, degree of operating leverage and the growth multiplier per period.
 
     The multiplier divides the already rounded growth rates.
@@ -128,7 +145,11 @@ def operating_leverage(fact: DataFrame, keys: Iterable[str] = (), prefilter: boo
         prefilter=prefilter,
     )
     w = _period_window(keys, "scenario")
-    p = p.select("*", F.lag("revenue").over(w).alias("prev_revenue"), F.lag("ebitda").over(w).alias("prev_ebitda"))
+    p = p.select(
+        "*",
+        _prev("revenue", w, require_contiguous).alias("prev_revenue"),
+        _prev("ebitda", w, require_contiguous).alias("prev_ebitda"),
+    )
     p = p.select(
         "*",
         F.round(pct_change("revenue", "prev_revenue"), 2).alias("rev_mom_pct"),
@@ -156,6 +177,7 @@ def volume_price_mix(
     value_metric: str = S.REVENUE,
     qty_metric: str = S.RIDES,
     keys: Iterable[str] = (),
+    require_contiguous: bool = False,
 ) -> DataFrame:
     """Split the period-over-period change of revenue into volume, price and mix effects.
 
@@ -175,9 +197,9 @@ def volume_price_mix(
         "revenue",
         "rides",
         "rpr",
-        F.lag("revenue").over(w).alias("prev_revenue"),
-        F.lag("rides").over(w).alias("prev_rides"),
-        F.lag("rpr").over(w).alias("prev_rpr"),
+        _prev("revenue", w, require_contiguous).alias("prev_revenue"),
+        _prev("rides", w, require_contiguous).alias("prev_rides"),
+        _prev("rpr", w, require_contiguous).alias("prev_rpr"),
     ).where(F.col("prev_revenue").isNotNull())
     d_q = F.col("rides") - F.col("prev_rides")
     d_p = F.col("rpr") - F.col("prev_rpr")
@@ -215,6 +237,7 @@ def cumulative_payback(
     target_metric: str = S.TOTAL_FIXED,
     keys: Iterable[str] = (),
     first_only: bool = False,
+    require_contiguous: bool = False,
 ) -> DataFrame:
     """Running flow against a yearly target: % recovered, upward crossings and interpolated month.
 
@@ -232,6 +255,8 @@ def cumulative_payback(
     flow = fact.where(F.col("metric") == flow_metric).select(*part, PERIOD, F.col("value").alias("flow"))
     flow = flow.withColumn("cumulative", exact_running_sum("flow", w))
     flow = flow.withColumn("prev_cumulative", F.lag("cumulative").over(w))
+    if require_contiguous:
+        flow = flow.withColumn("contiguous", F.coalesce(F.lag(PERIOD).over(w) == F.col(PERIOD) - 1, F.lit(True)))
     target = totals.where(F.col("metric") == target_metric).select(*part, F.col("fy_total").alias("target"))
     j = flow.join(target, part)
     cum, prev, tgt = F.col("cumulative"), F.col("prev_cumulative"), F.col("target")
@@ -248,13 +273,16 @@ def cumulative_payback(
         F.round(tgt, 2).alias("fy_fixed_cost_target"),
         F.round(safe_div(cum, tgt) * F.lit(100.0), 2).alias("pct_fixed_costs_recovered"),
         F.when(hit, F.lit("PAYBACK")).alias("payback_flag"),
-        F.when(hit, F.round(linear_crossing(PERIOD, tgt - F.coalesce(prev, F.lit(0.0)), F.col("flow")), 2)).alias(
-            "interpolated_payback"
-        ),
+        F.when(
+            hit & (F.col("contiguous") if require_contiguous else F.lit(True)),
+            F.round(linear_crossing(PERIOD, tgt - F.coalesce(prev, F.lit(0.0)), F.col("flow")), 2),
+        ).alias("interpolated_payback"),
     )
 
 
-def growth_overtake(fact: DataFrame, keys: Iterable[str] = (), prefilter: bool = False) -> DataFrame:
+def growth_overtake(
+    fact: DataFrame, keys: Iterable[str] = (), prefilter: bool = False, require_contiguous: bool = False
+) -> DataFrame:
     """Revenue vs cost growth per period; flags periods where cost growth beats revenue growth.
 
     Growth rates are rounded to 4 digits and the gap and flag use the rounded
@@ -271,7 +299,7 @@ def growth_overtake(fact: DataFrame, keys: Iterable[str] = (), prefilter: bool =
     w = _period_window(keys, "scenario")
 
     measures = ("revenue", "total_costs", "variable_costs", "fixed_costs")
-    p = p.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in measures])
+    p = p.select("*", *[_prev(c, w, require_contiguous).alias(f"prev_{c}") for c in measures])
 
     def growth(c):
         return F.round(pct_change(c, f"prev_{c}"), 4)
@@ -303,7 +331,9 @@ def growth_overtake(fact: DataFrame, keys: Iterable[str] = (), prefilter: bool =
     )
 
 
-def unit_economics(fact: DataFrame, keys: Iterable[str] = (), prefilter: bool = False) -> DataFrame:
+def unit_economics(
+    fact: DataFrame, keys: Iterable[str] = (), prefilter: bool = False, require_contiguous: bool = False
+) -> DataFrame:
     """Per-ride and per-vehicle ratios with the period change of contribution per ride."""
     keys = list(keys)
     fact = co_locate(fact, keys)
@@ -335,7 +365,7 @@ def unit_economics(fact: DataFrame, keys: Iterable[str] = (), prefilter: bool =
         safe_div("rides", "fleet_size").alias("rides_per_vehicle"),
     )
     w = _period_window(keys, "scenario")
-    p = p.select("*", F.lag("cm_per_ride").over(w).alias("prev_cm_per_ride"))
+    p = p.select("*", _prev("cm_per_ride", w, require_contiguous).alias("prev_cm_per_ride"))
     prev = F.col("prev_cm_per_ride")
     return p.select(
         *keys,
@@ -354,7 +384,9 @@ def unit_economics(fact: DataFrame, keys: Iterable[str] = (), prefilter: bool =
     )
 
 
-def margin_of_safety(fact: DataFrame, keys: Iterable[str] = (), prefilter: bool = False) -> DataFrame:
+def margin_of_safety(
+    fact: DataFrame, keys: Iterable[str] = (), prefilter: bool = False, require_contiguous: bool = False
+) -> DataFrame:
     """Breakeven revenue, margin of safety (absolute and %), its trend and revenue / breakeven."""
     keys = list(keys)
     fact = co_locate(fact, keys)
@@ -375,7 +407,7 @@ def margin_of_safety(fact: DataFrame, keys: Iterable[str] = (), prefilter: bool
     p = p.withColumn("mos_abs", F.col("revenue") - F.col("breakeven"))
     p = p.withColumn("mos_pct", safe_div("mos_abs", "revenue") * F.lit(100.0))
     w = _period_window(keys, "scenario")
-    change = F.col("mos_pct") - F.lag("mos_pct").over(w)
+    change = F.col("mos_pct") - _prev("mos_pct", w, require_contiguous)
     p = p.select("*", change.alias("mos_change"), safe_div("revenue", "breakeven").alias("multiple"))
     ch = F.col("mos_change")
     return p.select(

@@ -204,3 +204,20 @@ def test_require_contiguous_ignores_gaps(spark):
     assert ts.zero_crossings(f, metrics=["EBITDA"]).count() == 2
     rs = rows(ts.zero_crossings(f, metrics=["EBITDA"], require_contiguous=True))
     assert [r["crossing_month"] for r in rs] == [5]
+
+
+def test_require_contiguous_on_growth_and_payback(spark):
+    data = []
+    for m, rev, ebitda in [(1, 100.0, 1.0), (2, 110.0, 2.0), (4, 121.0, 9.0)]:
+        data += [("S", m, S.REVENUE, rev), ("S", m, S.VARIABLE_COSTS, 10.0), ("S", m, S.TOTAL_FIXED, 10.0),
+                 ("S", m, S.EBITDA, ebitda)]
+    f = spark.createDataFrame(data, "scenario string, month_number int, metric string, value double")
+    loose = {r["month"]: r for r in rows(ts.growth_overtake(f))}
+    strict = {r["month"]: r for r in rows(ts.growth_overtake(f, require_contiguous=True))}
+    assert loose[4]["revenue_mom_pct"] == 10.0 and strict[4]["revenue_mom_pct"] is None
+    assert strict[2]["revenue_mom_pct"] == 10.0
+    t = spark.createDataFrame([("S", S.TOTAL_FIXED, 5.0)], "scenario string, metric string, fy_total double")
+    lp = [r for r in rows(ts.cumulative_payback(f, t)) if r["payback_flag"]]
+    sp = [r for r in rows(ts.cumulative_payback(f, t, require_contiguous=True)) if r["payback_flag"]]
+    assert [r["month"] for r in lp] == [4] and lp[0]["interpolated_payback"] is not None
+    assert [r["month"] for r in sp] == [4] and sp[0]["interpolated_payback"] is None
