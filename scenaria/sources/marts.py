@@ -19,15 +19,15 @@ line amount is an integer number of 1/10000 units. Lines are summed as
 64-bit integers (codegen'd, no per-row decimal objects) and converted to
 double once per group, so the marts are bit-for-bit the same whatever order a
 cluster aggregates in. Per-group sums stay far below 2^63 at 100 TB
-(about 2e17 per segment-flag-month); sums over longer spans (yearly totals,
+(about 2e17 per segment-year-flag-month); sums over longer spans (yearly totals,
 grid cells) go through decimal in a second, small aggregation level.
 
 Plan shape: lineitem (pruned to 8 columns, flag filter pushed to the scan)
 joins orders-with-segment on the order key, so lineitem is shuffled once.
 Orders and customer are large at scale; the session leaves broadcasting to
 AQE's runtime size check. Every measure is a sum, so the aggregate is
-partial/final: each map task emits one row per (segment, flag, month) it
-saw, a hot group included, and the aggregate's shuffle is tiny. (A distinct
+partial/final: each map task emits one row per (segment, year, flag, month)
+it saw, a hot group included, and the aggregate's shuffle is tiny. (A distinct
 count per group, e.g. distinct suppliers, would need a second
 lineitem-sized shuffle on (group, supplier), since those pairs barely
 repeat within a task.)
@@ -234,7 +234,7 @@ def totals(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> D
 def grid_cells(spark: SparkSession, sf_dir: str, by_entity: bool = False, by_status: bool = True) -> DataFrame:
     """Per (entity, discount, tax[, line status]) cell: integer revenue and cost sums.
 
-    Lines are summed per (cell, status, scenario, month) as 64-bit integers,
+    Lines are summed per (cell, status, year, scenario, month) as 64-bit integers,
     then per cell as decimals: both levels are partial/final aggregates over at
     most 11 x 9 x 2 cells per entity, so every task emits a few hundred rows.
     With ``by_status`` both grids (all lines, one status) derive from this one
@@ -244,7 +244,7 @@ def grid_cells(spark: SparkSession, sf_dir: str, by_entity: bool = False, by_sta
     keys = [ENTITY] if by_entity else []
     status = ["l_linestatus"] if by_status else []
     handling_u = F.col("qty_c") * F.lit(int(UNIT_HANDLING * UNITS / 100))
-    part = s.groupBy(*keys, "disc_p", "tax_p", *status, "scenario", "month_number").agg(
+    part = s.groupBy(*keys, "disc_p", "tax_p", *status, YEAR, "scenario", "month_number").agg(
         F.sum("net_u").alias("rev_u"), F.sum(F.col("var_u") + handling_u).alias("cost_u")
     )
     return part.groupBy(*keys, "disc_p", "tax_p", *status).agg(
