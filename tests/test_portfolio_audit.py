@@ -151,3 +151,25 @@ def test_present_orders_rows(spark):
     assert set(ORDER) <= set(QUERIES)
     df = spark.createDataFrame([("B", 2), ("A", 1)], "table_name string, n_rows long")
     assert [r["table_name"] for r in present(df, "load_audit").collect()] == ["A", "B"]
+
+
+def test_hazards_zero_base_missing_weight_and_hidden_missing_cell(spark, fact, price_util):
+    from scenaria.operators import timeseries as ts
+
+    # zero Base: spread as % of Base is NULL, not an error
+    zero_base = fact.withColumn(
+        "value", F.when((F.col("scenario") == "Base") & (F.col("metric") == S.EBITDA), F.lit(0.0)).otherwise(F.col("value"))
+    )
+    r = [x for x in rows(ts.scenario_spread(zero_base)) if x["metric"] == S.EBITDA]
+    assert all(x["spread_as_pct_of_base"] is None for x in r) and all(x["spread_high_low"] is not None for x in r)
+    # a scenario without a weight drops out; weights are not renormalised
+    only = rows(pf.weighted_expectation(fact, {"Base": 0.5}), "month")
+    assert all(abs(x["expected_ebitda"] - x["base_ebitda"] * 0.5) <= 0.0051 for x in only)
+    assert all(x["ebitda_range_high_low"] is None for x in only)  # High / Low rows are gone
+    # a missing cell plus a duplicate keeps rows == product: completeness passes, duplicates catch it
+    cell = (F.col("x") == 0.29) & (F.col("y") == 0.65) & (F.col("output") == S.OUT_MARGIN)
+    other = (F.col("x") == 0.21) & (F.col("y") == 0.5) & (F.col("output") == S.OUT_MARGIN)
+    broken = price_util.where(~cell).unionByName(price_util.where(other))
+    rs = {r["audit_check"]: r for r in rows(au.grid_audit([au.AuditGrid("pu", broken)], cross_check=None))}
+    assert rs["1_GRID_COMPLETENESS"]["status"] == "PASS" and rs["1_GRID_COMPLETENESS"]["total_rows"] == 50
+    assert rs["2_DUPLICATE_CHECK"]["status"] == "FAIL" and rs["2_DUPLICATE_CHECK"]["total_rows"] == 1
