@@ -243,10 +243,10 @@ def cumulative_payback(
 
     Every upward crossing is flagged (a running total that dips below the
     target and recovers is flagged again); ``first_only`` keeps the first.
-    Scenarios without a target drop out (inner join). The join is on the
-    window's partition keys, so the windowed side is not shuffled again; the
-    target side is one row per (keys, scenario) and AQE broadcasts it only
-    when its measured size is small.
+    Scenarios without a target drop out (inner join). Both join sides are
+    small: one row per (keys, scenario, period) and per (keys, scenario). AQE
+    broadcasts the target side when its measured size is under the threshold;
+    otherwise both sides shuffle on (keys, scenario).
     """
     keys = list(keys)
     fact = co_locate(fact, keys)
