@@ -37,16 +37,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
     Only when it is unset (local tests) is a scratch folder created and set.
+    Works on classic sessions and, through the setting alone, on Spark Connect.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        sc = None
+    d = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc is not None else None)
     if not d:
         d = tempfile.mkdtemp(prefix="scenaria-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # some deployments refuse runtime changes of core settings
             pass
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -49,3 +49,11 @@ def test_load_job_writes_and_reads_back(spark):
     fresh = rows(ts.margin_of_safety(marts.fact(spark, SF_DIR), keys=marts.PL_KEYS), "entity", "fiscal_year", "scenario", "month")
     loaded = rows(ts.margin_of_safety(t["pl_monthly"], keys=marts.PL_KEYS), "entity", "fiscal_year", "scenario", "month")
     assert fresh == loaded
+
+
+def test_checkpoint_dir_reads_the_session_setting(spark):
+    from scenaria.session import checkpoint_dir
+
+    d = checkpoint_dir(spark)
+    assert d and d == checkpoint_dir(spark)  # stable once set
+    assert spark.sparkContext.getCheckpointDir() is not None
