@@ -74,12 +74,8 @@ def margin_of_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two_grids(spark: SparkSession, sf_dir: str):
-    """Both grids (all lines, closed lines) from one warehouse pass."""
-    cells = marts.shared(marts.grid_cells(spark, sf_dir))
-    return (
-        marts.grid_from_cells(cells, tags=("1A", "1B")),
-        marts.grid_from_cells(cells, marts.GRID_LINESTATUS, tags=("2A", "2B")),
-    )
+    """Both grids (all lines, closed lines) from one warehouse pass (one grouping-sets aggregate)."""
+    return marts.grids_all_and_status(spark, sf_dir)
 
 
 def _grids(spark: SparkSession, sf_dir: str) -> list[gr.GridLevers]:
@@ -158,7 +154,7 @@ def sensitivity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flatten_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matrix blocks of both grid outputs flattened back into long grid rows."""
-    g = marts.grid_from_cells(marts.shared(marts.grid_cells(spark, sf_dir, by_status=False)))
+    g = marts.grid(spark, sf_dir)  # both matrices read the same subtree: one pass, shuffle reused
     levels = {pf.level_name("y", lv): lv for lv in TAX_LEVELS}
     parts = [
         reshape.matrix_to_long(pf.sensitivity_matrix(g, out, TAX_LEVELS), "x", levels, out, tag)

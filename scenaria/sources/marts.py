@@ -253,6 +253,47 @@ def grid_cells(spark: SparkSession, sf_dir: str, by_entity: bool = False, by_sta
     )
 
 
+def grid_cells_all_and_by_status(spark: SparkSession, sf_dir: str, by_entity: bool = False) -> DataFrame:
+    """Cells per line status and for all lines, from one aggregate (grouping sets).
+
+    ``all_lines`` is 1 on the all-lines rows (status aggregated out). Both grids
+    of an analysis are filters on this one result; a filter on the grouping
+    indicator cannot be pushed below the aggregate, so the two grid views
+    share one plan subtree and Spark reuses its shuffle: one warehouse pass,
+    no materialisation.
+    """
+    s = sales(spark, sf_dir, by_entity=by_entity)
+    keys = [ENTITY] if by_entity else []
+    handling_u = F.col("qty_c") * F.lit(int(UNIT_HANDLING * UNITS / 100))
+    part = s.groupBy(*keys, "disc_p", "tax_p", "l_linestatus", YEAR, "scenario", "month_number").agg(
+        F.sum("net_u").alias("rev_u"), F.sum(F.col("var_u") + handling_u).alias("cost_u")
+    )
+    cell = [*keys, "disc_p", "tax_p"]
+    return part.groupingSets([[*cell, "l_linestatus"], cell], *cell, "l_linestatus").agg(
+        F.sum(F.col("rev_u").cast(WIDE_SUM)).alias("rev_u"),
+        F.sum(F.col("cost_u").cast(WIDE_SUM)).alias("cost_u"),
+        F.grouping("l_linestatus").cast("int").alias("all_lines"),
+    )
+
+
+def grids_all_and_status(
+    spark: SparkSession,
+    sf_dir: str,
+    linestatus: str = GRID_LINESTATUS,
+    tags_all: tuple[str, str] = ("1A", "1B"),
+    tags_status: tuple[str, str] = ("2A", "2B"),
+    by_entity: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The all-lines grid and the one-status grid from a single warehouse pass."""
+    cells = grid_cells_all_and_by_status(spark, sf_dir, by_entity)
+    all_lines = cells.where(F.col("all_lines") == 1).drop("l_linestatus", "all_lines")
+    one_status = cells.where((F.col("all_lines") == 0) & (F.col("l_linestatus") == linestatus)).drop("all_lines")
+    return (
+        grid_from_cells(all_lines, tags=tags_all, by_entity=by_entity),
+        grid_from_cells(one_status, linestatus, tags=tags_status, by_entity=by_entity),
+    )
+
+
 def grid_from_cells(
     cells: DataFrame,
     linestatus: str | None = None,
