@@ -78,3 +78,13 @@ def test_analyses_on_loaded_tables_equal_fresh_ones(spark):
         gr.GridLevers(t["sensitivity_closed_lines"], "Discount_Closed", "Tax_Closed", bx, by),
     ]
     assert rows(gr.lever_ranking(levers), "output", "lever") == rows(catalog.lever_ranking(spark, SF_DIR), "output", "lever")
+
+
+def test_command_line_runner_writes_results(spark):
+    from scenaria.__main__ import main
+
+    out = tempfile.mkdtemp(prefix="scenaria-cli-")
+    assert main(["load_audit", SF_DIR, out]) == 0
+    got = {r["table_name"]: r["n_rows"] for r in spark.read.parquet(os.path.join(out, "load_audit")).collect()}
+    assert set(got) == {"pl_monthly", "pl_fy_totals", "assumptions", "sensitivity_all_lines", "sensitivity_closed_lines"}
+    assert main(["no_such_analysis", SF_DIR]) == 2
