@@ -25,15 +25,20 @@ from scenaria.operators.audit import reconcile
 from scenaria.session import checkpoint_dir
 
 
-def landed_fact_schema(keys: Iterable[str] = ("entity",)) -> T.StructType:
-    return S.with_keys(S.FACT, {k: T.StringType() for k in keys})
+# Key columns of the planning fact and their types.
+PL_KEY_TYPES = {"entity": T.StringType(), "fiscal_year": T.IntegerType()}
+
+
+def landed_fact_schema(keys: Iterable[str] = tuple(PL_KEY_TYPES)) -> T.StructType:
+    """Schema of landed fact files: the key columns (typed as in the marts; others text) + the fact."""
+    return S.with_keys(S.FACT, {k: PL_KEY_TYPES.get(k, T.StringType()) for k in keys})
 
 
 def reconcile_stream(
     spark: SparkSession,
     landing_dir: str,
     report_dir: str,
-    keys: Iterable[str] = ("entity",),
+    keys: Iterable[str] = tuple(PL_KEY_TYPES),
     checkpoint: str | None = None,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,

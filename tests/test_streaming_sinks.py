@@ -18,15 +18,16 @@ SF_DIR = "/root/testdata/sf0.001"
 def test_reconcile_stream_audits_each_landed_snapshot(spark):
     root = tempfile.mkdtemp(prefix="scenaria-stream-")
     landing, report = os.path.join(root, "landing"), os.path.join(root, "report")
-    good = spark.createDataFrame(fx.fact_pdf(entities=["a"]), landed_fact_schema())
-    bad = spark.createDataFrame(fx.fact_pdf(entities=["b"]), landed_fact_schema()).withColumn(
+    schema = landed_fact_schema(["entity"])
+    good = spark.createDataFrame(fx.fact_pdf(entities=["a"]), schema)
+    bad = spark.createDataFrame(fx.fact_pdf(entities=["b"]), schema).withColumn(
         "value", F.when(F.col("metric") == S.EBITDA, F.col("value") + 1.0).otherwise(F.col("value"))
     )
     good.coalesce(1).write.parquet(os.path.join(landing, "load1"))
-    q = reconcile_stream(spark, os.path.join(landing, "*"), report, checkpoint=os.path.join(root, "ckpt"))
+    q = reconcile_stream(spark, os.path.join(landing, "*"), report, keys=["entity"], checkpoint=os.path.join(root, "ckpt"))
     q.awaitTermination(120)
     bad.coalesce(1).write.parquet(os.path.join(landing, "load2"))
-    q = reconcile_stream(spark, os.path.join(landing, "*"), report, checkpoint=os.path.join(root, "ckpt"))
+    q = reconcile_stream(spark, os.path.join(landing, "*"), report, keys=["entity"], checkpoint=os.path.join(root, "ckpt"))
     q.awaitTermination(120)
     out = rows(spark.read.parquet(report))
     assert len(out) == 72  # each snapshot audited exactly once
@@ -51,6 +52,20 @@ def test_load_job_writes_and_reads_back(spark):
     assert fresh == loaded
 
 
+def test_stream_audits_planning_fact_files(spark):
+    """Files of the planning fact itself (entity, fiscal_year keys) stream through the default keys."""
+    from scenaria.sources import marts
+
+    root = tempfile.mkdtemp(prefix="scenaria-stream2-")
+    marts.fact(spark, SF_DIR).write.parquet(os.path.join(root, "landing", "load1"))
+    q = reconcile_stream(spark, os.path.join(root, "landing", "*"), os.path.join(root, "report"),
+                         checkpoint=os.path.join(root, "ckpt"))
+    q.awaitTermination(120)
+    out = spark.read.parquet(os.path.join(root, "report"))
+    assert out.count() == marts.fact(spark, SF_DIR).select("entity", "fiscal_year", "scenario", "month_number").distinct().count()
+    assert {r["integrity_status"] for r in out.select("integrity_status").distinct().collect()} == {"PASS"}
+
+
 def test_checkpoint_dir_reads_the_session_setting(spark):
     from scenaria.session import checkpoint_dir
 
