@@ -92,23 +92,6 @@ class AuditGrid:
     y: str = "y"
 
 
-def _grid_summary(g: AuditGrid, keys: list[str]) -> DataFrame:
-    # Per-cell counts first: yields the duplicate groups and shrinks the input
-    # to at most one row per cell before the distinct counts.
-    cells = g.grid.groupBy(*keys, g.x, g.y, "output").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("value").isNull(), F.lit(1)).otherwise(F.lit(0))).alias("nulls"),
-    )
-    return cells.groupBy(*keys).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_rows"),
-        F.count_distinct(g.x).alias("n_a"),
-        F.count_distinct(g.y).alias("n_b"),
-        F.count_distinct("output").alias("n_o"),
-        F.sum("nulls").cast("bigint").alias("null_values"),
-        F.count(F.when(F.col("n") > 1, F.lit(1))).alias("dup_groups"),
-    )
-
-
 def _report(*cols) -> list:
     names = ("audit_check", "table_name", "total_rows", "expected_rows", "grid_shape", "null_values", "status")
     casts = ("string", "string", "double", "double", "string", "double", "string")
@@ -130,42 +113,71 @@ def grid_audit(
     * ``3_BASE_CASE_CROSS_CHECK``: per output, |base cell of grid i - base cell
       of grid j| rounded to 4 digits; PASS when 0. A missing base cell yields no
       row; ``strict=True`` adds a FAIL row for it.
+
+    All grids are audited in one pass: they are tagged with their name and
+    unioned, counted per cell (which yields the duplicate groups and shrinks
+    the input to one row per cell), then summarised per grid.
     """
     keys = list(keys)
-    parts = []
+    tagged = None
     for g in grids:
-        s = _grid_summary(g, keys)
-        shape = F.concat_ws(" x ", F.col("n_a").cast("string"), F.col("n_b").cast("string"), F.col("n_o").cast("string"))
-        expected = F.col("n_a") * F.col("n_b") * F.col("n_o")
-        complete = (F.col("total_rows") == expected) & (F.col("null_values") == 0)
-        parts.append(
-            s.select(
-                *keys,
-                *_report(
-                    F.lit("1_GRID_COMPLETENESS"),
-                    F.lit(g.name),
-                    F.col("total_rows"),
-                    expected,
-                    shape,
-                    F.col("null_values"),
-                    F.when(complete, F.lit("PASS")).otherwise(F.lit("FAIL")),
-                ),
-            )
+        t = g.grid.select(
+            F.lit(g.name).alias("grid_name"), *keys, F.col(g.x).alias("gx"), F.col(g.y).alias("gy"), "output", "value"
         )
-        parts.append(
-            s.select(
-                *keys,
-                *_report(
-                    F.lit("2_DUPLICATE_CHECK"),
-                    F.lit(g.name),
-                    F.col("dup_groups"),
-                    F.lit(0),
-                    F.lit(None),
-                    F.lit(None),
-                    F.when(F.col("dup_groups") == 0, F.lit("PASS")).otherwise(F.lit("FAIL")),
-                ),
-            )
+        tagged = t if tagged is None else tagged.unionByName(t)
+    cells = tagged.groupBy("grid_name", *keys, "gx", "gy", "output").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(F.col("value").isNull(), F.lit(1)).otherwise(F.lit(0))).alias("nulls"),
+    )
+    if not keys:
+        # One marker row per audited grid, so a grid without rows still gets its
+        # report row with the semantics of an aggregate over no rows (count 0,
+        # NULL null-count). The markers are the argument list, not data.
+        markers = tagged.sparkSession.createDataFrame([(g.name,) for g in grids], "grid_name string").select(
+            "grid_name",
+            F.lit(None).cast(cells.schema["gx"].dataType).alias("gx"),
+            F.lit(None).cast(cells.schema["gy"].dataType).alias("gy"),
+            F.lit(None).cast("string").alias("output"),
+            F.lit(0).cast("bigint").alias("n"),
+            F.lit(None).cast("bigint").alias("nulls"),
         )
+        cells = cells.unionByName(markers)
+    summary = cells.groupBy("grid_name", *keys).agg(
+        F.sum("n").alias("total_rows"),
+        F.count_distinct("gx").alias("n_a"),
+        F.count_distinct("gy").alias("n_b"),
+        F.count_distinct("output").alias("n_o"),
+        F.sum("nulls").alias("null_values"),
+        F.count(F.when(F.col("n") > 1, F.lit(1))).alias("dup_groups"),
+    )
+    shape = F.concat_ws(" x ", F.col("n_a").cast("string"), F.col("n_b").cast("string"), F.col("n_o").cast("string"))
+    expected = F.col("n_a") * F.col("n_b") * F.col("n_o")
+    complete = (F.col("total_rows") == expected) & (F.col("null_values") == 0)
+    completeness = summary.select(
+        *keys,
+        *_report(
+            F.lit("1_GRID_COMPLETENESS"),
+            F.col("grid_name"),
+            F.col("total_rows"),
+            expected,
+            shape,
+            F.col("null_values"),
+            F.when(complete, F.lit("PASS")).otherwise(F.lit("FAIL")),
+        ),
+    )
+    duplicates = summary.select(
+        *keys,
+        *_report(
+            F.lit("2_DUPLICATE_CHECK"),
+            F.col("grid_name"),
+            F.col("dup_groups"),
+            F.lit(0),
+            F.lit(None),
+            F.lit(None),
+            F.when(F.col("dup_groups") == 0, F.lit("PASS")).otherwise(F.lit("FAIL")),
+        ),
+    )
+    out = completeness.unionByName(duplicates)
     if cross_check is not None:
         a, b = grids[cross_check[0]], grids[cross_check[1]]
 
@@ -177,15 +189,12 @@ def grid_audit(
         j = base(a, "va").join(base(b, "vb"), [*keys, "output"], how)
         var = F.round(F.abs(F.col("va") - F.col("vb")), 4)
         status = F.when(var == 0, F.lit("PASS")).otherwise(F.lit("FAIL"))
-        parts.append(
+        out = out.unionByName(
             j.select(
                 *keys,
                 *_report(F.lit("3_BASE_CASE_CROSS_CHECK"), F.col("output"), F.col("va"), F.col("vb"), F.lit(None), var, status),
             )
         )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
     return out
 
 
