@@ -133,7 +133,8 @@ def grid_audit(
         # One marker row per audited grid, so a grid without rows still gets its
         # report row with the semantics of an aggregate over no rows (count 0,
         # NULL null-count). The markers are the argument list, not data.
-        markers = tagged.sparkSession.createDataFrame([(g.name,) for g in grids], "grid_name string").select(
+        names = F.explode(F.array(*[F.lit(g.name) for g in grids])).alias("grid_name")
+        markers = tagged.sparkSession.range(1).select(names).select(
             "grid_name",
             F.lit(None).cast(cells.schema["gx"].dataType).alias("gx"),
             F.lit(None).cast(cells.schema["gy"].dataType).alias("gy"),
