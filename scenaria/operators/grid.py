@@ -4,11 +4,11 @@ A grid is ``(keys..., output, x, y, value)``: one output value per cell of
 two input axes. Axis levels are decimals so equality tests are exact.
 
 Plan shape: a grid holds at most (#x levels * #y levels * #outputs) rows per
-entity, so the operators place all rows of an entity (and output) in one
-partition with a single hash exchange and compute every neighbour or
-reference-cell lookup as a window on that partitioning. No joins, no
-broadcasts: the work and the shuffle grow linearly with the number of
-entities.
+entity. With entity keys the operators hash-partition by the keys once and
+compute every neighbour or reference-cell lookup as a window on that
+partitioning; a single grid (no keys) is a few hundred rows, and each window
+spec plans its own small exchange. No joins, no broadcasts: the work and the
+shuffle grow linearly with the number of entities.
 """
 
 from __future__ import annotations
@@ -209,7 +209,8 @@ def interaction_effects(
     Reported for interior cells (both levers above the origin level) that
     have their zero-row, zero-column and origin cells; ``interaction_pct_of_actual``
     is the residual as % of the actual value. The three reference cells are
-    windowed maxima on the (keys, output) partitioning: no self-joins.
+    windowed maxima (over (keys, output, x), (keys, output, y) and (keys, output))
+    on the partitioning by keys: no self-joins.
     """
     keys = list(keys)
     ox, oy = _axis(origin[0]), _axis(origin[1])
