@@ -62,14 +62,6 @@ UNITS = 10000.0  # line amounts are integers in 1/10000 currency units
 WIDE_SUM = "decimal(38,0)"
 
 
-def _by_flag(flag: Column, value_of) -> Column:
-    out = None
-    for k, sc in SCENARIO_OF_FLAG.items():
-        v = F.lit(value_of(sc))
-        out = F.when(flag == k, v) if out is None else out.when(flag == k, v)
-    return out
-
-
 def _hundredths(c: str) -> Column:
     """A two-decimal double as an exact integer count of hundredths."""
     return F.rint(F.col(c) * F.lit(100.0)).cast("long")
@@ -81,102 +73,101 @@ def to_money(units) -> Column:
     return u.cast("double") / F.lit(UNITS)
 
 
+def _flag_case(value_of) -> str:
+    """SQL CASE over the return flag, one branch per scenario."""
+    branches = " ".join(f"WHEN '{k}' THEN {value_of(sc)}" for k, sc in SCENARIO_OF_FLAG.items())
+    return f"CASE l_returnflag {branches} END"
+
+
+def _hundredths_sql(c: str) -> str:
+    """A two-decimal double as an exact integer count of hundredths."""
+    return f"CAST(rint({c} * 100.0) AS BIGINT)"
+
+
 def sales(spark: SparkSession, sf_dir: str, by_entity: bool = True) -> DataFrame:
     """Line-level sales: entity, scenario, period, status, discount/tax points and integer amounts.
 
     ``qty_c`` is quantity in hundredths; ``net_u`` and ``var_u`` are revenue and
     variable cost in 1/10000 units; ``disc_p`` / ``tax_p`` are whole percent.
+    The line projection is one SQL expression list (one call into the JVM);
+    Catalyst prunes the scan to the columns it uses.
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        "l_quantity",
-        "l_extendedprice",
-        "l_discount",
-        "l_tax",
-        "l_returnflag",
-        "l_linestatus",
-        "l_shipdate",
-    ).where(F.col("l_returnflag").isin(list(SCENARIO_OF_FLAG)))
+    li = read_table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin(list(SCENARIO_OF_FLAG)))
     if by_entity:
-        orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-        customer = read_table(spark, sf_dir, "customer").select(
-            F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias(ENTITY)
-        )
-        order_entity = orders.join(customer, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), ENTITY)
-        li = li.join(order_entity, "l_orderkey")
-    cents = _hundredths("l_extendedprice")
-    disc = _hundredths("l_discount")
-    tax = _hundredths("l_tax")
-    cols = [ENTITY] if by_entity else []
-    flag = F.col("l_returnflag")
-    rate = _by_flag(flag, lambda sc: VARIABLE_RATE_PCT[sc]).cast("long")
-    return li.select(
-        *cols,
-        F.year("l_shipdate").cast("int").alias(YEAR),
-        F.month("l_shipdate").cast("int").alias("month_number"),
-        _by_flag(flag, lambda sc: sc).alias("scenario"),
+        orders = read_table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey")
+        customer = read_table(spark, sf_dir, "customer").selectExpr("c_custkey AS o_custkey", f"c_mktsegment AS {ENTITY}")
+        li = li.join(orders.join(customer, "o_custkey"), "l_orderkey")
+    cents, disc, tax = (_hundredths_sql(c) for c in ("l_extendedprice", "l_discount", "l_tax"))
+    return li.selectExpr(
+        *([ENTITY] if by_entity else []),
+        f"CAST(year(l_shipdate) AS INT) AS {YEAR}",
+        "CAST(month(l_shipdate) AS INT) AS month_number",
+        f"{_flag_case(lambda sc: repr(sc))} AS scenario",
         "l_linestatus",
-        _hundredths("l_quantity").alias("qty_c"),
-        disc.alias("disc_p"),
-        tax.alias("tax_p"),
-        (cents * (F.lit(100) - disc)).alias("net_u"),
-        (cents * (rate + tax)).alias("var_u"),
+        f"{_hundredths_sql('l_quantity')} AS qty_c",
+        f"{disc} AS disc_p",
+        f"{tax} AS tax_p",
+        f"{cents} * (100 - {disc}) AS net_u",
+        f"{cents} * (CAST({_flag_case(lambda sc: VARIABLE_RATE_PCT[sc])} AS BIGINT) + {tax}) AS var_u",
     )
 
 
-def _derived(rides, net_u, var_u, fleet, vehicle_u, platform_u) -> list[Column]:
-    """The eleven metrics from integer base measures, in the order of ``S.METRICS``.
+def _derived_sql(rides: str, net_u: str, var_u: str, fleet: str, vehicle_u: str, platform_u: str) -> list[str]:
+    """The eleven metrics as SQL expressions, in the order of ``S.METRICS``.
 
-    Arguments are integer columns (long or integral decimal) in 1/10000 units,
-    except ``rides`` (double) and ``fleet`` (count).
+    Inputs are SQL fragments: integer amounts (long or integral decimal) in
+    1/10000 units, ``rides`` a double and ``fleet`` a count.
     """
-    fixed_u = vehicle_u + platform_u
-    cm_u = net_u - var_u
-    ebitda_u = cm_u - fixed_u
-    revenue, cm, ebitda = to_money(net_u), to_money(cm_u), to_money(ebitda_u)
-    return [
-        fleet.cast("double").alias(S.FLEET),
-        rides.alias(S.RIDES),
-        revenue.alias(S.REVENUE),
-        to_money(var_u).alias(S.VARIABLE_COSTS),
-        cm.alias(S.CONTRIBUTION_MARGIN),
-        safe_div(cm, revenue).alias(S.CM_PCT),
-        to_money(vehicle_u).alias(S.VEHICLE_FIXED),
-        to_money(platform_u).alias(S.PLATFORM_OVERHEAD),
-        to_money(fixed_u).alias(S.TOTAL_FIXED),
-        ebitda.alias(S.EBITDA),
-        safe_div(ebitda, revenue).alias(S.EBITDA_PCT),
+
+    def money(u: str) -> str:
+        return f"(CAST({u} AS DOUBLE) / {UNITS})"
+
+    fixed_u = f"({vehicle_u} + {platform_u})"
+    cm_u = f"({net_u} - {var_u})"
+    ebitda_u = f"({cm_u} - {fixed_u})"
+    revenue, cm, ebitda = money(net_u), money(cm_u), money(ebitda_u)
+    exprs = [
+        f"CAST({fleet} AS DOUBLE)",
+        rides,
+        revenue,
+        money(var_u),
+        cm,
+        f"try_divide({cm}, {revenue})",
+        money(vehicle_u),
+        money(platform_u),
+        money(fixed_u),
+        ebitda,
+        f"try_divide({ebitda}, {revenue})",
     ]
+    return [f"{e} AS `{m}`" for e, m in zip(exprs, S.METRICS)]
 
 
 def base_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (entity, fiscal year, scenario, month): integer sums and the fleet they need."""
     s = sales(spark, sf_dir)
-    b = s.groupBy(*PL_KEYS, "scenario", "month_number").agg(
+    return s.groupBy(*PL_KEYS, "scenario", "month_number").agg(
         F.sum("qty_c").alias("qty_c"),
         F.sum("net_u").alias("net_u"),
         F.sum("var_u").alias("var_u"),
+        F.ceil(F.sum("qty_c") / F.lit(VEHICLE_CAPACITY * 100.0)).cast("long").alias("fleet"),
     )
-    fleet = F.ceil(F.col("qty_c") / F.lit(VEHICLE_CAPACITY * 100.0)).cast("long")
-    return b.withColumn("fleet", fleet)
 
 
 def wide_pl(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Wide P&L: one row per (entity, fiscal year, scenario, month_number), one column per metric."""
     b = base if base is not None else base_measures(spark, sf_dir)
-    vehicle_u = F.col("fleet").cast(WIDE_SUM) * F.lit(int(VEHICLE_COST * UNITS))
-    platform_u = F.lit(int(PLATFORM_OVERHEAD * UNITS)).cast(WIDE_SUM)
-    return b.select(
+    return b.selectExpr(
         *PL_KEYS,
         "scenario",
         "month_number",
-        *_derived(
-            F.col("qty_c").cast("double") / F.lit(100.0),
-            F.col("net_u").cast(WIDE_SUM),
-            F.col("var_u").cast(WIDE_SUM),
-            F.col("fleet"),
-            vehicle_u,
-            platform_u,
+        "concat('Month_', CAST(month_number AS STRING)) AS month",
+        *_derived_sql(
+            "(CAST(qty_c AS DOUBLE) / 100.0)",
+            f"CAST(net_u AS {WIDE_SUM})",
+            f"CAST(var_u AS {WIDE_SUM})",
+            "fleet",
+            f"(CAST(fleet AS {WIDE_SUM}) * {int(VEHICLE_COST * UNITS)})",
+            f"CAST({int(PLATFORM_OVERHEAD * UNITS)} AS {WIDE_SUM})",
         ),
     )
 
@@ -193,16 +184,8 @@ def fact(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> Dat
     and windows within a P&L, so they reuse this partitioning. ``base`` is a
     precomputed ``base_measures`` (shared with ``totals``).
     """
-    long = _melt(wide_pl(spark, sf_dir, base), [*PL_KEYS, "scenario", "month_number"], "value")
-    long = long.repartition(*PL_KEYS)
-    return long.select(
-        *PL_KEYS,
-        "scenario",
-        "month_number",
-        F.concat(F.lit("Month_"), F.col("month_number").cast("string")).alias("month"),
-        "metric",
-        "value",
-    )
+    long = _melt(wide_pl(spark, sf_dir, base), [*PL_KEYS, "scenario", "month_number", "month"], "value")
+    return long.repartition(*PL_KEYS)
 
 
 def totals(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
@@ -216,16 +199,16 @@ def totals(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> D
         F.sum(F.col("fleet").cast(WIDE_SUM)).alias("fleet_months"),
         F.count(F.lit(1)).cast(WIDE_SUM).alias("months"),
     )
-    wide = t.select(
+    wide = t.selectExpr(
         *PL_KEYS,
         "scenario",
-        *_derived(
-            F.col("qty_c").cast("double") / F.lit(100.0),
-            F.col("net_u"),
-            F.col("var_u"),
-            F.col("fleet_end"),
-            F.col("fleet_months") * F.lit(int(VEHICLE_COST * UNITS)),
-            F.col("months") * F.lit(int(PLATFORM_OVERHEAD * UNITS)),
+        *_derived_sql(
+            "(CAST(qty_c AS DOUBLE) / 100.0)",
+            "net_u",
+            "var_u",
+            "fleet_end",
+            f"(fleet_months * {int(VEHICLE_COST * UNITS)})",
+            f"(months * {int(PLATFORM_OVERHEAD * UNITS)})",
         ),
     )
     return _melt(wide, [*PL_KEYS, "scenario"], "fy_total").repartition(*PL_KEYS)
