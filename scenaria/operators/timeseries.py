@@ -150,11 +150,8 @@ def operating_leverage(
         _prev("revenue", w, require_contiguous).alias("prev_revenue"),
         _prev("ebitda", w, require_contiguous).alias("prev_ebitda"),
     )
-    p = p.select(
-        "*",
-        F.round(pct_change("revenue", "prev_revenue"), 2).alias("rev_mom_pct"),
-        F.round(pct_change("ebitda", "prev_ebitda"), 2).alias("ebitda_mom_pct"),
-    )
+    rev_mom = F.round(pct_change("revenue", "prev_revenue"), 2)
+    ebitda_mom = F.round(pct_change("ebitda", "prev_ebitda"), 2)
     return p.select(
         *keys,
         "scenario",
@@ -166,9 +163,9 @@ def operating_leverage(
             "fixed_cost_pct_of_total"
         ),
         F.round(safe_div("contribution_margin", "ebitda"), 2).alias("dol"),
-        "rev_mom_pct",
-        "ebitda_mom_pct",
-        F.round(safe_div("ebitda_mom_pct", "rev_mom_pct"), 2).alias("leverage_multiplier"),
+        rev_mom.alias("rev_mom_pct"),
+        ebitda_mom.alias("ebitda_mom_pct"),
+        F.round(safe_div(ebitda_mom, rev_mom), 2).alias("leverage_multiplier"),
     )
 
 
@@ -203,30 +200,23 @@ def volume_price_mix(
     ).where(F.col("prev_revenue").isNotNull())
     d_q = F.col("rides") - F.col("prev_rides")
     d_p = F.col("rpr") - F.col("prev_rpr")
-    p = p.select(
-        *keys,
-        "scenario",
-        PERIOD,
-        (F.col("revenue") - F.col("prev_revenue")).alias("total"),
-        (d_q * F.col("prev_rpr")).alias("volume"),
-        (d_p * F.col("prev_rides")).alias("price"),
-        (d_q * d_p).alias("mix"),
-    )
+    total = F.col("revenue") - F.col("prev_revenue")
+    volume, price, mix = d_q * F.col("prev_rpr"), d_p * F.col("prev_rides"), d_q * d_p
 
     def share(c):
-        return F.round(safe_div(c, "total") * F.lit(100.0), 2)
+        return F.round(safe_div(c, total) * F.lit(100.0), 2)
 
     return p.select(
         *keys,
         "scenario",
         F.col(PERIOD).alias("month"),
-        F.round("total", 2).alias("total_rev_change"),
-        F.round("volume", 2).alias("volume_effect"),
-        F.round("price", 2).alias("price_effect"),
-        F.round("mix", 2).alias("mix_effect"),
-        share("volume").alias("volume_pct"),
-        share("price").alias("price_pct"),
-        share("mix").alias("mix_pct"),
+        F.round(total, 2).alias("total_rev_change"),
+        F.round(volume, 2).alias("volume_effect"),
+        F.round(price, 2).alias("price_effect"),
+        F.round(mix, 2).alias("mix_effect"),
+        share(volume).alias("volume_pct"),
+        share(price).alias("price_pct"),
+        share(mix).alias("mix_pct"),
     )
 
 
@@ -304,28 +294,18 @@ def growth_overtake(
     def growth(c):
         return F.round(pct_change(c, f"prev_{c}"), 4)
 
-    p = p.select(
-        *keys,
-        "scenario",
-        PERIOD,
-        "revenue",
-        "total_costs",
-        growth("revenue").alias("revenue_mom_pct"),
-        growth("total_costs").alias("total_cost_mom_pct"),
-        growth("variable_costs").alias("varcost_mom_pct"),
-        growth("fixed_costs").alias("fixcost_mom_pct"),
-    ).where(F.col(PERIOD) > 1)
-    rev, cost = F.col("revenue_mom_pct"), F.col("total_cost_mom_pct")
-    return p.select(
+    # the first period is dropped after the lags were taken
+    rev, cost = growth("revenue"), growth("total_costs")
+    return p.where(F.col(PERIOD) > 1).select(
         *keys,
         "scenario",
         F.col(PERIOD).alias("month"),
         F.round("revenue", 2).alias("revenue"),
         F.round("total_costs", 2).alias("total_costs"),
-        "revenue_mom_pct",
-        "total_cost_mom_pct",
-        "varcost_mom_pct",
-        "fixcost_mom_pct",
+        rev.alias("revenue_mom_pct"),
+        cost.alias("total_cost_mom_pct"),
+        growth("variable_costs").alias("varcost_mom_pct"),
+        growth("fixed_costs").alias("fixcost_mom_pct"),
         F.round(rev - cost, 4).alias("growth_gap"),
         F.when(cost > rev, F.lit("COST OVERTAKE")).alias("overtake_flag"),
     )
@@ -403,12 +383,21 @@ def margin_of_safety(
         prefilter=prefilter,
     )
     breakeven = safe_div("fixed_costs", safe_div("contribution_margin", "revenue"))
-    p = p.select(*keys, "scenario", PERIOD, "revenue", breakeven.alias("breakeven"))
-    p = p.withColumn("mos_abs", F.col("revenue") - F.col("breakeven"))
-    p = p.withColumn("mos_pct", safe_div("mos_abs", "revenue") * F.lit(100.0))
+    mos_abs = F.col("revenue") - breakeven
+    mos_pct = safe_div(mos_abs, "revenue") * F.lit(100.0)
+    p = p.select(
+        *keys,
+        "scenario",
+        PERIOD,
+        "revenue",
+        breakeven.alias("breakeven"),
+        mos_abs.alias("mos_abs"),
+        mos_pct.alias("mos_pct"),
+        safe_div(F.col("revenue"), breakeven).alias("multiple"),
+    )
     w = _period_window(keys, "scenario")
     change = F.col("mos_pct") - _prev("mos_pct", w, require_contiguous)
-    p = p.select("*", change.alias("mos_change"), safe_div("revenue", "breakeven").alias("multiple"))
+    p = p.select("*", change.alias("mos_change"))
     ch = F.col("mos_change")
     return p.select(
         *keys,
