@@ -34,7 +34,7 @@ def _period_window(keys: Iterable[str], *part: str) -> Window:
     return Window.partitionBy(*list(keys), *part).orderBy(PERIOD)
 
 
-def _prev(col: str, w: Window, require_contiguous: bool = False) -> Column:
+def _prev(col: str | Column, w: Window, require_contiguous: bool = False) -> Column:
     """Value of ``col`` in the previous row of ``w``.
 
     The previous row is the previous period only when periods are contiguous;
@@ -331,21 +331,22 @@ def unit_economics(
         [*keys, "scenario", PERIOD],
         prefilter=prefilter,
     )
+    w = _period_window(keys, "scenario")
+    cm_per_ride = safe_div("contribution_margin", "rides")
     p = p.select(
         *keys,
         "scenario",
         PERIOD,
         safe_div("revenue", "rides").alias("rev_per_ride"),
         safe_div("variable_costs", "rides").alias("varcost_per_ride"),
-        safe_div("contribution_margin", "rides").alias("cm_per_ride"),
+        cm_per_ride.alias("cm_per_ride"),
         safe_div("fixed_costs", "rides").alias("fixcost_per_ride"),
         safe_div("ebitda", "rides").alias("ebitda_per_ride"),
         safe_div("revenue", "fleet_size").alias("rev_per_vehicle"),
         safe_div("ebitda", "fleet_size").alias("ebitda_per_vehicle"),
         safe_div("rides", "fleet_size").alias("rides_per_vehicle"),
+        _prev(cm_per_ride, w, require_contiguous).alias("prev_cm_per_ride"),
     )
-    w = _period_window(keys, "scenario")
-    p = p.select("*", _prev("cm_per_ride", w, require_contiguous).alias("prev_cm_per_ride"))
     prev = F.col("prev_cm_per_ride")
     return p.select(
         *keys,
