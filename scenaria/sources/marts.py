@@ -217,9 +217,10 @@ def totals(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> D
 def grid_cells(spark: SparkSession, sf_dir: str, by_entity: bool = False, by_status: bool = True) -> DataFrame:
     """Per (entity, discount, tax[, line status]) cell: integer revenue and cost sums.
 
-    Lines are summed per (cell, status, year, scenario, month) as 64-bit integers,
-    then per cell as decimals: both levels are partial/final aggregates over at
-    most 11 x 9 x 2 cells per entity, so every task emits a few hundred rows.
+    Lines are summed per (cell, status, fiscal year) as 64-bit integers (about
+    2e17 per group at 100 TB, far below 2^63), then per cell as decimals: both
+    levels are partial/final aggregates over at most 11 x 9 x 2 cells (x years)
+    per entity, so every task emits a few hundred rows.
     With ``by_status`` both grids (all lines, one status) derive from this one
     aggregate; without it the cells cover all lines directly.
     """
@@ -227,7 +228,7 @@ def grid_cells(spark: SparkSession, sf_dir: str, by_entity: bool = False, by_sta
     keys = [ENTITY] if by_entity else []
     status = ["l_linestatus"] if by_status else []
     handling_u = F.col("qty_c") * F.lit(int(UNIT_HANDLING * UNITS / 100))
-    part = s.groupBy(*keys, "disc_p", "tax_p", *status, YEAR, "scenario", "month_number").agg(
+    part = s.groupBy(*keys, "disc_p", "tax_p", *status, YEAR).agg(
         F.sum("net_u").alias("rev_u"), F.sum(F.col("var_u") + handling_u).alias("cost_u")
     )
     return part.groupBy(*keys, "disc_p", "tax_p", *status).agg(
@@ -248,7 +249,7 @@ def grid_cells_all_and_by_status(spark: SparkSession, sf_dir: str, by_entity: bo
     s = sales(spark, sf_dir, by_entity=by_entity)
     keys = [ENTITY] if by_entity else []
     handling_u = F.col("qty_c") * F.lit(int(UNIT_HANDLING * UNITS / 100))
-    part = s.groupBy(*keys, "disc_p", "tax_p", "l_linestatus", YEAR, "scenario", "month_number").agg(
+    part = s.groupBy(*keys, "disc_p", "tax_p", "l_linestatus", YEAR).agg(
         F.sum("net_u").alias("rev_u"), F.sum(F.col("var_u") + handling_u).alias("cost_u")
     )
     cell = [*keys, "disc_p", "tax_p"]
