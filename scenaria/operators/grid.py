@@ -78,18 +78,10 @@ def grid_sensitivity(
     )
     dx = (F.col(x) - F.col("x_p")).cast("double")
     dy = (F.col(y) - F.col("y_p")).cast("double")
-    cells = cells.select(
-        *keys,
-        x,
-        y,
-        "a",
-        "b",
-        safe_div(F.col("a") - F.col("a_px"), dx).alias("da_dx"),
-        safe_div(F.col("a") - F.col("a_py"), dy).alias("da_dy"),
-        safe_div(F.col("b") - F.col("b_px"), dx).alias("db_dx"),
-        safe_div(F.col("b") - F.col("b_py"), dy).alias("db_dy"),
-    )
-    da_dx, da_dy = F.col("da_dx"), F.col("da_dy")
+    da_dx = safe_div(F.col("a") - F.col("a_px"), dx)
+    da_dy = safe_div(F.col("a") - F.col("a_py"), dy)
+    db_dx = safe_div(F.col("b") - F.col("b_px"), dx)
+    db_dy = safe_div(F.col("b") - F.col("b_py"), dy)
     price_wins = F.abs(F.coalesce(da_dx, F.lit(0.0))) * F.lit(float(step_x)) > F.abs(
         F.coalesce(da_dy, F.lit(0.0))
     ) * F.lit(float(step_y))
@@ -101,8 +93,8 @@ def grid_sensitivity(
         F.round("b", 0).alias("net_revenue"),
         F.round(da_dx, 4).alias("dmargin_dx"),
         F.round(da_dy, 4).alias("dmargin_dy"),
-        F.round("db_dx", 0).alias("drevenue_dx"),
-        F.round("db_dy", 0).alias("drevenue_dy"),
+        F.round(db_dx, 0).alias("drevenue_dx"),
+        F.round(db_dy, 0).alias("drevenue_dy"),
         F.when(price_wins, F.lit(x_label)).otherwise(F.lit(y_label)).alias("dominant_margin_lever"),
         (da_dx.isNotNull() & da_dy.isNotNull()).alias("lever_comparable"),
     )
@@ -234,8 +226,7 @@ def interaction_effects(
         (xs > ox) & (ys > oy) & (F.col("n_x_only") > 0) & (F.col("n_y_only") > 0) & (F.col("n_origin") > 0)
     )
     additive = F.col("x_only") + F.col("y_only") - F.col("origin_value")
-    g = g.select(*part, x, y, "value", additive.alias("additive"))
-    inter = F.col("value") - F.col("additive")
+    inter = F.col("value") - additive
     coarse = list(coarse_outputs)
     return g.select(
         *keys,
@@ -243,7 +234,7 @@ def interaction_effects(
         ys.cast("double").alias(y),
         "output",
         round_by_output("value", "output", coarse).alias("actual"),
-        round_by_output("additive", "output", coarse).alias("additive_expected"),
+        round_by_output(additive, "output", coarse).alias("additive_expected"),
         round_by_output(inter, "output", coarse).alias("interaction_effect"),
         F.round(safe_div(inter, "value") * F.lit(100.0), 4).alias("interaction_pct_of_actual"),
     )
