@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licences, mixing, packing, sharding
+from . import fingerprints, jaccard, langid, licences, mixing, packing, repeats, sharding, vectors
 from .common import Scratch, fold, read
 from .oracle import ORACLE
 
@@ -48,6 +48,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ("doc_id", "held_out"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all texts under 200-byte strings that also start elsewhere."""
+    docs = read(spark, sf_dir, "documents")
+    spans = repeats.repeated_spans(docs, Scratch(spark, "op4"))
+    return repeats.remove(docs, spans).drop("kept")
+
+
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of all texts."""
     return licences.scan(read(spark, sf_dir, "documents"))
@@ -64,11 +71,25 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors, cosine 0.95 or more."""
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"), Scratch(spark, "op9"))
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    docs = read(spark, sf_dir, "documents")
+    return jaccard.join(docs, Scratch(spark, "op10")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
     "op3_language": op3_language,
+    "op4_repeats": op4_repeats,
     "op5_licences": op5_licences,
     "op7_packing": op7_packing,
     "op8_fingerprints": op8_fingerprints,
+    "op9_vectors": op9_vectors,
+    "op10_jaccard": op10_jaccard,
 }
