@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, langid, licences, mixing, packing, repeats, sharding, vectors
+from . import fingerprints, jaccard, langid, licences, mixing, packing, repeats, scoring, sharding, vectors
 from .common import Scratch, fold, read
 from .oracle import ORACLE
 
@@ -60,6 +60,11 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"))
 
 
+def op6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-frequency and attention-model scores of all texts."""
+    return scoring.score(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2, Scratch(spark, "op6"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in windows of 2048."""
     scratch = Scratch(spark, "op7")
@@ -88,6 +93,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_repeats": op4_repeats,
     "op5_licences": op5_licences,
+    "op6_scores": op6_scores,
     "op7_packing": op7_packing,
     "op8_fingerprints": op8_fingerprints,
     "op9_vectors": op9_vectors,
