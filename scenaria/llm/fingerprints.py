@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import shuffle_partitions
+
 BLANKS = r"[\x20\x09-\x0D]+"
 K = 4
 WINDOW = 8
@@ -98,12 +100,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 #: Rows are ordered in buckets between quantiles of the id; about so many bytes of text to a bucket.
-BUCKET_BYTES = 32 << 20
-MAX_BUCKETS = 10_000
+BUCKET_BYTES = 16 << 20
+MAX_BUCKETS = 4096
+
 
+def with_next(docs: DataFrame, derived: dict[str, Column]) -> DataFrame:
+    """Adds ``next``: the text and derived columns of the row that follows by descending doc_id (after the last: the first).
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds ``next``: the given columns of the row that follows by descending doc_id (after the last: the first).
+    The derived columns are worked out once per row, after the texts have been dealt out to buckets.
 
     Equal ids are ordered by a hash of the text, null ids come last. A bucket holds the rows between two
     quantiles of the id (a value that fills several quantiles is split by that hash), so that no window
@@ -125,19 +129,21 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     # The first row of each bucket, which follows the last row of the bucket before.
     rank = F.struct(F.col("doc_id").alias("i"), F.col("_tie").alias("t"))
     firsts = docs.groupBy("_bucket").agg(F.max(rank).alias("_first"))
+    after = F.struct("text", *derived)
     heads = docs.join(
         F.broadcast(firsts),
         (docs["_bucket"] == firsts["_bucket"]) & docs["doc_id"].eqNullSafe(F.col("_first.i")) & (docs["_tie"] == F.col("_first.t")),
         "left_semi",
-    ).dropDuplicates(["_bucket"])
+    ).dropDuplicates(["_bucket"]).withColumns(derived)
     order = Window.orderBy(F.desc("_bucket"))  # as many rows as buckets
     links = firsts.select("_bucket", F.coalesce(F.lead("_bucket").over(order), F.max("_bucket").over(Window.partitionBy())).alias("_to"))
-    after = F.struct(*columns)
     heads = heads.select(F.col("_bucket").alias("_to"), after.alias("_head"))
     heads = links.join(heads, "_to").select("_bucket", "_head")
     down = Window.partitionBy("_bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("_tie"))
     return (
-        docs.withColumn("_lead", F.lead(after).over(down))
+        docs.repartition(max(n, shuffle_partitions(docs.sparkSession)), "_bucket")
+        .withColumns(derived)
+        .withColumn("_lead", F.lead(after).over(down))
         .join(heads, "_bucket")
         .withColumn("next", F.coalesce("_lead", "_head"))
         .drop("_lead", "_head", "_bucket", "_tie")
@@ -150,8 +156,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     The edited text has its last third replaced by as many code points from the start of the next document.
     """
     base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    base = base.withColumn("grams", selected(F.col("text")))
-    rows = with_next(base, ["text", "grams"])
+    rows = with_next(base, {"grams": selected(F.col("text"))})
     n = F.length("text")
     tail = F.floor(n / 3).cast("int")
     rows = rows.select(
