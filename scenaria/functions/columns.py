@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Running sums are taken in decimal so they do not depend on summation order.
-RUNNING_SUM_TYPE = "decimal(38,6)"
+RUNNING_SUM_TYPE = "decimal(38,10)"
 
 
 def _c(x) -> Column:
@@ -58,7 +58,3 @@ def exact_running_sum(x, window) -> Column:
     retries.
     """
     return F.sum(_c(x).cast(RUNNING_SUM_TYPE)).over(window).cast("double")
-
-
-def key_window(keys: Iterable[str], *extra: str) -> Window:
-    return Window.partitionBy(*list(keys), *extra)

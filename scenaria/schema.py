@@ -85,16 +85,6 @@ GRID = T.StructType(
     ]
 )
 
-ENGINE_STEP = T.StructType(
-    [
-        T.StructField("metric", T.StringType()),
-        T.StructField("unit", T.StringType()),
-        T.StructField("definition", T.StringType()),
-        T.StructField("value", T.StringType()),
-    ]
-)
-
-
 def with_keys(schema: T.StructType, keys: dict[str, T.DataType]) -> T.StructType:
     """Prefix entity key columns to a schema."""
     return T.StructType([T.StructField(k, t) for k, t in keys.items()] + list(schema.fields))

@@ -18,9 +18,6 @@ SCHEMAS = {
     "o_orderpriority STRING",
     "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
     "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
-    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
-    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
-    "region": "r_regionkey INT, r_name STRING",
 }
 
 TABLES = (
@@ -50,8 +47,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     return reader.parquet(table_path(sf_dir, name))
-
-
-def read_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, DataFrame]:
-    """E1: multi-table scan -> dict of lazy DataFrames."""
-    return {n: read_table(spark, sf_dir, n) for n in names}
