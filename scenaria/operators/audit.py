@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenaria import schema as S
 from scenaria.functions import safe_div
-from scenaria.operators.pivot import co_locate, pivot_metrics
+from scenaria.operators.pivot import pivot_metrics
 
 PERIOD = "month_number"
 
@@ -37,7 +37,7 @@ def reconcile(
     """
     keys = list(keys)
     p = pivot_metrics(
-        co_locate(fact, keys),
+        fact,
         {
             S.REVENUE: "revenue",
             S.VARIABLE_COSTS: "variable_costs",
@@ -96,10 +96,20 @@ class AuditGrid:
     y: str = "y"
 
 
-def _report(*cols) -> list:
-    names = ("audit_check", "table_name", "total_rows", "expected_rows", "grid_shape", "null_values", "status")
-    casts = ("string", "string", "double", "double", "string", "double", "string")
-    return [c.cast(t).alias(n) for c, n, t in zip(cols, names, casts)]
+REPORT = (
+    ("audit_check", "string"),
+    ("table_name", "string"),
+    ("total_rows", "double"),
+    ("expected_rows", "double"),
+    ("grid_shape", "string"),
+    ("null_values", "double"),
+    ("status", "string"),
+)
+
+
+def _report(keep: Column, *cols: Column) -> Column:
+    fields = [c.cast(t).alias(n) for c, (n, t) in zip(cols, REPORT, strict=True)]
+    return F.when(keep, F.struct(*fields))
 
 
 def grid_audit(
@@ -107,6 +117,7 @@ def grid_audit(
     cross_check: tuple[int, int] | None = (0, 1),
     keys: Iterable[str] = (),
     strict: bool = False,
+    outputs: Sequence[str] = (S.OUT_REVENUE, S.OUT_MARGIN),
 ) -> DataFrame:
     """Grid shape, duplicate and cross-grid base-cell audit.
 
@@ -114,93 +125,75 @@ def grid_audit(
       and outputs, shape ``"a x b x o"``, NULL values; PASS when rows equal the
       product and there are no NULLs (an empty grid has NULL nulls -> FAIL).
     * ``2_DUPLICATE_CHECK``: number of (x, y, output) groups with more than one row.
-    * ``3_BASE_CASE_CROSS_CHECK``: per output, |base cell of grid i - base cell
-      of grid j| rounded to 4 digits; PASS when 0. A missing base cell yields no
-      row; ``strict=True`` adds a FAIL row for it.
-
-    All grids are audited in one pass: they are tagged with their name and
-    unioned, counted per cell (which yields the duplicate groups and shrinks
-    the input to one row per cell), then summarised per grid.
+    * ``3_BASE_CASE_CROSS_CHECK``: per output of ``outputs``, |base cell of grid i - base
+      cell of grid j| rounded to 4 digits; PASS when 0. A missing base cell yields no
+      row; ``strict=True`` gives a FAIL row instead, also when both are missing.
+
+    All grids are audited in one pass: they are tagged and unioned, counted per
+    cell, and summed up in one aggregate per key combination with conditional
+    measures per grid (so a key that one grid lacks is reported for that grid
+    too, and without keys an empty grid has its rows). Two exchanges in all.
     """
     keys = list(keys)
     tagged = None
-    for g in grids:
+    for i, g in enumerate(grids):
+        x, y = F.col(g.x), F.col(g.y)
+        at_base = F.lit(False)
+        if g.base_x is not None and g.base_y is not None:
+            at_base = (x == F.lit(str(g.base_x)).cast(S.AXIS)) & (y == F.lit(str(g.base_y)).cast(S.AXIS))
         t = g.grid.select(
-            F.lit(g.name).alias("grid_name"), *keys, F.col(g.x).alias("gx"), F.col(g.y).alias("gy"), "output", "value"
+            F.lit(i).alias("g"), *keys, x.alias("gx"), y.alias("gy"), "output", "value", F.coalesce(at_base, F.lit(False)).alias("at_base")
         )
         tagged = t if tagged is None else tagged.unionByName(t)
-    cells = tagged.groupBy("grid_name", *keys, "gx", "gy", "output").agg(
+    cells = tagged.groupBy("g", *keys, "gx", "gy", "output").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("value").isNull(), F.lit(1)).otherwise(F.lit(0))).alias("nulls"),
-    )
-    if not keys:
-        # One marker row per audited grid, so a grid without rows still gets its
-        # report row with the semantics of an aggregate over no rows (count 0,
-        # NULL null-count). The markers are the argument list, not data.
-        names = F.explode(F.array(*[F.lit(g.name) for g in grids])).alias("grid_name")
-        markers = tagged.sparkSession.range(1).select(names).select(
-            "grid_name",
-            F.lit(None).cast(cells.schema["gx"].dataType).alias("gx"),
-            F.lit(None).cast(cells.schema["gy"].dataType).alias("gy"),
-            F.lit(None).cast("string").alias("output"),
-            F.lit(0).cast("bigint").alias("n"),
-            F.lit(None).cast("bigint").alias("nulls"),
-        )
-        cells = cells.unionByName(markers)
-    summary = cells.groupBy("grid_name", *keys).agg(
-        F.sum("n").alias("total_rows"),
-        F.count_distinct("gx").alias("n_a"),
-        F.count_distinct("gy").alias("n_b"),
-        F.count_distinct("output").alias("n_o"),
-        F.sum("nulls").alias("null_values"),
-        F.count(F.when(F.col("n") > 1, F.lit(1))).alias("dup_groups"),
-    )
-    shape = F.concat_ws(" x ", F.col("n_a").cast("string"), F.col("n_b").cast("string"), F.col("n_o").cast("string"))
-    expected = F.col("n_a") * F.col("n_b") * F.col("n_o")
-    complete = (F.col("total_rows") == expected) & (F.col("null_values") == 0)
-    completeness = summary.select(
-        *keys,
-        *_report(
-            F.lit("1_GRID_COMPLETENESS"),
-            F.col("grid_name"),
-            F.col("total_rows"),
-            expected,
-            shape,
-            F.col("null_values"),
-            F.when(complete, F.lit("PASS")).otherwise(F.lit("FAIL")),
-        ),
-    )
-    duplicates = summary.select(
-        *keys,
-        *_report(
-            F.lit("2_DUPLICATE_CHECK"),
-            F.col("grid_name"),
-            F.col("dup_groups"),
-            F.lit(0),
-            F.lit(None),
-            F.lit(None),
-            F.when(F.col("dup_groups") == 0, F.lit("PASS")).otherwise(F.lit("FAIL")),
-        ),
+        F.count(F.when(F.col("value").isNull(), F.lit(1))).alias("nulls"),
+        F.max("value").alias("value"),
+        F.max("at_base").alias("at_base"),
     )
-    out = completeness.unionByName(duplicates)
-    if cross_check is not None:
-        a, b = grids[cross_check[0]], grids[cross_check[1]]
 
-        def base(g: AuditGrid, name: str) -> DataFrame:
-            cond = (F.col(g.x) == F.lit(str(g.base_x)).cast(S.AXIS)) & (F.col(g.y) == F.lit(str(g.base_y)).cast(S.AXIS))
-            return g.grid.where(cond).select(*keys, "output", F.col("value").alias(name))
-
-        how = "full" if strict else "inner"
-        j = base(a, "va").join(base(b, "vb"), [*keys, "output"], how)
-        var = F.round(F.abs(F.col("va") - F.col("vb")), 4)
-        status = F.when(var == 0, F.lit("PASS")).otherwise(F.lit("FAIL"))
-        out = out.unionByName(
-            j.select(
-                *keys,
-                *_report(F.lit("3_BASE_CASE_CROSS_CHECK"), F.col("output"), F.col("va"), F.col("vb"), F.lit(None), var, status),
-            )
-        )
-    return out
+    def of(i: int, c) -> Column:
+        return F.when(F.col("g") == i, F.col(c) if isinstance(c, str) else c)
+
+    measures = []
+    for i in range(len(grids)):
+        measures += [
+            F.coalesce(F.sum(of(i, "n")), F.lit(0)).alias(f"rows{i}"),
+            F.sum(of(i, "nulls")).alias(f"nulls{i}"),
+            F.count(of(i, F.when(F.col("n") > 1, F.lit(1)))).alias(f"dups{i}"),
+            # distinct levels of an axis: as many as the grid has rows or columns
+            *[F.size(F.collect_set(of(i, c))).alias(f"{c}{i}") for c in ("gx", "gy", "output")],
+        ]
+    pair = tuple(cross_check or ())
+    for i in pair:
+        for o, output in enumerate(outputs):
+            here = F.col("at_base") & (F.col("output") == output)
+            measures += [
+                F.max(of(i, F.when(here, F.col("value")))).alias(f"base{i}_{o}"),
+                F.count(of(i, F.when(here, F.lit(1)))).alias(f"has{i}_{o}"),
+            ]
+    summary = cells.groupBy(*keys).agg(*measures)
+    always, none = F.lit(True), F.lit(None)
+    rows = []
+    for i, g in enumerate(grids):
+        n, nulls, dups = F.col(f"rows{i}"), F.col(f"nulls{i}"), F.col(f"dups{i}")
+        shape = [F.col(f"{c}{i}") for c in ("gx", "gy", "output")]
+        expected = shape[0] * shape[1] * shape[2]
+        complete = (n == expected) & (nulls == 0)
+        text = F.concat_ws(" x ", *[c.cast("string") for c in shape])
+        name = F.lit(g.name)
+        passed = lambda ok: F.when(ok, F.lit("PASS")).otherwise(F.lit("FAIL"))
+        rows.append(_report(always, F.lit("1_GRID_COMPLETENESS"), name, n, expected, text, nulls, passed(complete)))
+        rows.append(_report(always, F.lit("2_DUPLICATE_CHECK"), name, dups, F.lit(0), none, none, passed(dups == 0)))
+    if pair:
+        a, b = pair
+        for o, output in enumerate(outputs):
+            va, vb = F.col(f"base{a}_{o}"), F.col(f"base{b}_{o}")
+            both = (F.col(f"has{a}_{o}") > 0) & (F.col(f"has{b}_{o}") > 0)
+            var = F.round(F.abs(va - vb), 4)
+            keep = always if strict else both
+            rows.append(_report(keep, F.lit("3_BASE_CASE_CROSS_CHECK"), F.lit(output), va, vb, none, var, passed(both & (var == 0))))
+    return summary.select(*keys, F.explode(F.array(*rows)).alias("r")).where("r IS NOT NULL").select(*keys, "r.*")
 
 
 def grid_vs_totals_check(

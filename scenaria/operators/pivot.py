@@ -18,8 +18,9 @@ def co_locate(df: DataFrame, keys: Iterable[str]) -> DataFrame:
     """Hash-partition by the entity keys once, so later groupings and windows on
     ``(keys, ...)`` need no further exchange.
 
-    Spark drops this repartition when the input is already hash-partitioned by
-    the same keys (the marts are). Without keys the input is left as is.
+    Operators pivot first: the pivot's partial aggregate combines rows map-side,
+    and keeps a partitioning by the keys that the input has (the marts' do), in
+    which case Spark drops this repartition. Without keys the input is left as is.
     """
     keys = list(keys)
     return df.repartition(*keys) if keys else df

@@ -15,12 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenaria import schema as S
-from scenaria.functions import adaptive_round, safe_div
+from scenaria.functions import adaptive_round, exact_running_sum, safe_div
 from scenaria.operators.pivot import co_locate, pivot_metrics, pivot_scenarios
 
 PERIOD = "month_number"
-VALUE_DEC = "decimal(26,6)"
-WEIGHT_DEC = "decimal(10,8)"
 
 
 def _lookup(mapping: Mapping, col: Column) -> Column:
@@ -28,6 +26,13 @@ def _lookup(mapping: Mapping, col: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(v) for kv in mapping.items() for v in kv]), col)
 
 
+def _ordered_sum(term: Column) -> Column:
+    """Sum of a column over the scenarios of a group in the order of their names; NULL terms do not count."""
+    terms = F.array_sort(F.collect_list(F.when(term.isNotNull(), F.struct("scenario", term.alias("t")))))
+    total = F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x["t"])
+    return F.when(F.size(terms) > 0, total)
+
+
 def weighted_expectation(
     fact: DataFrame,
     weights: Mapping[str, float] | DataFrame,
@@ -45,23 +50,24 @@ def weighted_expectation(
     """
     keys = list(keys)
     m = pivot_metrics(
-        co_locate(fact, keys),
+        fact,
         {S.EBITDA: "ebitda", S.REVENUE: "revenue", S.EBITDA_PCT: "ebitda_margin"},
         [*keys, "scenario", PERIOD],
         prefilter=True,
     )
+    m = co_locate(m, keys)
     if isinstance(weights, DataFrame):
         m = m.join(weights.select("scenario", F.col("weight").cast("double").alias("weight")), "scenario")
     else:
         w_col = _lookup({k: float(v) for k, v in weights.items()}, F.col("scenario"))
         m = m.withColumn("weight", w_col).where(F.col("weight").isNotNull())
-    # Weighted sums are exact decimals (values to 6, weights to 8 digits), so
-    # they do not depend on the order a cluster adds them in and round exactly.
+    # Weighted sums add a period's few scenarios in the order of their names, so they do not depend on
+    # the order a cluster brings them in; weights and values stay as they are.
     sc = F.col("scenario")
-    e, r, wt = F.col("ebitda").cast(VALUE_DEC), F.col("revenue").cast(VALUE_DEC), F.col("weight").cast(WEIGHT_DEC)
+    e, r, wt = F.col("ebitda"), F.col("revenue"), F.col("weight")
     ev = m.groupBy(*keys, PERIOD).agg(
-        F.sum(e * wt).alias("expected_ebitda"),
-        F.sum(r * wt).alias("expected_revenue"),
+        _ordered_sum(e * wt).alias("expected_ebitda"),
+        _ordered_sum(r * wt).alias("expected_revenue"),
         F.max(F.when(sc == base, e)).alias("base_ebitda"),
         F.max(F.when(sc == base, F.col("ebitda_margin"))).alias("base_margin"),
         (F.max(F.when(sc == high, e)) - F.max(F.when(sc == low, e))).alias("ebitda_range"),
@@ -71,7 +77,7 @@ def weighted_expectation(
     w = Window.partitionBy(*keys).orderBy(PERIOD)
 
     def money(c):
-        return F.round(c, 2).cast("double")
+        return F.round(c, 2)
 
     return ev.select(
         *keys,
@@ -79,17 +85,13 @@ def weighted_expectation(
         money(exp_e).alias("expected_ebitda"),
         money(base_e).alias("base_ebitda"),
         money(exp_e - base_e).alias("exp_vs_base_delta"),
-        F.round(safe_div((exp_e - base_e).cast("double"), base_e.cast("double")) * F.lit(100.0), 2).alias(
-            "exp_vs_base_pct"
-        ),
+        F.round(safe_div(exp_e - base_e, base_e) * F.lit(100.0), 2).alias("exp_vs_base_pct"),
         money(F.col("expected_revenue")).alias("expected_revenue"),
-        F.round(safe_div(exp_e.cast("double"), F.col("expected_revenue").cast("double")) * F.lit(100.0), 2).alias(
-            "expected_ebitda_margin_pct"
-        ),
+        F.round(safe_div(exp_e, "expected_revenue") * F.lit(100.0), 2).alias("expected_ebitda_margin_pct"),
         F.round(F.col("base_margin") * F.lit(100.0), 2).alias("base_ebitda_margin_pct"),
         money(F.col("ebitda_range")).alias("ebitda_range_high_low"),
         money(F.col("weighted_low")).alias("prob_weighted_downside"),
-        money(F.sum(exp_e).over(w)).alias("cumulative_expected_ebitda"),
+        money(exact_running_sum(exp_e, w)).alias("cumulative_expected_ebitda"),
     )
 
 
@@ -139,7 +141,7 @@ def flow_trace(
     scen = {"Low": "low", "Base": "base", "High": "high"}
     months = [m for _, _, m in month_stages]
     mp = pivot_scenarios(
-        co_locate(fact, keys).where(F.col(PERIOD).isin(months) & F.col("metric").isin(list(stage_metrics))),
+        fact.where(F.col(PERIOD).isin(months) & F.col("metric").isin(list(stage_metrics))),
         scen,
         [*keys, PERIOD, "metric"],
     )
@@ -157,7 +159,7 @@ def flow_trace(
         "high",
     )
     fp = pivot_scenarios(
-        co_locate(totals, keys).where(F.col("metric").isin(list(fy_metrics))),
+        totals.where(F.col("metric").isin(list(fy_metrics))),
         scen,
         [*keys, "metric"],
         value_col="fy_total",
@@ -191,17 +193,18 @@ def flow_trace(
     )
 
 
+def _wide_totals(totals: DataFrame, metrics: Mapping[str, str], keys: list[str]) -> DataFrame:
+    """Totals with one column per metric: as they are when they come wide, else pivoted."""
+    if "metric" not in totals.columns:
+        return totals.select(*keys, "scenario", *[F.col(f"`{m}`").alias(a) for m, a in metrics.items()])
+    return pivot_metrics(totals, metrics, [*keys, "scenario"], value_col="fy_total", prefilter=True)
+
+
 def kpi_totals(totals: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
-    """Yearly KPI table per scenario: revenue, EBITDA, margin and rides."""
+    """Yearly KPI table per scenario: revenue, EBITDA, margin and rides. ``totals`` may be long or wide."""
     keys = list(keys)
-    p = pivot_metrics(
-        co_locate(totals, keys),
-        {S.REVENUE: "fy_revenue", S.EBITDA: "fy_ebitda", S.EBITDA_PCT: "fy_margin", S.RIDES: "fy_rides"},
-        [*keys, "scenario"],
-        value_col="fy_total",
-        prefilter=True,
-    )
-    return p.select(
+    metrics = {S.REVENUE: "fy_revenue", S.EBITDA: "fy_ebitda", S.EBITDA_PCT: "fy_margin", S.RIDES: "fy_rides"}
+    return _wide_totals(totals, metrics, keys).select(
         *keys,
         "scenario",
         F.round("fy_revenue", 2).alias("fy_revenue"),
@@ -219,33 +222,48 @@ def level_name(axis: str, level) -> str:
 def sensitivity_matrix(
     grid: DataFrame,
     output: str,
-    y_levels: Sequence,
+    y_levels: Sequence | None = None,
     keys: Iterable[str] = (),
     x: str = "x",
     y: str = "y",
 ) -> DataFrame:
-    """One output of a grid as a matrix: rows are x levels, one column per y level."""
+    """One output of a grid as a matrix: rows are x levels, columns are y levels.
+
+    Without ``y_levels`` the levels come from the data and the matrix is long: (keys, x, y, row_no, col_no,
+    value), one row per position from 1, NULL where the grid has no cell. With ``y_levels`` there is one
+    column per level, and a level of the data that is not listed fails the query.
+    """
     keys = list(keys)
     g = grid.where(F.col("output") == output)
-    cols = [
-        F.max(F.when(F.col(y) == F.lit(str(lv)).cast(S.AXIS), F.col("value"))).alias(level_name(y, lv))
-        for lv in y_levels
-    ]
-    return g.groupBy(*keys, x).agg(*cols).withColumn(x, F.col(x).cast("double"))
+    if y_levels is not None:
+        wanted = [F.lit(str(lv)).cast(S.AXIS) for lv in y_levels]
+        cols = [
+            F.max(F.when(F.col(y) == lv, F.col("value"))).alias(level_name(y, name)) for name, lv in zip(y_levels, wanted, strict=True)
+        ]
+        left_out = F.when(~F.col(y).isin(wanted), F.raise_error(F.lit("a level of the grid is not in y_levels")).cast("boolean"))
+        wide = g.groupBy(*keys, x).agg(*cols, F.max(left_out).alias("left_out")).where("left_out IS NULL").drop("left_out")
+        return wide.withColumn(x, F.col(x).cast("double"))
+    lines = g.groupBy(*keys, x).agg(F.map_from_entries(F.collect_list(F.struct(y, "value"))).alias("line"))
+    all_lines = Window.partitionBy(*keys)  # one row per level of x
+    levels = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("line")).over(all_lines))))
+    lines = lines.select(*keys, x, "line", levels.alias("levels"), F.row_number().over(all_lines.orderBy(x)).alias("row_no"))
+    cells = lines.select(*keys, x, "row_no", "line", F.posexplode("levels").alias("at", y))
+    return cells.select(
+        *keys,
+        F.col(x).cast("double").alias(x),
+        F.col(y).cast("double").alias(y),
+        "row_no",
+        (F.col("at") + 1).alias("col_no"),
+        F.element_at("line", F.col(y)).alias("value"),
+    )
 
 
 def cost_structure(totals: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
-    """Yearly cost breakdown per scenario: shares of variable, vehicle and platform cost (%)."""
+    """Yearly cost breakdown per scenario: shares of variable, vehicle and platform cost (%). ``totals`` may be long or wide."""
     keys = list(keys)
-    p = pivot_metrics(
-        co_locate(totals, keys),
-        {S.VARIABLE_COSTS: "variable", S.VEHICLE_FIXED: "vehicle", S.PLATFORM_OVERHEAD: "platform"},
-        [*keys, "scenario"],
-        value_col="fy_total",
-        prefilter=True,
-    )
-    total = F.col("variable") + F.col("vehicle") + F.col("platform")
-    p = p.withColumn("total", total)
+    metrics = {S.VARIABLE_COSTS: "variable", S.VEHICLE_FIXED: "vehicle", S.PLATFORM_OVERHEAD: "platform"}
+    p = _wide_totals(totals, metrics, keys)
+    p = p.withColumn("total", F.col("variable") + F.col("vehicle") + F.col("platform"))
 
     def share(c):
         return F.round(safe_div(c, "total") * F.lit(100.0), 2)
@@ -264,7 +282,7 @@ def margin_trajectory(fact: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """Contribution and EBITDA margin (%) per scenario and period."""
     keys = list(keys)
     p = pivot_metrics(
-        co_locate(fact, keys), {S.CM_PCT: "cm", S.EBITDA_PCT: "ebitda"}, [*keys, "scenario", PERIOD], prefilter=True
+        fact, {S.CM_PCT: "cm", S.EBITDA_PCT: "ebitda"}, [*keys, "scenario", PERIOD], prefilter=True
     )
     return p.select(
         *keys,

@@ -4,8 +4,9 @@ Every operator takes ``keys``: entity columns that join every grouping,
 window partition and join, so one call analyses any number of independent
 P&Ls. With ``keys=()`` the result is that of a single P&L.
 
-Plan shape: the fact is co-located by ``keys`` (a no-op for the marts, which
-are already partitioned that way), then one conditional-aggregation pivot and
+Plan shape: one conditional-aggregation pivot, whose partial aggregate
+combines rows map-side, then the (period x scenario) rows are co-located by
+``keys`` (a no-op for the marts, which are already partitioned that way) and
 windows partitioned by ``(keys, ...)`` run on that partitioning without
 further exchanges. Lags of the same column are computed once and reused.
 The fact has one row per (keys, scenario, period, metric), so rows per
@@ -57,12 +58,12 @@ def scenario_spread(
 ) -> DataFrame:
     """High-minus-Low spread per period and metric, as % of Base, its growth and running total."""
     keys = list(keys)
-    fact = co_locate(fact, keys)
     p = pivot_scenarios(
         fact.where(F.col("metric").isin(list(metrics))),
         {high: "high_value", base: "base_value", low: "low_value"},
         [*keys, PERIOD, "metric"],
-    ).withColumn("spread", F.col("high_value") - F.col("low_value"))
+    )
+    p = co_locate(p, keys).withColumn("spread", F.col("high_value") - F.col("low_value"))
     w = _period_window(keys, "metric")
     p = p.select("*", _prev("spread", w, require_contiguous).alias("prev_spread"))
     prev = F.col("prev_spread")
@@ -96,12 +97,11 @@ def zero_crossings(
     the immediately preceding period is ignored (no crossing across a gap).
     """
     keys = list(keys)
-    fact = co_locate(fact, keys)
     part = [*keys, "scenario", "metric"]
     w = _period_window(keys, "scenario", "metric")
     whole = Window.partitionBy(*part)
     prev_value = _prev("value", w, require_contiguous)
-    f = fact.where(F.col("metric").isin(list(metrics))).select(
+    f = co_locate(fact.where(F.col("metric").isin(list(metrics))), keys).select(
         *part,
         PERIOD,
         F.col("value").alias("cur"),
@@ -131,7 +131,6 @@ def operating_leverage(
     The multiplier divides the already rounded growth rates.
     """
     keys = list(keys)
-    fact = co_locate(fact, keys)
     p = pivot_metrics(
         fact,
         {
@@ -144,6 +143,7 @@ def operating_leverage(
         [*keys, "scenario", PERIOD],
         prefilter=prefilter,
     )
+    p = co_locate(p, keys)
     w = _period_window(keys, "scenario")
     p = p.select(
         "*",
@@ -182,10 +182,10 @@ def volume_price_mix(
     the three sum to the change. The first period (no predecessor) is dropped.
     """
     keys = list(keys)
-    fact = co_locate(fact, keys)
     p = pivot_metrics(
         fact, {value_metric: "revenue", qty_metric: "rides"}, [*keys, "scenario", PERIOD], prefilter=True
-    ).withColumn("rpr", safe_div("revenue", "rides"))
+    )
+    p = co_locate(p, keys).withColumn("rpr", safe_div("revenue", "rides"))
     w = _period_window(keys, "scenario")
     p = p.select(
         *keys,
@@ -239,10 +239,9 @@ def cumulative_payback(
     otherwise both sides shuffle on (keys, scenario).
     """
     keys = list(keys)
-    fact = co_locate(fact, keys)
     part = [*keys, "scenario"]
     w = _period_window(keys, "scenario")
-    flow = fact.where(F.col("metric") == flow_metric).select(*part, PERIOD, F.col("value").alias("flow"))
+    flow = co_locate(fact.where(F.col("metric") == flow_metric), keys).select(*part, PERIOD, F.col("value").alias("flow"))
     flow = flow.withColumn("cumulative", exact_running_sum("flow", w))
     flow = flow.withColumn("prev_cumulative", F.lag("cumulative").over(w))
     if require_contiguous:
@@ -279,13 +278,13 @@ def growth_overtake(
     rates. The first period is removed after the windows are computed.
     """
     keys = list(keys)
-    fact = co_locate(fact, keys)
     p = pivot_metrics(
         fact,
         {S.REVENUE: "revenue", S.VARIABLE_COSTS: "variable_costs", S.TOTAL_FIXED: "fixed_costs"},
         [*keys, "scenario", PERIOD],
         prefilter=prefilter,
-    ).withColumn("total_costs", F.col("variable_costs") + F.col("fixed_costs"))
+    )
+    p = co_locate(p, keys).withColumn("total_costs", F.col("variable_costs") + F.col("fixed_costs"))
     w = _period_window(keys, "scenario")
 
     measures = ("revenue", "total_costs", "variable_costs", "fixed_costs")
@@ -316,7 +315,6 @@ def unit_economics(
 ) -> DataFrame:
     """Per-ride and per-vehicle ratios with the period change of contribution per ride."""
     keys = list(keys)
-    fact = co_locate(fact, keys)
     p = pivot_metrics(
         fact,
         {
@@ -331,6 +329,7 @@ def unit_economics(
         [*keys, "scenario", PERIOD],
         prefilter=prefilter,
     )
+    p = co_locate(p, keys)
     w = _period_window(keys, "scenario")
     cm_per_ride = safe_div("contribution_margin", "rides")
     p = p.select(
@@ -370,7 +369,6 @@ def margin_of_safety(
 ) -> DataFrame:
     """Breakeven revenue, margin of safety (absolute and %), its trend and revenue / breakeven."""
     keys = list(keys)
-    fact = co_locate(fact, keys)
     p = pivot_metrics(
         fact,
         {
@@ -383,6 +381,7 @@ def margin_of_safety(
         [*keys, "scenario", PERIOD],
         prefilter=prefilter,
     )
+    p = co_locate(p, keys)
     breakeven = safe_div("fixed_costs", safe_div("contribution_margin", "revenue"))
     mos_abs = F.col("revenue") - breakeven
     mos_pct = safe_div(mos_abs, "revenue") * F.lit(100.0)
