@@ -36,8 +36,9 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when it is unset (local tests) is a scratch folder created and set.
-    Works on classic sessions and, through the setting alone, on Spark Connect.
+    Only on a local master is a scratch folder created where it is unset (as in tests); on a cluster,
+    whose machines would not share such a folder, that is an error. Works on classic sessions and,
+    through the setting alone, on Spark Connect.
     """
     try:
         sc = spark.sparkContext
@@ -45,6 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     d = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc is not None else None)
     if not d:
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         d = tempfile.mkdtemp(prefix="scenaria-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenaria import schema as S
@@ -20,12 +20,16 @@ from scenaria import schema as S
 DIVIDER = "──"
 
 
-def slice_sections(raw: DataFrame, sections: Sequence[tuple[str, int, int]], row_col: str = "row_no") -> DataFrame:
-    """Tag rows with the section whose half-open row range ``[lo, hi)`` contains them; drop the rest.
+def slice_sections(
+    raw: DataFrame, sections: Sequence[tuple[str, int, int]], sheet: str | Sequence[str] | None = None, row_col: str = "row_no"
+) -> DataFrame:
+    """Tag rows of the named sheet(s) with the section whose half-open row range ``[lo, hi)`` contains them; drop the rest.
 
     The section list is a literal of a few entries, compiled into one CASE
-    expression: no join, no shuffle.
+    expression: no join, no shuffle. ``sheet=None`` takes rows of any sheet.
     """
+    if sheet is not None:
+        raw = raw.where(F.col("sheet").isin([sheet] if isinstance(sheet, str) else list(sheet)))
     r = F.col(row_col)
     tag: Column | None = None
     for name, lo, hi in sections:
@@ -34,11 +38,22 @@ def slice_sections(raw: DataFrame, sections: Sequence[tuple[str, int, int]], row
     return raw.withColumn("section", tag).where(F.col("section").isNotNull())
 
 
+def data_columns(df: DataFrame, n: int | None = None) -> list[str]:
+    """The data columns c0, c1, ... in order, or the first ``n`` of them."""
+    cols = sorted((c for c in df.columns if c.startswith("c") and c[1:].isdigit()), key=lambda c: int(c[1:]))
+    return cols if n is None else cols[:n]
+
+
 def rename_positional(df: DataFrame, names: Sequence[str], source_cols: Sequence[str] | None = None) -> DataFrame:
-    """Give the first ``len(names)`` data columns new names by position (like ``df.columns = [...]``)."""
-    cols = list(source_cols) if source_cols is not None else [c for c in df.columns if c.startswith("c") and c[1:].isdigit()]
-    keep = [c for c in df.columns if c not in cols]
-    return df.select(*keep, *[F.col(c).alias(n) for c, n in zip(cols, names)])
+    """Give the data columns new names by position; as many names as columns, or it is an error.
+
+    ``source_cols`` picks the columns to rename (default: all data columns); other data columns go.
+    """
+    cols = list(source_cols) if source_cols is not None else data_columns(df)
+    if len(cols) != len(names):
+        raise ValueError(f"{len(names)} names for {len(cols)} columns")
+    keep = [c for c in df.columns if c not in data_columns(df) and c not in cols]
+    return df.select(*keep, *[F.col(c).alias(n) for c, n in zip(cols, names, strict=True)])
 
 
 def clean_rows(df: DataFrame, key: str, drop_dividers: bool = True, header: str | None = None) -> DataFrame:
@@ -98,6 +113,37 @@ def matrix_to_long(
     ).select(*keys, "table", "output", x, y, "value")
 
 
+def cells_to_grid(cells: DataFrame, outputs: Mapping[str, tuple[str, str]], keys: Iterable[str] = ()) -> DataFrame:
+    """Matrix sheets as cells (keys..., sheet, row_no, col_no, cell) -> long grid rows.
+
+    Axis levels are read from the sheet: row 0 holds the levels of y, column 0 those of x, however many
+    there are. ``outputs`` maps a sheet to its (table, output). A blank cell gives a NULL value.
+    """
+    keys = list(keys)
+    part = [*keys, "sheet"]
+    row_no, col_no, cell = F.col("row_no"), F.col("col_no"), F.col("cell")
+    placed = cells.where(F.col("sheet").isin(list(outputs))).select(
+        *part,
+        row_no,
+        col_no,
+        cell,
+        F.max(F.when(col_no == 0, cell)).over(Window.partitionBy(*part, "row_no")).alias("x"),
+        F.max(F.when(row_no == 0, cell)).over(Window.partitionBy(*part, "col_no")).alias("y"),
+    )
+
+    def of(i: int) -> Column:
+        return F.element_at(F.create_map(*[F.lit(v) for s, o in outputs.items() for v in (s, o[i])]), F.col("sheet"))
+
+    return placed.where((row_no > 0) & (col_no > 0)).select(
+        *keys,
+        of(0).alias("table"),
+        of(1).alias("output"),
+        F.col("x").cast(S.AXIS).alias("x"),
+        F.col("y").cast(S.AXIS).alias("y"),
+        cell.try_cast("double").alias("value"),
+    )
+
+
 def stack_scenarios(snapshots: Mapping[str, DataFrame], scenario_col: str = "scenario") -> DataFrame:
     """Tag each per-scenario snapshot with its scenario and union them by column name."""
     out = None
@@ -107,29 +153,52 @@ def stack_scenarios(snapshots: Mapping[str, DataFrame], scenario_col: str = "sce
     return out
 
 
-def assumptions_from_sheet(raw: DataFrame, sections: Sequence[tuple[str, int, int]]) -> DataFrame:
+def tag_snapshots(df: DataFrame, scenario_of: Mapping[str, str], snapshot_col: str = "sheet") -> DataFrame:
+    """Stacked snapshots in one table: the scenario of each row from its snapshot's name; other rows go."""
+    names = F.create_map(*[F.lit(v) for kv in scenario_of.items() for v in kv])
+    return df.withColumn("scenario", F.element_at(names, F.col(snapshot_col))).where(F.col("scenario").isNotNull())
+
+
+def assumptions_from_sheet(
+    raw: DataFrame, sections: Sequence[tuple[str, int, int]], sheet: str | None = None, keys: Iterable[str] = ()
+) -> DataFrame:
     """Driver table from an assumptions sheet: slice, rename, clean, tag section."""
-    t = slice_sections(raw, sections)
-    t = rename_positional(t, ["driver_name", "unit", "base_case", "low_case", "high_case", "active_value"])
+    names = ["driver_name", "unit", "base_case", "low_case", "high_case", "active_value"]
+    t = slice_sections(raw, sections, sheet)
+    t = rename_positional(t, names, data_columns(t, len(names)))
     t = clean_rows(t, "driver_name", drop_dividers=False)
-    return t.select("section", "driver_name", "unit", "base_case", "low_case", "high_case", "active_value")
+    return t.select(*keys, "section", *names)
 
 
-def engine_from_sheet(raw: DataFrame, lo: int, hi: int, drop_dividers: bool = True) -> DataFrame:
+def engine_from_sheet(
+    raw: DataFrame, lo: int, hi: int, drop_dividers: bool = True, sheet: str | None = None, keys: Iterable[str] = ()
+) -> DataFrame:
     """Engine step table ``(metric, unit, definition, value)`` from a row range of a sheet."""
-    t = slice_sections(raw, [("engine", lo, hi)])
-    t = rename_positional(t, ["metric", "unit", "definition", "value"])
+    names = ["metric", "unit", "definition", "value"]
+    t = slice_sections(raw, [("engine", lo, hi)], sheet)
+    t = rename_positional(t, names, data_columns(t, len(names)))
     t = clean_rows(t, "metric", drop_dividers=drop_dividers, header="Metric")
-    return t.select("metric", "unit", "definition", "value")
+    return t.select(*keys, *names)
 
 
-def pl_from_sheet(raw: DataFrame, lo: int, hi: int, metrics: Iterable[str], periods: int = 12) -> tuple[DataFrame, DataFrame]:
-    """P&L block -> (long fact rows, yearly totals) for the listed metrics."""
-    t = slice_sections(raw, [("pl", lo, hi)])
+def pl_from_sheet(
+    raw: DataFrame,
+    lo: int,
+    hi: int,
+    metrics: Iterable[str],
+    periods: int = 12,
+    sheet: str | Sequence[str] | None = None,
+    keys: Iterable[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """P&L block -> (long fact rows, yearly totals) for the listed metrics, with the key columns."""
+    keys = list(keys)
     months = [f"Month_{i}" for i in range(1, periods + 1)]
-    t = rename_positional(t, ["metric", *months, "FY_Total"])
-    t = clean_rows(t, "metric", drop_dividers=False, header="Metric").where(F.col("metric").isin(list(metrics)))
-    t = t.select("metric", *[F.col(m).try_cast("double").alias(m) for m in months], F.col("FY_Total").try_cast("double").alias("fy_total"))
-    long = melt_periods(t, ["metric"], months).select("month_number", "month", "metric", "value")
-    fy = t.select("metric", "fy_total")
-    return long, fy
+    names = ["metric", *months, "FY_Total"]
+    t = slice_sections(raw, [("pl", lo, hi)], sheet)
+    t = rename_positional(t, names, data_columns(t, len(names)))
+    t = clean_rows(t, "metric", header="Metric").where(F.col("metric").isin(list(metrics)))
+    t = t.select(
+        *keys, "metric", *[F.col(m).try_cast("double").alias(m) for m in months], F.col("FY_Total").try_cast("double").alias("fy_total")
+    )
+    long = melt_periods(t, [*keys, "metric"], months).select(*keys, "month_number", "month", "metric", "value")
+    return long, t.select(*keys, "metric", "fy_total")

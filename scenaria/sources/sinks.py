@@ -13,6 +13,7 @@ files, not from the warehouse joins. ``read_planning_tables`` opens them.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,34 +41,58 @@ def write_table(
     w.parquet(path)
 
 
-# table -> (builder, partition columns, sort-within columns)
+# Partition and sort-within columns of the planning tables.
 PLANNING_TABLES = {
-    "pl_monthly": (marts.fact, ("scenario",), ("entity", "month_number", "metric")),
-    "pl_fy_totals": (marts.totals, (), ("entity", "scenario", "metric")),
-    "assumptions": (marts.assumptions, (), ("driver_name",)),
-    "sensitivity_all_lines": (lambda s, d: marts.grid(s, d, tags=("1A", "1B")), (), ("output", "x", "y")),
-    "sensitivity_closed_lines": (
-        lambda s, d: marts.grid(s, d, linestatus=marts.GRID_LINESTATUS, tags=("2A", "2B")),
-        (),
-        ("output", "x", "y"),
-    ),
+    "pl_monthly": (("scenario",), ("entity", "month_number", "metric")),
+    "pl_fy_totals": ((), ("entity", "scenario", "metric")),
+    "assumptions": ((), ("driver_name",)),
+    "sensitivity_all_lines": ((), ("output", "x", "y")),
+    "sensitivity_closed_lines": ((), ("output", "x", "y")),
+    "sensitivity_growth": ((), ("output", "x", "y")),
 }
 
 
 def planning_dir(spark: SparkSession, out_dir: str | None = None) -> str:
-    return out_dir or f"{checkpoint_dir(spark).rstrip('/')}/planning"
+    return (out_dir or f"{checkpoint_dir(spark)}/planning").rstrip("/")
 
 
 def load_planning_tables(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> str:
-    """Build and write every planning table; returns the folder they were written to."""
-    root = planning_dir(spark, out_dir)
-    for name, (build, part, order) in PLANNING_TABLES.items():
-        write_table(build(spark, sf_dir), f"{root}/{name}", partition_by=part, sort_within=order)
+    """Build and write every planning table as a new version; returns the version's folder.
+
+    The warehouse is read once per mart: months and years of the plans come from one aggregate, all grids
+    from another. Their small results are written first, and the tables are derived from what was written.
+    A version is complete when its ``_loaded`` table (row counts by table) is there, which is written last;
+    a failed load leaves earlier versions untouched.
+    """
+    root = f"{planning_dir(spark, out_dir)}/version-{time.time_ns()}"
+    levels = _written(marts.wide_levels(spark, sf_dir), f"{root}/_plan_levels")
+    cells = _written(marts.grid_cells_all_and_by_status(spark, sf_dir), f"{root}/_grid_cells")
+    fact, totals = marts.views(levels)
+    all_lines, closed = marts.split_cells(cells)
+    tables = {
+        "pl_monthly": fact,
+        "pl_fy_totals": totals,
+        "assumptions": marts.assumptions(spark, sf_dir),
+        "sensitivity_all_lines": marts.grid_from_cells(all_lines, ("1A", "1B")),
+        "sensitivity_closed_lines": marts.grid_from_cells(closed, ("2A", "2B")),
+        "sensitivity_growth": marts.growth_grid(all_lines),
+    }
+    for name, (part, order) in PLANNING_TABLES.items():
+        write_table(tables[name], f"{root}/{name}", partition_by=part, sort_within=order)
+    write_table(audit_loaded({n: spark.read.parquet(f"{root}/{n}") for n in tables}), f"{root}/_loaded")
     return root
 
 
-def read_planning_tables(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{out_dir.rstrip('/')}/{name}") for name in PLANNING_TABLES}
+def _written(df: DataFrame, path: str) -> DataFrame:
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_planning_tables(spark: SparkSession, version_dir: str) -> dict[str, DataFrame]:
+    """The tables of a complete version; an incomplete one is an error."""
+    root = version_dir.rstrip("/")
+    spark.read.parquet(f"{root}/_loaded")
+    return {name: spark.read.parquet(f"{root}/{name}") for name in PLANNING_TABLES}
 
 
 def audit_loaded(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -13,6 +13,7 @@ see one micro-batch at a time.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,10 @@ def reconcile_stream(
     scheduled load audit); ``False`` keeps watching the folder.
     """
     keys = list(keys)
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/streams/reconcile"
+    if checkpoint is None:
+        # One checkpoint per landing and report folder: streams never share a file log.
+        name = hashlib.sha256(f"{landing_dir}\n{report_dir}".encode()).hexdigest()[:16]
+        checkpoint = f"{checkpoint_dir(spark).rstrip('/')}/streams/reconcile-{name}"
     reader = spark.readStream.schema(landed_fact_schema(keys))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -60,6 +64,6 @@ def reconcile_stream(
         report = reconcile(batch, strict=strict, keys=keys).withColumn("batch_id", F.lit(batch_id))
         report.write.mode("overwrite").parquet(f"{report_dir.rstrip('/')}/batch_id={batch_id}")
 
-    writer = src.writeStream.foreachBatch(audit_batch).option("checkpointLocation", ckpt)
+    writer = src.writeStream.foreachBatch(audit_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
