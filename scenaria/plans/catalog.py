@@ -19,6 +19,7 @@ from scenaria.operators import grid as gr
 from scenaria.operators import portfolio as pf
 from scenaria.operators import timeseries as ts
 from scenaria.sources import marts, reshape
+from scenaria.sources.tables import read_table
 
 KEYS = marts.PL_KEYS  # P&L analyses: one 12-month plan per (segment, fiscal year)
 GRID_KEYS = (marts.ENTITY,)  # grid analyses: one grid per segment
@@ -46,18 +47,18 @@ def volume_price_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.volume_price_mix(marts.fact(spark, sf_dir), keys=KEYS)
 
 
-def _fact_and_totals(spark: SparkSession, sf_dir: str):
-    """Fact and totals from one warehouse pass (the shared base is checkpointed)."""
-    base = marts.shared(marts.base_measures(spark, sf_dir))
-    return marts.fact(spark, sf_dir, base), marts.totals(spark, sf_dir, base)
-
-
 def cumulative_payback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running EBITDA against the yearly fixed-cost target with payback month."""
-    fact, totals = _fact_and_totals(spark, sf_dir)
+    fact, totals = marts.fact_and_totals(spark, sf_dir)
     return ts.cumulative_payback(fact, totals, keys=KEYS)
 
 
+def payback_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative payback that flags a plan's first upward crossing only."""
+    fact, totals = marts.fact_and_totals(spark, sf_dir)
+    return ts.cumulative_payback(fact, totals, keys=KEYS, first_only=True)
+
+
 def growth_overtake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue vs cost growth; flags months where costs grow faster."""
     return ts.growth_overtake(marts.fact(spark, sf_dir), keys=KEYS)
@@ -73,20 +74,11 @@ def margin_of_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.margin_of_safety(marts.fact(spark, sf_dir), keys=KEYS)
 
 
-def _two_grids(spark: SparkSession, sf_dir: str):
-    """Both grids (all lines, closed lines) from one warehouse pass (one grouping-sets aggregate)."""
+def _grids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The grids of all lines, of closed lines, and of growth on the base cell, from one warehouse pass."""
     return marts.grids_all_and_status(spark, sf_dir)
 
 
-def _grids(spark: SparkSession, sf_dir: str) -> list[gr.GridLevers]:
-    bx, by = marts.GRID_BASE
-    all_lines, closed = _two_grids(spark, sf_dir)
-    return [
-        gr.GridLevers(all_lines, "Discount", "Tax", bx, by),
-        gr.GridLevers(closed, "Discount_Closed", "Tax_Closed", bx, by),
-    ]
-
-
 def grid_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial derivatives of margin and revenue on the (discount, tax) grid per segment."""
     g = marts.grid(spark, sf_dir, by_entity=True)
@@ -94,8 +86,14 @@ def grid_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lever_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-at-a-time lever ranking over two grids (all lines, closed lines)."""
-    return gr.lever_ranking(_grids(spark, sf_dir))
+    """One-at-a-time ranking of four levers over two grids with different axes and a common base cell."""
+    all_lines, _, growth = _grids(spark, sf_dir)
+    return gr.lever_ranking(
+        [
+            gr.GridLevers(all_lines, "Discount", "Tax", *marts.GRID_BASE),
+            gr.GridLevers(growth, "Price_Growth", "Volume_Growth", *marts.GROWTH_BASE),
+        ]
+    )
 
 
 def interaction_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,13 +111,11 @@ DRIVERS = (
     ("SMALL", "Small Part Price", 5),
     ("STANDARD", "Standard Part Price", 6),
 )
-# Tax levels of the grid (0.00 .. 0.08), the columns of the sensitivity matrix.
-TAX_LEVELS = tuple(f"0.0{i}" for i in range(9))
 
 
 def flow_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drivers -> month 1 / month 12 / FY results, Low / Base / High with High/Low ratio."""
-    fact, totals = _fact_and_totals(spark, sf_dir)
+    fact, totals = marts.fact_and_totals(spark, sf_dir)
     trace = pf.flow_trace(marts.assumptions(spark, sf_dir), fact, totals, DRIVERS, keys=KEYS)
     # Key columns label the plan (NULL on the global driver rows): report them as text.
     return trace.withColumn(marts.YEAR, F.col(marts.YEAR).cast("string"))
@@ -135,38 +131,59 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return au.reconcile(marts.fact(spark, sf_dir), keys=KEYS)
 
 
+def reconcile_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accounting identities, with INCOMPLETE for rows that lack a metric."""
+    return au.reconcile(marts.fact(spark, sf_dir), strict=True, keys=KEYS)
+
+
 def grid_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completeness, duplicates and base-cell cross-check of the two grids."""
-    bx, by = marts.GRID_BASE
-    g1, g2 = _two_grids(spark, sf_dir)
-    return au.grid_audit([au.AuditGrid("all_lines", g1, bx, by), au.AuditGrid("closed_lines", g2, bx, by)])
+    """Completeness and duplicates of the three grids, cross-check of the two that share a base cell."""
+    all_lines, closed, growth = _grids(spark, sf_dir)
+    return au.grid_audit(
+        [
+            au.AuditGrid("all_lines", all_lines, *marts.GRID_BASE),
+            au.AuditGrid("closed_lines", closed, *marts.GRID_BASE),
+            au.AuditGrid("growth", growth, *marts.GROWTH_BASE),
+        ],
+        cross_check=(0, 2),
+    )
+
+
+def grid_vs_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base cell of each plan's growth grid against the plan's yearly totals."""
+    levels = marts.wide_levels(spark, sf_dir)
+    _, totals = marts.views(levels)
+    growth = marts.plan_growth_grid(marts.wide_totals(levels))
+    return au.grid_vs_totals_check(growth, totals, *marts.GROWTH_BASE, keys=KEYS)
+
+
+def duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that stand on several lines of one order."""
+    return au.assert_unique(read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"])
 
 
 def kpi_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly KPI table per segment and scenario."""
-    return pf.kpi_totals(marts.totals(spark, sf_dir), keys=KEYS)
+    return pf.kpi_totals(marts.wide_totals(marts.wide_levels(spark, sf_dir)), keys=KEYS)
 
 
 def sensitivity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Margin grid as a discount x tax matrix."""
-    return pf.sensitivity_matrix(marts.grid(spark, sf_dir), S.OUT_MARGIN, TAX_LEVELS)
+    """Margin grid as a discount x tax matrix over all levels present, in long form."""
+    return pf.sensitivity_matrix(marts.grid(spark, sf_dir), S.OUT_MARGIN)
 
 
 def flatten_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matrix blocks of both grid outputs flattened back into long grid rows."""
+    """Matrix sheets of both grid outputs flattened back into long grid rows, levels read from the sheets."""
     g = marts.grid(spark, sf_dir)  # both matrices read the same subtree: one pass, shuffle reused
-    levels = {pf.level_name("y", lv): lv for lv in TAX_LEVELS}
-    parts = [
-        reshape.matrix_to_long(pf.sensitivity_matrix(g, out, TAX_LEVELS), "x", levels, out, tag)
-        for out, tag in ((S.OUT_MARGIN, "1B"), (S.OUT_REVENUE, "1A"))
-    ]
-    long = parts[0].unionByName(parts[1])
+    sheets = {"Revenue": ("1A", S.OUT_REVENUE), "Margin": ("1B", S.OUT_MARGIN)}
+    cells = [marts.raw_grid_cells(pf.sensitivity_matrix(g, out), sheet) for sheet, (_, out) in sheets.items()]
+    long = reshape.cells_to_grid(cells[0].unionByName(cells[1]), sheets)
     return long.select("table", "output", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "value")
 
 
 def cost_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly cost shares per segment and scenario."""
-    return pf.cost_structure(marts.totals(spark, sf_dir), keys=KEYS)
+    return pf.cost_structure(marts.wide_totals(marts.wide_levels(spark, sf_dir)), keys=KEYS)
 
 
 def margin_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,19 +198,30 @@ def unpivot_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.melt_periods(sheet, [*KEYS, "scenario", "metric"], months)
 
 
+def load_assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver table loaded from its sheet: sections, positional names, empty rows dropped."""
+    raw = marts.raw_assumption_sheet(spark, sf_dir)
+    return reshape.assumptions_from_sheet(raw, marts.ASSUMPTION_ROWS, sheet="Assumptions")
+
+
+def _pl_sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    raw = reshape.tag_snapshots(marts.raw_pl_sheets(spark, sf_dir), marts.PL_SHEETS)
+    return reshape.pl_from_sheet(raw, *marts.PL_ROWS, S.METRICS, sheet=list(marts.PL_SHEETS), keys=[*KEYS, "scenario"])
+
+
+def load_pl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long fact loaded from the plans' sheets, one snapshot per scenario."""
+    return _pl_sheets(spark, sf_dir)[0]
+
+
+def load_fy_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearly totals loaded from the plans' sheets."""
+    return _pl_sheets(spark, sf_dir)[1]
+
+
 def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts of every planning table derived from the warehouse."""
-    fact, totals = _fact_and_totals(spark, sf_dir)
-    g1, g2 = _two_grids(spark, sf_dir)
-    return au.load_audit(
-        {
-            "pl_monthly": fact,
-            "pl_fy_totals": totals,
-            "assumptions": marts.assumptions(spark, sf_dir),
-            "sensitivity_all_lines": g1,
-            "sensitivity_closed_lines": g2,
-        }
-    )
+    """Row counts of every planning table derived from the warehouse, and of lines that none of them can hold."""
+    return marts.table_counts(spark, sf_dir).unionByName(au.load_audit({"assumptions": marts.assumptions(spark, sf_dir)}))
 
 
 # Presentation order of each analysis (operators return unsorted frames; sorting
@@ -212,9 +240,17 @@ ORDER = {
     "interaction_effects": ("entity", "output", "x", "y"),
     "flow_trace": ("entity", "fiscal_year", "step_order", "stage", "metric"),
     "weighted_expectation": ("entity", "fiscal_year", "month"),
+    "payback_first": ("entity", "fiscal_year", "scenario", "month"),
     "reconcile": ("entity", "fiscal_year", "scenario", "month"),
+    "reconcile_strict": ("entity", "fiscal_year", "scenario", "month"),
+    "grid_audit": ("audit_check", "table_name"),
+    "grid_vs_totals": ("entity", "fiscal_year", "output"),
+    "duplicate_lines": ("l_orderkey", "l_partkey"),
+    "load_assumptions": ("driver_name",),
+    "load_pl": ("entity", "fiscal_year", "scenario", "metric", "month_number"),
+    "load_fy_totals": ("entity", "fiscal_year", "scenario", "metric"),
     "kpi_totals": ("entity", "fiscal_year", "scenario"),
-    "sensitivity_matrix": ("x",),
+    "sensitivity_matrix": ("x", "y"),
     "flatten_grid": ("output", "x", "y"),
     "cost_structure": ("entity", "fiscal_year", "scenario"),
     "margin_trajectory": ("entity", "fiscal_year", "scenario", "month"),
@@ -252,4 +288,11 @@ QUERIES: dict[str, Query] = {
     "margin_trajectory": margin_trajectory,
     "unpivot_fact": unpivot_fact,
     "load_audit": load_audit,
+    "load_assumptions": load_assumptions,
+    "load_pl": load_pl,
+    "load_fy_totals": load_fy_totals,
+    "payback_first": payback_first,
+    "reconcile_strict": reconcile_strict,
+    "grid_vs_totals": grid_vs_totals,
+    "duplicate_lines": duplicate_lines,
 }

@@ -27,4 +27,11 @@ ORACLE: dict[str, str] = {
     "margin_trajectory": O.margin_trajectory(),
     "unpivot_fact": O.unpivot_fact(),
     "load_audit": O.load_audit(),
+    "load_assumptions": O.load_assumptions(),
+    "load_pl": O.load_pl(),
+    "load_fy_totals": O.load_fy_totals(),
+    "payback_first": O.payback_first(),
+    "reconcile_strict": O.reconcile_strict(),
+    "grid_vs_totals": O.grid_vs_totals(),
+    "duplicate_lines": O.duplicate_lines(),
 }

@@ -14,7 +14,7 @@ import fixtures as fx  # noqa: E402
 def spark():
     from scenaria.session import local_session
 
-    s = local_session(cores="*", shuffle_partitions=8, app="scenaria-tests")
+    s = local_session(cores=os.environ.get("SCENARIA_TEST_CORES", "*"), shuffle_partitions=8, app="scenaria-tests")
     yield s
     s.stop()
 

@@ -43,3 +43,34 @@ def test_no_static_broadcast_of_the_fact_table(spark):
     # Broadcast decisions are made by AQE from measured sizes at runtime.
     p = plan(marts.fact(spark, SF_DIR))
     assert "BroadcastExchange" not in p.split("isFinalPlan=false")[-1] or "isFinalPlan=true" in p
+
+
+def scans(p: str) -> int:
+    """Scans of lineitem in a plan, not counting subtrees that it reuses."""
+    return sum("lineitem.parquet" in line for line in p.splitlines())
+
+
+@pytest.mark.parametrize("name", ["cumulative_payback", "flow_trace", "load_audit", "lever_ranking", "grid_audit", "kpi_totals"])
+def test_one_warehouse_pass_and_no_job_before_an_action(spark, name):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"plan-{name}", name)
+    df = QUERIES[name](spark, SF_DIR)
+    assert not tracker.getJobIdsForGroup(f"plan-{name}")
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert scans(final) == 1, final
+
+
+def test_grid_audit_exchanges(spark):
+    df = QUERIES["grid_audit"](spark, SF_DIR)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert sum("Exchange " in line or "Exchange\n" in line for line in final.splitlines()) <= 9, final
+
+
+def test_loaded_tables_are_combined_before_they_are_shuffled(spark, tmp_path):
+    marts.fact(spark, SF_DIR).write.parquet(str(tmp_path / "fact"))
+    loaded = spark.read.parquet(str(tmp_path / "fact"))
+    p = plan(ts.operating_leverage(loaded, keys=marts.PL_KEYS)).splitlines()
+    first = max(i for i, line in enumerate(p) if "Exchange" in line)
+    assert any("HashAggregate" in line and "partial_max" in line for line in p[first:])

@@ -1,5 +1,6 @@
 """Reshape / load steps on sheet-shaped inputs."""
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -88,6 +89,38 @@ def test_matrix_to_long_roundtrip(spark):
     assert {r["table"] for r in g} == {"1A"}
 
 
+def test_positional_rename_needs_as_many_names_as_columns(spark):
+    raw = sheet(spark, [(0, ["a", "b"])])
+    with pytest.raises(ValueError):
+        rs.rename_positional(raw, ["x", "y"])
+    assert rs.rename_positional(raw, ["x", "y"], rs.data_columns(raw, 2)).columns == ["sheet", "row_no", "x", "y"]
+
+
+def test_sections_are_cut_from_one_sheet(spark):
+    raw = sheet(spark, [(3, ["Utilization Rate", "%", "0.65"])])
+    other = raw.withColumn("sheet", F.lit("Other")).withColumn("c0", F.lit("Elsewhere"))
+    got = rs.assumptions_from_sheet(raw.unionByName(other), [("Fleet", 3, 9)], sheet="S")
+    assert [r["driver_name"] for r in got.collect()] == ["Utilization Rate"]
+
+
+def test_sheet_loads_keep_their_keys(spark):
+    months = [str(float(m)) for m in range(1, 13)]
+    raw = sheet(spark, [(8, ["Metric"]), (9, ["EBITDA"] + months + ["78.0"])]).withColumn("entity", F.lit("a"))
+    raw = raw.unionByName(raw.withColumn("entity", F.lit("b")))
+    long, fy = rs.pl_from_sheet(raw, 8, 21, ["EBITDA"], sheet="S", keys=["entity"])
+    assert {r["entity"] for r in long.collect()} == {r["entity"] for r in fy.collect()} == {"a", "b"}
+    tagged = rs.tag_snapshots(raw, {"S": "Base"})
+    assert {r["scenario"] for r in tagged.collect()} == {"Base"}
+    assert rs.tag_snapshots(raw, {"T": "Base"}).count() == 0
+
+
+def test_axis_levels_come_from_the_sheet(spark):
+    cells = [("M", 0, 1, "0.005"), ("M", 0, 2, "0.725"), ("M", 1, 0, "0.015"), ("M", 1, 1, "3.5"), ("M", 1, 2, None), ("N", 1, 1, "9")]
+    raw = spark.createDataFrame(cells, "sheet string, row_no int, col_no int, cell string")
+    got = rows(rs.cells_to_grid(raw, {"M": ("1A", "FY_Net_Revenue")}), "y")
+    assert [(float(r["x"]), float(r["y"]), r["value"]) for r in got] == [(0.015, 0.005, 3.5), (0.015, 0.725, None)]
+
+
 def test_stack_scenarios(spark):
     snap = spark.createDataFrame([(1, "EBITDA", 5.0)], "month_number int, metric string, value double")
     st = rs.stack_scenarios({"Low": snap, "Base": snap.withColumn("value", F.lit(6.0))})

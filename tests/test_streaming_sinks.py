@@ -1,9 +1,12 @@
 """Streaming audit of landed snapshots, and the write / read-back load job."""
 
 import os
+import subprocess
+import sys
 import tempfile
 
 import fixtures as fx
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -43,6 +46,10 @@ def test_load_job_writes_and_reads_back(spark):
     root = sinks.load_planning_tables(spark, SF_DIR, out)
     t = sinks.read_planning_tables(spark, root)
     counts = {r["table_name"]: r["n_rows"] for r in sinks.audit_loaded(t).collect()}
+    again = sinks.load_planning_tables(spark, SF_DIR, out)
+    assert again != root and os.path.isdir(root)  # a load is a new version; earlier ones stay
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        sinks.read_planning_tables(spark, out)  # no complete version
     assert counts["pl_monthly"] > 0 and counts["pl_fy_totals"] > 0 and counts["assumptions"] == 6
     # analyses on the loaded tables equal those on the freshly derived marts
     from scenaria.sources import marts
@@ -87,10 +94,9 @@ def test_analyses_on_loaded_tables_equal_fresh_ones(spark):
     loaded = rows(ts.cumulative_payback(t["pl_monthly"], t["pl_fy_totals"], keys=keys), *order)
     assert loaded == rows(catalog.cumulative_payback(spark, SF_DIR), *order)
     assert rows(au.reconcile(t["pl_monthly"], keys=keys), *order) == rows(catalog.reconcile(spark, SF_DIR), *order)
-    bx, by = marts.GRID_BASE
     levers = [
-        gr.GridLevers(t["sensitivity_all_lines"], "Discount", "Tax", bx, by),
-        gr.GridLevers(t["sensitivity_closed_lines"], "Discount_Closed", "Tax_Closed", bx, by),
+        gr.GridLevers(t["sensitivity_all_lines"], "Discount", "Tax", *marts.GRID_BASE),
+        gr.GridLevers(t["sensitivity_growth"], "Price_Growth", "Volume_Growth", *marts.GROWTH_BASE),
     ]
     assert rows(gr.lever_ranking(levers), "output", "lever") == rows(catalog.lever_ranking(spark, SF_DIR), "output", "lever")
 
@@ -101,5 +107,54 @@ def test_command_line_runner_writes_results(spark):
     out = tempfile.mkdtemp(prefix="scenaria-cli-")
     assert main(["load_audit", SF_DIR, out]) == 0
     got = {r["table_name"]: r["n_rows"] for r in spark.read.parquet(os.path.join(out, "load_audit")).collect()}
-    assert set(got) == {"pl_monthly", "pl_fy_totals", "assumptions", "sensitivity_all_lines", "sensitivity_closed_lines"}
+    assert set(got) == {*sinks.PLANNING_TABLES, "lines_without_scenario"}
     assert main(["no_such_analysis", SF_DIR]) == 2
+
+
+def test_command_line_prints_every_row(spark, capsys):
+    from scenaria.__main__ import main
+    from scenaria.plans.catalog import QUERIES
+
+    n = QUERIES["scenario_spread"](spark, SF_DIR).count()
+    capsys.readouterr()
+    assert main(["scenario_spread", SF_DIR]) == 0
+    assert len(capsys.readouterr().out.strip().splitlines()) == n + 2 > 52
+
+
+def test_streams_have_checkpoints_of_their_own(spark):
+    from scenaria.streaming import audit
+
+    root = tempfile.mkdtemp(prefix="scenaria-stream3-")
+    schema = landed_fact_schema(["entity"])
+    for name in ("a", "b"):
+        spark.createDataFrame(fx.fact_pdf(entities=[name]), schema).write.parquet(f"{root}/{name}/load1")
+        audit.reconcile_stream(spark, f"{root}/{name}/*", f"{root}/report-{name}", keys=["entity"]).awaitTermination(120)
+    assert spark.read.parquet(f"{root}/report-b").count() == 36
+
+
+def test_submitted_master_is_kept():
+    """Without a session of its own, the command line takes the master that the launcher names."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "from scenaria.__main__ import session; print('MASTER', session().sparkContext.master)"
+    env = {**os.environ, "PYTHONPATH": root, "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false pyspark-shell"}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
+    assert "MASTER local[2]" in out.stdout, out.stderr[-500:]
+
+
+def test_a_cluster_must_name_its_checkpoint_folder():
+    from scenaria.session import checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
