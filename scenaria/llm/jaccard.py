@@ -11,8 +11,9 @@ by chance, counted on a bounded share of the sets; they steer work only, never t
 Each signature's sets form a bucket. Buckets are not expanded to pairs: each set is first compared with its
 bucket's least one, verified exactly and united. Only in buckets whose sets are still in several components
 are the other pairs across components looked at, in blocks of bounded size, through parity bitmaps (the
-bits in which two bitmaps differ never exceed the tokens in which the sets differ); what passes is verified
-exactly. So no link between different components is lost, and links inside one need not be listed.
+bits in which two bitmaps differ never exceed the tokens in which the sets differ): first the likeliest
+pairs that would join the components to trees, then all that are left. What passes is verified exactly. So
+no link between different components is lost, and links inside one need not be listed.
 
 Tokens and sets are compared as 64-bit hashes (two of a pair's n tokens collide with a chance of n**2/2**65).
 
@@ -109,16 +110,17 @@ def word_sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def documents_as_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, k): set size and the hash that names the set."""
+    """(doc_id, t, n, k): a hash of the text, set size and the hash that names the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(word_sets(batch))
             n, k = [len(s) for s in sets], [set_hash(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(k, pa.int64())], ["doc_id", "n", "k"])
+            cols = [batch["doc_id"], batch["t"], pa.array(n, pa.int64()), pa.array(k, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "t", "n", "k"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, k long")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t long, n long, k long")
 
 
 def allocate(docs: DataFrame) -> dict[int, np.ndarray]:
@@ -243,10 +245,11 @@ def _folded(raw: bytes, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(raw, "<u8").reshape(-1, words), axis=0)
 
 
-def cross_pairs(buckets: DataFrame) -> DataFrame:
+def cross_pairs(buckets: DataFrame, spanning: bool) -> DataFrame:
     """Pairs (a, b) of a bucket across components that the bitmaps do not rule out.
 
     ``buckets``: sig, k, component, n, bits, blocks. As in a block matrix, each pair of blocks is one group.
+    ``spanning``: of a group only the pairs, the likeliest first, that would join its components to trees.
     """
     own = F.pmod(F.xxhash64("k", F.lit(3)), F.col("blocks")).cast("int")
     rows = buckets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -254,6 +257,21 @@ def cross_pairs(buckets: DataFrame) -> DataFrame:
     parts = shuffle_partitions(buckets.sparkSession)
     dealt = rows.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "own", "k")
 
+    def tree(pairs: list[tuple[int, int, int, int, int]]) -> Iterator[tuple[int, int]]:
+        parent: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while parent.setdefault(c, c) != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        for _, a, b, ca, cb in sorted(pairs):
+            u, v = find(ca), find(cb)
+            if u != v:
+                parent[u] = v
+                yield a, b
+
     def compare(group: list[dict]) -> Iterator[tuple[int, int]]:
         i, j = group[0]["i"], group[0]["j"]
         left = [r for r in group if r["own"] == i]
@@ -263,6 +281,7 @@ def cross_pairs(buckets: DataFrame) -> DataFrame:
         words = min(len(r["bits"]) for r in group) // 8
         x, y = (np.stack([_folded(r["bits"], words) for r in side]) for side in (left, right))
         (kx, nx, cx), (ky, ny, cy) = (tuple(np.array([r[c] for r in side]) for c in ("k", "n", "component")) for side in (left, right))
+        pairs = []
         for p in range(len(left)):
             most = (nx[p] + ny) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
             ok = (cx[p] != cy) & (np.abs(nx[p] - ny) <= most)
@@ -271,8 +290,10 @@ def cross_pairs(buckets: DataFrame) -> DataFrame:
             at = np.flatnonzero(ok)
             if len(at):
                 apart = np.bitwise_count(y[at] ^ x[p]).sum(axis=1, dtype=np.int64)
-                for q in at[apart <= most[at]].tolist():
-                    yield int(min(kx[p], ky[q])), int(max(kx[p], ky[q]))
+                for q, slack in zip(at.tolist(), (apart - most[at]).tolist(), strict=True):
+                    if slack <= 0:
+                        pairs.append((slack, int(min(kx[p], ky[q])), int(max(kx[p], ky[q])), int(cx[p]), int(cy[q])))
+        yield from tree(pairs) if spanning else ((a, b) for _, a, b, _, _ in pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -294,7 +315,8 @@ def cross_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, and k, the name of its set."""
+    """One row per document: doc_id, n_shingles, component_id; besides t, a hash of its text, and component, which
+    names its component whatever the ids (null for an empty set)."""
     sets = scratch.save(documents_as_sets(docs), "sets")
     index = scratch.save(signatures(docs, allocate(docs)), "signatures")
     least = index.groupBy("sig").agg(F.min("k").alias("least"), F.max("k").alias("most")).filter("least <> most")
@@ -306,21 +328,48 @@ def join(docs: DataFrame, scratch: Scratch) -> DataFrame:
     apart = F.abs(F.col("na") - F.col("nb")) * (DENOMINATOR + NUMERATOR) <= (F.col("na") + F.col("nb")) * (DENOMINATOR - NUMERATOR)
     pairs = scratch.save(pairs.filter(apart).select("a", "b"), "star-pairs")
     wanted = met.select("k").distinct()
-    texts = scratch.save(texts_of(docs, sets, wanted), "texts").dropDuplicates(["k"])
+    texts = scratch.save(texts_of(docs, sets, wanted).dropDuplicates(["k"]), "texts")
     edges = scratch.save(verify(pairs, texts), "star-edges")
-    united = scratch.save(components(edges, scratch).withColumnRenamed("vertex", "k"), "united")
-    # Buckets of three sets or more that are still in several components.
-    labelled = met.join(united, "k", "left").withColumn("component", F.coalesce("component", "k"))
-    open_ = labelled.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("many"))
-    open_ = open_.filter("c0 <> c1 AND many > 2").select("sig", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-    mixed = scratch.save(labelled.join(open_, "sig").select("sig", "k", "component", "blocks"), "mixed")
-    bits = scratch.save(bitmaps(texts.join(mixed.select("k").distinct(), "k", "left_semi").select("k", "text")), "bitmaps")
-    more = cross_pairs(mixed.join(bits, "k"))
-    more = scratch.save(more.join(pairs, (more.a == pairs.a) & (more.b == pairs.b), "left_anti"), "cross-pairs")
-    found = edges.unionByName(verify(more, texts))
-    named = scratch.save(components(found, scratch).withColumnRenamed("vertex", "k"), "components")
+    tried, bits = pairs, None
+    # Twice for buckets of three sets or more that are still in several components: first along spanning
+    # trees of their likely pairs, then all pairs left across components.
+    for spanning in (True, False):
+        united = scratch.save(components(edges, scratch).withColumnRenamed("vertex", "k"), "united")
+        labelled = met.join(united, "k", "left").withColumn("component", F.coalesce("component", "k"))
+        open_ = labelled.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("many"))
+        open_ = open_.filter("c0 <> c1 AND many > 2").select("sig", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
+        mixed = scratch.save(labelled.join(open_, "sig").select("sig", "k", "component", "blocks"), "mixed")
+        if bits is None:
+            some = texts.join(mixed.select("k").distinct(), "k", "left_semi")
+            bits = scratch.save(bitmaps(some.select("k", "text")), "bitmaps")
+        more = cross_pairs(mixed.join(bits, "k"), spanning)
+        more = scratch.save(more.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
+        tried = tried.unionByName(more)
+        edges = scratch.save(edges.unionByName(verify(more, texts)), "edges")
+    named = scratch.save(components(edges, scratch).withColumnRenamed("vertex", "k"), "components")
     members = sets.filter("n > 0").join(named, "k", "left").withColumn("component", F.coalesce("component", "k"))
     ids = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked_rows = members.join(ids, "component").select("doc_id", "n", "k", "component_id")
-    alone = sets.filter("n = 0").select("doc_id", "n", "k", F.col("doc_id").alias("component_id"))
-    return linked_rows.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "k")
+    linked_rows = members.join(ids, "component").select("doc_id", "n", "component_id", "t", "component")
+    alone = sets.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "t", F.lit(None).cast("long").alias("component"))
+    return linked_rows.unionByName(alone).withColumnRenamed("n", "n_shingles")
+
+
+def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents, of each component only the one with the least doc_id (of equal ids: the least text hash).
+
+    Documents with an empty set all stay. Of rows that repeat the kept one, one stays.
+    """
+    rows = scratch.save(join(docs, scratch), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
+    best = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("best"))
+    best = best.select(F.col("best.doc_id").alias("_id"), F.col("best.t").alias("_t"))
+    empty = rows.filter("component IS NULL").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
+    stay = best.withColumn("_empty", F.lit(False)).unionByName(empty.distinct().withColumn("_empty", F.lit(True)))
+    stay = scratch.save(stay, "stay")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
+    kept = docs.join(stay, same).drop("_id", "_t")
+    many = rows.filter("component IS NOT NULL").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if many.limit(1).count():
+        full = kept.filter("_empty").drop("_empty")
+        return kept.filter("NOT _empty").drop("_empty").dropDuplicates(["doc_id", "text"]).unionByName(full)
+    return kept.drop("_empty")
