@@ -273,7 +273,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> D
     again = each.groupBy("h", "w").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("h", "w")
     single = each.filter("wanted").join(again, ["h", "w"]).select("t", "n", "lo", F.lit(1).alias("starts"))
     spans = whole.unionByName(equal).unionByName(single)
-    return spans.groupBy("t", "n").agg(F.collect_list(F.struct("lo", "starts")).alias("spans"))
+    return scratch.save(spans.groupBy("t", "n").agg(F.collect_list(F.struct("lo", "starts")).alias("spans")), "spans")
 
 
 def _removed(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -288,29 +288,31 @@ def _removed(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return list(zip(lo[new].tolist(), reach[np.concatenate([new[1:] - 1, [len(lo) - 1]])].tolist(), strict=True))
 
 
-def remove(docs: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256."""
-    lists = spans.select(F.col("t").alias("_t"), F.col("n").alias("_n"), "spans")
-    keyed = _keyed(docs)
-    joined = keyed.join(lists, (keyed["t"] == F.col("_t")) & (keyed["n"] == F.col("_n")), "left").select("doc_id", "text", "spans")
+def remove(docs: DataFrame, spans: DataFrame, passed: tuple[str, ...] = ("doc_id",), length: int = LENGTH) -> DataFrame:
+    """The passed columns of each document with n_bytes, n_removed, n_spans, kept_sha256 and kept.
+
+    kept_sha256 is that of the bytes left; kept is their text, without characters that lost some of their bytes.
+    """
+    raw = utf8(F.col("text"))
+    docs = docs.select(*passed, raw.alias("_raw"))
+    lists = spans.select(F.col("t").alias("_t"), F.col("n").alias("_n"), F.col("spans").alias("_spans"))
+    same = (F.xxhash64("_raw") == F.col("_t")) & (F.octet_length("_raw") == F.col("_n"))
+    joined = docs.join(lists, same, "left").drop("_t", "_n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, found in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-                raw = text.encode()
+            for raw, found in zip(batch["_raw"].to_pylist(), batch["_spans"].to_pylist(), strict=True):
                 cuts = _removed(found, length)
                 ends = [0, *(e for _, e in cuts)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends, [*(b for b, _ in cuts), len(raw)], strict=True))
-                out.append((len(raw), len(raw) - len(kept), len(cuts), kept, hashlib.sha256(kept).hexdigest()))
+                out.append((len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
             cols = list(zip(*out, strict=True)) or [()] * 5
-            types = [pa.int64()] * 3 + [pa.binary(), pa.string()]
+            types = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], *(pa.array(c, k) for c, k in zip(cols, types, strict=True))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
+                [*(batch[c] for c in passed), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))],
+                [*passed, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-    )
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed)
+    return joined.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
