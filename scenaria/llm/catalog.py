@@ -36,8 +36,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "epoch",
         F.col("_block").alias("block"),
         "alpha",
-        "weight",
-        "mix_position",
+        F.round("weight", 9).alias("weight"),
+        F.round("mix_position", 9).alias("mix_position"),
     )
 
 
