@@ -2,7 +2,7 @@
 
 Usage: python tools/plan_report.py [sf_dir]
 Per analysis: warehouse scans, exchanges, join strategies, windows, sorts,
-Python evaluation nodes, and whether a shared base was checkpointed.
+and Python evaluation nodes.
 """
 
 from __future__ import annotations
@@ -27,13 +27,12 @@ def summary(plan: str) -> dict:
         "windows": final.count("Window ["),
         "sorts": final.count("Sort ["),
         "python_nodes": final.count("EvalPython"),
-        "checkpoint_reads": final.count("Scan ExistingRDD"),
     }
 
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = local_session()
+    spark = local_session(cores=os.environ.get("CORES", "*"))
     cols = None
     for name, q in QUERIES.items():
         df = q(spark, sf_dir)
