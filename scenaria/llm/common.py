@@ -19,6 +19,9 @@ OPTIONS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # Texts are long: small Arrow batches keep the Python workers' memory low.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }
 
 

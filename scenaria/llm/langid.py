@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 ORDER = 3
 LETTER = re.compile(r"[^\W\d_]")
 #: Texts are scored in runs of so many bytes; longer texts in segments that see the bytes before them.
-RUN_BYTES = 1 << 19
+RUN_BYTES = 1 << 17
 UNKNOWN = "und"
 
 
@@ -183,10 +183,10 @@ class Model:
             state = self.step[sym[2:-1]]  # from the empty context, whose state is 0
             state = self.step[state * self.width + sym[1:-2]]
             state = self.step[state * self.width + sym[:-3]]
-            cost = self.lengths[self.start_row[state] + sym[3:]]
+            at = self.start_row[state] + sym[3:]
+            cost = self.lengths[np.append(at, 0)]  # one row more, so that the last segment has an end
             edges = np.stack([starts - ORDER, ends - ORDER], 1).ravel()
-            padded = np.concatenate([cost, np.zeros((1, cost.shape[1]), cost.dtype)])
-            np.add.at(bits, rows, np.add.reduceat(padded, edges, axis=0, dtype=np.float64)[::2])
+            np.add.at(bits, rows, np.add.reduceat(cost, edges, axis=0, dtype=np.float64)[::2])
         return bits
 
 

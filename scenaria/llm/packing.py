@@ -31,8 +31,8 @@ DEPTH = 3
 END = 1
 #: Ranks in a class are counted in so many parts.
 RANK_PARTS = 64
-#: Entries of a worker's cache of encoded words, which then starts anew.
-CACHE_WORDS = 1_000_000
+#: Entries of a task's cache of encoded words, which then starts anew.
+CACHE_WORDS = 200_000
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -49,13 +49,21 @@ class Encoder(dict):
         import base64
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(tokenizer)
+        self.tokenizer, self._whole = tokenizer, None
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.parts = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @property
+    def whole(self):
+        """The tokenizer itself, loaded when a text first needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.tokenizer)
+        return self._whole
+
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
@@ -89,7 +97,7 @@ _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(tokenizer: str = TOKENIZER, ranks: str = RANKS) -> Encoder:
-    """The worker's encoder; it is kept between tasks."""
+    """The worker's encoder; it is kept between tasks, but for its cache of words."""
     if (tokenizer, ranks) not in _ENCODERS:
         _ENCODERS[tokenizer, ranks] = Encoder(tokenizer, ranks)
     return _ENCODERS[tokenizer, ranks]
@@ -99,24 +107,29 @@ def cut(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, window:
     """One row per piece of each document, with the checksum of its ids; a document's last id is END."""
     end = np.array([END], "<u4").tobytes()
 
+    def pieces(enc: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, start, length, crc, total = [], [], [], [], []
+        for i, text in enumerate(batch["text"].to_pylist()):
+            ids = enc.encode(text) + end
+            n = len(ids) // 4
+            for at in range(0, n, window):
+                part = ids[4 * at : 4 * (at + window)]
+                row.append(i), start.append(at), length.append(len(part) // 4)
+                crc.append(zlib.crc32(part)), total.append(n)
+        longs = (pa.array(x, pa.int64()) for x in (start, length, crc, total))
+        return pa.RecordBatch.from_arrays(
+            [batch["doc_id"].take(pa.array(row, pa.int64())), *longs], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from scenaria.llm.packing import encoder
 
         enc = encoder(tokenizer, ranks)
-        for batch in batches:
-            row, start, length, crc, total = [], [], [], [], []
-            for i, text in enumerate(batch["text"].to_pylist()):
-                ids = enc.encode(text) + end
-                n = len(ids) // 4
-                for at in range(0, n, window):
-                    part = ids[4 * at : 4 * (at + window)]
-                    row.append(i), start.append(at), length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part)), total.append(n)
-            longs = (pa.array(x, pa.int64()) for x in (start, length, crc, total))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(pa.array(row, pa.int64())), *longs],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
-            )
+        try:
+            for batch in batches:
+                yield pieces(enc, batch)
+        finally:
+            enc.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
