@@ -1,13 +1,16 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors, exactly: sorted projection passes first, then all classes against all others.
 
 Equal vectors form one class, compared once. In each pass, the signs of random projections are
 concatenated to a code; classes are ordered by their codes (range partitioning and a sort), and each is
 compared with a bounded number of its neighbours in that order. Pairs whose cosine reaches the threshold
-are united across all passes into components. At the end, the links inside each component are counted
-exactly, in blocks of bounded size, so that a vector's links do not depend on the window.
+are united across all passes into components. The passes only spare edges: they settle nothing.
 
-A pair is missed only if no chain of links found joins its ends. Windows end at partition edges; the
-passes' independent codes make up for that. All cosines are taken in double precision.
+Then a chunk of classes of bounded size at a time goes to all tasks and is compared with all classes of
+its own and later chunks, which counts every link and finds those between components that no pass met.
+A tile of a chunk is left out for a vector only when the angle to the tile's centre exceeds the tile's
+radius and the threshold's angle together, so no pair is lost. Work grows with the square of the number of
+classes, less what the tiles spare. Cosines are decided in double precision; single precision only rules
+out pairs that lie below the threshold by more than its largest error.
 
 Defined results: a vector that is null, empty or zero, or that holds a null or non-finite component,
 links with nothing (so does a row without vec_id); vectors of different lengths never link; rows that
@@ -29,7 +32,8 @@ from .graph import components
 PASSES = 6
 NEIGHBOURS = 48
 BITS = 63
-BLOCK = 1024
+#: Bytes of vectors that all tasks are given at once, and the vectors of a tile.
+CHUNK_BYTES, TILE = 32 << 20, 256
 SEED = 20_240_229
 
 
@@ -116,59 +120,114 @@ def neighbour_edges(ordered: DataFrame, threshold: float, neighbours: int = NEIG
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def count_links(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(k, links): linked rows of other classes in the same component.
-
-    ``members``: component, k, vec, copies. Components are cut into blocks by a hash of k; each pair of
-    blocks is one group of rows, so that no task holds more than two blocks of a component at once.
+def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x and y have a cosine of ``threshold`` or more."""
+    slack = (x.shape[1] + 4) * 2.0**-22  # more than twice the largest error of single precision
+    maybe = x.astype(np.float32) @ y.astype(np.float32).T >= threshold - slack
+    rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+    if len(rows):
+        maybe[np.ix_(rows, cols)] = x[rows] @ y[cols].T >= threshold
+    return maybe
+
+
+def tiles(x: np.ndarray, threshold: float, size: int = TILE) -> list[tuple[int, int, np.ndarray, float]]:
+    """(begin, end, centre, reach): a vector with a cosine under reach to the centre is near none of the tile's."""
+    out = []
+    for begin in range(0, len(x), size):
+        part = x[begin : begin + size]
+        centre = part.sum(axis=0)
+        length = np.sqrt(centre @ centre)
+        if length < 1e-9:
+            out.append((begin, begin + size, centre, -1.0))
+            continue
+        centre /= length
+        angle = np.arccos(np.clip((part @ centre).min(), -1, 1)) + np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+        out.append((begin, begin + size, centre, float(np.cos(angle)) if angle < np.pi else -2.0))
+    return out
+
+
+def chunk_links(left: DataFrame, chunk: pa.Table, number: int, threshold: float) -> DataFrame:
+    """The links between a chunk's classes and all of ``left`` (k, vec, copies, component, chunk).
+
+    Rows (k, null, links): rows of other classes linked with k; rows (a, b, 0): linked components, per task
+    only those that unite groups. Pairs inside the chunk meet twice and count one way each time.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int")
-    rows = members.join(sizes, "component").withColumn("own", own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "vec", "copies"
-    )
-    n = shuffle_partitions(members.sparkSession)
-    dealt = rows.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "own", "k")
-
-    def links(group: list[dict]) -> Iterator[tuple[int, int]]:
-        for dim in {len(r["vec"]) for r in group}:
-            own = [r for r in group if len(r["vec"]) == dim]
-            i, j = group[0]["i"], group[0]["j"]
-            left = [r for r in own if r["own"] == i]
-            right = left if i == j else [r for r in own if r["own"] == j]
-            if not left or not right:
-                continue
-            near = (_rows([r["vec"] for r in left]) @ _rows([r["vec"] for r in right]).T) >= threshold
-            if i == j:
-                np.fill_diagonal(near, False)
-            for row, n in zip(left, near @ np.array([r["copies"] for r in right]), strict=True):
-                yield row["k"], int(n)
-            if i != j:
-                for row, n in zip(right, np.array([r["copies"] for r in left]) @ near, strict=True):
-                    yield row["k"], int(n)
+    raws = chunk["vec"].to_pylist()
+    sides = {}
+    for dim in {len(r) for r in raws}:
+        at = [i for i, r in enumerate(raws) if len(r) == dim]
+        x = _rows([raws[i] for i in at])
+        sides[dim] = (*(chunk[c].to_numpy()[at] for c in ("k", "copies", "component")), x, tiles(x, threshold))
+    shared = left.sparkSession.sparkContext.broadcast(sides)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            ks, ns = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ns, pa.int64())], ["k", "links"])
-
-        group, found = [], []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if group and (r["component"], r["i"], r["j"]) != (group[0]["component"], group[0]["i"], group[0]["j"]):
-                    found += links(group)
-                    group = []
-                group.append(r)
-            yield out(found)
-            found = []
-        yield out(list(links(group)) if group else [])
+        by_dim = shared.value
+        total = {dim: np.zeros(len(side[0]), np.int64) for dim, side in by_dim.items()}
+        parent: dict[int, int] = {}
 
-    return dealt.mapInArrow(run, "k long, links long").groupBy("k").agg(F.sum("links").alias("links"))
+        def find(c: int) -> int:
+            while parent.setdefault(c, c) != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
 
+        def counted(k: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
+            at = np.flatnonzero(links)
+            return pa.RecordBatch.from_arrays([pa.array(k[at]), pa.nulls(len(at), pa.int64()), pa.array(links[at])], ["k", "b", "links"])
 
-def near_duplicates(table: DataFrame, scratch: Scratch, threshold: float = 0.95, passes: int = PASSES) -> DataFrame:
+        for batch in batches:
+            raws, edges = batch["vec"].to_pylist(), []
+            for dim in {len(r) for r in raws} & by_dim.keys():
+                at = [i for i, r in enumerate(raws) if len(r) == dim]
+                k, copies, label, where = (batch[c].to_numpy()[at] for c in ("k", "copies", "component", "chunk"))
+                x, links = _rows([raws[i] for i in at]), np.zeros(len(at), np.int64)
+                back = np.where(where == number, 0, copies)
+                other_k, other_copies, other_label, y, parts = by_dim[dim]
+                for begin, end, centre, reach in parts:
+                    some = np.flatnonzero(x @ centre >= reach)
+                    if not len(some):
+                        continue
+                    near = _near(x[some], y[begin:end], threshold)
+                    near &= k[some, None] != other_k[begin:end]
+                    if not near.any():
+                        continue
+                    links[some] += near @ other_copies[begin:end]
+                    total[dim][begin:end] += back[some] @ near
+                    i, j = np.nonzero(near & (label[some, None] != other_label[begin:end]))
+                    for a, b in np.unique(np.stack([label[some[i]], other_label[begin + j]], axis=1), axis=0).tolist():
+                        u, v = find(a), find(b)
+                        if u != v:
+                            parent[u] = v
+                            edges.append((a, b))
+                yield counted(k, links)
+            a, b = zip(*edges, strict=True) if edges else ((), ())
+            cols = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([0] * len(a), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["k", "b", "links"])
+        for dim, side in by_dim.items():
+            yield counted(side[0], total[dim])
+
+    return left.mapInArrow(run, "k long, b long, links long")
+
+
+def all_links(labelled: DataFrame, threshold: float, scratch: Scratch, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of ``chunk_links`` for all classes: ``labelled`` has k, vec, copies, component and code0."""
+    size = labelled.agg(F.sum(F.octet_length("vec"))).first()[0] or 0
+    chunks = max(1, -(-size // chunk_bytes))
+    dealt = labelled.withColumn("chunk", F.pmod(F.xxhash64("k", F.lit(1)), F.lit(chunks)).cast("int"))
+    dealt = scratch.save(dealt.repartition(shuffle_partitions(labelled.sparkSession), "k"), "labelled")
+    found = None
+    for c in range(chunks):
+        # In an order that brings near vectors together, so that the tiles are small.
+        chunk = dealt.filter(F.col("chunk") == c).orderBy("code0", "k").toArrow()
+        links = chunk_links(dealt.filter(F.col("chunk") >= c), chunk, c, threshold)
+        links = scratch.save(links, "links")
+        found = links if found is None else found.unionByName(links)
+    return found
+
+
+def near_duplicates(
+    table: DataFrame, scratch: Scratch, threshold: float = 0.95, passes: int = PASSES, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
     """One row per vector: n_links, component_id and whether it is the one kept of its component."""
     spark = table.sparkSession
     rows = scratch.save(classes(table), "rows")
@@ -182,9 +241,15 @@ def near_duplicates(table: DataFrame, scratch: Scratch, threshold: float = 0.95,
         ordered = coded.select("k", "vec", f"code{p}").repartitionByRange(n, f"code{p}", "k").sortWithinPartitions(f"code{p}", "k")
         edges = neighbour_edges(ordered.select("k", "vec"), threshold)
         found = edges if found is None else found.unionByName(edges)
-    united = scratch.save(components(found.distinct(), scratch).withColumnRenamed("vertex", "k"), "components")
+    edges = scratch.save(found.distinct(), "pass-edges")
+    united = scratch.save(components(edges, scratch).withColumnRenamed("vertex", "k"), "united")
+    labelled = coded.select("k", "vec", "code0").join(grouped.select("k", "copies"), "k").join(united, "k", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "k"))
+    compared = all_links(labelled, threshold, scratch, chunk_bytes)
+    links = compared.filter("b IS NULL").groupBy("k").agg(F.sum("links").alias("links"))
+    edges = edges.unionByName(compared.filter("b IS NOT NULL").select(F.col("k").alias("a"), "b"))
+    united = scratch.save(components(edges, scratch).withColumnRenamed("vertex", "k"), "components")
     members = united.join(grouped, "k")
-    links = count_links(members.select("component", "k", "vec", "copies"), threshold)
     ids = members.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_class = (
         grouped.select("k", "least_id", "copies")
