@@ -1,11 +1,12 @@
 """Licence statements by exact set-similarity join of text blocks with templates.
 
-A block is up to BLOCK_WORDS consecutive words of a line (longer lines give overlapping blocks, so any
-run of half as many words lies in one). A block matches a template when it holds at least ``threshold``
-of the template's distinct words. Template words are ordered by how often they occur in all texts, the
+A block is any run of ``block_words`` consecutive words of a text, line ends counting as blanks: BLOCK_WORDS,
+or twice the words of the longest template if that is more. A block matches a template when it holds at least
+``threshold`` of the template's distinct words. Template words are ordered by how often they occur in all texts, the
 rarest first. A block can match only if it holds a word of the template's prefix (the first
 |T| - need + 1 words; prefix filter), has at least ``need`` distinct words (length filter), and has
-enough words left behind the first common one (positional filter); what passes is counted exactly.
+enough words left behind the first common one (positional filter); what passes is counted exactly. The filters look at stretches of twice a block's words, each beginning a block
+further, so that any block lies in one; in those that pass, the block slides word by word.
 
 Besides, fixed phrases give base labels wherever their words stand consecutively.
 
@@ -76,13 +77,15 @@ class Templates:
     def __init__(self, templates: dict[str, str], counts: dict[bytes, int], threshold: float = THRESHOLD):
         words = template_words(templates)
         self.order = {w: i for i, w in enumerate(sorted(words, key=lambda w: (counts.get(w, 0), w)))}
-        self.sets, self.prefixes = [], {}
+        self.sets, self.set_words, self.prefixes = [], [], {}
         for text, label in sorted(templates.items()):
             ranked = sorted({self.order[w] for w in words_of(text)})
             need = math.ceil(threshold * len(ranked) - 1e-9)
             for at, word in enumerate(ranked[: len(ranked) - need + 1]):
                 self.prefixes.setdefault(word, []).append((len(self.sets), at))
             self.sets.append((label, ranked, frozenset(ranked), need))
+            self.set_words.append(set(words_of(text)))
+        self.block_words = max([BLOCK_WORDS, *(2 * len(words_of(t)) for t in templates)])
         self.least = min((x[3] for x in self.sets), default=0)
         self.rare = [b" " + w + b" " for w, i in self.order.items() if i in self.prefixes]
 
@@ -111,12 +114,36 @@ class Templates:
                     yield k, common / len(whole)
 
 
-def blocks(text: str) -> Iterator[set[bytes]]:
-    for line in text.encode().split(b"\n"):
-        words = words_of(line)
-        step = BLOCK_WORDS // 2
-        for at in range(0, max(len(words) - step, 1), step):
-            yield set(words[at : at + BLOCK_WORDS])
+def most_held(words: list[bytes], wanted: set[bytes], size: int) -> int:
+    """The most distinct words of ``wanted`` that stand in ``size`` consecutive words."""
+    places = [(i, w) for i, w in enumerate(words) if w in wanted]
+    held: Counter = Counter()
+    most = first = 0
+    for i, w in places:
+        held[w] += 1
+        while i - places[first][0] >= size:
+            out = places[first][1]
+            held[out] -= 1
+            if not held[out]:
+                del held[out]
+            first += 1
+        most = max(most, len(held))
+    return most
+
+
+def find(words: list[bytes], index: Templates) -> Iterator[tuple[int, float]]:
+    """Templates that a block of a text contains to the threshold, with the containment."""
+    size = index.block_words
+    for at in range(0, max(len(words) - size, 1), size):
+        stretch = words[at : at + 2 * size]
+        for k, containment in index.match(set(stretch)):
+            _, _, whole, need = index.sets[k]
+            if len(stretch) > size:
+                common = most_held(stretch, index.set_words[k], size)
+                if common < need:
+                    continue
+                containment = common / len(whole)
+            yield k, containment
 
 
 def scan(
@@ -140,10 +167,9 @@ def scan(
                         base.add(label)
                         at = padded.find(phrase, at + 1)
                 if index.candidate(padded):
-                    for block in blocks(text):
-                        for k, containment in index.match(block):
-                            labels.add(index.sets[k][0])
-                            score = max(score, containment)
+                    for k, containment in find(words, index):
+                        labels.add(index.sets[k][0])
+                        score = max(score, containment)
                 score = 1.0 if base else score
                 out.append(
                     (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score)

@@ -4,7 +4,7 @@ import llm_tables as lt
 import numpy as np
 import pytest
 
-from scenaria.llm import vectors
+from scenaria.llm import licences, vectors
 from scenaria.llm.common import Scratch
 
 
@@ -25,3 +25,36 @@ def test_vectors_lose_no_lone_pair(spark, tmp_path, chunk_bytes):
     assert links.tolist() == got.n_links[range(8000)].tolist() and (links == 1).all()
     assert got.component_id[range(8000)].tolist() == [*range(4000), *range(4000)]
     assert got.kept.sum() == 4000
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+HEADERS = {
+    "mit": MIT,
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that",
+    "mpl": " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not",
+}
+
+
+def test_wrapped_licences_at_any_place(spark, tmp_path):
+    rows = [(i, "word " * (7 * i) + "\n" + list(HEADERS.values())[i % 3] + "\nword" * (5 * i), "en", "s") for i in range(60)]
+    rows += [(100, " ".join(("pad " * 9).join(MIT.split()[:17]).split()), "en", "s")]  # nine words between any two: no block holds it
+    docs = spark.read.parquet(lt.write(tmp_path, rows) + "/documents.parquet")
+    got = licences.scan(docs).toPandas().set_index("doc_id")
+    assert [got.labels[i] for i in range(60)] == [list(HEADERS)[i % 3] for i in range(60)]
+    assert (got.score[range(60)] == 1).all() and got.labels[100] == ""
+
+
+def test_a_whole_licence_text_as_template(spark, tmp_path):
+    """A template longer than a block of BLOCK_WORDS words, wherever it begins."""
+    template = " ".join(w.decode() for w in licences.words_of(MIT + MIT.upper().replace("SOFTWARE", "WORK")))
+    assert len(template.split()) > licences.BLOCK_WORDS
+    rows = [(i, "word " * (11 * i) + template, "en", "s") for i in range(40)]
+    docs = spark.read.parquet(lt.write(tmp_path, rows) + "/documents.parquet")
+    got = licences.scan(docs, {template: "whole"}, {}).toPandas()
+    assert (got.labels == "whole").all() and (got.score == 1).all()
