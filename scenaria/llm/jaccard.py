@@ -36,10 +36,6 @@ from .common import Scratch, shuffle_partitions
 from .graph import components
 from .wordhash import GOLDEN, mix, set_hash, shingles
 
-#: Similarity as a fraction of whole numbers: 100 * common >= 90 * union.
-NUMERATOR, DENOMINATOR = 90, 100
-WORDS = 3
-BAND_RATIO = 1.25
 #: Segments beyond the needed ones, so that the costliest can be left out.
 SPARE = 0.08
 #: One in so many sets is counted to find the costs of segments; at most so many segments have costs.
@@ -51,24 +47,24 @@ BLOCK = 1024
 BITS_PER_DIFFERENCE = 64
 
 
-def differing(sizes: int) -> int:
-    """The most tokens in which two linked sets whose sizes add up to ``sizes`` can differ."""
-    return sizes * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+class Similarity:
+    """Shingle length and least similarity, a fraction of whole numbers: denominator * common >= numerator * union.
 
+    With its size bands [low, high), and each band's scheme: number of segments and the differences they cover.
+    """
 
-class Bands:
-    """Size bands [low, high), and each band's scheme: number of segments and the differences they cover."""
-
-    def __init__(self) -> None:
+    def __init__(self, words: int, numerator: int, denominator: int = 100) -> None:
+        self.words, self.numerator, self.denominator = words, numerator, denominator
         self.low: list[int] = []
-        at = next(s for s in range(1, 10**6) if differing(2 * s + 1) >= 1)
+        at = next(s for s in range(1, 10**6) if self.differing(2 * s + 1) >= 1)
         while at < 1 << 31:
             self.low.append(at)
-            at = max(at + 1, math.ceil(at * BAND_RATIO))
+            # Bands 2.25 times as wide as the sizes that link with one size.
+            at = max(at + 1, -(-at * (4 * numerator + 9 * (denominator - numerator)) // (4 * numerator)))
         self.high = [*self.low[1:], at]
         #: The largest size that can link with a set of the band.
-        self.reach = [(h - 1) * DENOMINATOR // NUMERATOR for h in self.high]
-        self.covered = [differing(h - 1 + r) for h, r in zip(self.high, self.reach, strict=True)]
+        self.reach = [(h - 1) * denominator // numerator for h in self.high]
+        self.covered = [self.differing(h - 1 + r) for h, r in zip(self.high, self.reach, strict=True)]
         self.segments = [h + 1 + math.ceil(SPARE * (h + 1)) for h in self.covered]
 
     def of(self, size: int) -> list[int]:
@@ -76,13 +72,30 @@ class Bands:
         b = int(np.searchsorted(self.low, size, "right")) - 1
         return [x for x in (b - 1, b) if x >= 0 and size <= self.reach[x]]
 
+    def differing(self, sizes):
+        """The most tokens in which two linked sets whose sizes add up to ``sizes`` can differ."""
+        return sizes * (self.denominator - self.numerator) // (self.denominator + self.numerator)
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return self.denominator * common >= self.numerator * (len(a) + len(b) - common)
+
+    def set_of(self, text: str | None) -> np.ndarray:
+        return shingles((text or "").encode().lower(), self.words)
+
+    def word_sets(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for text in batch["text"].to_pylist():
+            yield self.set_of(text)
 
-BANDS = Bands()
 
+#: 3-word shingles, 0.9: what the queries and functions take unless told otherwise.
+BANDS = Similarity(3, 90)
+linked = BANDS.linked
 
-def segment_keys(tokens: np.ndarray, band: int, levels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+
+def segment_keys(tokens: np.ndarray, band: int, levels: np.ndarray | None, like: Similarity = BANDS) -> tuple[np.ndarray, np.ndarray]:
     """(segment, key) of a set under a band's scheme; levels None: all segments at level 0."""
-    m = BANDS.segments[band]
+    m = like.segments[band]
     spread = mix(tokens + np.uint64((band + 1) * int(GOLDEN) % (1 << 64)))
     place = (spread >> np.uint64(33)).astype(np.int64) % m
     order = np.argsort(place, kind="stable")
@@ -104,17 +117,12 @@ def segment_keys(tokens: np.ndarray, band: int, levels: np.ndarray | None) -> tu
     return segments, keys
 
 
-def word_sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for text in batch["text"].to_pylist():
-        yield shingles((text or "").encode().lower(), WORDS)
-
-
-def documents_as_sets(docs: DataFrame) -> DataFrame:
+def documents_as_sets(docs: DataFrame, like: Similarity) -> DataFrame:
     """(doc_id, t, n, k): a hash of the text, set size and the hash that names the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(word_sets(batch))
+            sets = list(like.word_sets(batch))
             n, k = [len(s) for s in sets], [set_hash(s) for s in sets]
             cols = [batch["doc_id"], batch["t"], pa.array(n, pa.int64()), pa.array(k, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "t", "n", "k"])
@@ -123,7 +131,7 @@ def documents_as_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t long, n long, k long")
 
 
-def allocate(docs: DataFrame) -> dict[int, np.ndarray]:
+def allocate(docs: DataFrame, like: Similarity) -> dict[int, np.ndarray]:
     """Levels of the segments by band: the cheapest that add up to the band's need.
 
     Costs come from one set in COST_SHARE. A segment at level 0 costs one row a set and the pairs that
@@ -133,9 +141,9 @@ def allocate(docs: DataFrame) -> dict[int, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, s, g = [], [], []
-            for tokens in word_sets(batch):
-                for band in BANDS.of(len(tokens)):
-                    segments, keys = segment_keys(tokens, band, None)
+            for tokens in like.word_sets(batch):
+                for band in like.of(len(tokens)):
+                    segments, keys = segment_keys(tokens, band, None, like)
                     b.append(np.full(len(keys), band)), s.append(segments), g.append(keys.view(np.int64))
             cols = [pa.array(np.concatenate(x).astype(np.int64) if x else [], pa.int64()) for x in (b, s, g)]
             yield pa.RecordBatch.from_arrays(cols, ["band", "segment", "sig"])
@@ -153,14 +161,14 @@ def allocate(docs: DataFrame) -> dict[int, np.ndarray]:
     for r in costs:
         by_band.setdefault(r.band, []).append(r)
     levels = {}
-    for band, need in enumerate(BANDS.covered):
-        m = BANDS.segments[band]
+    for band, need in enumerate(like.covered):
+        m = like.segments[band]
         if m > COST_SEGMENTS:
             break
         rows, pairs = np.ones(m), np.zeros(m)
         for r in by_band.get(band, ()):
             rows[r.segment], pairs[r.segment] = r.rows, r["pairs"]
-        tokens = (BANDS.low[band] + BANDS.high[band]) / 2 / m
+        tokens = (like.low[band] + like.high[band]) / 2 / m
         first = rows + pairs * COST_SHARE
         second = rows * tokens + (tokens + 1) * pairs * COST_SHARE
         chosen = np.argsort(np.concatenate([first, np.maximum(second, first)]), kind="stable")[: need + 1]
@@ -168,7 +176,7 @@ def allocate(docs: DataFrame) -> dict[int, np.ndarray]:
     return levels
 
 
-def signatures(docs: DataFrame, levels: dict[int, np.ndarray]) -> DataFrame:
+def signatures(docs: DataFrame, levels: dict[int, np.ndarray], like: Similarity) -> DataFrame:
     """(sig, k, n): every set's index keys under its schemes."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -176,10 +184,10 @@ def signatures(docs: DataFrame, levels: dict[int, np.ndarray]) -> DataFrame:
         by_band = shared.value
         for batch in batches:
             sig, owner, count = [], [], []
-            for tokens in word_sets(batch):
-                for band in BANDS.of(len(tokens)):
-                    flat = np.zeros(BANDS.segments[band], np.int64)
-                    _, keys = segment_keys(tokens, band, by_band.get(band, flat))
+            for tokens in like.word_sets(batch):
+                for band in like.of(len(tokens)):
+                    flat = np.zeros(like.segments[band], np.int64)
+                    _, keys = segment_keys(tokens, band, by_band.get(band, flat), like)
                     sig.append(keys.view(np.int64))
                     owner.append(np.full(len(keys), set_hash(tokens)))
                     count.append(np.full(len(keys), len(tokens)))
@@ -189,25 +197,20 @@ def signatures(docs: DataFrame, levels: dict[int, np.ndarray]) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, k long, n long")
 
 
-def texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame, like: Similarity) -> DataFrame:
     """(k, text) of the wanted sets: the text of one document each, checked against k."""
     one = sets.join(wanted, "k", "left_semi").groupBy("k").agg(F.min("doc_id").alias("_id"))
     found = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("_id"))).select("k", "text")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [k == set_hash(s) for k, s in zip(batch["k"].to_pylist(), word_sets(batch), strict=True)]
+            ok = [k == set_hash(s) for k, s in zip(batch["k"].to_pylist(), like.word_sets(batch), strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     return found.mapInArrow(same, "k long, text string")
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common)
-
-
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
     """The pairs (a, b) whose sets are linked, checked on whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,8 +219,8 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             ok = []
             for a, x, y in zip(batch["a"].to_pylist(), batch["text_a"].to_pylist(), batch["text_b"].to_pylist(), strict=True):
                 if a != last:
-                    last, kept = a, shingles(x.encode().lower(), WORDS)
-                ok.append(linked(kept, shingles(y.encode().lower(), WORDS)))
+                    last, kept = a, like.set_of(x)
+                ok.append(like.linked(kept, like.set_of(y)))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
@@ -225,14 +228,14 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def bitmaps(texts: DataFrame) -> DataFrame:
+def bitmaps(texts: DataFrame, like: Similarity) -> DataFrame:
     """(k, n, bits): parity bitmaps; a smaller one is a larger one folded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, out = [], []
-            for tokens in word_sets(batch):
-                width = 1 << max(6, (BITS_PER_DIFFERENCE * (differing(2 * len(tokens)) + 1) - 1).bit_length())
+            for tokens in like.word_sets(batch):
+                width = 1 << max(6, (BITS_PER_DIFFERENCE * (like.differing(2 * len(tokens)) + 1) - 1).bit_length())
                 place = (mix(tokens + GOLDEN) >> np.uint64(16)).astype(np.int64) & (width - 1)
                 odd = (np.bincount(place, minlength=width) & 1).astype(np.uint8)
                 n.append(len(tokens)), out.append(np.packbits(odd, bitorder="little").tobytes())
@@ -245,7 +248,7 @@ def _folded(raw: bytes, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(raw, "<u8").reshape(-1, words), axis=0)
 
 
-def cross_pairs(buckets: DataFrame, spanning: bool) -> DataFrame:
+def cross_pairs(buckets: DataFrame, spanning: bool, like: Similarity) -> DataFrame:
     """Pairs (a, b) of a bucket across components that the bitmaps do not rule out.
 
     ``buckets``: sig, k, component, n, bits, blocks. As in a block matrix, each pair of blocks is one group.
@@ -283,7 +286,7 @@ def cross_pairs(buckets: DataFrame, spanning: bool) -> DataFrame:
         (kx, nx, cx), (ky, ny, cy) = (tuple(np.array([r[c] for r in side]) for c in ("k", "n", "component")) for side in (left, right))
         pairs = []
         for p in range(len(left)):
-            most = (nx[p] + ny) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+            most = like.differing(nx[p] + ny)
             ok = (cx[p] != cy) & (np.abs(nx[p] - ny) <= most)
             if i == j:
                 ok[: p + 1] = False
@@ -314,22 +317,23 @@ def cross_pairs(buckets: DataFrame, spanning: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def join(docs: DataFrame, scratch: Scratch, like: Similarity = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id; besides t, a hash of its text, and component, which
     names its component whatever the ids (null for an empty set)."""
-    sets = scratch.save(documents_as_sets(docs), "sets")
-    index = scratch.save(signatures(docs, allocate(docs)), "signatures")
+    sets = scratch.save(documents_as_sets(docs, like), "sets")
+    index = scratch.save(signatures(docs, allocate(docs, like), like), "signatures")
     least = index.groupBy("sig").agg(F.min("k").alias("least"), F.max("k").alias("most")).filter("least <> most")
     in_buckets = index.join(least.select("sig", "least"), "sig")
     met = scratch.save(in_buckets.distinct(), "buckets")
     sizes = met.select(F.col("k"), "n").distinct()
     pairs = met.filter("k <> least").select(F.col("least").alias("a"), F.col("k").alias("b"), F.col("n").alias("nb")).distinct()
     pairs = pairs.join(sizes.select(F.col("k").alias("a"), F.col("n").alias("na")), "a")
-    apart = F.abs(F.col("na") - F.col("nb")) * (DENOMINATOR + NUMERATOR) <= (F.col("na") + F.col("nb")) * (DENOMINATOR - NUMERATOR)
+    up, down = like.denominator + like.numerator, like.denominator - like.numerator
+    apart = F.abs(F.col("na") - F.col("nb")) * up <= (F.col("na") + F.col("nb")) * down
     pairs = scratch.save(pairs.filter(apart).select("a", "b"), "star-pairs")
     wanted = met.select("k").distinct()
-    texts = scratch.save(texts_of(docs, sets, wanted).dropDuplicates(["k"]), "texts")
-    edges = scratch.save(verify(pairs, texts), "star-edges")
+    texts = scratch.save(texts_of(docs, sets, wanted, like).dropDuplicates(["k"]), "texts")
+    edges = scratch.save(verify(pairs, texts, like), "star-edges")
     tried, bits = pairs, None
     # Twice for buckets of three sets or more that are still in several components: first along spanning
     # trees of their likely pairs, then all pairs left across components.
@@ -341,11 +345,11 @@ def join(docs: DataFrame, scratch: Scratch) -> DataFrame:
         mixed = scratch.save(labelled.join(open_, "sig").select("sig", "k", "component", "blocks"), "mixed")
         if bits is None:
             some = texts.join(mixed.select("k").distinct(), "k", "left_semi")
-            bits = scratch.save(bitmaps(some.select("k", "text")), "bitmaps")
-        more = cross_pairs(mixed.join(bits, "k"), spanning)
+            bits = scratch.save(bitmaps(some.select("k", "text"), like), "bitmaps")
+        more = cross_pairs(mixed.join(bits, "k"), spanning, like)
         more = scratch.save(more.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
         tried = tried.unionByName(more)
-        edges = scratch.save(edges.unionByName(verify(more, texts)), "edges")
+        edges = scratch.save(edges.unionByName(verify(more, texts, like)), "edges")
     named = scratch.save(components(edges, scratch).withColumnRenamed("vertex", "k"), "components")
     members = sets.filter("n > 0").join(named, "k", "left").withColumn("component", F.coalesce("component", "k"))
     ids = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -354,12 +358,12 @@ def join(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return linked_rows.unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
-def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def keep_one(docs: DataFrame, scratch: Scratch, like: Similarity = BANDS) -> DataFrame:
     """The documents, of each component only the one with the least doc_id (of equal ids: the least text hash).
 
     Documents with an empty set all stay. Of rows that repeat the kept one, one stays.
     """
-    rows = scratch.save(join(docs, scratch), "rows")
+    rows = scratch.save(join(docs, scratch, like), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
     best = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("best"))
     best = best.select(F.col("best.doc_id").alias("_id"), F.col("best.t").alias("_t"))

@@ -1,9 +1,12 @@
 """Results that do not end at a window, a line or a sample."""
 
+import random
+
 import llm_tables as lt
 import numpy as np
 import pytest
 
+import corpus_pipeline as cp
 from scenaria.llm import licences, vectors
 from scenaria.llm.common import Scratch
 
@@ -58,3 +61,30 @@ def test_a_whole_licence_text_as_template(spark, tmp_path):
     docs = spark.read.parquet(lt.write(tmp_path, rows) + "/documents.parquet")
     got = licences.scan(docs, {template: "whole"}, {}).toPandas()
     assert (got.labels == "whole").all() and (got.score == 1).all()
+
+
+def test_pipeline_drops_near_copies_between_08_and_09(spark, tmp_path):
+    """Copies with some words changed, against all pairs on 5-word shingles at 0.8."""
+    rng = random.Random(18)
+    rows = []
+    for i in range(60):
+        w = lt.prose(rng, "en", rng.choice((12, 50, 120, 400))).split(" ")
+        rows.append((5 * i, " ".join(w), "en", "s"))
+        for j in range(1, 5):
+            v = list(w)
+            for _ in range(rng.choice((1, 1, 2, 3, 6))):
+                v[rng.randrange(len(v))] = f"new{rng.randrange(10**6)}"
+            rows.append((5 * i + j, " ".join(v), "en", "s"))
+    sets = [lt.shingle_set(r[1], 5) for r in rows]
+    c, between = lt.Components(range(len(rows))), 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 10 * len(a & sets[j]) >= 8 * len(a | sets[j]):
+                c.join(i, j)
+                between += 10 * len(a & sets[j]) < 9 * len(a | sets[j])
+    want = {}
+    for i in range(len(rows)):
+        want.setdefault(c.find(i), i)
+    docs = spark.read.parquet(lt.write(tmp_path, rows) + "/documents.parquet")
+    got = cp.near_duplicates(spark, docs, str(tmp_path)).toPandas()
+    assert sorted(got.doc_id) == sorted(want.values()) and between > 50
