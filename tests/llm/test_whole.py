@@ -5,9 +5,10 @@ import random
 import llm_tables as lt
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from scenaria.llm import licences, vectors
+from scenaria.llm import attention, licences, scoring, vectors
 from scenaria.llm.common import Scratch
 
 
@@ -88,3 +89,20 @@ def test_pipeline_drops_near_copies_between_08_and_09(spark, tmp_path):
     docs = spark.read.parquet(lt.write(tmp_path, rows) + "/documents.parquet")
     got = cp.near_duplicates(spark, docs, str(tmp_path)).toPandas()
     assert sorted(got.doc_id) == sorted(want.values()) and between > 50
+
+
+def test_attention_trains_on_all_training_texts(spark, tmp_path, monkeypatch):
+    """Every text outside the held-out fold reaches the training, in a corpus of more than a few MB too."""
+    rng, given = random.Random(19), []
+    rows = [(i, lt.prose(rng, "en", 300) * 40, "en", "s") for i in range(60)]
+    assert sum(len(r[1]) for r in rows) > 4_000_000
+
+    def fit(sample, classes):
+        given.append(sorted(len(x.ids) // 2 for x in sample.collect()))
+        return attention.initial(classes.counts, scoring.MEMBERS)
+
+    monkeypatch.setattr(scoring, "fit", fit)
+    docs = spark.read.parquet(lt.write(tmp_path, rows) + "/documents.parquet")
+    scoring.score(docs, F.col("doc_id") % 7 == 2, Scratch(spark, "test"))
+    sizes = [1 + sum(len(scoring.subword_ids(w)) for w in scoring.words_of(r[1])) for r in rows if r[0] % 7 != 2]
+    assert given == [sorted(sizes)]
