@@ -6,10 +6,10 @@ that is, a run of starts, together with the bytes they cover. Equal strings have
 place, so phrases depend on content only. The parse is the list of all phrases, the dictionary the distinct
 ones with their counts in the parse.
 
-A string occurs as often as the dictionary phrases that contain it occur in the parse, so the corpus order
-of all strings follows from the order of the dictionary's suffixes to that depth and the parse counts. A
-phrase that the parse has twice repeats in all its strings. The suffixes of the others are ordered only
-where another phrase has the same trigger string; those equal to a suffix of another phrase repeat.
+A string occurs as often as the dictionary phrases that contain it occur in the parse. No suffix array is
+built, neither of the dictionary nor of the parse nor of the corpus: classes of equal hashes replace them. A
+phrase that the parse has twice repeats in all its strings. The strings of the others are grouped by hash only
+where another phrase has the same trigger string; those equal to a string of another phrase repeat.
 
 Strings are compared as 64-bit rolling hashes next to an independent 64-bit hash of the trigger string.
 
