@@ -37,9 +37,3 @@ def price_util(spark):
 @pytest.fixture(scope="session")
 def growth(spark):
     return fx.to_grid(spark, fx.growth_pdf()).cache()
-
-
-def rows(df, *order):
-    """Collect a small result as a list of dicts, ordered by ``order``."""
-    out = [r.asDict() for r in df.collect()]
-    return sorted(out, key=lambda r: tuple((r[c] is None, r[c]) for c in order)) if order else out

@@ -4,8 +4,8 @@ import os
 
 import duckdb
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
+from result_rows import rows
 
 from scenaria.operators import portfolio as pf
 from scenaria import schema as S

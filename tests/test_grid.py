@@ -1,8 +1,8 @@
 """Grid operators against the closed-form grids."""
 
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
+from result_rows import rows
 
 from scenaria import schema as S
 from scenaria.operators import grid as gr

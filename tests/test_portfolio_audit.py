@@ -1,8 +1,8 @@
 """Portfolio, trace and audit operators."""
 
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
+from result_rows import rows
 
 from scenaria import schema as S
 from scenaria.operators import audit as au

@@ -2,9 +2,9 @@
 
 import pandas as pd
 import pytest
-from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from result_rows import rows
 
 from scenaria import schema as S
 from scenaria.operators import audit as au

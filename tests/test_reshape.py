@@ -1,8 +1,8 @@
 """Reshape / load steps on sheet-shaped inputs."""
 
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
+from result_rows import rows
 
 from scenaria.sources import reshape as rs
 

@@ -7,8 +7,8 @@ import tempfile
 
 import fixtures as fx
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
+from result_rows import rows
 
 from scenaria import schema as S
 from scenaria.operators import timeseries as ts
