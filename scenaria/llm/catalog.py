@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, langid, licences, mixing, packing, repeats, scoring, sharding, vectors
+from . import (
+    fingerprints,
+    jaccard,
+    langid,
+    licences,
+    mixing,
+    packing,
+    periodic,
+    phrases,
+    repeats,
+    scoring,
+    sharding,
+    vectors,
+    warc,
+)
 from .common import Scratch, fold, read
 from .oracle import ORACLE
 
@@ -87,6 +101,32 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(docs, Scratch(spark, "op10")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of two or three words of each language."""
+    return phrases.mine(read(spark, sf_dir, "documents"), Scratch(spark, "op11"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all texts, every tenth of which has a planted one."""
+    return periodic.summarise(read(spark, sf_dir, "documents"), planted=True).drop("n_words")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back from them."""
+    scratch = Scratch(spark, "op13")
+    path = f"{scratch.root}/archives"
+    warc.write(warc.records(read(spark, sf_dir, "pages"), scratch), path)
+    found = warc.read(spark, path, scratch)
+    return found.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+        "intact",
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -98,4 +138,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_vectors": op9_vectors,
     "op10_jaccard": op10_jaccard,
+    "op11_phrases": op11_phrases,
+    "op12_runs": op12_runs,
+    "op13_warc": op13_warc,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licences, mixing, sharding
+from . import fingerprints, licences, mixing, phrases, sharding, warc
 
 #: crc32 of UTF-8 bytes: the table by its rule, then one step per byte.
 CRC_TABLE = """
@@ -280,6 +280,56 @@ FROM s LEFT JOIN (SELECT a AS doc_id, MIN(b) AS first FROM reach GROUP BY a) USI
 """
 
 
+def op11_phrases() -> str:
+    # A candidate's cuts by their score, then by the length of the first part.
+    score = f"{phrases.SCALE}::HUGEINT * {{0}}.a::HUGEINT * {{0}}.a::HUGEINT // ({{1}}::HUGEINT * {{2}}::HUGEINT)"
+    return f"""WITH
+pieces AS (
+    SELECT COALESCE(lang, 'und') AS lang, unnest(string_split_regex({_lower("COALESCE(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+f1 AS (SELECT lang, p, COUNT(*) AS n FROM (SELECT lang, unnest(w) AS p FROM w) GROUP BY ALL),
+f2 AS (SELECT lang, p, q, COUNT(*) AS a FROM (
+    SELECT lang, w[i] AS p, w[i + 1] AS q FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM w)) GROUP BY ALL HAVING COUNT(*) >= {phrases.LEAST_COUNT}),
+f3 AS (SELECT lang, p, q, r, COUNT(*) AS a FROM (
+    SELECT lang, w[i] AS p, w[i + 1] AS q, w[i + 2] AS r FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM w)) GROUP BY ALL HAVING COUNT(*) >= {phrases.LEAST_COUNT}),
+longer AS (SELECT lang, p, q, MAX(a) AS a FROM (SELECT lang, p, q, a FROM f3 UNION ALL SELECT lang, q, r, a FROM f3) GROUP BY ALL),
+two AS (
+    SELECT f2.lang, f2.p || ' ' || f2.q AS phrase, f2.a, x.n AS l, y.n AS r, {score.format("f2", "x.n", "y.n")} AS score
+    FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.p = f2.p JOIN f1 y ON y.lang = f2.lang AND y.p = f2.q
+    LEFT JOIN longer ON longer.lang = f2.lang AND longer.p = f2.p AND longer.q = f2.q
+    WHERE COALESCE(100 * longer.a < 50 * f2.a, TRUE)
+),
+cuts AS (
+    SELECT f3.lang, f3.p || ' ' || f3.q || ' ' || f3.r AS phrase, f3.a, x.n AS l1, yz.a AS r1, xy.a AS l2, z.n AS r2,
+           {score.format("f3", "x.n", "yz.a")} AS s1, {score.format("f3", "xy.a", "z.n")} AS s2
+    FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.p = f3.p JOIN f1 z ON z.lang = f3.lang AND z.p = f3.r
+    JOIN f2 xy ON xy.lang = f3.lang AND xy.p = f3.p AND xy.q = f3.q JOIN f2 yz ON yz.lang = f3.lang AND yz.p = f3.q AND yz.q = f3.r
+),
+kept AS (
+    SELECT * FROM two UNION ALL
+    SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts
+),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(total.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN (SELECT lang, SUM(n) AS n FROM f1 GROUP BY lang) total USING (lang) WHERE rank <= {phrases.TOP}
+"""
+
+
+def op13_warc() -> str:
+    digit = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(s, 1 + 5 * (i // 4), 5) AS BIGINT) >> (5 * (3 - i % 4))) & 31 AS INTEGER) + 1, 1)"
+    return f"""WITH
+p AS (SELECT page_id, COALESCE(html, '') AS h, MIN(page_id) OVER (PARTITION BY COALESCE(html, '')) AS first FROM pages),
+d AS (SELECT *, sha1(h) AS s, COALESCE(first IS NOT NULL AND (page_id IS NULL OR page_id <> first), FALSE) AS again FROM p)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: {digit}), '') AS payload_digest,
+       CASE WHEN again THEN '{warc.REVISIT}' ELSE '{warc.RESPONSE}' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to, TRUE AS intact
+FROM d
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_sharding": op1_sharding(),
     "op2_mixing": op2_mixing(),
@@ -288,4 +338,6 @@ ORACLE: dict[str, str] = {
     "op8_fingerprints": op8_fingerprints(),
     "op9_vectors": op9_vectors(),
     "op10_jaccard": op10_jaccard(),
+    "op11_phrases": op11_phrases(),
+    "op13_warc": op13_warc(),
 }

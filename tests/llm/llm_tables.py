@@ -72,13 +72,32 @@ def odd_documents() -> list[tuple]:
     ]
 
 
-def write(path, rows: list[tuple], extra: bool = False, vectors=None) -> str:
-    """Writes documents (and embeddings); ``extra`` adds columns whose names the operators use themselves."""
+PAGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])
+
+
+def pages(seed: int = 5, n: int = 60) -> list[tuple]:
+    """(page_id, url, html): copies, empty and missing pages, missing ids, payloads that hold whole records."""
+    rng = random.Random(seed)
+    inner = lambda k: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:9>\r\nContent-Length: {k}\r\n\r\nHTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc"
+    pool = ["", None, "plain é\r\n\r\n", "WARC/1.0\r\n", "WARC/1.0\r\nno header\r\n\r\n", inner(41) + "\r\n\r\n", "\r\n\r\n".join([inner(41)] * 4)]
+    pool += ["ends with " + inner(k) for k in range(38, 50)]  # some end just where the next record starts
+    rows = [(i, rng.choice([None, "http://a/é", "http://b\r\nX: y"]), rng.choice(pool) if rng.random() < 0.7 else prose(rng, "en", 200)) for i in range(n)]
+    return [*rows, *rows[:4], (None, None, rows[0][2]), (None, "u", "only here"), (None, "u", "only here"), (5, "u", "other page of a taken id")]
+
+
+def write(path, rows: list[tuple], extra: bool = False, vectors=None, pages=()) -> str:
+    """Writes documents, pages and embeddings; ``extra`` adds columns whose names the operators use themselves."""
+    columns = list(zip(*pages, strict=True)) if pages else [[], [], []]
+    table = pa.table([pa.array(list(c), f.type) for c, f in zip(columns, PAGES, strict=True)], schema=PAGES)
+    if extra:
+        for name in ("payload", "same", "first", "rows", "file", "block", "at", "value", "record_type", "refers_to"):
+            table = table.append_column(name, pa.array([1] * len(pages), pa.int32()))
+    pq.write_table(table, f"{path}/pages.parquet")
     columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
     n_chars = [len(t) if t is not None else None for t in columns[1]]
     table = pa.table([pa.array(list(c), f.type) for c, f in zip([*columns, n_chars], DOCUMENTS, strict=True)], schema=DOCUMENTS)
     if extra:
-        for name in ("t", "n", "k", "h", "chunk", "shard", "slot", "epoch", "score", "_src", "_raw", "spans", "length", "component", "part"):
+        for name in ("t", "n", "k", "h", "l", "r", "a", "phrase", "rank", "start", "period", "_text", "_id", "chunk", "shard", "slot", "epoch", "score", "_src", "_raw", "spans", "length", "component", "part"):
             table = table.append_column(name, pa.array([1] * len(rows), pa.int32()))
     pq.write_table(table, f"{path}/documents.parquet")
     ids, vecs = vectors if vectors is not None else ([], [])
@@ -102,7 +121,7 @@ def vectors(seed: int = 3):
 
 def sql(path: str, statement: str) -> pd.DataFrame:
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet'")
     return con.execute(statement).df()
 

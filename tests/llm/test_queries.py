@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def tables(tmp_path_factory):
     """Ordinary and odd documents together, with extra columns of clashing names."""
-    return lt.write(tmp_path_factory.mktemp("tables"), lt.documents() + lt.odd_documents(), extra=True, vectors=lt.vectors())
+    return lt.write(tmp_path_factory.mktemp("tables"), lt.documents() + lt.odd_documents(), extra=True, vectors=lt.vectors(), pages=lt.pages())
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +55,9 @@ def test_empty_tables_give_empty_results(spark, empty, name):
 def test_repeated_and_missing_ids(spark, repeated, name):
     path, rows = repeated
     got = QUERIES[name](spark, path).toPandas()
+    if name in ("op11_phrases", "op13_warc"):  # not by document; pages have rows of their own
+        assert len(got) == (0 if name == "op13_warc" else got["rank"].count())
+        return
     if name == "op9_vectors":
         assert len(got) == 3 + len(lt.vectors()[0])
         assert (got[got.vec_id.isna()].n_links == 0).all()
