@@ -17,9 +17,9 @@ b or more, so that it is known for every pair above b whether a triple drops it.
 ``top`` candidates survive at or above b; nothing below b can come before them or tie with them. Others go
 on, in the end down to 0.
 
-A pass over the texts counts in Python dictionaries of at most TABLE entries, which are emptied into Spark's
-aggregation when full; long pieces are read WORDS at a time. Which pairs and triples a pass may leave out
-is known from one byte per crc32 slot of the words or pairs, a table of at most 2**MAX_BITS bytes. Two keys in
+A pass over the texts numbers the words of CHUNK words at a time and counts their phrases by sorting the
+numbers; Spark adds up the chunks. Long texts are read SLICE bytes at a time, and the last two words go along
+into the next chunk. Which pairs and triples a pass may leave out is known from one byte per crc32 slot of the words or pairs, a table of at most 2**MAX_BITS bytes. Two keys in
 one slot only make a pass count more than needed, never less, and every count that is used is exact.
 Scores are worked out in decimals of 38 digits, exact for counts up to 10**15.
 
@@ -30,7 +30,6 @@ time; tables without rows or without candidates give empty results; other column
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,9 +42,9 @@ from .common import Scratch
 LEAST_COUNT = 10
 TOP = 2000
 SCALE = 1_000_000
-#: Entries of a task's table of counts, and words of a piece read at a time.
-TABLE = 200_000
-WORDS = 100_000
+#: Words whose phrases a task counts at a time, and bytes of a text read at a time.
+CHUNK = 500_000
+SLICE = 1_000_000
 #: Slots of the tables of frequent words and pairs: 32 for each key, from 2**16 to 2**MAX_BITS bytes.
 MAX_BITS = 24
 #: Bits of a slot: the pair (or word) occurs LEAST_COUNT times; it is a prefix to expand; triples ending in it count.
@@ -54,57 +53,90 @@ FREQUENT, PREFIX, SUFFIX = 1, 2, 4
 #: Tables of one row per language are broadcast up to so many rows.
 FEW_LANGS = 10_000
 
-_BREAKS = bytes.maketrans(b".,;:!?\r\x0b\x0c", b"\n" * 9)
+#: All breaks become a stop, which then is a word of its own with number 0.
+_BREAKS = bytes.maketrans(b",;:!?\n\r\x0b\x0c", b"." * 9)
 COUNTS = "lang string, phrase binary, n long"
 
 
-def _pieces(text: bytes) -> Iterator[list[bytes]]:
-    """Lists of a piece's words; a long piece comes in parts that share two words, marked by None before them."""
-    for piece in text.lower().translate(_BREAKS).split(b"\n"):
-        if len(piece) <= 4 * WORDS:
-            if words := piece.split():
-                yield words
-            continue
-        words = piece.split(None, WORDS)
-        while len(words) > WORDS:
-            rest = words.pop()
-            yield words
-            words = [*words[-2:], None, *rest.split(None, WORDS)]
-        yield words
-
-
-class _Slots(dict):
-    """Bits of words or pairs by the crc32 of language and words; holds those looked up lately."""
-
-    def __init__(self, table: bytes, lang: str):
-        self.table, self.start, self.mask = table, zlib.crc32(lang.encode() + b"\0"), len(table) - 1
-
-    def __missing__(self, key: tuple | bytes) -> int:
-        if len(self) >= TABLE:
-            self.clear()
-        phrase = key if isinstance(key, bytes) else b" ".join(key)
-        bits = self[key] = self.table[zlib.crc32(phrase, self.start) & self.mask]
-        return bits
-
-
-def grams(words: list, size: int, slots: _Slots | None = None) -> Iterator:
-    """The phrases of ``size`` words, of a later part of a piece those with a word after its None.
-
-    With slots: pairs of two words that may be frequent; triples of two such pairs, whose first is a prefix
-    to expand or whose last is one that triples may drop.
-    """
-    if len(words) > 2 and words[2] is None:
-        words = [*words[3 - size : 2], *words[3:]] if size > 1 else words[3:]
-    if size == 1:
-        return iter(words)
-    pairs = list(zip(words, words[1:], strict=False))
-    if size == 2:
-        often = list(map(slots.__getitem__, words))
-        return (g for g, x, y in zip(pairs, often, often[1:], strict=False) if x and y)
-    bits = list(map(slots.__getitem__, pairs))
-    return (
-        (*g, z) for g, z, x, y in zip(pairs, words[2:], bits, bits[1:], strict=False) if x and y and (x & PREFIX or y & SUFFIX)
-    )
+def tokens(text: bytes) -> Iterator[list[bytes]]:
+    """The text's lower-cased words and stops, a slice at a time; no word lies across slices."""
+    text, at = text.lower().translate(_BREAKS), 0
+    while at < len(text):
+        end = at + SLICE
+        if end < len(text):
+            cut = max(text.rfind(c, at, end) for c in (b" ", b"\t", b"."))
+            if cut < 0:  # a word longer than a slice
+                cut = min((i for c in (b" ", b"\t", b".") if (i := text.find(c, end)) >= 0), default=len(text))
+            end = cut + 1
+        yield text[at:end].replace(b".", b" . ").split()
+        at = end
+
+
+class _Numbers(dict):
+    """Numbers of words in the order they come; a stop is 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+class _Chunk:
+    """Words of one language, numbered; the first ``seen`` of them were in a chunk before."""
+
+    def __init__(self, carried: list[bytes] = ()):
+        self.numbers = _Numbers({b".": 0})
+        self.parts, self.seen = [np.array([0])], len(carried) + 1
+        self.add(list(carried))
+
+    def add(self, words: list[bytes]) -> None:
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+
+    def last_words(self) -> list[bytes]:
+        words, last = list(self.numbers), np.empty(0, np.int64)
+        for part in reversed(self.parts):
+            last = np.concatenate([part[-2:], last])[-2:]
+            if len(last) == 2:
+                break
+        return [words[i] for i in last.tolist()]
+
+    def counts(self, size: int, bits) -> tuple[list[bytes], np.ndarray]:
+        """Phrases of ``size`` words and their counts. ``bits`` gives the slots' bits for a list of words or pairs.
+
+        Pairs of two words that may be frequent; triples of two such pairs, whose first is a prefix to expand
+        or whose last is one that triples may drop.
+        """
+        ids, words = np.concatenate(self.parts), list(self.numbers)
+        v = len(words)
+        if size == 1:
+            n = np.bincount(ids[self.seen :], minlength=v)[1:]
+            at = np.flatnonzero(n)
+            return [words[i + 1] for i in at.tolist()], n[at]
+        joined = lambda first, then: [a + b" " + words[j] for a, j in zip(first, then.tolist(), strict=True)]
+        pick = lambda at: [words[i] for i in at.tolist()]
+        pair = (ids[:-1] > 0) & (ids[1:] > 0)
+        if size == 2:
+            often = np.zeros(v, bool)
+            often[1:] = bits(words[1:])
+            pair[: max(0, self.seen - 1)] = False
+            pair &= often[ids[:-1]] & often[ids[1:]]
+            codes, n = np.unique(ids[:-1][pair] * v + ids[1:][pair], return_counts=True)
+            return joined(pick(codes // v), codes % v), n
+        codes, which = np.unique(ids[:-1][pair] * v + ids[1:][pair], return_inverse=True)
+        phrases = joined(pick(codes // v), codes % v)
+        here, number = np.zeros(len(pair), np.uint8), np.zeros(len(pair), np.int64)
+        here[pair], number[pair] = bits(phrases)[which], which
+        x, y = here[:-1], here[1:]
+        triple = (x > 0) & (y > 0) & (((x & PREFIX) | (y & SUFFIX)) > 0)
+        triple[: max(0, self.seen - 2)] = False
+        codes, n = np.unique(number[:-1][triple] * v + ids[2:][triple], return_counts=True)
+        return joined([phrases[i] for i in (codes // v).tolist()], codes % v), n
+
+
+def slot_bits(table: bytes, lang: str):
+    """Looks up the bits of words or pairs of a language by crc32."""
+    start, mask, flat = zlib.crc32(lang.encode() + b"\0"), len(table) - 1, np.frombuffer(table, np.uint8)
+    crc = zlib.crc32
+    return lambda phrases: flat[np.fromiter((crc(p, start) for p in phrases), np.int64, len(phrases)) & mask]
 
 
 def _slot(lang: Column, phrase: Column, bits: int) -> Column:
@@ -126,33 +158,27 @@ def slot_table(keys: DataFrame) -> bytes:
 
 
 def _counter(size: int, slots=None):
-    """Counts of phrases of ``size`` words by task; with slots, of those that they let through."""
+    """Counts of phrases of ``size`` words by chunk; with slots, of those that they let through."""
 
     def run(batches):
-        tables: dict[str, Counter] = defaultdict(Counter)
-        known: dict[str, _Slots] = {}
+        chunks: dict[str, _Chunk] = {}
         held = 0
 
-        def flush():
-            langs = [lang for lang, t in tables.items() for _ in range(len(t))]
-            phrases = [g if size == 1 else b" ".join(g) for t in tables.values() for g in t]
-            counts = [n for t in tables.values() for n in t.values()]
-            tables.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
+        def counted():
+            for lang, chunk in chunks.items():
+                phrases, n = chunk.counts(size, slots and slot_bits(slots.value, lang))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if slots is not None and lang not in known:
-                    known[lang] = _Slots(slots.value, lang)
-                for words in _pieces(text):
-                    t = tables[lang]
-                    held -= len(t)
-                    t.update(grams(words, size, known.get(lang)))
-                    held += len(t)
-                    if held >= TABLE:
-                        yield flush()
-                        held = 0
-        yield flush()
+                chunks.setdefault(lang, _Chunk()).add([b"."])
+                for words in tokens(text):
+                    chunks[lang].add(words)
+                    held += len(words)
+                    if held >= CHUNK:
+                        yield from counted()
+                        chunks, held = {lang: _Chunk(chunks[lang].last_words())}, 0
+        yield from counted()
 
     return run
 
