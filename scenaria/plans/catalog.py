@@ -7,10 +7,10 @@ is a presentation concern.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from scenaria import schema as S
@@ -18,7 +18,8 @@ from scenaria.operators import audit as au
 from scenaria.operators import grid as gr
 from scenaria.operators import portfolio as pf
 from scenaria.operators import timeseries as ts
-from scenaria.sources import marts, reshape
+from scenaria.session import checkpoint_dir
+from scenaria.sources import delimited, layout, marts, reshape, sinks, snapshots
 from scenaria.sources.tables import read_table
 
 KEYS = marts.PL_KEYS  # P&L analyses: one 12-month plan per (segment, fiscal year)
@@ -224,6 +225,65 @@ def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.table_counts(spark, sf_dir).unionByName(au.load_audit({"assumptions": marts.assumptions(spark, sf_dir)}))
 
 
+# Table and output of the four blocks of the sensitivity sheet, in reading order.
+GRID_BLOCKS = (("1A", S.OUT_REVENUE), ("2A", S.OUT_REVENUE), ("1B", S.OUT_MARGIN), ("2B", S.OUT_MARGIN))
+
+
+def load_grid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sensitivity grids from one sheet with four matrix blocks, found between its blank rows and columns."""
+    all_lines, closed, _ = _grids(spark, sf_dir)
+    of = {"1": all_lines, "2": closed}
+    matrices = [(f"Table {t}", pf.sensitivity_matrix(of[t[0]], out)) for t, out in GRID_BLOCKS]
+    # Two beside and two below, none in line with another; a matrix has room for 900 levels.
+    sheet = marts.raw_grid_sheet(matrices, [(3, 2), (5, 1000), (1001, 7), (1002, 1003)])
+    long = layout.blocks_to_grid(sheet, {marts.GRID_SHEET: GRID_BLOCKS})
+    return long.select("table", "output", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "value")
+
+
+def load_titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price drivers by brand, loaded from sheets whose sections are found from their titles."""
+    raw, layouts = marts.raw_titled_sheets(spark, sf_dir)
+    t = layout.assumptions_by_title(raw, layouts)
+    cases = ("base_case", "low_case", "high_case", "active_value")
+    return t.select("section", "driver_name", "unit", *[F.col(c).try_cast("double").alias(c) for c in cases])
+
+
+def _orders_csv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    root = f"{checkpoint_dir(spark).rstrip('/')}/orders-{uuid.uuid4().hex}"
+    marts.export_orders(spark, sf_dir, f"{root}/export")
+    return delimited.load(spark, f"{root}/export", marts.ORDERS_CSV, f"{root}/loaded")
+
+
+def load_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders loaded from a delimited export with spoilt lines among them: the good rows, typed."""
+    rows, _, _ = _orders_csv(spark, sf_dir)
+    return rows.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+
+
+def csv_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a delimited load: the good ones as counted by the write, the bad ones by reason."""
+    _, bad, counts = _orders_csv(spark, sf_dir)
+    loaded = spark.createDataFrame([("orders", "loaded", counts["n_good"])], "table_name string, reason string, n_rows bigint")
+    return loaded.unionByName(bad.groupBy(F.lit("orders").alias("table_name"), F.col(delimited.REASON).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+def reload_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long fact after its three scenarios were loaded one by one and Low was loaded again, at half its values."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/fact-{uuid.uuid4().hex}"
+    sinks.write_table(marts.fact(spark, sf_dir), f"{root}/derived")
+    fact = spark.read.parquet(f"{root}/derived")
+    table = snapshots.SnapshotTable(spark, f"{root}/table")
+    for s in S.SCENARIOS:
+        table.replace(s, fact.where(F.col("scenario") == s))
+    table.replace("Low", fact.where(F.col("scenario") == "Low").withColumn("value", F.col("value") / 2))
+    return table.read()
+
+
+def load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts of the planning tables, taken by the jobs that write them."""
+    return sinks.loaded_counts(spark, sinks.load_planning_tables(spark, sf_dir))
+
+
 # Presentation order of each analysis (operators return unsorted frames; sorting
 # is only done here, at the edge, for display or export).
 ORDER = {
@@ -256,6 +316,12 @@ ORDER = {
     "margin_trajectory": ("entity", "fiscal_year", "scenario", "month"),
     "unpivot_fact": ("entity", "fiscal_year", "scenario", "metric", "month_number"),
     "load_audit": ("table_name",),
+    "load_grid_blocks": ("table", "output", "x", "y"),
+    "load_titled": ("section", "driver_name"),
+    "load_csv": ("o_orderkey",),
+    "csv_audit": ("table_name", "reason"),
+    "reload_scenario": ("entity", "fiscal_year", "scenario", "metric", "month_number"),
+    "load_counts": ("table_name",),
 }
 
 
@@ -295,4 +361,10 @@ QUERIES: dict[str, Query] = {
     "reconcile_strict": reconcile_strict,
     "grid_vs_totals": grid_vs_totals,
     "duplicate_lines": duplicate_lines,
+    "load_grid_blocks": load_grid_blocks,
+    "load_titled": load_titled,
+    "load_csv": load_csv,
+    "csv_audit": csv_audit,
+    "reload_scenario": reload_scenario,
+    "load_counts": load_counts,
 }

@@ -34,4 +34,10 @@ ORACLE: dict[str, str] = {
     "reconcile_strict": O.reconcile_strict(),
     "grid_vs_totals": O.grid_vs_totals(),
     "duplicate_lines": O.duplicate_lines(),
+    "load_grid_blocks": O.load_grid_blocks(),
+    "load_titled": O.load_titled(),
+    "load_csv": O.load_csv(),
+    "csv_audit": O.csv_audit(),
+    "reload_scenario": O.reload_scenario(),
+    "load_counts": O.load_counts(),
 }

@@ -405,7 +405,8 @@ def grid(
 
 
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of every planning table that comes from the lines, and the lines that have no scenario: (table_name, n_rows).
+    """Rows of every planning table that comes from the lines: (table_name, n_rows); besides, the lines that have no
+    scenario, which no table holds, and those with one that have no order or customer, which no plan holds.
 
     One pass: lines are counted per (plan, month, cell, status), and grouping sets over those counts
     have one row per month, year and cell of the tables.
@@ -421,6 +422,7 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sensitivity_closed_lines": ["known", "disc_u", "tax_u", "l_linestatus"],
         "sensitivity_growth": ["known", "disc_u", "tax_u"],
         "lines_without_scenario": ["known"],
+        "lines_without_entity": ["known", "joined"],
     }
     columns = ["known", *groups]
     distinct_sets = [list(x) for x in dict.fromkeys(map(tuple, sets.values()))]
@@ -437,6 +439,7 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sensitivity_closed_lines": F.when(known & closed, 2),
         "sensitivity_growth": F.when(known & at_base, 2 * len(PRICE_GROWTH) * len(VOLUME_GROWTH)),
         "lines_without_scenario": F.when(~known, F.col("n")),
+        "lines_without_entity": F.when(known & ~F.col("joined"), F.col("n")),
     }
     totals_ = cells.agg(
         *[F.coalesce(F.sum(F.when(F.col("set") == set_id(cols), per_row[t])), F.lit(0)).cast("long").alias(t) for t, cols in sets.items()]
@@ -545,3 +548,69 @@ def raw_grid_cells(matrix: DataFrame, sheet: str) -> DataFrame:
     top = matrix.select(name, F.lit(0).alias("row_no"), "col_no", F.col("y").cast("string").alias("cell")).distinct()
     left = matrix.select(name, "row_no", F.lit(0).alias("col_no"), F.col("x").cast("string").alias("cell")).distinct()
     return body.unionByName(top).unionByName(left)
+
+
+# --- exports whose parts are found by what stands in them -------------------------------------
+GRID_SHEET = "Sensitivity"
+
+
+def raw_grid_sheet(matrices: list[tuple[str, DataFrame]], offsets: list[tuple[int, int]]) -> DataFrame:
+    """Matrices (x, y, row_no, col_no, value) in one sheet of cells: each at its own offset, under a title."""
+    out = None
+    for (title, matrix), (down, right) in zip(matrices, offsets, strict=True):
+        cells = raw_grid_cells(matrix, GRID_SHEET)
+        cells = cells.select("sheet", (F.col("row_no") + down + 1).alias("row_no"), (F.col("col_no") + right).alias("col_no"), "cell")
+        head = matrix.select(F.lit(GRID_SHEET).alias("sheet"), F.lit(down).alias("row_no"), F.lit(right).alias("col_no"), F.lit(title).alias("cell"))
+        cells = cells.unionByName(head.distinct())
+        out = cells if out is None else out.unionByName(cells)
+    return out
+
+
+def raw_titled_sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Price drivers of every brand and part type as sheets with a section for each brand, and their layouts.
+
+    A sheet holds the brands that begin alike; where its sections begin depends on the data. Half of the
+    sheets decorate their titles in another way. Each ends with notes that look like drivers.
+    """
+    part = read_table(spark, sf_dir, "part").selectExpr("p_brand", "p_type", "p_retailprice", f"{_ten_thousandths('p_retailprice')} AS price_u")
+    a = part.groupBy("p_brand", "p_type").agg(
+        F.min("p_retailprice").alias("lo"), *limb_sums(price="price_u"), F.count(F.lit(1)).alias("parts"), F.max("p_retailprice").alias("hi")
+    )
+    sheet = F.expr("concat('Prices ', substring(p_brand, 1, length(p_brand) - 1))")
+    a = a.withColumn("sheet", sheet).withColumn("mid", F.expr(f"CAST({limbs_sql('price', 4)} AS DOUBLE) / parts"))
+    row = lambda kind, *cells: F.struct(F.lit(kind).alias("kind"), *[(c if isinstance(c, Column) else F.lit(c)).cast("string").alias(f"c{i}") for i, c in enumerate(cells)])
+    empty = [None] * 5
+    even = F.crc32(F.col("sheet").cast("binary")) % 2 == 0
+    title = F.when(even, F.concat(F.lit("── "), F.upper("p_brand"), F.lit(" ──"))).otherwise(F.concat("p_brand", F.lit(":")))
+    drivers = a.select("sheet", "p_brand", "p_type", "parts", F.inline(F.array(row(2, F.col("p_type"), "EUR", F.col("mid"), F.col("lo"), F.col("hi"), F.col("mid")))))
+    brands = a.groupBy("sheet", "p_brand").agg(F.lit(None).cast("string").alias("p_type"), F.sum("parts").alias("parts"))
+    frames = brands.select("*", F.inline(F.array(
+        row(0, title, *empty),
+        row(1, "Driver Name", "Unit", "Base", "Low", "High", "Active"),
+        row(3, None, *empty),
+    )))
+    ends = brands.groupBy("sheet").agg(F.lit("~").alias("p_brand"), F.lit(None).cast("string").alias("p_type"), F.sum("parts").alias("parts"))
+    ends = ends.select("*", F.inline(F.array(row(0, "NOTES", *empty), row(2, "not a driver", "EUR", "1", "1", "1", "1"))))
+    rows = drivers.unionByName(frames).unionByName(ends)
+    sheets = Window.partitionBy("sheet")  # some rows per brand and part type
+    above = F.sum("parts").over(sheets) % 7
+    place = F.row_number().over(sheets.orderBy("p_brand", "kind", "p_type")) + above
+    raw = rows.select("sheet", place.cast("int").alias("row_no"), *[f"c{i}" for i in range(6)])
+    layout = brands.select("sheet", F.col("p_brand").alias("title"), F.col("p_brand").alias("section"))
+    return raw, layout.unionByName(brands.select("sheet", F.lit("Notes").alias("title"), F.lit(None).cast("string").alias("section")).distinct())
+
+
+ORDERS_CSV = "o_orderkey BIGINT NOT NULL, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP, o_orderpriority STRING"
+
+
+def export_orders(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The orders as delimited text; of some, spoilt lines stand besides: a value too few, a price or key that is none."""
+    o = read_table(spark, sf_dir, "orders")
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    text = {n: F.col(n).cast("string").alias(n) for n in names}
+    line = lambda **other: F.to_csv(F.struct(*[other.get(n, text[n]).alias(n) for n in names]))
+    spoilt = F.when(F.col("o_orderkey") % 97 == 0, F.to_csv(F.struct(*[text[n] for n in names[:-1]])))
+    spoilt = spoilt.when(F.col("o_orderkey") % 101 == 0, line(o_totalprice=F.lit("n/a")))
+    spoilt = spoilt.when(F.col("o_orderkey") % 103 == 0, line(o_orderkey=F.lit("?")))
+    lines = o.select(F.explode(F.array_compact(F.array(line(), spoilt))).alias("value"))
+    lines.write.mode("overwrite").text(path)

@@ -16,7 +16,8 @@ from __future__ import annotations
 import time
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from scenaria.operators.audit import load_audit
 from scenaria.session import checkpoint_dir
@@ -41,6 +42,26 @@ def write_table(
     w.parquet(path)
 
 
+def fingerprint(df: DataFrame) -> Column:
+    """A number that tells the rows of ``df`` from others, whatever their order: for use among the counts of a write."""
+    halves = F.xxhash64(*df.columns)
+    return F.concat_ws(":", F.sum(F.shiftrightunsigned(halves, 32)), F.sum(halves.bitwiseAND(0xFFFFFFFF)))
+
+
+def write_counted(
+    df: DataFrame,
+    path: str,
+    partition_by: Iterable[str] = (),
+    sort_within: Iterable[str] = (),
+    mode: str = "overwrite",
+    **metrics: Column,
+) -> dict:
+    """``write_table`` that returns ``n_rows`` and the given aggregates of the rows written, worked out by the write itself."""
+    seen = Observation()
+    write_table(df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *[m.alias(n) for n, m in metrics.items()]), path, partition_by, sort_within, mode)
+    return seen.get
+
+
 # Partition and sort-within columns of the planning tables.
 PLANNING_TABLES = {
     "pl_monthly": (("scenario",), ("entity", "month_number", "metric")),
@@ -61,7 +82,8 @@ def load_planning_tables(spark: SparkSession, sf_dir: str, out_dir: str | None =
 
     The warehouse is read once per mart: months and years of the plans come from one aggregate, all grids
     from another. Their small results are written first, and the tables are derived from what was written.
-    A version is complete when its ``_loaded`` table (row counts by table) is there, which is written last;
+    A version is complete when its ``_loaded`` table (row counts by table, taken while writing) is there, which
+    is written last;
     a failed load leaves earlier versions untouched.
     """
     root = f"{planning_dir(spark, out_dir)}/version-{time.time_ns()}"
@@ -77,9 +99,11 @@ def load_planning_tables(spark: SparkSession, sf_dir: str, out_dir: str | None =
         "sensitivity_closed_lines": marts.grid_from_cells(closed, ("2A", "2B")),
         "sensitivity_growth": marts.growth_grid(all_lines),
     }
-    for name, (part, order) in PLANNING_TABLES.items():
-        write_table(tables[name], f"{root}/{name}", partition_by=part, sort_within=order)
-    write_table(audit_loaded({n: spark.read.parquet(f"{root}/{n}") for n in tables}), f"{root}/_loaded")
+    counts = [
+        (name, write_counted(tables[name], f"{root}/{name}", partition_by=part, sort_within=order)["n_rows"])
+        for name, (part, order) in PLANNING_TABLES.items()
+    ]
+    write_table(spark.createDataFrame(counts, "table_name string, n_rows bigint").coalesce(1), f"{root}/_loaded")
     return root
 
 
@@ -95,6 +119,11 @@ def read_planning_tables(spark: SparkSession, version_dir: str) -> dict[str, Dat
     return {name: spark.read.parquet(f"{root}/{name}") for name in PLANNING_TABLES}
 
 
+def loaded_counts(spark: SparkSession, version_dir: str) -> DataFrame:
+    """E17: the row counts that came with the writes of a version: (table_name, n_rows)."""
+    return spark.read.parquet(f"{version_dir.rstrip('/')}/_loaded")
+
+
 def audit_loaded(tables: Mapping[str, DataFrame]) -> DataFrame:
     """E17: row count of every loaded table."""
     return load_audit(tables)

@@ -107,7 +107,7 @@ def test_command_line_runner_writes_results(spark):
     out = tempfile.mkdtemp(prefix="scenaria-cli-")
     assert main(["load_audit", SF_DIR, out]) == 0
     got = {r["table_name"]: r["n_rows"] for r in spark.read.parquet(os.path.join(out, "load_audit")).collect()}
-    assert set(got) == {*sinks.PLANNING_TABLES, "lines_without_scenario"}
+    assert set(got) == {*sinks.PLANNING_TABLES, "lines_without_scenario", "lines_without_entity"}
     assert main(["no_such_analysis", SF_DIR]) == 2
 
 
