@@ -235,7 +235,7 @@ def load_grid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = {"1": all_lines, "2": closed}
     matrices = [(f"Table {t}", pf.sensitivity_matrix(of[t[0]], out)) for t, out in GRID_BLOCKS]
     # Two beside and two below, none in line with another; a matrix has room for 900 levels.
-    sheet = marts.raw_grid_sheet(matrices, [(3, 2), (5, 1000), (1001, 7), (1002, 1003)])
+    sheet = layout.saved(marts.raw_grid_sheet(matrices, [(3, 2), (5, 1000), (1001, 7), (1002, 1003)]), "sheet")
     long = layout.blocks_to_grid(sheet, {marts.GRID_SHEET: GRID_BLOCKS})
     return long.select("table", "output", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "value")
 

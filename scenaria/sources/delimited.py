@@ -20,13 +20,13 @@ def read(spark: SparkSession, path: str, schema: str | T.StructType, header: boo
 
     ``_reason`` is NULL on good rows. It is ``columns`` where a line has more or fewer values than the
     schema has columns, otherwise the first column whose text has not its type, or is missing where the
-    schema forbids NULL; ``_record`` then holds the line. Empty text is NULL. With ``header``, names that
+    schema forbids NULL; ``_record`` then holds the line. Empty text is NULL; quotes inside quotes are doubled. With ``header``, names that
     differ from the schema's are an error.
     """
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in schema.fields], T.StructField(RECORD, T.StringType())])
     reader = spark.read.schema(text).options(
-        mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD, header=header, enforceSchema=False, sep=sep, columnPruning=False
+        mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD, header=header, enforceSchema=False, sep=sep, escape='"', columnPruning=False
     )
     rows = reader.csv(path)
     reason: Column = F.when(F.col(RECORD).isNotNull(), F.lit("columns"))

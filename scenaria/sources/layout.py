@@ -3,16 +3,22 @@
 Nothing here depends on row numbers, so rows inserted above a part change nothing. Windows run over lists of
 a sheet's lines, blocks or titles, which aggregates make first; the cells themselves are only joined, so Spark
 can split a sheet that holds a large share of all cells. Keys may be NULL; joins treat NULL as a value.
+
+The block functions write their lists of lines and blocks to the checkpoint folder as they go, one small job
+each, as every step needs the one before several times. The cells are scanned once a step: they should come
+from a landed table.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenaria import schema as S
+from scenaria.session import checkpoint_dir
 from scenaria.sources import reshape
 
 
@@ -36,12 +42,19 @@ def sheet_cells(raw: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     return raw.select(*keys, "sheet", "row_no", F.posexplode(cells).alias("col_no", "cell"))
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a folder of its own in the checkpoint folder and read back."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/layout-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _islands(cells: DataFrame, part: Sequence[str], line: str, name: str) -> DataFrame:
     """Numbers the runs of consecutive ``line`` values within ``part``: a gap starts the next one."""
     order = Window.partitionBy(*part).orderBy(line)
     lines = cells.select(*part, line).distinct()
     lines = lines.withColumn("_new", F.when(F.col(line) - F.lag(line).over(order) == 1, 0).otherwise(1))
-    return _join(cells, lines.select(*part, line, F.sum("_new").over(order).alias(name)), [*part, line])
+    return _join(cells, saved(lines.select(*part, line, F.sum("_new").over(order).alias(name)), name.strip("_")), [*part, line])
 
 
 def find_blocks(cells: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
@@ -77,7 +90,7 @@ def find_blocks(cells: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
         F.when(F.col("_title.row_no") < F.col("_head.row_no"), F.trim("_title.text")).alias("title"),
     )
     order = Window.partitionBy(*sheet).orderBy("top", "left")
-    blocks = blocks.withColumn("block", F.row_number().over(order) - 1)
+    blocks = saved(blocks.withColumn("block", F.row_number().over(order) - 1), "blocks")
     return _join(found, blocks, part).drop(*part[len(sheet) :])
 
 

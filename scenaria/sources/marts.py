@@ -608,8 +608,8 @@ def export_orders(spark: SparkSession, sf_dir: str, path: str) -> None:
     o = read_table(spark, sf_dir, "orders")
     names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
     text = {n: F.col(n).cast("string").alias(n) for n in names}
-    line = lambda **other: F.to_csv(F.struct(*[other.get(n, text[n]).alias(n) for n in names]))
-    spoilt = F.when(F.col("o_orderkey") % 97 == 0, F.to_csv(F.struct(*[text[n] for n in names[:-1]])))
+    line = lambda **other: F.to_csv(F.struct(*[other.get(n, text[n]).alias(n) for n in names]), {"escape": '"'})
+    spoilt = F.when(F.col("o_orderkey") % 97 == 0, F.to_csv(F.struct(*[text[n] for n in names[:-1]]), {"escape": '"'}))
     spoilt = spoilt.when(F.col("o_orderkey") % 101 == 0, line(o_totalprice=F.lit("n/a")))
     spoilt = spoilt.when(F.col("o_orderkey") % 103 == 0, line(o_orderkey=F.lit("?")))
     lines = o.select(F.explode(F.array_compact(F.array(line(), spoilt))).alias("value"))
