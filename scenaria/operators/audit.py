@@ -196,6 +196,29 @@ def grid_audit(
     return summary.select(*keys, F.explode(F.array(*rows)).alias("r")).where("r IS NOT NULL").select(*keys, "r.*")
 
 
+def grid_cells_check(grid: DataFrame, keys: Iterable[str] = (), x: str = "x", y: str = "y") -> DataFrame:
+    """The cells that make a grid incomplete: ``(keys..., x, y, output, n_rows, finding)``.
+
+    ``MISSING``: a position of the lattice of a key's own levels and outputs that has no row; ``DOUBLED``:
+    more than one; ``NULL VALUE``: one without a value. Counts alone cannot tell: a missing and a doubled
+    cell add up to the expected number of rows. The lattice grows with the levels of x, each of which meets
+    its key's levels of y and outputs; keys may be NULL.
+    """
+    keys = list(keys)
+    cells = grid.groupBy(*keys, x, y, "output").agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_values"))
+    match = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys] + [F.col(k).isNull().cast("string") for k in keys]
+    named = cells.withColumn("_key", F.array(F.lit(""), *match))
+    levels = named.groupBy("_key").agg(F.collect_set(y).alias("_ys"), F.collect_set("output").alias("_outputs"))
+    lattice = named.select("_key", *keys, x).distinct().join(levels, "_key")
+    lattice = lattice.select("_key", *keys, x, F.explode("_ys").alias(y), "_outputs").select("_key", *keys, x, y, F.explode("_outputs").alias("output"))
+    missing = lattice.join(named.select("_key", x, y, "output"), ["_key", x, y, "output"], "left_anti").select(
+        *keys, x, y, "output", F.lit(0).cast("long").alias("n_rows"), F.lit("MISSING").alias("finding")
+    )
+    found = F.when(F.col("n_rows") > 1, "DOUBLED").when(F.col("n_values") == 0, "NULL VALUE")
+    wrong = cells.withColumn("finding", found).where("finding IS NOT NULL").select(*keys, x, y, "output", "n_rows", "finding")
+    return missing.unionByName(wrong)
+
+
 def grid_vs_totals_check(
     grid: DataFrame,
     totals: DataFrame,

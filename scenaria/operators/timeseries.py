@@ -47,6 +47,36 @@ def _prev(col: str | Column, w: Window, require_contiguous: bool = False) -> Col
     return prev
 
 
+def fill_gaps(fact: DataFrame, keys: Iterable[str] = (), label_prefix: str = "Month_") -> DataFrame:
+    """The fact with a row for every period between a series' first and last, and ``filled`` on the new ones.
+
+    A missing period gets the value on the line between its neighbours in the series, by its distance from
+    them; next to a NULL value it is NULL. A row that is followed by a gap makes the gap's rows itself, so
+    one window per series is all it takes. Series are not extended before their first or after their last
+    period; repeated periods stay as they are.
+    """
+    keys = list(keys)
+    part = [*keys, "scenario", "metric"]
+    w = _period_window(keys, "scenario", "metric")
+    f = co_locate(fact, keys).select(
+        *part, PERIOD, "value", F.lead(PERIOD).over(w).alias("next_period"), F.lead("value").over(w).alias("next_value")
+    )
+    gap = F.col("next_period") - F.col(PERIOD)
+    steps = F.sequence(F.lit(0), F.greatest(F.coalesce(gap, F.lit(1)), F.lit(1)) - 1)
+    f = f.withColumn("gap", gap).withColumn("i", F.explode(steps))
+    value = F.when(F.col("i") == 0, F.col("value")).otherwise(
+        F.col("value") + (F.col("next_value") - F.col("value")) * F.col("i") / F.col("gap")
+    )
+    period = (F.col(PERIOD) + F.col("i")).cast("int")
+    return f.select(
+        *part,
+        period.alias(PERIOD),
+        F.concat(F.lit(label_prefix), period.cast("string")).alias("month"),
+        value.alias("value"),
+        (F.col("i") > 0).alias("filled"),
+    )
+
+
 def scenario_spread(
     fact: DataFrame,
     metrics: Iterable[str] = (S.REVENUE, S.CONTRIBUTION_MARGIN, S.EBITDA),
@@ -86,6 +116,7 @@ def zero_crossings(
     metrics: Iterable[str] = (S.EBITDA, S.CONTRIBUTION_MARGIN, S.REVENUE, S.EBITDA_PCT, S.CM_PCT),
     keys: Iterable[str] = (),
     require_contiguous: bool = False,
+    over_gaps: bool = False,
 ) -> DataFrame:
     """Sign changes between consecutive periods with linear interpolation of the zero point.
 
@@ -94,11 +125,14 @@ def zero_crossings(
     whole series; it is a whole-partition window on the same partitioning as
     the lag, so no join and no extra exchange are needed. The predecessor is
     the previous *row*; with ``require_contiguous`` a predecessor that is not
-    the immediately preceding period is ignored (no crossing across a gap).
+    the immediately preceding period is ignored (no crossing across a gap);
+    with ``over_gaps`` the line is drawn from the predecessor's own period, so
+    a crossing over a gap of g periods interpolates over g periods.
     """
     keys = list(keys)
     part = [*keys, "scenario", "metric"]
     w = _period_window(keys, "scenario", "metric")
+    step = (F.col(PERIOD) - F.lag(PERIOD).over(w)) if over_gaps else F.lit(1)
     whole = Window.partitionBy(*part)
     prev_value = _prev("value", w, require_contiguous)
     f = co_locate(fact.where(F.col("metric").isin(list(metrics))), keys).select(
@@ -106,16 +140,21 @@ def zero_crossings(
         PERIOD,
         F.col("value").alias("cur"),
         prev_value.alias("prev"),
+        step.alias("step"),
         F.count(F.when(F.col("value") >= 0, F.lit(1))).over(whole).alias("total_months_positive"),
     )
     cur, prev = F.col("cur"), F.col("prev")
+    if over_gaps:
+        zero = (F.col(PERIOD) - F.col("step")) + F.col("step") * safe_div(F.abs(prev), F.abs(prev) + F.abs(cur))
+    else:
+        zero = linear_crossing(PERIOD, F.abs(prev), F.abs(prev) + F.abs(cur))
     down = (prev >= 0) & (cur < 0)
     up = (prev < 0) & (cur >= 0)
     return f.where(prev.isNotNull() & (down | up)).select(
         *part,
         F.when(down, "Positive to Negative").when(up, "Negative to Positive").alias("crossing_direction"),
         F.col(PERIOD).alias("crossing_month"),
-        F.round(linear_crossing(PERIOD, F.abs(prev), F.abs(prev) + F.abs(cur)), 2).alias("interpolated_zero_month"),
+        F.round(zero, 2).alias("interpolated_zero_month"),
         F.round(prev, 2).alias("value_before_crossing"),
         F.round(cur, 2).alias("value_after_crossing"),
         F.round(F.abs(cur - prev), 2).alias("absolute_swing"),

@@ -284,6 +284,30 @@ def load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.loaded_counts(spark, sinks.load_planning_tables(spark, sf_dir))
 
 
+def bucketed_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accounting identities on a fact table bucketed by the plan keys: read without an exchange."""
+    name = f"fact_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return au.reconcile(sinks.write_bucketed(marts.fact(spark, sf_dir), name, path, KEYS, buckets, ["month_number"]), keys=KEYS)
+
+
+def gap_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zero-line crossings of plans with missing months, interpolated over as many months as lie between."""
+    return ts.zero_crossings(marts.fact_with_gaps(spark, sf_dir), keys=KEYS, over_gaps=True)
+
+
+def filled_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plans with missing months, these filled by the line between their neighbours."""
+    return ts.fill_gaps(marts.fact_with_gaps(spark, sf_dir), keys=KEYS)
+
+
+def grid_cells_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing and doubled cells of each supplier's yearly (discount, tax) grid, whose rows are its lines."""
+    found = au.grid_cells_check(marts.supplier_lines_as_cells(spark, sf_dir), marts.SUPPLIER_GRID_KEYS)
+    return found.withColumn("x", F.col("x").cast("double")).withColumn("y", F.col("y").cast("double"))
+
+
 # Presentation order of each analysis (operators return unsorted frames; sorting
 # is only done here, at the edge, for display or export).
 ORDER = {
@@ -322,6 +346,10 @@ ORDER = {
     "csv_audit": ("table_name", "reason"),
     "reload_scenario": ("entity", "fiscal_year", "scenario", "metric", "month_number"),
     "load_counts": ("table_name",),
+    "bucketed_reconcile": ("entity", "fiscal_year", "scenario", "month"),
+    "gap_crossings": ("entity", "fiscal_year", "scenario", "metric", "crossing_month"),
+    "filled_gaps": ("entity", "fiscal_year", "scenario", "metric", "month_number"),
+    "grid_cells_check": ("l_suppkey", "fiscal_year", "x", "y"),
 }
 
 
@@ -367,4 +395,8 @@ QUERIES: dict[str, Query] = {
     "csv_audit": csv_audit,
     "reload_scenario": reload_scenario,
     "load_counts": load_counts,
+    "bucketed_reconcile": bucketed_reconcile,
+    "gap_crossings": gap_crossings,
+    "filled_gaps": filled_gaps,
+    "grid_cells_check": grid_cells_check,
 }

@@ -40,4 +40,8 @@ ORACLE: dict[str, str] = {
     "csv_audit": O.csv_audit(),
     "reload_scenario": O.reload_scenario(),
     "load_counts": O.load_counts(),
+    "bucketed_reconcile": O.reconcile(),
+    "gap_crossings": O.gap_crossings(),
+    "filled_gaps": O.filled_gaps(),
+    "grid_cells_check": O.grid_cells_check(),
 }

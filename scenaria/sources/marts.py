@@ -614,3 +614,24 @@ def export_orders(spark: SparkSession, sf_dir: str, path: str) -> None:
     spoilt = spoilt.when(F.col("o_orderkey") % 103 == 0, line(o_orderkey=F.lit("?")))
     lines = o.select(F.explode(F.array_compact(F.array(line(), spoilt))).alias("value"))
     lines.write.mode("overwrite").text(path)
+
+
+def fact_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long fact without some months of each plan, other ones by scenario."""
+    return fact(spark, sf_dir).where((F.col("month_number") + F.length("scenario")) % 4 != 0)
+
+
+SUPPLIER_GRID_KEYS = ("l_suppkey", YEAR)
+
+
+def supplier_lines_as_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each supplier and year as rows of a grid over discount and tax: cells repeat and are missing."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(
+        "l_suppkey",
+        F.year("l_shipdate").alias(YEAR),
+        F.col("l_discount").cast("string").cast(S.AXIS).alias("x"),
+        F.col("l_tax").cast("string").cast(S.AXIS).alias("y"),
+        F.lit(S.OUT_REVENUE).alias("output"),
+        F.col("l_extendedprice").alias("value"),
+    )

@@ -73,6 +73,30 @@ PLANNING_TABLES = {
 }
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, by: Iterable[str], buckets: int, sort_by: Iterable[str] = ()) -> DataFrame:
+    """E13: replaces ``table``, whose files at ``path`` are bucketed by the plan keys and sorted in each bucket.
+
+    Analyses that group, join or window by these keys, and perhaps more, read it without an exchange. One
+    task writes one bucket, so ``buckets`` should give buckets of some hundred MB; as buckets are never
+    split, keys by which no plan outweighs a bucket are the ones to take. The catalog remembers the table;
+    ``open_bucketed`` makes it known to a session whose catalog is its own.
+    """
+    by, sort_by = list(by), list(sort_by)
+    writer = df.repartition(buckets, *by).write.mode("overwrite").option("path", path).bucketBy(buckets, *by)
+    (writer.sortBy(*sort_by) if sort_by else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def open_bucketed(spark: SparkSession, table: str, path: str, by: Iterable[str], buckets: int, sort_by: Iterable[str] = ()) -> DataFrame:
+    """The table that ``write_bucketed`` wrote to ``path``, under a name in this session's catalog."""
+    columns = spark.read.parquet(path).schema
+    quoted = lambda names: ", ".join(f"`{c}`" for c in names)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.fields)
+    order = f" SORTED BY ({quoted(sort_by)})" if list(sort_by) else ""
+    spark.sql(f"CREATE TABLE {table} ({ddl}) USING parquet CLUSTERED BY ({quoted(by)}){order} INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
 def planning_dir(spark: SparkSession, out_dir: str | None = None) -> str:
     return (out_dir or f"{checkpoint_dir(spark)}/planning").rstrip("/")
 
