@@ -228,19 +228,21 @@ def grid_vs_totals_check(
     scenario: str = "Base",
     tol: float = 1e-6,
     keys: Iterable[str] = (),
+    tags: Iterable[str] = (),
 ) -> DataFrame:
     """Compare a grid's base cell with the yearly totals of the base scenario.
 
     ``outputs`` maps grid output -> totals metric (default: revenue and EBITDA
     margin). The grid-only cross-check cannot see a grid that was computed
     with different assumptions than the P&L; this one can. Report per output:
-    grid value, totals value, relative variance and PASS / FAIL.
+    grid value, totals value, relative variance and PASS / FAIL. ``tags`` are
+    columns of the grid alone that tell several grids of one plan apart.
     """
-    keys = list(keys)
+    keys, tags = list(keys), list(tags)
     outputs = dict(outputs or {S.OUT_REVENUE: S.REVENUE, S.OUT_MARGIN: S.EBITDA_PCT})
     cond = (F.col("x") == F.lit(str(base_x)).cast(S.AXIS)) & (F.col("y") == F.lit(str(base_y)).cast(S.AXIS))
     g = grid.where(cond & F.col("output").isin(list(outputs))).select(
-        *keys, "output", F.col("value").alias("grid_value")
+        *keys, *tags, "output", F.col("value").alias("grid_value")
     )
     metric_of = F.create_map(*[F.lit(v) for kv in outputs.items() for v in kv])
     t = totals.where((F.col("scenario") == scenario) & F.col("metric").isin(list(outputs.values())))
@@ -250,6 +252,7 @@ def grid_vs_totals_check(
     rel = F.abs(F.col("grid_value") - F.col("totals_value")) / F.greatest(F.abs(F.col("totals_value")), F.lit(1e-12))
     return j.select(
         *keys,
+        *tags,
         "output",
         "grid_value",
         "totals_value",

@@ -308,6 +308,30 @@ def grid_cells_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("x", F.col("x").cast("double")).withColumn("y", F.col("y").cast("double"))
 
 
+def load_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The step tables of the four engines of each plan, loaded from their sheets by title."""
+    raw, layouts = marts.raw_engine_sheets(spark, sf_dir)
+    t = layout.engines_by_title(raw, layouts, KEYS)
+    return t.withColumn("value", F.col("value").try_cast("double"))
+
+
+def replanned_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth grid of each plan, worked out anew from its months at every level."""
+    g = marts.replanned_growth_grid(spark, sf_dir)
+    return g.withColumn("x", F.col("x").cast("double")).withColumn("y", F.col("y").cast("double"))
+
+
+def replanned_vs_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base cells of replanned growth grids against the yearly totals: one with the plan's assumptions, one with dearer vehicles."""
+    _, totals = marts.views(marts.wide_levels(spark, sf_dir))
+    cases = {"as planned": marts.VEHICLE_COST, "vehicles at 1.1 times the cost": 1.1 * marts.VEHICLE_COST}
+    out = None
+    for name, cost in cases.items():
+        g = marts.replanned_growth_grid(spark, sf_dir, vehicle_cost=cost).withColumn("assumption", F.lit(name))
+        out = g if out is None else out.unionByName(g)
+    return au.grid_vs_totals_check(out, totals, *marts.GROWTH_BASE, keys=KEYS, tags=("assumption",))
+
+
 # Presentation order of each analysis (operators return unsorted frames; sorting
 # is only done here, at the edge, for display or export).
 ORDER = {
@@ -347,6 +371,9 @@ ORDER = {
     "reload_scenario": ("entity", "fiscal_year", "scenario", "metric", "month_number"),
     "load_counts": ("table_name",),
     "bucketed_reconcile": ("entity", "fiscal_year", "scenario", "month"),
+    "load_engines": ("entity", "fiscal_year", "section", "metric"),
+    "replanned_grid": ("entity", "fiscal_year", "output", "x", "y"),
+    "replanned_vs_totals": ("entity", "fiscal_year", "assumption", "output"),
     "gap_crossings": ("entity", "fiscal_year", "scenario", "metric", "crossing_month"),
     "filled_gaps": ("entity", "fiscal_year", "scenario", "metric", "month_number"),
     "grid_cells_check": ("l_suppkey", "fiscal_year", "x", "y"),
@@ -396,6 +423,9 @@ QUERIES: dict[str, Query] = {
     "reload_scenario": reload_scenario,
     "load_counts": load_counts,
     "bucketed_reconcile": bucketed_reconcile,
+    "load_engines": load_engines,
+    "replanned_grid": replanned_grid,
+    "replanned_vs_totals": replanned_vs_totals,
     "gap_crossings": gap_crossings,
     "filled_gaps": filled_gaps,
     "grid_cells_check": grid_cells_check,

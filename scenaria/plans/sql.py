@@ -41,6 +41,9 @@ ORACLE: dict[str, str] = {
     "reload_scenario": O.reload_scenario(),
     "load_counts": O.load_counts(),
     "bucketed_reconcile": O.reconcile(),
+    "load_engines": O.load_engines(),
+    "replanned_grid": O.replanned_grid(),
+    "replanned_vs_totals": O.replanned_vs_totals(),
     "gap_crossings": O.gap_crossings(),
     "filled_gaps": O.filled_gaps(),
     "grid_cells_check": O.grid_cells_check(),

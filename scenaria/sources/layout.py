@@ -160,11 +160,28 @@ def slice_titled(raw: DataFrame, sections: DataFrame, keys: Iterable[str] = ())
     return tagged.where(inside).drop("lo", "hi")
 
 
+def table_by_title(
+    raw: DataFrame, layout: DataFrame, names: Sequence[str], header: str, keys: Iterable[str] = (), with_dividers: Sequence[str] = ()
+) -> DataFrame:
+    """Rows of the titled sections with their first columns named, without blank, divider and header rows.
+
+    The first name is the key column, whose cells tell these rows. Sections of ``with_dividers`` keep their
+    divider rows.
+    """
+    keys, names = list(keys), list(names)
+    t = slice_titled(raw, find_sections(raw, layout, keys), keys)
+    t = reshape.rename_positional(t, names, reshape.data_columns(t, len(names)))
+    t = reshape.clean_rows(t.where(_filled(F.col(names[0]))), names[0], drop_dividers=False, header=header)
+    kept = F.col("section").isin(list(with_dividers)) if with_dividers else F.lit(False)
+    return t.where(kept | ~F.col(names[0]).startswith(reshape.DIVIDER)).select(*keys, "section", *names)
+
+
 def assumptions_by_title(raw: DataFrame, layout: DataFrame, keys: Iterable[str] = (), header: str = "Driver Name") -> DataFrame:
     """Driver table from sheets whose sections are found from their titles."""
-    keys = list(keys)
     names = ["driver_name", "unit", "base_case", "low_case", "high_case", "active_value"]
-    t = slice_titled(raw, find_sections(raw, layout, keys), keys)
-    t = reshape.rename_positional(t, names, reshape.data_columns(t, len(names)))
-    t = reshape.clean_rows(t.where(_filled(F.col("driver_name"))), "driver_name", header=header)
-    return t.select(*keys, "section", *names)
+    return table_by_title(raw, layout, names, header, keys)
+
+
+def engines_by_title(raw: DataFrame, layout: DataFrame, keys: Iterable[str] = (), with_dividers: Sequence[str] = ("revenue_engine",)) -> DataFrame:
+    """The engines' step tables in one, told apart by ``section``; the revenue engine keeps its divider rows."""
+    return table_by_title(raw, layout, ["metric", "unit", "definition", "value"], "Metric", keys, with_dividers)

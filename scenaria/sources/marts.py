@@ -368,6 +368,42 @@ def plan_growth_grid(totals_wide: DataFrame, tags: tuple[str, str] = ("4A", "4B"
     return _growth_rows(base, list(PL_KEYS), tags)
 
 
+def replanned_growth_grid(
+    spark: SparkSession,
+    sf_dir: str,
+    tags: tuple[str, str] = ("4A", "4B"),
+    scenario: str = "Base",
+    vehicle_cost: float = VEHICLE_COST,
+    platform_overhead: float = PLATFORM_OVERHEAD,
+    vehicle_capacity: float = VEHICLE_CAPACITY,
+) -> DataFrame:
+    """What-if grid of each plan, worked out anew from its months: no yearly total goes into it.
+
+    Volume growth changes a month's units, and with them the vehicles that the month needs, rounded up month
+    by month; revenue and variable cost follow units and price. The months of a plan are added up in one
+    aggregate with one fleet sum for each level of volume growth, so no lattice of months is built. The
+    assumptions are arguments: a grid made with others than the plan's shows in ``grid_vs_totals_check``.
+    """
+    months = base_measures(spark, sf_dir).where(F.col("scenario") == scenario)
+    one = F.lit(1.0)
+
+    def vehicles(growth: float) -> Column:
+        return F.sum(F.ceil(F.col("rides").cast("double") * F.lit(1.0 + growth) / F.lit(float(vehicle_capacity))))
+
+    years = months.groupBy(*PL_KEYS).agg(
+        F.sum("net").cast("double").alias("rev"),
+        F.sum("var").cast("double").alias("cost"),
+        F.count(F.lit(1)).alias("months"),
+        F.array(*[F.struct(F.lit(float(g)).alias("gy"), vehicles(g).cast("double").alias("fleet")) for g in VOLUME_GROWTH]).alias("volumes"),
+    )
+    cells = years.select("*", F.inline("volumes")).withColumn("gx", F.explode(F.array(*[F.lit(float(g)) for g in PRICE_GROWTH])))
+    revenue = F.col("rev") * (one + F.col("gx")) * (one + F.col("gy"))
+    fixed = F.col("fleet") * F.lit(float(vehicle_cost)) + F.col("months") * F.lit(float(platform_overhead))
+    margin = safe_div(revenue - F.col("cost") * (one + F.col("gy")) - fixed, revenue)
+    x, y = (F.col(g).cast("string").cast(S.AXIS) for g in ("gx", "gy"))
+    return _grid_rows(cells, list(PL_KEYS), x, y, revenue, margin, tags)
+
+
 def grids_all_and_status(
     spark: SparkSession,
     sf_dir: str,
@@ -635,3 +671,31 @@ def supplier_lines_as_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(S.OUT_REVENUE).alias("output"),
         F.col("l_extendedprice").alias("value"),
     )
+
+
+#: Sheet, title, table and the steps of the four engines, as (metric, unit, definition, expression).
+ENGINES = (
+    ("Volume Engine", "Volume", "volume_engine", ((S.FLEET, "vehicles", "at the year's end", S.FLEET), (S.RIDES, "rides", "of the year", S.RIDES))),
+    ("Revenue Engine", "Revenue", "revenue_engine", ((S.REVENUE, "EUR", "after discounts", S.REVENUE),)),
+    ("Variable Cost Engine", "Variable Costs", "variable_cost_engine", ((S.VARIABLE_COSTS, "EUR", "with the volume", S.VARIABLE_COSTS), (S.CONTRIBUTION_MARGIN, "EUR", "revenue less variable costs", S.CONTRIBUTION_MARGIN))),
+    ("Fixed Cost Engine", "Fixed Costs", "fixed_cost_engine", ((S.VEHICLE_FIXED, "EUR", "fleet", S.VEHICLE_FIXED), (S.PLATFORM_OVERHEAD, "EUR", "every month", S.PLATFORM_OVERHEAD), (S.EBITDA, "EUR", "what is left", S.EBITDA))),
+)
+
+
+def raw_engine_sheets(spark: SparkSession, sf_dir: str, scenario: str = "Base") -> tuple[DataFrame, DataFrame]:
+    """The calculation steps of each plan's year as sheets, one for each engine, and their layout.
+
+    Under its title a sheet has a header, its steps with dividers and blank rows between, and the header
+    once more; notes follow.
+    """
+    years = wide_totals(wide_levels(spark, sf_dir)).where(F.col("scenario") == scenario)
+    rows = []
+    for sheet, title, _, steps in ENGINES:
+        lines = [["Engine of the year", "see notes"], [f"── {title.upper()} ──"], ["Metric", "Unit", "Definition", "Value"]]
+        for i, (metric, unit, definition, column) in enumerate(steps):
+            lines += [[metric, unit, definition, F.col(f"`{column}`")], [f"── step {i + 1} ──", "", ""], []]
+        lines += [["Metric", "Unit", "Definition", "Value"], ["Notes:"], ["not a step", "EUR", "", "1"]]
+        rows += [_sheet_row(F.lit(sheet), i, cells) for i, cells in enumerate(lines)]
+    raw = years.select(*PL_KEYS, F.inline(F.array(*rows)))
+    known = [(sheet, t, s) for sheet, title, table, _ in ENGINES for t, s in ((title, table), ("Notes", None))]
+    return raw, spark.createDataFrame(known, "sheet string, title string, section string")

@@ -1,5 +1,6 @@
 """Missing periods and missing cells; tables that are read without an exchange."""
 
+import os
 import uuid
 
 import fixtures as fx
@@ -12,6 +13,7 @@ from scenaria.operators import audit as au
 from scenaria.operators import timeseries as ts
 from scenaria.sources import sinks
 
+SF_DIR = os.environ.get("SCENARIA_TEST_SF", "/root/testdata/sf0.001")
 FACT = "entity string, scenario string, month_number int, metric string, value double"
 
 
@@ -62,6 +64,19 @@ def test_cells_are_checked_by_key(spark):
     assert got == [("None", 1, 2, "MISSING"), ("None", 2, 1, "MISSING"), ("a", 1, 2, "MISSING"), ("a", 2, 1, "NULL VALUE")]
 
 
+def test_a_changed_assumption_fails_on_the_given_tables(spark):
+    from scenaria.plans.catalog import QUERIES
+
+    if not os.path.isdir(SF_DIR):
+        pytest.skip("test tables not present")
+    got = QUERIES["replanned_vs_totals"](spark, SF_DIR).collect()
+    status = {(r["assumption"], r["output"], r["status"]) for r in got}
+    changed = "vehicles at 1.1 times the cost"
+    assert status == {
+        ("as planned", S.OUT_REVENUE, "PASS"), ("as planned", S.OUT_MARGIN, "PASS"), (changed, S.OUT_REVENUE, "PASS"), (changed, S.OUT_MARGIN, "FAIL")
+    }
+
+
 @pytest.fixture
 def bucketed(spark, tmp_path):
     name = f"fact_{uuid.uuid4().hex}"
