@@ -243,18 +243,20 @@ def sensitivity_matrix(
         left_out = F.when(~F.col(y).isin(wanted), F.raise_error(F.lit("a level of the grid is not in y_levels")).cast("boolean"))
         wide = g.groupBy(*keys, x).agg(*cols, F.max(left_out).alias("left_out")).where("left_out IS NULL").drop("left_out")
         return wide.withColumn(x, F.col(x).cast("double"))
-    lines = g.groupBy(*keys, x).agg(F.map_from_entries(F.collect_list(F.struct(y, "value"))).alias("line"))
-    all_lines = Window.partitionBy(*keys)  # one row per level of x
-    levels = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("line")).over(all_lines))))
-    lines = lines.select(*keys, x, "line", levels.alias("levels"), F.row_number().over(all_lines.orderBy(x)).alias("row_no"))
-    cells = lines.select(*keys, x, "row_no", "line", F.posexplode("levels").alias("at", y))
-    return cells.select(
+    # Levels of both axes are lists of their own; the positions they span meet the cells in a join.
+    levels = g.groupBy(*keys).agg(F.array_sort(F.collect_set(x)).alias("_xs"), F.array_sort(F.collect_set(y)).alias("_ys"))
+    places = levels.select(*keys, "_ys", F.posexplode("_xs").alias("_row", "_x")).select(*keys, "_row", "_x", F.posexplode("_ys").alias("_col", "_y"))
+    cells = g.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(x).alias("_cx"), F.col(y).alias("_cy"), "value")
+    match = (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy"))
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return places.join(cells, match, "left").select(
         *keys,
-        F.col(x).cast("double").alias(x),
-        F.col(y).cast("double").alias(y),
-        "row_no",
-        (F.col("at") + 1).alias("col_no"),
-        F.element_at("line", F.col(y)).alias("value"),
+        F.col("_x").cast("double").alias(x),
+        F.col("_y").cast("double").alias(y),
+        (F.col("_row") + 1).alias("row_no"),
+        (F.col("_col") + 1).alias("col_no"),
+        "value",
     )
 
 
