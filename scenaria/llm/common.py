@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +74,15 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_parts(self, parts: Iterable[DataFrame], name: str) -> DataFrame:
+        """Writes the parts, which have the same columns, one after another to one table."""
+        self.n += 1
+        path, schema = f"{self.root}/{self.n:03d}-{name}", None
+        for df in parts:
+            df.write.mode("append").parquet(path)
+            schema = df.schema
+        return self.spark.read.schema(schema).parquet(path)
+
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,12 +8,15 @@ with one token deleted). When the levels plus one add up to H + 1 or more, two s
 H tokens agree in a segment within its level. Levels are allocated by cost: rows to index plus pairs met
 by chance, counted on a bounded share of the sets; they steer work only, never the result.
 
-Each signature's sets form a bucket. Buckets are not expanded to pairs: each set is first compared with its
-bucket's least one, verified exactly and united. Only in buckets whose sets are still in several components
-are the other pairs across components looked at, in blocks of bounded size, through parity bitmaps (the
-bits in which two bitmaps differ never exceed the tokens in which the sets differ): first the likeliest
-pairs that would join the components to trees, then all that are left. What passes is verified exactly. So
-no link between different components is lost, and links inside one need not be listed.
+Each distinct set is signed once, whatever the number of its documents. The signatures are matched a part of
+the key space at a time (ROUNDS parts), so that the shuffles of a part are gone before the next begins; keys
+of one set only end there. Each signature's sets form a bucket. Buckets are not expanded to pairs: each set is
+first compared with its bucket's least one, through parity bitmaps (the bits in which two bitmaps differ never
+exceed the tokens in which the sets differ), then verified exactly and united. Only in buckets whose sets are
+still in several components are the other pairs across components looked at, in blocks of bounded size and
+through the bitmaps: first the likeliest pairs that would join the components to trees, then all that are
+left. What passes is verified exactly. So no link between different components is lost, and links inside one
+need not be listed.
 
 Tokens and sets are compared as 64-bit hashes (two of a pair's n tokens collide with a chance of n**2/2**65).
 
@@ -43,8 +46,13 @@ COST_SHARE = 32
 COST_SEGMENTS = 1 << 18
 #: Sets of one bucket that a task compares at once.
 BLOCK = 1024
-#: Bits of a parity bitmap for each token that may differ.
+#: Bits of a parity bitmap for each token that may differ, and of the small one that all pairs pass first.
 BITS_PER_DIFFERENCE = 64
+SMALL_BITS = 4
+#: Sets (8 bytes each) whose names are broadcast.
+FEW = 1_000_000
+#: Parts of the key space that are matched one after another.
+ROUNDS = 4
 
 
 class Similarity:
@@ -131,7 +139,7 @@ def documents_as_sets(docs: DataFrame, like: Similarity) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t long, n long, k long")
 
 
-def allocate(docs: DataFrame, like: Similarity) -> dict[int, np.ndarray]:
+def allocate(texts: DataFrame, like: Similarity) -> dict[int, np.ndarray]:
     """Levels of the segments by band: the cheapest that add up to the band's need.
 
     Costs come from one set in COST_SHARE. A segment at level 0 costs one row a set and the pairs that
@@ -148,8 +156,8 @@ def allocate(docs: DataFrame, like: Similarity) -> dict[int, np.ndarray]:
             cols = [pa.array(np.concatenate(x).astype(np.int64) if x else [], pa.int64()) for x in (b, s, g)]
             yield pa.RecordBatch.from_arrays(cols, ["band", "segment", "sig"])
 
-    some = docs.select("text").distinct().filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(COST_SHARE)) == 0)
-    met = some.mapInArrow(run, "band long, segment long, sig long").groupBy("band", "segment", "sig").agg(F.count(F.lit(1)).alias("c"))
+    some = texts.filter(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(COST_SHARE)) == 0)
+    met = some.select("text").mapInArrow(run, "band long, segment long, sig long").groupBy("band", "segment", "sig").agg(F.count(F.lit(1)).alias("c"))
     costs = (
         met.groupBy("band", "segment")
         .agg(F.sum("c").alias("rows"), F.sum(F.expr("c * (c - 1)")).alias("pairs"))
@@ -176,38 +184,75 @@ def allocate(docs: DataFrame, like: Similarity) -> dict[int, np.ndarray]:
     return levels
 
 
-def signatures(docs: DataFrame, levels: dict[int, np.ndarray], like: Similarity) -> DataFrame:
-    """(sig, k, n): every set's index keys under its schemes."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def texts_of(docs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k, text): one text of each set that is not empty."""
+    row = F.xxhash64("doc_id", "t").alias("r")
+    rows = sets.filter("n > 0").groupBy("k", row).agg(F.count(F.lit(1)).alias("c"))
+    one = scratch.save(rows.groupBy("k").agg(F.min("r").alias("r"), F.min_by("c", "r").alias("c")), "one-of-each")
+    named = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("r"), "text")
+    found = named.join(one.filter("c = 1").select("r", "k"), "r").select("k", "text")
+    many = one.filter("c > 1").select("r", "k")
+    if many.take(1):  # rows that repeat id and text
+        found = found.unionByName(named.join(many, "r").select("k", "text").dropDuplicates(["k"]))
+    return scratch.save(found, "texts")
+
+
+def signatures(texts: DataFrame, levels: dict[int, np.ndarray], like: Similarity) -> DataFrame:
+    """(k, n, small, part0, part1, ...): every set's size, small bitmap, and index keys under its schemes, an array for
+    each part of the key space."""
+    shared = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_band = shared.value
         for batch in batches:
-            sig, owner, count = [], [], []
+            n, small = [], []
+            ends, values = [[0] for _ in range(ROUNDS)], [[np.zeros(0, np.int64)] for _ in range(ROUNDS)]
             for tokens in like.word_sets(batch):
-                for band in like.of(len(tokens)):
-                    flat = np.zeros(like.segments[band], np.int64)
-                    _, keys = segment_keys(tokens, band, by_band.get(band, flat), like)
-                    sig.append(keys.view(np.int64))
-                    owner.append(np.full(len(keys), set_hash(tokens)))
-                    count.append(np.full(len(keys), len(tokens)))
-            cols = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (sig, owner, count)]
-            yield pa.RecordBatch.from_arrays(cols, ["sig", "k", "n"])
+                n.append(len(tokens)), small.append(parity(tokens, SMALL_BITS, like))
+                found = [segment_keys(tokens, band, by_band.get(band, np.zeros(like.segments[band], np.int64)), like)[1] for band in like.of(len(tokens))]
+                keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
+                part = (keys % np.uint64(ROUNDS)).astype(np.int64)
+                for i in range(ROUNDS):
+                    values[i].append(keys[part == i].view(np.int64))
+                    ends[i].append(ends[i][-1] + len(values[i][-1]))
+            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(np.concatenate(v), pa.int64())) for e, v in zip(ends, values, strict=True)]
+            cols = [batch["k"], pa.array(n, pa.int64()), pa.array(small, pa.binary()), *lists]
+            yield pa.RecordBatch.from_arrays(cols, ["k", "n", "small", *(f"part{i}" for i in range(ROUNDS))])
+
+    parts = ", ".join(f"part{i} array<long>" for i in range(ROUNDS))
+    return texts.select("k", "text").mapInArrow(run, f"k long, n long, small binary, {parts}")
 
-    return docs.select("text").mapInArrow(run, "sig long, k long, n long")
 
+def buckets_of(index: DataFrame, part: int) -> DataFrame:
+    """(sig, k, least, many): the signatures of two or more sets in a part of the key space, least set and size of the bucket."""
+    rows = index.select("k", F.explode(f"part{part}").alias("sig"))
+    least = rows.groupBy("sig").agg(F.min("k").alias("least"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    return rows.join(least, "sig").select("sig", "k", "least", "many")
 
-def texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame, like: Similarity) -> DataFrame:
-    """(k, text) of the wanted sets: the text of one document each, checked against k."""
-    one = sets.join(wanted, "k", "left_semi").groupBy("k").agg(F.min("doc_id").alias("_id"))
-    found = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("_id"))).select("k", "text")
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def maybe_linked(pairs: DataFrame, index: DataFrame, like: Similarity) -> DataFrame:
+    """The pairs (a, b) that sizes and small bitmaps do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [k == set_hash(s) for k, s in zip(batch["k"].to_pylist(), like.word_sets(batch), strict=True)]
-            yield batch.filter(pa.array(ok, pa.bool_()))
+            na, nb = (batch[c].to_numpy() for c in ("na", "nb"))
+            most = like.differing(na + nb)
+            ok = np.abs(na - nb) <= most
+            for at in np.flatnonzero(ok).tolist():
+                x, y = batch["xa"][at].as_py(), batch["xb"][at].as_py()
+                words = min(len(x), len(y)) // 8
+                ok[at] = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(dtype=np.int64) <= most[at]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return found.mapInArrow(same, "k long, text string")
+    side = lambda v: index.select(F.col("k").alias(v), F.col("n").alias(f"n{v}"), F.col("small").alias(f"x{v}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
+
+
+def among(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The texts of the wanted sets, of which there are at most 2n; up to FEW they are broadcast, which spares shuffling the others."""
+    wanted = wanted.distinct()
+    return texts.join(F.broadcast(wanted) if 2 * n <= FEW else wanted, "k", "left_semi")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
@@ -223,22 +268,28 @@ def verify(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
                 ok.append(like.linked(kept, like.set_of(y)))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    texts = among(texts, pairs.select(F.explode(F.array("a", "b")).alias("k")), pairs.count())
     both = pairs.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def parity(tokens: np.ndarray, bits: int, like: Similarity) -> bytes:
+    """Parity bitmap of a set, with so many bits for each token that may differ; a smaller one is a larger one folded."""
+    width = 1 << max(6, (bits * (like.differing(2 * len(tokens)) + 1) - 1).bit_length())
+    place = (mix(tokens + GOLDEN) >> np.uint64(16)).astype(np.int64) & (width - 1)
+    odd = (np.bincount(place, minlength=width) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
 def bitmaps(texts: DataFrame, like: Similarity) -> DataFrame:
-    """(k, n, bits): parity bitmaps; a smaller one is a larger one folded."""
+    """(k, n, bits): parity bitmaps for the comparison of whole blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, out = [], []
             for tokens in like.word_sets(batch):
-                width = 1 << max(6, (BITS_PER_DIFFERENCE * (like.differing(2 * len(tokens)) + 1) - 1).bit_length())
-                place = (mix(tokens + GOLDEN) >> np.uint64(16)).astype(np.int64) & (width - 1)
-                odd = (np.bincount(place, minlength=width) & 1).astype(np.uint8)
-                n.append(len(tokens)), out.append(np.packbits(odd, bitorder="little").tobytes())
+                n.append(len(tokens)), out.append(parity(tokens, BITS_PER_DIFFERENCE, like))
             yield pa.RecordBatch.from_arrays([batch["k"], pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["k", "n", "bits"])
 
     return texts.mapInArrow(run, "k long, n long, bits binary")
@@ -317,41 +368,46 @@ def cross_pairs(buckets: DataFrame, spanning: bool, like: Similarity) -> DataFra
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def relabelled(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The labels (k, component) after the edges (a, b) between sets unite components; works on the components' graph."""
+    of = lambda v: labels.select(F.col("k").alias(v), F.col("component").alias(f"c{v}"))
+    between = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = components(between, scratch).select(F.col("vertex").alias("component"), F.col("component").alias("into"))
+    return labels.join(joined, "component", "left").select("k", F.coalesce("into", "component").alias("component"))
+
+
 def join(docs: DataFrame, scratch: Scratch, like: Similarity = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id; besides t, a hash of its text, and component, which
     names its component whatever the ids (null for an empty set)."""
     sets = scratch.save(documents_as_sets(docs, like), "sets")
-    index = scratch.save(signatures(docs, allocate(docs, like), like), "signatures")
-    least = index.groupBy("sig").agg(F.min("k").alias("least"), F.max("k").alias("most")).filter("least <> most")
-    in_buckets = index.join(least.select("sig", "least"), "sig")
-    met = scratch.save(in_buckets.distinct(), "buckets")
-    sizes = met.select(F.col("k"), "n").distinct()
-    pairs = met.filter("k <> least").select(F.col("least").alias("a"), F.col("k").alias("b"), F.col("n").alias("nb")).distinct()
-    pairs = pairs.join(sizes.select(F.col("k").alias("a"), F.col("n").alias("na")), "a")
-    up, down = like.denominator + like.numerator, like.denominator - like.numerator
-    apart = F.abs(F.col("na") - F.col("nb")) * up <= (F.col("na") + F.col("nb")) * down
-    pairs = scratch.save(pairs.filter(apart).select("a", "b"), "star-pairs")
-    wanted = met.select("k").distinct()
-    texts = scratch.save(texts_of(docs, sets, wanted, like).dropDuplicates(["k"]), "texts")
+    texts = texts_of(docs, sets, scratch)
+    index = scratch.save(signatures(texts, allocate(texts, like), like), "signatures")
+    met = scratch.save_parts((buckets_of(index, i) for i in range(ROUNDS)), "buckets")
+    pairs = met.filter("k <> least").select(F.col("least").alias("a"), F.col("k").alias("b")).distinct()
+    pairs = scratch.save(maybe_linked(pairs, index, like), "star-pairs")
     edges = scratch.save(verify(pairs, texts, like), "star-edges")
-    tried, bits = pairs, None
+    named = components(edges, scratch).withColumnRenamed("vertex", "k")
+    labels = texts.select("k").join(named, "k", "left").select("k", F.coalesce("component", "k").alias("component"))
+    labels = scratch.save(labels, "labels")
     # Twice for buckets of three sets or more that are still in several components: first along spanning
     # trees of their likely pairs, then all pairs left across components.
+    wide, bits = met.filter("many > 2").select("sig", "k", "many"), None
     for spanning in (True, False):
-        united = scratch.save(components(edges, scratch).withColumnRenamed("vertex", "k"), "united")
-        labelled = met.join(united, "k", "left").withColumn("component", F.coalesce("component", "k"))
-        open_ = labelled.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("many"))
-        open_ = open_.filter("c0 <> c1 AND many > 2").select("sig", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-        mixed = scratch.save(labelled.join(open_, "sig").select("sig", "k", "component", "blocks"), "mixed")
+        labelled = wide.join(labels, "k")
+        open_ = labelled.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("many").alias("many"))
+        open_ = open_.filter("c0 <> c1").select("sig", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
+        mixed = scratch.save(labelled.select("sig", "k", "component").join(open_, "sig"), "mixed")
+        if not mixed.take(1):
+            break
         if bits is None:
-            some = texts.join(mixed.select("k").distinct(), "k", "left_semi")
-            bits = scratch.save(bitmaps(some.select("k", "text"), like), "bitmaps")
+            bits = scratch.save(bitmaps(among(texts, mixed.select("k"), mixed.count()), like), "bitmaps")
         more = cross_pairs(mixed.join(bits, "k"), spanning, like)
-        more = scratch.save(more.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-        tried = tried.unionByName(more)
-        edges = scratch.save(edges.unionByName(verify(more, texts, like)), "edges")
-    named = scratch.save(components(edges, scratch).withColumnRenamed("vertex", "k"), "components")
-    members = sets.filter("n > 0").join(named, "k", "left").withColumn("component", F.coalesce("component", "k"))
+        more = scratch.save(more.join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
+        pairs = pairs.unionByName(more)
+        edges = scratch.save(verify(more, texts, like), "cross-edges")
+        if edges.take(1):
+            labels = scratch.save(relabelled(labels, edges, scratch), "labels")
+    members = sets.filter("n > 0").join(labels, "k", "left").withColumn("component", F.coalesce("component", "k"))
     ids = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked_rows = members.join(ids, "component").select("doc_id", "n", "component_id", "t", "component")
     alone = sets.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "t", F.lit(None).cast("long").alias("component"))

@@ -160,13 +160,13 @@ def shingle_set(text, size: int = 3) -> frozenset:
     return frozenset(zip(*(w[i:] for i in range(size)), strict=False)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
-def jaccard_components(rows) -> dict:
+def jaccard_components(rows, size: int = 3, percent: int = 90) -> dict:
     """Row number -> numbers of its component, by comparing all pairs."""
-    sets = [shingle_set(r[1]) for r in rows]
+    sets = [shingle_set(r[1], size) for r in rows]
     c = Components(range(len(rows)))
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 90 * len(a | sets[j]):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 c.join(i, j)
     groups: dict = {}
     for i in range(len(rows)):

@@ -211,7 +211,35 @@ def test_schemes_catch_every_pair_within_reach():
     assert caught > 100
 
 
-def test_jaccard_of_a_large_group_of_near_copies(spark, tmp_path):
+def test_missing_and_repeated_ids_do_not_multiply(spark, tmp_path):
+    """Each distinct set is signed once, whatever ids its rows have."""
+    rng = random.Random(14)
+    texts = [lt.prose(rng, "en", 60) for _ in range(30)]
+    rows = [(None, t, "en", "s") for t in texts for _ in range(3)] + [(7, t, "en", "s") for t in texts] + [(i, None, "en", "s") for i in range(5)]
+    docs = spark.read.parquet(lt.write(tmp_path, rows) + "/documents.parquet")
+    scratch = Scratch(spark, "test")
+    sets = scratch.save(jaccard.documents_as_sets(docs, jaccard.BANDS), "sets")
+    found = jaccard.texts_of(docs, sets, scratch)
+    assert sorted(r.text for r in found.collect()) == sorted(texts)
+    got = jaccard.join(docs, scratch).toPandas()
+    assert len(got) == len(rows) and (got.component_id[got.n_shingles > 0] == 7).all()
+
+
+def test_small_bitmaps_lose_no_link():
+    rng = np.random.default_rng(15)
+    for like in (jaccard.BANDS, jaccard.Similarity(5, 80)):
+        for _ in range(400):
+            a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 500))).astype(np.uint64))
+            drop, add = rng.integers(0, len(a) // 6 + 2, 2)
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, add).astype(np.uint64)]))
+            if len(b) and like.linked(a, b):
+                x, y = (jaccard.parity(s, jaccard.SMALL_BITS, like) for s in (a, b))
+                words = min(len(x), len(y)) // 8
+                assert np.bitwise_count(jaccard._folded(x, words) ^ jaccard._folded(y, words)).sum() <= like.differing(len(a) + len(b))
+
+
+@pytest.mark.parametrize("words, percent", [(3, 90), (5, 80)])
+def test_jaccard_of_a_large_group_of_near_copies(spark, tmp_path, words, percent):
     """Copies with zero to many changed words: some pairs link, some do not, and components must not lose any."""
     rng = random.Random(10)
     base = lt.prose(rng, "en", 120).split(" ")
@@ -222,8 +250,8 @@ def test_jaccard_of_a_large_group_of_near_copies(spark, tmp_path):
             w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
         rows.append((i, " ".join(w), "en", "s"))
     docs = spark.read.parquet(lt.write(tmp_path, rows) + "/documents.parquet")
-    got = {r.doc_id: r.component_id for r in jaccard.join(docs, Scratch(spark, "test")).collect()}
-    groups = lt.jaccard_components(rows)
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs, Scratch(spark, "test"), jaccard.Similarity(words, percent)).collect()}
+    groups = lt.jaccard_components(rows, words, percent)
     assert got == {i: min(groups[i]) for i in groups} and 1 < len(set(got.values())) < 160
 
 
