@@ -46,9 +46,8 @@ COST_SHARE = 32
 COST_SEGMENTS = 1 << 18
 #: Sets of one bucket that a task compares at once.
 BLOCK = 1024
-#: Bits of a parity bitmap for each token that may differ, and of the small one that all pairs pass first.
-BITS_PER_DIFFERENCE = 64
-SMALL_BITS = 4
+#: Bits of a parity bitmap for each token that may differ, at least; pairs that differ in 1.2 times as many rarely pass.
+BITS_PER_DIFFERENCE = 8
 #: Sets (8 bytes each) whose names are broadcast.
 FEW = 1_000_000
 #: Parts of the key space that are matched one after another.
@@ -198,17 +197,17 @@ def texts_of(docs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def signatures(texts: DataFrame, levels: dict[int, np.ndarray], like: Similarity) -> DataFrame:
-    """(k, n, small, part0, part1, ...): every set's size, small bitmap, and index keys under its schemes, an array for
+    """(k, n, bits, part0, part1, ...): every set's size, parity bitmap, and index keys under its schemes, an array for
     each part of the key space."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_band = shared.value
         for batch in batches:
-            n, small = [], []
+            n, bits = [], []
             ends, values = [[0] for _ in range(ROUNDS)], [[np.zeros(0, np.int64)] for _ in range(ROUNDS)]
             for tokens in like.word_sets(batch):
-                n.append(len(tokens)), small.append(parity(tokens, SMALL_BITS, like))
+                n.append(len(tokens)), bits.append(parity(tokens, like))
                 found = [segment_keys(tokens, band, by_band.get(band, np.zeros(like.segments[band], np.int64)), like)[1] for band in like.of(len(tokens))]
                 keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
                 part = (keys % np.uint64(ROUNDS)).astype(np.int64)
@@ -216,11 +215,11 @@ def signatures(texts: DataFrame, levels: dict[int, np.ndarray], like: Similarity
                     values[i].append(keys[part == i].view(np.int64))
                     ends[i].append(ends[i][-1] + len(values[i][-1]))
             lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(np.concatenate(v), pa.int64())) for e, v in zip(ends, values, strict=True)]
-            cols = [batch["k"], pa.array(n, pa.int64()), pa.array(small, pa.binary()), *lists]
-            yield pa.RecordBatch.from_arrays(cols, ["k", "n", "small", *(f"part{i}" for i in range(ROUNDS))])
+            cols = [batch["k"], pa.array(n, pa.int64()), pa.array(bits, pa.binary()), *lists]
+            yield pa.RecordBatch.from_arrays(cols, ["k", "n", "bits", *(f"part{i}" for i in range(ROUNDS))])
 
     parts = ", ".join(f"part{i} array<long>" for i in range(ROUNDS))
-    return texts.select("k", "text").mapInArrow(run, f"k long, n long, small binary, {parts}")
+    return texts.select("k", "text").mapInArrow(run, f"k long, n long, bits binary, {parts}")
 
 
 def buckets_of(index: DataFrame, part: int) -> DataFrame:
@@ -231,7 +230,7 @@ def buckets_of(index: DataFrame, part: int) -> DataFrame:
 
 
 def maybe_linked(pairs: DataFrame, index: DataFrame, like: Similarity) -> DataFrame:
-    """The pairs (a, b) that sizes and small bitmaps do not rule out."""
+    """The pairs (a, b) that sizes and bitmaps do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +243,7 @@ def maybe_linked(pairs: DataFrame, index: DataFrame, like: Similarity) -> DataFr
                 ok[at] = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(dtype=np.int64) <= most[at]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda v: index.select(F.col("k").alias(v), F.col("n").alias(f"n{v}"), F.col("small").alias(f"x{v}"))
+    side = lambda v: index.select(F.col("k").alias(v), F.col("n").alias(f"n{v}"), F.col("bits").alias(f"x{v}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
 
@@ -274,27 +273,14 @@ def verify(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def parity(tokens: np.ndarray, bits: int, like: Similarity) -> bytes:
-    """Parity bitmap of a set, with so many bits for each token that may differ; a smaller one is a larger one folded."""
-    width = 1 << max(6, (bits * (like.differing(2 * len(tokens)) + 1) - 1).bit_length())
+def parity(tokens: np.ndarray, like: Similarity) -> bytes:
+    """Parity bitmap of a set; a smaller one is a larger one folded."""
+    width = 1 << max(6, (BITS_PER_DIFFERENCE * (like.differing(2 * len(tokens)) + 1) - 1).bit_length())
     place = (mix(tokens + GOLDEN) >> np.uint64(16)).astype(np.int64) & (width - 1)
     odd = (np.bincount(place, minlength=width) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
 
 
-def bitmaps(texts: DataFrame, like: Similarity) -> DataFrame:
-    """(k, n, bits): parity bitmaps for the comparison of whole blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, out = [], []
-            for tokens in like.word_sets(batch):
-                n.append(len(tokens)), out.append(parity(tokens, BITS_PER_DIFFERENCE, like))
-            yield pa.RecordBatch.from_arrays([batch["k"], pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["k", "n", "bits"])
-
-    return texts.mapInArrow(run, "k long, n long, bits binary")
-
-
 def _folded(raw: bytes, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(raw, "<u8").reshape(-1, words), axis=0)
 
@@ -391,7 +377,7 @@ def join(docs: DataFrame, scratch: Scratch, like: Similarity = BANDS) -> DataFra
     labels = scratch.save(labels, "labels")
     # Twice for buckets of three sets or more that are still in several components: first along spanning
     # trees of their likely pairs, then all pairs left across components.
-    wide, bits = met.filter("many > 2").select("sig", "k", "many"), None
+    wide = met.filter("many > 2").select("sig", "k", "many")
     for spanning in (True, False):
         labelled = wide.join(labels, "k")
         open_ = labelled.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("many").alias("many"))
@@ -399,9 +385,7 @@ def join(docs: DataFrame, scratch: Scratch, like: Similarity = BANDS) -> DataFra
         mixed = scratch.save(labelled.select("sig", "k", "component").join(open_, "sig"), "mixed")
         if not mixed.take(1):
             break
-        if bits is None:
-            bits = scratch.save(bitmaps(among(texts, mixed.select("k"), mixed.count()), like), "bitmaps")
-        more = cross_pairs(mixed.join(bits, "k"), spanning, like)
+        more = cross_pairs(mixed.join(index.select("k", "n", "bits"), "k"), spanning, like)
         more = scratch.save(more.join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
         pairs = pairs.unionByName(more)
         edges = scratch.save(verify(more, texts, like), "cross-edges")

@@ -225,7 +225,7 @@ def test_missing_and_repeated_ids_do_not_multiply(spark, tmp_path):
     assert len(got) == len(rows) and (got.component_id[got.n_shingles > 0] == 7).all()
 
 
-def test_small_bitmaps_lose_no_link():
+def test_bitmaps_lose_no_link():
     rng = np.random.default_rng(15)
     for like in (jaccard.BANDS, jaccard.Similarity(5, 80)):
         for _ in range(400):
@@ -233,7 +233,7 @@ def test_small_bitmaps_lose_no_link():
             drop, add = rng.integers(0, len(a) // 6 + 2, 2)
             b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, add).astype(np.uint64)]))
             if len(b) and like.linked(a, b):
-                x, y = (jaccard.parity(s, jaccard.SMALL_BITS, like) for s in (a, b))
+                x, y = (jaccard.parity(s, like) for s in (a, b))
                 words = min(len(x), len(y)) // 8
                 assert np.bitwise_count(jaccard._folded(x, words) ^ jaccard._folded(y, words)).sum() <= like.differing(len(a) + len(b))
 
