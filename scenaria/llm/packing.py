@@ -1,10 +1,12 @@
 """Packing documents into token windows by non-negative least squares.
 
-Documents are cut into full windows and a rest. Rests fall into length classes of GRAIN tokens. All
-combinations of up to DEPTH classes that fill a window exactly are enumerated; non-negative least squares
-gives how often to use each so that the class histogram is met; counts are rounded down and the classes
-left over are packed greedily, largest first. The histogram and the combinations have a fixed size; pieces
-find their place by their rank in their class, so nothing else leaves the tasks.
+Documents are cut into full windows and a rest. Rests fall into length classes: up to 8 * GRAIN tokens each
+length is one; from there on a class is 2 tokens wide, then 4, then GRAIN, at most a 32nd of its length. The
+combinations are shallow: up to DEPTH pieces of any classes, many of one short class with one or several of
+another, or four or five of the classes between, that fill a window. Non-negative least squares gives
+how often to use each so that the class histogram is met; counts are rounded down and the classes left over are
+packed greedily, largest first. The histogram and the combinations have a fixed size; pieces find their place
+by their rank in their class, so nothing else leaves the tasks.
 
 Defined results: a null text is empty, and an empty text is one piece of one end token; repeated rows
 are packed one by one; an empty table gives an empty result.
@@ -13,13 +15,14 @@ are packed one by one; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,8 +32,8 @@ WINDOW = 2048
 GRAIN = 8
 DEPTH = 3
 END = 1
-#: Ranks in a class are counted in so many parts.
-RANK_PARTS = 64
+#: Ranks in a class are counted in parts of so many pieces; a class of some thousands has LEAST_PARTS even so.
+PART_PIECES, LEAST_PARTS = 1 << 18, 64
 #: Entries of a task's cache of encoded words, which then starts anew.
 CACHE_WORDS = 200_000
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -138,12 +141,15 @@ def cut(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, window:
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """x >= 0 that minimises |a x - b| (active sets)."""
+    """x >= 0 that minimises |a x - b| (active sets, normal equations)."""
     n = a.shape[1]
     x, active = np.zeros(n), np.zeros(n, bool)
+    col, row = np.nonzero(a.T)  # columns have few entries
+    entries, columns = a[row, col], np.ascontiguousarray(a.T)
     tolerance = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
     for _ in range(3 * a.shape[0]):
-        gain = a.T @ (b - a @ x)
+        residual = b - x[active] @ columns[active]
+        gain = np.bincount(col, entries * residual[row], n)
         gain[active] = -np.inf
         best = int(gain.argmax())
         if gain[best] <= tolerance:
@@ -151,7 +157,10 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         active[best] = True
         while True:
             s = np.zeros(n)
-            s[active] = np.linalg.lstsq(a[:, active], b, rcond=None)[0]
+            part = columns[active]
+            square = part @ part.T
+            square[np.diag_indices_from(square)] += 1e-12
+            s[active] = np.linalg.solve(square, part @ b)
             below = active & (s <= 0)
             if not below.any():
                 break
@@ -166,66 +175,121 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def size_class(length: Column, window: int = WINDOW, grain: int = GRAIN) -> Column:
+    """A piece's class: the longest length in it, which stands for all its pieces when windows are filled."""
+    width, out = grain, F.ceil(length / grain) * grain
+    while width > 1:
+        width //= 2
+        out = F.when(length <= 8 * grain * width, F.ceil(length / width) * width).otherwise(out)
+    return F.least(out, F.lit(window)).cast("int")
+
+
+def combinations(present: list[int], full: int, depth: int = DEPTH) -> list[dict[int, int]]:
+    """Shallow combinations of the classes present, as pieces by class, that fill a window of ``full`` tokens.
+
+    Short are classes of which more than ``depth`` pieces fit. Exact are: up to ``depth`` pieces of any classes;
+    pieces of a short class with one of a longer class, or with several of another short one (the most even numbers
+    of each); two pieces of a short class, one or two of another and one of a third; ``depth`` pieces of the longest
+    short classes and one that fills the rest. Besides, for each short class as many pieces as fit and the longest
+    one that fits beside them, if no more than a hundredth of the window stays empty.
+    """
+    known = set(present)
+    found = {}
+
+    def add(*pieces: tuple[int, int]) -> None:
+        combo: dict[int, int] = {}
+        for u, n in pieces:
+            combo[u] = combo.get(u, 0) + n
+        found[tuple(sorted(combo.items()))] = combo
+
+    for k in range(1, depth):
+        for c in combinations_with_replacement(present, k):
+            rest = full - sum(c)
+            if rest in known and rest >= c[-1]:
+                add(*((u, 1) for u in (*c, rest)))
+    short = [u for u in present if u * (depth + 1) <= full]
+    middling = [u for u in short if u * 64 > full]
+    for i, u in enumerate(middling):
+        for v in middling[i + 1 :]:
+            exact = [n for n in range(1, full // u) if n * u < full and (full - n * u) % v == 0]
+            if exact:
+                n = min(exact, key=lambda n: abs(2 * n * u - full))
+                add((u, n), (v, (full - n * u) // v))
+    few = [u for u in short if u * 8 > full]
+    for u in few:
+        for v in few:
+            for n in (1, 2):
+                rest = full - 2 * u - n * v
+                if u != v and rest * (depth + 1) <= full and rest in known:
+                    add((u, 2), (v, n), (rest, 1))
+    for c in combinations_with_replacement([u for u in short if u * (depth + 2) > full], depth):
+        if full - sum(c) in known:
+            add(*((u, 1) for u in c), (full - sum(c), 1))
+    for u in short:
+        room = full % u
+        beside = present[bisect_right(present, room) - 1] if room >= present[0] else 0
+        if (room - beside) * 100 <= full:
+            add((u, full // u), *([(beside, 1)] if beside else []))
+        for long in present[bisect_right(present, u) :]:
+            if long < full and (full - long) % u == 0:
+                add((u, (full - long) // u), (long, 1))
+    return list(found.values())
+
+
 def plan(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[tuple[int, ...], int]]:
     """Combinations of classes and how often to use each; together they use up the histogram.
 
-    ``histogram[u]``: pieces of class u, for 1 to the window's number of grains.
+    ``histogram[u]``: pieces of class u, for 1 to the window's length.
     """
     full = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
     uses: list[tuple[tuple[int, ...], int]] = []
 
-    def use(combo: tuple[int, ...], times: int) -> None:
+    def use(combo: dict[int, int], most: int) -> None:
+        times = min(most, *(int(left[u]) // n for u, n in combo.items()))
         if times > 0:
-            uses.append((tuple(sorted(combo, reverse=True)), int(times)))
-            np.subtract.at(left, list(combo), int(times))
+            uses.append((tuple(u for u in sorted(combo, reverse=True) for _ in range(combo[u])), times))
+            for u, n in combo.items():
+                left[u] -= n * times
 
-    use((full,), left[full])
+    use({full: 1}, int(left[full]))
     present = np.flatnonzero(left)
-    known = set(present.tolist())
-    combos = [
-        (*c, full - sum(c))
-        for k in range(1, depth)
-        for c in combinations_with_replacement(present.tolist(), k)
-        if full - sum(c) in known and full - sum(c) >= c[-1]
-    ]
+    combos = combinations(present.tolist(), full, depth)
     if combos:
         place = {u: i for i, u in enumerate(present.tolist())}
         a = np.zeros((len(present), len(combos)))
-        for j, c in enumerate(combos):
-            for u in c:
-                a[place[u], j] += 1
-        weight = np.sqrt(present / full)  # longer pieces are harder to place later
-        x = nnls(a * weight[:, None], left[present] * weight)
+        for j, combo in enumerate(combos):
+            for u, n in combo.items():
+                a[place[u], j] = n
+        weight = present / full  # longer pieces are harder to place later
+        a *= weight[:, None]
+        length = np.linalg.norm(a, axis=0)  # columns of one length, whether of few pieces or of many
+        x = nnls(a / length, left[present] * weight) / length
         for j in np.argsort(-x, kind="stable"):
-            c = combos[j]
-            fits = min(int(left[u]) // c.count(u) for u in c)
-            use(c, min(int(x[j]), fits))
+            use(combos[j], int(x[j]))
     while left.any():
-        combo, room = [], full
-        while True:
-            fitting = [u for u in np.flatnonzero(left[: room + 1]).tolist() if left[u] > combo.count(u)]
-            if not fitting:
-                break
-            combo.append(fitting[-1])
-            room -= fitting[-1]
-        use(tuple(combo), min(int(left[u]) // combo.count(u) for u in combo))
+        combo, room = {}, full
+        for u in np.flatnonzero(left)[::-1].tolist():
+            n = min(int(left[u]), room // u)
+            if n:
+                combo[u] = n
+                room -= n * u
+        use(combo, int(left.sum()))
     return uses
 
 
 def pack(pieces: DataFrame, scratch: Scratch, window: int = WINDOW, grain: int = GRAIN, depth: int = DEPTH) -> DataFrame:
     """Adds sequence_id and offset. ``pieces`` is read twice: it should be a written table."""
     spark = pieces.sparkSession
-    pieces = pieces.withColumns(
-        {
-            "_class": F.ceil(F.col("length") / grain).cast("int"),
-            "_part": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(RANK_PARTS)).cast("int"),
-        }
-    )
-    parts = scratch.save(pieces.groupBy("_class", "_part").agg(F.count(F.lit(1)).alias("n")), "classes")
-    histogram = np.zeros(window // grain + 1, np.int64)
-    for r in parts.groupBy("_class").agg(F.sum("n").alias("n")).collect():  # at most window / grain rows
+    pieces = pieces.withColumn("_class", size_class(F.col("length"), window, grain))
+    histogram = np.zeros(window + 1, np.int64)
+    for r in pieces.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect():  # at most a row per class
         histogram[r["_class"]] = r["n"]
+    # Parts by class: so few in all that their starts can be broadcast, so many that none grows with the table.
+    n_parts = [max(-(-n // PART_PIECES), min(LEAST_PARTS, -(-n // LEAST_PARTS)), 1) for n in histogram.tolist()]
+    n_parts = F.element_at(F.array(*map(F.lit, n_parts)), F.col("_class") + 1)
+    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), n_parts).cast("int"))
+    parts = scratch.save(pieces.groupBy("_class", "_part").agg(F.count(F.lit(1)).alias("n")), "classes")
     ranges, next_rank, sequences = [], [0] * len(histogram), 0
     for combo, times in plan(histogram, depth):
         for u in dict.fromkeys(combo):
