@@ -12,7 +12,8 @@ takes the blocks in a permutation of its own; the last epoch stops where the sou
 
 Defined results: a null source is a source of its own; null or empty texts have no tokens and stay in
 every full epoch; a source without tokens has weight 0 and is used once; repeated rows are mixed one by
-one; an empty table gives an empty result.
+one; other columns are passed on, but for those named like the result's own (in any case), which these
+replace; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +31,13 @@ GRID = 1 << 20
 N_BLOCKS = 256
 #: Bisection levels that one aggregate over the source table decides.
 LEVELS = 4
+#: A block of more rows is put in order in parts, by leading hex digits of the row digest.
+PART_ROWS = 50_000
+#: Columns that are worked out here, by name.
+OWN = (
+    "_src", "_tokens", "_digest", "_block", "_part", "_inside", "_before", "_upto",
+    "src_tokens", "weight", "quota", "full", "epoch", "block_start", "alpha", "mix_position",
+)
 
 
 def _text(c: Column) -> Column:
@@ -50,7 +58,15 @@ def with_blocks(docs: DataFrame, n_blocks: int = N_BLOCKS) -> DataFrame:
 
 
 def block_sizes(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("_src", "_block").agg(F.sum("_tokens").alias("block_tokens"))
+    return blocks.groupBy("_src", "_block").agg(F.sum("_tokens").alias("block_tokens"), F.count(F.lit(1)).alias("block_rows"))
+
+
+def part_digits(sizes: DataFrame) -> int:
+    """Hex digits of the digest that cut the largest block into parts of about PART_ROWS rows at most."""
+    most, digits = sizes.agg(F.max("block_rows").alias("n")).first().n or 0, 0
+    while most > PART_ROWS << 4 * digits and digits < 24:
+        digits += 1
+    return digits
 
 
 def find_exponent(sizes: DataFrame, target_entropy: float, max_epochs: float) -> tuple[float, dict]:
@@ -102,8 +118,10 @@ def mix(
     n_blocks: int = N_BLOCKS,
 ) -> DataFrame:
     """The mixture: the documents' rows, once per epoch they are used in, with their place in the mixture."""
-    blocks = with_blocks(docs, n_blocks)
+    blocks = with_blocks(docs.drop(*[c for c in docs.columns if c.lower() in OWN]), n_blocks)
     sizes = scratch.save(block_sizes(blocks), "block-sizes")
+    digits = part_digits(sizes)
+    blocks = blocks.withColumn("_part", F.substring("_digest", 1, digits))
     alpha, found = find_exponent(sizes, target_entropy, max_epochs)
     total = float(found["total"] or 1)
     weight = F.when(F.col("src_tokens") > 0, F.pow(F.col("src_tokens") / F.lit(total), F.lit(alpha)) / F.lit(found["z"])).otherwise(0.0)
@@ -127,10 +145,18 @@ def mix(
         "block_start",
         F.col("epoch") * F.col("src_tokens") + F.sum("block_tokens").over(permuted) - F.col("block_tokens"),
     )
-    inside = Window.partitionBy("_src", "_block").orderBy("_digest")
-    placed = blocks.withColumn(
-        "_upto", F.sum("_tokens").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ).join(per_block, ["_src", "_block"])
+    per_block = per_block.drop("block_tokens", "block_rows")
+    if digits:  # prefix sums in two levels: over a block's parts, and inside each part
+        parts = blocks.groupBy("_src", "_block", "_part").agg(F.sum("_tokens").alias("_inside"))
+        before = F.sum("_inside").over(Window.partitionBy("_src", "_block").orderBy("_part")) - F.col("_inside")
+        parts = scratch.save(parts.withColumn("_before", before).drop("_inside"), "parts")
+        per_block = per_block.join(parts, ["_src", "_block"])
+    else:
+        per_block = per_block.withColumns({"_part": F.lit(""), "_before": F.lit(0)})
+    of_part = ["_src", "_block", "_part"]
+    inside = Window.partitionBy(*of_part).orderBy("_digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = blocks.withColumn("_inside", F.sum("_tokens").over(inside)).join(per_block, of_part)
+    placed = placed.withColumn("_upto", F.col("_before") + F.col("_inside")).drop("_before", "_inside")
     end = F.col("block_start") + F.col("_upto")
     kept = placed.filter((F.col("epoch") < F.col("full")) | (end <= F.col("quota")))
     position = F.when(F.col("quota") > 0, (end - F.col("_tokens") / 2) / F.col("quota")).otherwise(0.0)
