@@ -7,8 +7,11 @@ a byte depends on the last four bytes only, so it is worked out once for each co
 a text's exact code length in each language is a sum of table entries over the whole text.
 
 Trees are learned from a bounded sample of the labelled texts: at most about ``max_train_bytes`` per
-language, drawn by a hash of the row (all rows of a language below that). At most ``max_contexts``
-contexts of order 3 are kept, by count.
+language, drawn by a hash of the row (all rows of a language below that). All contexts of the sample are kept;
+a caller may set ``max_contexts`` to keep the most frequent ones of order 3 only.
+
+How many bits a byte a language's own texts take is measured on a fifth of the sample, with trees of the other
+four (``usual_rates``); texts far above it are in none of the learned languages.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; languages tie by name;
 equal texts get equal results; an empty table or one without labels gives ``und`` throughout.
@@ -30,6 +33,9 @@ LETTER = re.compile(r"[^\W\d_]")
 #: Texts are scored in runs of so many bytes; longer texts in segments that see the bytes before them.
 RUN_BYTES = 1 << 17
 UNKNOWN = "und"
+#: Bits a byte are measured on texts of so many bytes, and of a language with so many of them.
+RATED_BYTES, RATED_TEXTS = 200, 20
+MAX_TRAIN_BYTES = 4_000_000
 
 
 def _segments(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -78,32 +84,50 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def train(labelled: DataFrame, max_train_bytes: int = 4_000_000, max_contexts: int = 20_000) -> Model:
-    """``labelled`` has text and lang, both non-null. The driver gets the sample's distinct four-byte counts."""
+def sample(labelled: DataFrame, max_train_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
+    """The labelled texts that are learned from. ``labelled`` has text and lang, both non-null."""
     size = F.octet_length("text")
     totals = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.sum(size).alias("n")).collect() if r.n}
     share = F.lit(0.0)
     for lang, n in sorted(totals.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_train_bytes / n))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20) < share
+    return labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20) < share).select("lang", "text")
+
+
+def learn(drawn: DataFrame, max_contexts: int | None = None) -> Model:
+    """The model of a sample, whose distinct four-byte counts come to the driver."""
     rows = (
-        labelled.filter(drawn)
-        .select("lang", "text")
-        .mapInArrow(count_grams, "lang string, gram long, n long")
+        drawn.mapInArrow(count_grams, "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
         .collect()
     )
-    counts: dict[str, list[tuple[int, int]]] = {lang: [] for lang in sorted(totals)}
+    counts: dict[str, list[tuple[int, int]]] = {}
     for r in rows:
-        counts[r.lang].append((r.gram, r.n))
+        counts.setdefault(r.lang, []).append((r.gram, r.n))
     return Model(counts, max_contexts)
 
 
+def train(labelled: DataFrame, max_train_bytes: int = MAX_TRAIN_BYTES, max_contexts: int | None = None) -> Model:
+    return learn(sample(labelled, max_train_bytes), max_contexts)
+
+
+def usual_rates(drawn: DataFrame) -> dict[str, float]:
+    """The most bits a byte of a sample's texts by language: a fifth of them, under trees of the others.
+
+    Languages with fewer than RATED_TEXTS texts of RATED_BYTES bytes in that fifth have none.
+    """
+    fifth = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(5)) == 0
+    rated = predict(drawn.filter(fifth & (F.octet_length("text") >= RATED_BYTES)), learn(drawn.filter(~fifth)), ("lang",))
+    found = rated.filter("bits_per_byte IS NOT NULL").groupBy(F.col("lang_pred").alias("lang"))
+    found = found.agg(F.max("bits_per_byte").alias("most"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= RATED_TEXTS)
+    return {r.lang: r.most for r in found.collect()}
+
+
 class Model:
     """Frozen context trees of all languages as two tables: context steps and code lengths."""
 
-    def __init__(self, counts: dict[str, list[tuple[int, int]]], max_contexts: int):
+    def __init__(self, counts: dict[str, list[tuple[int, int]]], max_contexts: int | None = None):
         self.langs = sorted(counts)
         if not self.langs:
             return
