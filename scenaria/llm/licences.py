@@ -161,9 +161,11 @@ def scan(
                 padded = b" " + b" ".join(words) + b" "
                 places, base, labels, score = [], set(), set(), 0.0
                 for phrase, label in padded_phrases:
-                    at = padded.find(phrase)
+                    at, counted, place = padded.find(phrase), 0, 0
                     while at >= 0:
-                        places.append(padded.count(b" ", 0, at))
+                        place += padded.count(b" ", counted, at)
+                        counted = at
+                        places.append(place)
                         base.add(label)
                         at = padded.find(phrase, at + 1)
                 if index.candidate(padded):

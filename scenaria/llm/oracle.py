@@ -139,7 +139,7 @@ def _lower(text: str) -> str:
 def op5_licences() -> str:
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in licences.PHRASES.items())
     templates = ", ".join(f"(list_distinct(string_split('{t}', ' ')), '{label}')" for t, label in licences.TEMPLATES.items())
-    size, step = licences.BLOCK_WORDS, licences.BLOCK_WORDS // 2
+    size = max(licences.BLOCK_WORDS, *(2 * len(t.split()) for t in licences.TEMPLATES))
     return f"""WITH
 d AS (
     SELECT ROW_NUMBER() OVER () AS rid, doc_id, {_lower('text')} AS t,
@@ -155,17 +155,17 @@ places AS (
 base AS (
     SELECT rid, COUNT(*) AS n_base, MIN(pos) AS first_word, MAX(pos) AS last_word, list_distinct(list(label)) AS labels FROM places GROUP BY rid
 ),
-lines AS (
-    SELECT rid, list_filter({_words('line')}, lambda w: w <> '') AS words
-    FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)
-),
-blocks AS (
-    SELECT rid, words[pos + 1 : pos + {size}] AS block
-    FROM (SELECT rid, words, unnest(range(0, greatest(len(words) - {step}, 1), {step})) AS pos FROM lines)
+places_of_words AS (SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS pos FROM d),
+template_words AS (SELECT template, label, unnest(template) AS word FROM templates),
+held AS (
+    SELECT rid, label, template, COUNT(DISTINCT word) OVER (
+        PARTITION BY rid, template ORDER BY pos RANGE BETWEEN CURRENT ROW AND {size - 1} FOLLOWING
+    ) AS n
+    FROM places_of_words JOIN template_words USING (word)
 ),
 matches AS (
-    SELECT rid, label, len(list_intersect(template, block)) / len(template) AS containment FROM blocks, templates
-    WHERE len(list_intersect(template, block)) >= ceil({licences.THRESHOLD} * len(template) - 1e-9)
+    SELECT rid, label, n / len(template) AS containment FROM held
+    WHERE n >= ceil({licences.THRESHOLD} * len(template) - 1e-9)
 ),
 found AS (SELECT rid, list_distinct(list(label)) AS labels, MAX(containment) AS score FROM matches GROUP BY rid)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, COALESCE(n_base, 0) AS n_base,
