@@ -7,7 +7,9 @@ consecutive words share a selected gram. Likeness is the Jaccard similarity of t
 
 Defined results: a null text is empty; a text without words has an empty fingerprint; one with fewer than
 k words has a single gram of all of them; a text with fewer grams than a window has one window. Empty
-fingerprints are like each other (1) and like nothing else (0).
+fingerprints are like each other (1) and like nothing else (0). Repeated rows are fingerprinted one by one, and
+follow each other in the order of ids; rows without an id come last. Columns other than doc_id and text are
+left out, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
