@@ -127,6 +127,11 @@ def weighted_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.weighted_expectation(marts.fact(spark, sf_dir), marts.DEFAULT_WEIGHTS, keys=KEYS)
 
 
+def weighted_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected EBITDA per month with weights from a table: each scenario's share of all lines."""
+    return pf.weighted_expectation(marts.fact(spark, sf_dir), marts.line_shares(spark, sf_dir), keys=KEYS)
+
+
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five accounting identities per scenario-month with PASS / FAIL."""
     return au.reconcile(marts.fact(spark, sf_dir), keys=KEYS)
@@ -348,6 +353,7 @@ ORDER = {
     "interaction_effects": ("entity", "output", "x", "y"),
     "flow_trace": ("entity", "fiscal_year", "step_order", "stage", "metric"),
     "weighted_expectation": ("entity", "fiscal_year", "month"),
+    "weighted_by_lines": ("entity", "fiscal_year", "month"),
     "payback_first": ("entity", "fiscal_year", "scenario", "month"),
     "reconcile": ("entity", "fiscal_year", "scenario", "month"),
     "reconcile_strict": ("entity", "fiscal_year", "scenario", "month"),
@@ -400,6 +406,7 @@ QUERIES: dict[str, Query] = {
     "interaction_effects": interaction_effects,
     "flow_trace": flow_trace,
     "weighted_expectation": weighted_expectation,
+    "weighted_by_lines": weighted_by_lines,
     "reconcile": reconcile,
     "grid_audit": grid_audit,
     "kpi_totals": kpi_totals,

@@ -18,6 +18,7 @@ ORACLE: dict[str, str] = {
     "interaction_effects": O.interaction_effects(),
     "flow_trace": O.flow_trace(),
     "weighted_expectation": O.weighted_expectation(),
+    "weighted_by_lines": O.weighted_by_lines(),
     "reconcile": O.reconcile(),
     "grid_audit": O.grid_audit(),
     "kpi_totals": O.kpi_totals(),

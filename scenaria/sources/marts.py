@@ -157,6 +157,15 @@ def _derived_sql(rides: str, net: str, var: str, fleet: str, vehicle: str, platf
     return [f"{e} AS `{m}`" for e, m in zip(exprs, S.METRICS)]
 
 
+def line_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(scenario, weight)``: each scenario's share of all lines that have one, to four places."""
+    lines = read_table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin(list(SCENARIO_OF_FLAG)))
+    counts = lines.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))  # a row per scenario
+    share = F.col("n") / F.sum("n").over(Window.partitionBy())
+    scenario = F.expr(_flag_case(lambda sc: f"'{sc}'"))
+    return counts.select(scenario.alias("scenario"), F.round(share, 4).alias("weight"))
+
+
 def base_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (entity, fiscal year, scenario, month): exact sums and the fleet they need."""
     sums = sales(spark, sf_dir).groupBy(*PL_KEYS, "scenario", "month_number").agg(
