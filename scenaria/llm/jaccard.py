@@ -8,6 +8,12 @@ with one token deleted). When the levels plus one add up to H + 1 or more, two s
 H tokens agree in a segment within its level. Levels are allocated by cost: rows to index plus pairs met
 by chance, counted on a bounded share of the sets; they steer work only, never the result.
 
+A set needs less than its band when no linked set makes more differ with it than h < H tokens. It then leaves
+out segments at level 0, those with the fewest tokens first (empty and small subsets are met by chance most),
+as long as the levels plus one of all segments add up to h + 1 more than its left out ones. Segments in which
+two linked sets agree add up to more than either leaves out, and equal subsets have the same place in that
+order, so the first segment in which they agree is indexed for both.
+
 Each distinct set is signed once, whatever the number of its documents. The signatures are matched a part of
 the key space at a time (ROUNDS parts), so that the shuffles of a part are gone before the next begins; keys
 of one set only end there. Each signature's sets form a bucket. Buckets are not expanded to pairs: each set is
@@ -79,6 +85,11 @@ class Similarity:
         b = int(np.searchsorted(self.low, size, "right")) - 1
         return [x for x in (b - 1, b) if x >= 0 and size <= self.reach[x]]
 
+    def need(self, size: int, band: int) -> int:
+        """The most tokens that differ between a set of this size and a linked one, of the pairs that the band's scheme must find."""
+        other = size * self.denominator // self.numerator if size < self.high[band] else self.high[band] - 1
+        return self.differing(size + other)
+
     def differing(self, sizes):
         """The most tokens in which two linked sets whose sizes add up to ``sizes`` can differ."""
         return sizes * (self.denominator - self.numerator) // (self.denominator + self.numerator)
@@ -100,8 +111,13 @@ BANDS = Similarity(3, 90)
 linked = BANDS.linked
 
 
-def segment_keys(tokens: np.ndarray, band: int, levels: np.ndarray | None, like: Similarity = BANDS) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, key) of a set under a band's scheme; levels None: all segments at level 0."""
+def segment_keys(
+    tokens: np.ndarray, band: int, levels: np.ndarray | None, like: Similarity = BANDS, need: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, key) of a set under a band's scheme; levels None: all segments at level 0.
+
+    With ``need``, without the keys at level 0 that a set which needs no more differences than that can spare.
+    """
     m = like.segments[band]
     spread = mix(tokens + np.uint64((band + 1) * int(GOLDEN) % (1 << 64)))
     place = (spread >> np.uint64(33)).astype(np.int64) % m
@@ -115,7 +131,12 @@ def segment_keys(tokens: np.ndarray, band: int, levels: np.ndarray | None, like:
     whole = mix(mix(sums + tag) + counts)
     if levels is None:
         return np.arange(m), whole
-    segments, keys = np.flatnonzero(levels >= 0), whole[levels >= 0]
+    taken = levels >= 0
+    if need is not None:
+        spare = int((levels + 1).sum()) - need - 1
+        plain = np.flatnonzero(levels == 0)
+        taken[plain[np.argsort(counts[plain], kind="stable")[: max(spare, 0)]]] = False
+    segments, keys = np.flatnonzero(taken), whole[taken]
     one = np.flatnonzero(levels[place] == 1)
     if len(one):  # subsets with one token deleted share the keys of whole subsets of that size
         s = place[one]
@@ -139,7 +160,8 @@ def documents_as_sets(docs: DataFrame, like: Similarity) -> DataFrame:
 
 
 def allocate(texts: DataFrame, like: Similarity) -> dict[int, np.ndarray]:
-    """Levels of the segments by band: the cheapest that add up to the band's need.
+    """Levels of the segments by band: the cheapest that add up to the band's need, and 0 for all others, so that sets
+    can choose.
 
     Costs come from one set in COST_SHARE. A segment at level 0 costs one row a set and the pairs that
     meet in it by chance; at level 1, a row more for each token and the pairs of subsets one token smaller.
@@ -177,9 +199,9 @@ def allocate(texts: DataFrame, like: Similarity) -> dict[int, np.ndarray]:
             rows[r.segment], pairs[r.segment] = r.rows, r["pairs"]
         tokens = (like.low[band] + like.high[band]) / 2 / m
         first = rows + pairs * COST_SHARE
-        second = rows * tokens + (tokens + 1) * pairs * COST_SHARE
+        second = rows * tokens + (tokens + 1) ** 2 * pairs * COST_SHARE
         chosen = np.argsort(np.concatenate([first, np.maximum(second, first)]), kind="stable")[: need + 1]
-        levels[band] = np.bincount(chosen % m, minlength=m) - 1
+        levels[band] = np.maximum(np.bincount(chosen % m, minlength=m) - 1, 0)
     return levels
 
 
@@ -208,7 +230,10 @@ def signatures(texts: DataFrame, levels: dict[int, np.ndarray], like: Similarity
             ends, values = [[0] for _ in range(ROUNDS)], [[np.zeros(0, np.int64)] for _ in range(ROUNDS)]
             for tokens in like.word_sets(batch):
                 n.append(len(tokens)), bits.append(parity(tokens, like))
-                found = [segment_keys(tokens, band, by_band.get(band, np.zeros(like.segments[band], np.int64)), like)[1] for band in like.of(len(tokens))]
+                found = []
+                for band in like.of(len(tokens)):
+                    levels = by_band.get(band, np.zeros(like.segments[band], np.int64))
+                    found.append(segment_keys(tokens, band, levels, like, like.need(len(tokens), band))[1])
                 keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
                 part = (keys % np.uint64(ROUNDS)).astype(np.int64)
                 for i in range(ROUNDS):
@@ -354,6 +379,13 @@ def cross_pairs(buckets: DataFrame, spanning: bool, like: Similarity) -> DataFra
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def open_buckets(wide: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, blocks): the buckets (sig, k, many) whose sets are in several components, and their number of blocks."""
+    labelled = wide.join(labels, "k").groupBy("sig")
+    ends = labelled.agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("many").alias("many"))
+    return ends.filter("c0 <> c1").select("sig", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
+
+
 def relabelled(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """The labels (k, component) after the edges (a, b) between sets unite components; works on the components' graph."""
     of = lambda v: labels.select(F.col("k").alias(v), F.col("component").alias(f"c{v}"))
@@ -378,15 +410,15 @@ def join(docs: DataFrame, scratch: Scratch, like: Similarity = BANDS) -> DataFra
     # Twice for buckets of three sets or more that are still in several components: first along spanning
     # trees of their likely pairs, then all pairs left across components.
     wide = met.filter("many > 2").select("sig", "k", "many")
+    parts = [wide.filter(F.pmod("sig", F.lit(ROUNDS)) == i) for i in range(ROUNDS)]
     for spanning in (True, False):
-        labelled = wide.join(labels, "k")
-        open_ = labelled.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("many").alias("many"))
-        open_ = open_.filter("c0 <> c1").select("sig", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-        mixed = scratch.save(labelled.select("sig", "k", "component").join(open_, "sig"), "mixed")
-        if not mixed.take(1):
+        open_ = scratch.save_parts((open_buckets(rows, labels) for rows in parts), "open")
+        if not open_.take(1):
             break
-        more = cross_pairs(mixed.join(index.select("k", "n", "bits"), "k"), spanning, like)
-        more = scratch.save(more.join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
+        named = labels.join(index.select("k", "n", "bits"), "k")
+        mixed = (rows.select("sig", "k").join(open_, "sig").join(named, "k") for rows in parts)
+        more = (cross_pairs(rows, spanning, like).join(pairs, ["a", "b"], "left_anti") for rows in mixed)
+        more = scratch.save(scratch.save_parts(more, "cross-pairs-of-parts").distinct(), "cross-pairs")
         pairs = pairs.unionByName(more)
         edges = scratch.save(verify(more, texts, like), "cross-edges")
         if edges.take(1):
