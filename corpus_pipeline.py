@@ -33,10 +33,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     prepare(spark)
     docs = docs.select(*COLUMNS)
-    drawn = langid.sample(langid.trainable(docs, fold(F.col("doc_id"), 3) == 1))
-    found = langid.predict(docs, langid.learn(drawn), COLUMNS)
+    labelled = langid.trainable(docs, fold(F.col("doc_id"), 3) == 1)
+    found = langid.predict(docs, langid.train(labelled), COLUMNS)
     usual = F.lit(None).cast("double")
-    for lang, rate in sorted(langid.usual_rates(drawn).items()):
+    for lang, rate in sorted(langid.usual_rates(labelled).items()):
         usual = F.when(F.col("lang_pred") == lang, F.lit(rate)).otherwise(usual)
     strange = (F.octet_length("text") >= langid.RATED_BYTES) & (F.col("bits_per_byte") > MOST_RATE * usual)
     kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & ~F.coalesce(strange, F.lit(False)))

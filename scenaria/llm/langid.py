@@ -10,8 +10,8 @@ Trees are learned from a bounded sample of the labelled texts: at most about ``m
 language, drawn by a hash of the row (all rows of a language below that). All contexts of the sample are kept;
 a caller may set ``max_contexts`` to keep the most frequent ones of order 3 only.
 
-How many bits a byte a language's own texts take is measured on a fifth of the sample, with trees of the other
-four (``usual_rates``); texts far above it are in none of the learned languages.
+How many bits a byte a language's own texts take is measured on all labelled texts, each with trees that have not
+seen it (``usual_rates``); texts far above it are in none of the learned languages.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; languages tie by name;
 equal texts get equal results; an empty table or one without labels gives ``und`` throughout.
@@ -112,16 +112,23 @@ def train(labelled: DataFrame, max_train_bytes: int = MAX_TRAIN_BYTES, max_conte
     return learn(sample(labelled, max_train_bytes), max_contexts)
 
 
-def usual_rates(drawn: DataFrame) -> dict[str, float]:
-    """The most bits a byte of a sample's texts by language: a fifth of them, under trees of the others.
+def usual_rates(labelled: DataFrame, max_train_bytes: int = MAX_TRAIN_BYTES) -> dict[str, float]:
+    """The most bits a byte of all labelled texts by language, each text under trees that have not seen it.
 
-    Languages with fewer than RATED_TEXTS texts of RATED_BYTES bytes in that fifth have none.
+    Texts fall into halves by a hash; a text is measured with the trees of the other half's sample. Texts taken for
+    another language than their label's count for none. Languages with fewer than RATED_TEXTS texts of RATED_BYTES
+    bytes have none.
     """
-    fifth = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(5)) == 0
-    rated = predict(drawn.filter(fifth & (F.octet_length("text") >= RATED_BYTES)), learn(drawn.filter(~fifth)), ("lang",))
-    found = rated.filter("bits_per_byte IS NOT NULL").groupBy(F.col("lang_pred").alias("lang"))
-    found = found.agg(F.max("bits_per_byte").alias("most"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= RATED_TEXTS)
-    return {r.lang: r.most for r in found.collect()}
+    half = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(2))
+    most: dict[str, float] = {}
+    texts: dict[str, int] = {}
+    drawn = sample(labelled, max_train_bytes)
+    for i in (0, 1):
+        rated = predict(labelled.filter((half == i) & (F.octet_length("text") >= RATED_BYTES)), learn(drawn.filter(half != i)), ("lang",))
+        own = rated.filter("lang_pred = lang AND bits_per_byte IS NOT NULL").groupBy("lang")
+        for r in own.agg(F.max("bits_per_byte").alias("most"), F.count(F.lit(1)).alias("n")).collect():
+            most[r.lang], texts[r.lang] = max(most.get(r.lang, 0.0), r.most), texts.get(r.lang, 0) + r.n
+    return {lang: rate for lang, rate in most.items() if texts[lang] >= RATED_TEXTS}
 
 
 class Model:

@@ -1,9 +1,12 @@
-"""Keys that a set can spare, buckets looked at in parts."""
+"""Keys that a set can spare, bits a byte of all labelled texts."""
 
+import random
+
+import llm_tables as lt
 import numpy as np
 import pytest
 
-from scenaria.llm import jaccard, wordhash
+from scenaria.llm import jaccard, langid, wordhash
 
 
 def random_set(rng, n):
@@ -52,3 +55,18 @@ def test_few_sets_are_met_in_empty_segments():
         keys = np.concatenate([np.unique(jaccard.segment_keys(s, band, levels, like, need)[1]) for s in sets])
         met = int((np.unique(keys, return_counts=True)[1] - 1).sum())
         assert met > 500 if need is None else met == most
+
+
+def test_usual_rates_come_from_all_labelled_texts(spark):
+    """The costliest text of a language sets its rate, whatever the sample of the trees."""
+    rng = random.Random(13)
+    rows = [(("en", "de")[i % 2], lt.prose(rng, ("en", "de")[i % 2], 120)) for i in range(200)]
+    schema = "lang string, text string"
+    usual = langid.usual_rates(spark.createDataFrame(rows, schema), 20_000)
+    assert set(usual) == {"en", "de"}
+    for i in range(3):  # drawn or not, and in either half
+        odd = lt.prose(rng, "en", 60) + " " + "".join(rng.choices("zqxjkvwpy", k=150))
+        got = langid.usual_rates(spark.createDataFrame([*rows, ("en", odd)], schema), 20_000)
+        assert got["en"] > 1.2 * usual["en"] and got["de"] == pytest.approx(usual["de"], rel=0.05), i
+    few = [("xx", lt.prose(rng, "fr", 120)) for _ in range(langid.RATED_TEXTS - 1)]
+    assert set(langid.usual_rates(spark.createDataFrame([*rows, *few], schema), 20_000)) == {"en", "de"}
