@@ -34,7 +34,7 @@ LETTER = re.compile(r"[^\W\d_]")
 RUN_BYTES = 1 << 17
 UNKNOWN = "und"
 #: Bits a byte are measured on texts of so many bytes, and of a language with so many of them.
-RATED_BYTES, RATED_TEXTS = 200, 20
+RATED_BYTES, RATED_TEXTS = 200, 100
 MAX_TRAIN_BYTES = 4_000_000
 
 

@@ -60,7 +60,7 @@ def test_few_sets_are_met_in_empty_segments():
 def test_usual_rates_come_from_all_labelled_texts(spark):
     """The costliest text of a language sets its rate, whatever the sample of the trees."""
     rng = random.Random(13)
-    rows = [(("en", "de")[i % 2], lt.prose(rng, ("en", "de")[i % 2], 120)) for i in range(200)]
+    rows = [(("en", "de")[i % 2], lt.prose(rng, ("en", "de")[i % 2], 120)) for i in range(300)]
     schema = "lang string, text string"
     usual = langid.usual_rates(spark.createDataFrame(rows, schema), 20_000)
     assert set(usual) == {"en", "de"}
