@@ -435,7 +435,9 @@ def keep_one(docs: DataFrame, scratch: Scratch, like: Similarity = BANDS) -> Dat
 
     Documents with an empty set all stay. Of rows that repeat the kept one, one stays.
     """
-    rows = scratch.save(join(docs, scratch, like), "rows")
+    steps = scratch.part("join")
+    rows = scratch.save(join(docs, steps, like), "rows")
+    steps.drop()  # the index and all else that only the join reads
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
     best = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("best"))
     best = best.select(F.col("best.doc_id").alias("_id"), F.col("best.t").alias("_t"))

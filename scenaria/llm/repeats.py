@@ -249,22 +249,28 @@ def strings(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
-    """(t, n, spans): by text key, the runs (lo, starts) of starts of strings that also start elsewhere."""
+    """(t, n, spans): by text key, the runs (lo, starts) of starts of strings that also start elsewhere.
+
+    Each table of the steps goes as soon as nothing reads it any more.
+    """
     keyed = _keyed(docs)
     parsed = scratch.save(parse(keyed.filter(F.col("n") >= length), length), "parse")
     example = [F.first(c).alias(c) for c in ("doc_id", "t", "n", "lo", "starts", "lead")]
     dictionary = scratch.save(parsed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("many"), *example), "dictionary")
     # Phrases that the parse has several times.
     twice = dictionary.filter("many > 1").select("h", "c")
-    whole = parsed.join(twice, ["h", "c"]).select("t", "n", "lo", "starts").distinct()
+    whole = scratch.save(parsed.join(twice, ["h", "c"]).select("t", "n", "lo", "starts").distinct(), "whole")
+    scratch.drop(parsed)
     # Phrases that share their trigger string with another, in blocks of starts.
     shared = dictionary.groupBy("h").agg(F.count(F.lit(1)).alias("phrases")).filter("phrases > 1").select("h")
     open_ = dictionary.join(shared, "h").select("doc_id", "t", "n", "lo", "starts", "lead", "h", (F.col("many") == 1).alias("single"))
     blocks = scratch.save(phrase_blocks(_with_texts(keyed, open_), length), "blocks")
+    scratch.drop(dictionary)
     cores = blocks.groupBy("h", "core").agg(F.count(F.lit(1)).alias("same_core")).filter("same_core > 1")
     wholes = blocks.filter("whole IS NOT NULL").groupBy("h", "whole").agg(F.count(F.lit(1)).alias("same_whole")).filter("same_whole > 1")
     met = blocks.join(cores, ["h", "core"]).join(wholes, ["h", "whole"], "left")
     met = scratch.save(met.withColumn("wanted", F.expr("single AND same_whole IS NULL")), "met-blocks")
+    scratch.drop(blocks)
     equal = met.filter("single AND same_whole IS NOT NULL").select("t", "n", "lo", "starts")
     # Blocks that share a core with a block not yet decided, string by string.
     undecided = met.filter("wanted").select("h", "core").distinct()
@@ -272,8 +278,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> D
     each = scratch.save(strings(_with_texts(keyed, rest), length), "strings")
     again = each.groupBy("h", "w").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("h", "w")
     single = each.filter("wanted").join(again, ["h", "w"]).select("t", "n", "lo", F.lit(1).alias("starts"))
-    spans = whole.unionByName(equal).unionByName(single)
-    return scratch.save(spans.groupBy("t", "n").agg(F.collect_list(F.struct("lo", "starts")).alias("spans")), "spans")
+    runs = whole.unionByName(equal).unionByName(single)
+    spans = scratch.save(runs.groupBy("t", "n").agg(F.collect_list(F.struct("lo", "starts")).alias("spans")), "spans")
+    scratch.drop(whole, met, each)
+    return spans
 
 
 def _removed(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:

@@ -1,6 +1,7 @@
 """The corpus pipeline against a brute-force version of its stages, and its defined results."""
 
 import random
+from pathlib import Path
 
 import llm_tables as lt
 import numpy as np
@@ -9,6 +10,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from scenaria.llm import packing
+from scenaria.llm.common import Scratch
+from scenaria.session import checkpoint_dir
 
 COLUMNS = list(cp.COLUMNS)
 
@@ -106,3 +109,25 @@ def test_missing_values_and_repeated_rows(spark, tmp_path, name):
         assert len(got) >= len(rows) and len(got[got.doc_id.isna()]) >= 2
     else:
         assert (got.start == 0).sum() == len(rows)
+
+
+@pytest.mark.parametrize("name,left", [("near_duplicates", {"rows", "stay"}), ("repeated_strings", {"spans"})])
+def test_tables_of_finished_steps_go(spark, tmp_path, name, left):
+    shared = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    got = stage(spark, name, ROWS, tmp_path)
+    tables = {p.parent for top in set(shared.iterdir()) - before for p in top.rglob("*.parquet") if p.is_file()}
+    assert {t.name.partition("-")[2] for t in tables} == left
+    assert got.count() == (len({tuple(g) for g in lt.jaccard_components(ROWS, 5, 80).values()}) if name == "near_duplicates" else len(ROWS))
+
+
+def test_dropping_leaves_the_other_tables(spark):
+    scratch = Scratch(spark, "drop")
+    inner = scratch.part("inner")
+    a, b, c = scratch.save(spark.range(3), "same"), scratch.save_parts((spark.range(k) for k in (4, 1)), "same"), inner.save(spark.range(6), "same")
+    top = Path(scratch.root.removeprefix("file:"))
+    scratch.drop(a)
+    assert sorted(p.name for p in top.iterdir() if p.name[0] == "0") == ["002-same"]
+    assert (b.count(), c.count()) == (5, 6)
+    inner.drop()
+    assert b.count() == 5 and not list(top.glob("inner-*"))
