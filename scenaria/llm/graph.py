@@ -1,4 +1,8 @@
-"""Connected components of an undirected graph by alternating large-star and small-star steps."""
+"""Connected components of an undirected graph by alternating large-star and small-star steps.
+
+Both sides of a step's join are shuffled by the vertex anyway. The merge hints keep Spark from broadcasting a side that
+turns out small: each broadcast is a job more and goes through the driver's memory, and an operator has many such steps.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +16,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Joins every larger neighbour of a vertex to the least vertex around it."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    return both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.filter("b > a").join(least.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Joins a vertex and its smaller neighbours to the least of them; edges come as a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = edges.join(least.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -35,7 +39,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
     seen = state.select(mark.alias("m")).first().m
     while seen.n:
-        state = scratch.save(_small_star(_large_star(state)), "edges")
+        # Saved in between: each step reads its edges several times, and a plan of both would hold the first one's each time.
+        large = scratch.save(_large_star(state), "large-star")
+        state = scratch.save(_small_star(large), "edges")
+        scratch.drop(large)
         now = state.select(mark.alias("m")).first().m
         if now == seen:
             break

@@ -381,7 +381,7 @@ def cross_pairs(buckets: DataFrame, spanning: bool, like: Similarity) -> DataFra
 
 def open_buckets(wide: DataFrame, labels: DataFrame) -> DataFrame:
     """(sig, blocks): the buckets (sig, k, many) whose sets are in several components, and their number of blocks."""
-    labelled = wide.join(labels, "k").groupBy("sig")
+    labelled = wide.join(labels.hint("merge"), "k").groupBy("sig")
     ends = labelled.agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("many").alias("many"))
     return ends.filter("c0 <> c1").select("sig", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
 
@@ -389,7 +389,7 @@ def open_buckets(wide: DataFrame, labels: DataFrame) -> DataFrame:
 def relabelled(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """The labels (k, component) after the edges (a, b) between sets unite components; works on the components' graph."""
     of = lambda v: labels.select(F.col("k").alias(v), F.col("component").alias(f"c{v}"))
-    between = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    between = edges.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joined = components(between, scratch).select(F.col("vertex").alias("component"), F.col("component").alias("into"))
     return labels.join(joined, "component", "left").select("k", F.coalesce("into", "component").alias("component"))
 
@@ -415,10 +415,11 @@ def join(docs: DataFrame, scratch: Scratch, like: Similarity = BANDS) -> DataFra
         open_ = scratch.save_parts((open_buckets(rows, labels) for rows in parts), "open")
         if not open_.take(1):
             break
-        named = labels.join(index.select("k", "n", "bits"), "k")
+        named = scratch.save(labels.join(index.select("k", "n", "bits"), "k"), "named")
         mixed = (rows.select("sig", "k").join(open_, "sig").join(named, "k") for rows in parts)
-        more = (cross_pairs(rows, spanning, like).join(pairs, ["a", "b"], "left_anti") for rows in mixed)
-        more = scratch.save(scratch.save_parts(more, "cross-pairs-of-parts").distinct(), "cross-pairs")
+        found = scratch.save_parts((cross_pairs(rows, spanning, like) for rows in mixed), "cross-pairs-of-parts")
+        more = scratch.save(found.distinct().join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
+        scratch.drop(named, found)
         pairs = pairs.unionByName(more)
         edges = scratch.save(verify(more, texts, like), "cross-edges")
         if edges.take(1):

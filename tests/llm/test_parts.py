@@ -142,6 +142,23 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(50)}, 300: 300, 301: 300}
 
 
+def test_steps_of_components_are_planned_alone(spark):
+    """No query of a step holds the step before it, or sends a table through the driver."""
+    plans = []
+
+    class Recording(Scratch):
+        def save(self, df, name):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().save(df, name)
+
+    df = Recording(spark, "test").save(spark.createDataFrame([(i + 1, i) for i in range(20)], "a long, b long"), "input")
+    got = {(r.vertex, r.component) for r in components(df, Recording(spark, "test")).collect()}
+    assert got == {(i, 0) for i in range(21)}
+    assert len(plans) > 3
+    assert max(p.count("FileScan parquet") for p in plans) <= 4
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_balancing_moves_slots_to_light_shards(spark):
     sizes = spark.range(64).selectExpr("CAST(id AS INT) AS virtual_slot", "0 AS part", "1 AS part_rows", "IF(id % 4 = 0, 100, 1) * 1 AS part_bytes")
     before = sharding.first_map(spark, 4, 64)
