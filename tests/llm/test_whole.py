@@ -106,3 +106,79 @@ def test_attention_trains_on_all_training_texts(spark, tmp_path, monkeypatch):
     scoring.score(docs, F.col("doc_id") % 7 == 2, Scratch(spark, "test"))
     sizes = [1 + sum(len(scoring.subword_ids(w)) for w in scoring.words_of(r[1])) for r in rows if r[0] % 7 != 2]
     assert given == [sorted(sizes)]
+
+
+def test_rounds_add_up_weights_in_tasks(spark, monkeypatch):
+    """The driver gets at most FAN rows of sums from a round, and the weights are the tasks' average."""
+    monkeypatch.setattr(scoring, "TASK_SUBWORDS", 300)
+    monkeypatch.setattr(scoring, "FAN", 4)
+    monkeypatch.setattr(scoring, "ROUNDS", 1)
+    rng = np.random.default_rng(23)
+    texts = [rng.integers(0, 2000, rng.integers(1, 80)).astype("<u2") for _ in range(200)]
+    counts = np.bincount(np.concatenate(texts), minlength=scoring.VOCABULARY)
+    classes = scoring.Classes(counts)
+    sample = spark.createDataFrame([(i * 7919 % 1009, bytearray(x.tobytes())) for i, x in enumerate(texts)], "h long, ids binary")
+    tasks = sum(map(len, texts)) // 300
+    assert tasks > scoring.FAN**2
+    dealt = sample.repartition(tasks, "h").sortWithinPartitions("h").withColumn("part", F.spark_partition_id()).collect()
+    sent, collect = [], type(sample).collect
+    monkeypatch.setattr(type(sample), "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    got = scoring.fit(sample, classes)
+    assert max(map(len, sent)) <= scoring.FAN
+
+    w, flats, sizes = attention.initial(classes.counts, scoring.MEMBERS), [], []
+    for part in sorted({r.part for r in dealt}):
+        ids = [np.frombuffer(r.ids, "<u2") for r in dealt if r.part == part]
+        tokens = classes.of[np.concatenate(ids)]
+        inputs, places, exists, _ = attention.windows(tokens, np.array([len(x) for x in ids]), classes.start)
+        targets = np.where(exists, tokens[np.maximum(places, 0)], 0)
+        order = np.random.default_rng(0).permutation(len(inputs))
+        parts = [order[i : i + scoring.BATCH] for i in range(0, len(order), scoring.BATCH)]
+        flats.append(attention.flatten(attention.train(w, ((inputs[p], targets[p], exists[p]) for p in parts), scoring.RATE)))
+        sizes.append(len(inputs))
+    assert np.allclose(attention.flatten(got), np.average(flats, axis=0, weights=sizes), atol=1e-6)
+    assert not np.allclose(attention.flatten(got), attention.flatten(w), atol=1e-3)
+
+
+def test_scores_against_texts_one_by_one(spark, tmp_path, monkeypatch):
+    """With weights given, each score is the sum over the text's own windows, of odd and of long texts too."""
+    rows = lt.odd_documents() + [(900 + i, lt.prose(random.Random(i), "en", 5 + 700 * i), "en", "s") for i in range(5)]
+    monkeypatch.setattr(scoring, "SCORED_SUBWORDS", 500)
+    given = []
+
+    def fit(sample, classes):
+        rng = np.random.default_rng(3)
+        w = {k: (x + 0.3 * rng.standard_normal(x.shape)).astype(np.float32) for k, x in attention.initial(classes.counts, scoring.MEMBERS).items()}
+        given.append((w, classes))
+        return w
+
+    monkeypatch.setattr(scoring, "fit", fit)
+    docs = spark.read.parquet(lt.write(tmp_path, rows) + "/documents.parquet")
+    got = scoring.score(docs, F.col("doc_id") % 7 == 2, Scratch(spark, "test")).toPandas().set_index("doc_id").score
+    (w, classes), *_ = given
+    assert len(got) == len(rows)
+    for i, text, *_ in rows:
+        ids = np.concatenate([*(scoring.subword_ids(x) for x in scoring.words_of(text)), np.array([scoring.END], "<u2")])
+        kinds = classes.of[ids]
+        inputs, places, exists, _ = attention.windows(kinds, np.array([len(ids)]), classes.start)
+        log_p = attention.log_probabilities(w, inputs, np.where(exists, kinds[np.maximum(places, 0)], 0))[exists].sum(dtype=float)
+        assert got[i] == pytest.approx((log_p + classes.log_inside[ids].sum(dtype=float)) / np.log(10), rel=1e-5)
+
+
+def test_adam_in_one_vector():
+    """The same weights as Adam by array."""
+    rng = np.random.default_rng(29)
+    w = attention.initial(rng.integers(1, 99, 24), 6)
+    tokens = rng.integers(0, 24, 900).astype(np.int16)
+    inputs, places, exists, _ = attention.windows(tokens, np.array([500, 1, 399]), 24)
+    targets = np.where(exists, tokens[np.maximum(places, 0)], 0)
+    batches = [(inputs[i : i + 16], targets[i : i + 16], exists[i : i + 16]) for i in range(0, len(inputs), 16)]
+    got = attention.train(w, batches, 0.01)
+    m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+    want = {k: x.copy() for k, x in w.items()}
+    for step, batch in enumerate(batches, 1):
+        for k, g in attention.gradients(want, *batch).items():
+            m[k] += 0.1 * (g - m[k])
+            v[k] += 0.01 * (g * g - v[k])
+            want[k] -= (0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    assert all(np.array_equal(got[k], want[k]) for k in want)
