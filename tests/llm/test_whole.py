@@ -141,9 +141,11 @@ def test_rounds_add_up_weights_in_tasks(spark, monkeypatch):
 
 
 def test_scores_against_texts_one_by_one(spark, tmp_path, monkeypatch):
-    """With weights given, each score is the sum over the text's own windows, of odd and of long texts too."""
+    """With weights given, each score is the sum over the text's own windows, of odd and of long texts too, in many chunks."""
     rows = lt.odd_documents() + [(900 + i, lt.prose(random.Random(i), "en", 5 + 700 * i), "en", "s") for i in range(5)]
     monkeypatch.setattr(scoring, "SCORED_SUBWORDS", 500)
+    monkeypatch.setattr(scoring, "CHUNK_BYTES", 5000)
+    assert sum(len(r[1] or "") for r in rows) > 3 * scoring.SLICES * scoring.CHUNK_BYTES
     given = []
 
     def fit(sample, classes):
