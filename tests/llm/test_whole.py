@@ -167,6 +167,15 @@ def test_scores_against_texts_one_by_one(spark, tmp_path, monkeypatch):
         assert got[i] == pytest.approx((log_p + classes.log_inside[ids].sum(dtype=float)) / np.log(10), rel=1e-5)
 
 
+@pytest.mark.parametrize("odd", [0, 59, 60, 61, -61, np.inf, -np.inf, np.nan])
+def test_held_values_are_clipped_ones(odd):
+    """Values that need no clipping stay; one that does, or is no number, doesn't hide the others."""
+    for others in (1, 70, -70):
+        values = np.array([[0.5, odd, -3], [others, 2, -1]], np.float32)
+        want = np.clip(values, -attention.REACH, attention.REACH)
+        assert np.array_equal(attention._hold(values), want, equal_nan=True) and np.array_equal(values, want, equal_nan=True)
+
+
 def test_adam_in_one_vector():
     """The same weights as Adam by array."""
     rng = np.random.default_rng(29)
